@@ -161,7 +161,7 @@ per_day AS (
 SELECT symbol, '{{' || string_agg('"' || day || '":' || m, ',' ORDER BY day) || '}}' AS sentiment_by_date
 FROM per_day GROUP BY symbol""",
     "mean_score": f"""WITH {FEED_SQL}
-SELECT symbol, count(score) AS n, CAST(printf('%.3f', avg(score)) AS DOUBLE) AS mean_score FROM feed GROUP BY symbol""",
+SELECT symbol, count(score) AS n, CAST(printf('%.3f', CAST(sum(CAST(score AS DECIMAL(28,6))) AS DOUBLE) / count(score)) AS DOUBLE) AS mean_score FROM feed GROUP BY symbol""",
     "label_filter_sorted": f"""WITH {FEED_SQL}
 SELECT symbol, id, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, sentiment FROM feed
 WHERE sentiment IN ('purchase', 'error') ORDER BY date DESC, id""",

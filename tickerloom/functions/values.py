@@ -34,6 +34,16 @@ def rounded(value: Column, digits: int) -> Column:
     return fixed(value, digits).cast("double")
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum to six decimals, the same whatever order the rows arrive in."""
+    return F.sum(value.cast("decimal(28,6)")).cast("double")
+
+
+def exact_mean(value: Column) -> Column:
+    """Mean over ``exact_sum``; null without values."""
+    return F.try_divide(exact_sum(value), F.count(value))
+
+
 def share_percent(part: Column, total: Column) -> Column:
     """``part`` of ``total`` in percent; 0 when there is no total."""
     return F.when(total > 0, part / total * 100).otherwise(F.lit(0.0))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tickerloom.constants import ACTION_DISPLAY, GRADE_CHANGE_COLUMNS
-from tickerloom.functions.values import display, rounded, share_percent
+from tickerloom.functions.values import display, exact_mean, exact_sum, rounded, share_percent
 from tickerloom.operators.news import select_present
 
 SECTION_NAMES = ("analyst", "fundamental", "valuation", "market_context")
@@ -153,7 +153,7 @@ def target_range(targets: DataFrame, symbol: str, price: str) -> DataFrame:
     return targets.groupBy(symbol).agg(
         F.max(price).alias("target_high"),
         F.min(price).alias("target_low"),
-        rounded(F.avg(price), 2).alias("target_consensus"),
+        rounded(exact_mean(F.col(price)), 2).alias("target_consensus"),
     )
 
 
@@ -161,7 +161,7 @@ def target_upside(targets: DataFrame, symbol: str, price: str, day: str, unique:
     """Latest price against the mean target."""
     return targets.groupBy(symbol).agg(
         F.max_by(price, F.struct(day, unique)).alias("last_price"),
-        rounded(F.avg(price), 2).alias("target_consensus"),
+        rounded(exact_mean(F.col(price)), 2).alias("target_consensus"),
     ).withColumn(
         "upside_pct",
         F.when(
@@ -176,13 +176,13 @@ def target_summary(targets: DataFrame, symbol: str, price: str, ts: str) -> Data
     from each symbol's last day. Prices are summed per day first, so the
     look-back runs over at most one row per symbol and calendar day."""
     daily = targets.groupBy(symbol, F.to_date(ts).alias("day")).agg(
-        F.count(price).alias("n"), F.sum(price).alias("s")
+        F.count(price).alias("n"), exact_sum(F.col(price)).alias("s")
     ).withColumn("_last", F.max("day").over(Window.partitionBy(symbol)))
     spans = {"last_month": 1, "last_quarter": 3, "last_year": 12, "all_time": None}
     out = []
     for name, months in spans.items():
         kept = F.lit(True) if months is None else F.col("day") > F.add_months("_last", -months)
-        n, s = F.sum(F.when(kept, F.col("n")).otherwise(0)), F.sum(F.when(kept, F.col("s")))
+        n, s = F.sum(F.when(kept, F.col("n")).otherwise(0)), exact_sum(F.when(kept, F.col("s")))
         out += [n.alias(name), F.when(n > 0, rounded(s / n, 2)).alias(f"{name}_avg")]
     return daily.groupBy(symbol).agg(*out)
 
@@ -203,7 +203,7 @@ def trailing_total(periods: DataFrame, symbol: str, period: str, value: str, n:
     """Sum of the last ``n`` periods, only where all ``n`` are there."""
     frame = Window.partitionBy(symbol).orderBy(period).rowsBetween(1 - n, 0)
     return (
-        periods.withColumn("ttm", rounded(F.sum(value).over(frame), 2))
+        periods.withColumn("ttm", rounded(F.sum(F.col(value).cast("decimal(28,6)")).over(frame), 2))
         .withColumn("_periods", F.count("*").over(frame))
         .where(F.col("_periods") == n).drop("_periods")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -28,16 +28,13 @@ def attach(
     return rows.join(renamed, same, how).drop(*[f"__{k}" for k in keys])
 
 
-def symbol_profile(symbols: DataFrame, sectors: DataFrame, key: str, default_name: Column) -> DataFrame:
-    """Sector and company name per symbol, with defaults where unknown.
+def look_up(rows: DataFrame, names: DataFrame, key: str, column: str, default: Column) -> DataFrame:
+    """Left lookup of one column, with a default where the key is unknown.
 
-    ``sectors`` is a dimension file: Spark broadcasts it by its size on disk.
+    ``names`` carries no broadcast hint: a small dimension file is broadcast
+    by Spark after a check of its size, a large one is joined by shuffle.
     """
-    return (
-        symbols.join(sectors, key, "left")
-        .withColumn("sector", F.coalesce("sector", F.lit("")))
-        .withColumn("company", F.coalesce("company", default_name))
-    )
+    return rows.join(names.select(key, column), key, "left").withColumn(column, F.coalesce(column, default))
 
 
 def with_shared(symbols: DataFrame, **shared: DataFrame) -> DataFrame:
@@ -91,6 +88,9 @@ def missing_inputs(symbols: DataFrame, rows: DataFrame, key: str, valid: Column)
     )
 
 
-def latest_path(files: DataFrame, symbol: str, path: str, keep: Column) -> DataFrame:
-    """Per symbol the lexicographically last path among those kept."""
-    return files.where(keep).groupBy(symbol).agg(F.max(path).alias("latest"))
+def latest_paths(files: DataFrame, symbol: str, path: str, kinds: Mapping[str, Column]) -> DataFrame:
+    """Per symbol the lexicographically last path of each kind, in one pass;
+    null where a symbol has none."""
+    return files.groupBy(symbol).agg(
+        *[F.max(F.when(keep, F.col(path))).alias(name) for name, keep in kinds.items()]
+    )

@@ -20,6 +20,7 @@ from tickerloom.operators.fundamentals import record_fields, records
 from tickerloom.operators.labels import count_pairs, day_label_map, label_map, label_shares, news_period
 from tickerloom.operators.lookups import attach
 from tickerloom.operators.ordering import number_rows
+from tickerloom.operators.scoring import ScorerFactory, score_rows
 
 PAGE_ROWS = 1000
 
@@ -214,21 +215,24 @@ def fill_template(template: str = JUDGMENT_TEMPLATE) -> Column:
     return F.concat(*parts)
 
 
-def analysis_documents(
-    placed: DataFrame, counts: DataFrame, contexts: DataFrame, model: str, judgments: DataFrame | None = None,
-) -> DataFrame:
+def judge(contexts: DataFrame, make_scorer: ScorerFactory, template: str = JUDGMENT_TEMPLATE) -> DataFrame:
+    """Add the model's ``judgment`` and ``judgment_error`` to each context."""
+    return score_rows(contexts, fill_template(template), make_scorer).withColumnsRenamed(
+        {"reply": "judgment", "error": "judgment_error"}
+    )
+
+
+def analysis_documents(placed: DataFrame, counts: DataFrame, contexts: DataFrame, model: str) -> DataFrame:
     """One nested document per symbol and page.
 
     Page 1 of a symbol of ordinary size is its whole document. Statistics
-    repeat on each page; articles and digest continue.
+    repeat on each page; articles and digest continue. ``contexts`` may carry
+    a ``judgment``.
     """
     stats = news_period(counts).join(label_map(counts), "symbol", "left").join(day_label_map(counts), "symbol", "left")
-    pages = contexts.join(article_lists(placed), ["symbol", "page"])
-    if judgments is None:
-        pages = pages.withColumn("judgment", F.lit(""))
-    else:
-        pages = pages.join(judgments.select("symbol", "page", "judgment"), ["symbol", "page"], "left")
-    return pages.join(stats, "symbol").select(
+    pages = contexts.join(article_lists(placed), ["symbol", "page"]).join(stats, "symbol")
+    judgment = F.coalesce("judgment", F.lit("")) if "judgment" in contexts.columns else F.lit("")
+    return pages.select(
         "symbol",
         "page",
         F.struct("symbol", "news_period", "news_count", F.lit(model).alias("model")).alias("meta"),
@@ -236,5 +240,5 @@ def analysis_documents(
         "sentiment_by_date",
         "news_with_sentiment",
         F.struct("news_block", "sentiment_block", "analyst_block").alias("analyst_context"),
-        F.coalesce("judgment", F.lit("")).alias("investment_judgment"),
+        judgment.alias("investment_judgment"),
     )
