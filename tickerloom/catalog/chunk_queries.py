@@ -11,6 +11,7 @@ from tickerloom.catalog.tables import ARTICLES_SQL, articles, collapsed_sql, tab
 from tickerloom.constants import SECTIONS
 from tickerloom.functions import replies as rp, text as tx
 from tickerloom.operators import chunks as ch
+from tickerloom.operators.replies import section_rows, with_analysis
 from tickerloom.operators.scoring import score_rows
 
 
@@ -107,7 +108,7 @@ def _article_replies(spark, sf):
 
 
 def reply_parse(spark, sf):
-    return _article_replies(spark, sf).select("doc_id", rp.article_reply(F.col("reply")).alias("a")).select("doc_id", "a.*")
+    return with_analysis(_article_replies(spark, sf), F.col("reply")).drop("reply")
 
 
 def fence_strip(spark, sf):
@@ -135,7 +136,7 @@ def _judgments(spark, sf):
 
 
 def section_split(spark, sf):
-    rows = _judgments(spark, sf).select("doc_id", F.inline(rp.split_sections(F.col("judgment"))))
+    rows = section_rows(_judgments(spark, sf), "doc_id", "judgment")
     return rows.withColumn("tone", rp.card_tone(F.col("section")))
 
 

@@ -94,14 +94,14 @@ def field_coverage(spark, sf):
 
 
 def endpoint_flatten(spark, sf):
-    flat = fd.flatten(fundamentals(spark, sf))
-    get = lambda name: F.get_json_object("record", f"$.{name}")
-    number = F.coalesce(*[get(n) for n in [
+    shown = "date string, targetHigh double, estimatedRevenueAvg double, peRatioTTM double, dcf double, revenue double, strongBuy double"
+    flat = fd.flatten(fundamentals(spark, sf)).withColumn("r", F.from_json("record", shown))
+    number = F.coalesce(*[F.col("r")[n] for n in [
         "targetHigh", "estimatedRevenueAvg", "peRatioTTM", "dcf", "revenue", "strongBuy",
-    ]]).cast("double")
+    ]])
     return flat.select(
         "symbol", "section", "endpoint", F.col("rec_no").cast("bigint").alias("rec_no"),
-        get("date").alias("date"), number.alias("value"),
+        F.col("r.date").alias("date"), number.alias("value"),
     )
 
 

@@ -8,21 +8,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from tickerloom.constants import (
-    DEFAULT_LABEL, LABELS, REPLY_CALL_FAILED, REPLY_PARSE_FAILED, SECTIONS,
-    VERDICT_NO_WORD, VERDICT_SECTION, VERDICT_YES_WORD,
+    DEFAULT_LABEL, LABELS, VERDICT_NO_WORD, VERDICT_SECTION, VERDICT_YES_WORD,
 )
-from tickerloom.functions.values import SPACE, first_filled, strip
+from tickerloom.functions.values import SPACE, strip
 
 ARTICLE_REPLY = (
-    "summary_ko string, sentiment string, score double, keywords array<string>, impact string"
+    "struct<summary_ko: string, sentiment: string, score: double, keywords: array<string>, impact: string>"
 )
-TRANSLATION_REPLY = "id bigint, title string, content string, `제목` string, `내용` string"
+TRANSLATION_REPLY = "array<struct<id: bigint, title: string, content: string, `제목`: string, `내용`: string>>"
 
 
 def read_label(reply: Column, labels: Sequence[str] = LABELS, default: str = DEFAULT_LABEL) -> Column:
     """First word of the reply that is a label, else ``default``."""
-    letters = F.regexp_replace(reply, rf"[^a-zA-Z{SPACE[1:-1]}]", "")
-    words = F.transform(F.split(letters, SPACE + "+"), F.initcap)
+    letters = F.regexp_replace(reply, rf"(?U)[^a-zA-Z{SPACE[1:-1]}]", "")
+    words = F.transform(F.split(letters, rf"(?U){SPACE}+"), F.initcap)
     known = F.filter(words, lambda w: w.isin(*labels))
     return F.coalesce(F.try_element_at(known, F.lit(1)), F.lit(default))
 
@@ -34,96 +33,36 @@ def drop_fences(reply: Column) -> Column:
 
 def inside_fence(reply: Column) -> Column:
     """Text between the first pair of fences; unfenced replies stay."""
-    body = strip(F.try_element_at(F.split(reply, "```"), F.lit(2)))
-    body = F.when(F.startswith(body, F.lit("json")), strip(F.substring(body, 5, 2**31 - 1))).otherwise(body)
-    return F.when(F.contains(reply, F.lit("```")), body).otherwise(reply)
+    fence = F.lit("```")
+    opened = F.substring(reply, F.locate("```", reply) + 3, F.length(reply))
+    body = strip(F.regexp_replace(strip(F.substring_index(opened, "```", 1)), "^json", ""))
+    return F.when(F.contains(reply, fence), body).otherwise(reply)
 
 
-def strict_object(text: Column, fields: str) -> Column:
-    """The JSON object in ``text``; null if anything else is there.
+def strict_json(text: Column, item: str) -> Column:
+    """``text`` read as the only item of a JSON array of ``item`` type.
 
-    Reading it as the only item of an array makes the parser reject text
-    after the object, which it would otherwise pass over.
+    Plain parsing passes over text behind the value; inside an array the
+    parser rejects it. Take the value where the array has exactly one item.
     """
-    items = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{_ddl(fields)}>>")
-    return F.when((F.size(items) == 1) & F.startswith(strip(text), F.lit("{")), items[0])
-
-
-def strict_array(text: Column, fields: str) -> Column:
-    """The JSON array of objects in ``text``; empty if it is not one."""
-    lists = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<array<struct<{_ddl(fields)}>>>")
-    return F.when(
-        (F.size(lists) == 1) & F.startswith(strip(text), F.lit("[")) & lists[0].isNotNull(), lists[0]
-    ).otherwise(F.array().cast(f"array<struct<{_ddl(fields)}>>"))
-
-
-def _ddl(fields: str) -> str:
-    """``a bigint, b array<string>`` -> ``a: bigint, b: array<string>``."""
-    return re.sub(r"(^|, )(`[^`]+`|\w+) ", r"\1\2: ", fields)
-
-
-def article_reply(reply: Column, error: Column | None = None) -> Column:
-    """Article analysis as a struct, with the fixed record on failure."""
-    parsed = strict_object(drop_fences(reply), ARTICLE_REPLY)
-    failed = F.lit(REPLY_PARSE_FAILED)
-    if error is not None:
-        failed = F.when(error.isNotNull(), F.lit(REPLY_CALL_FAILED)).otherwise(failed)
-    return F.struct(
-        F.coalesce(parsed["summary_ko"], F.lit("")).alias("summary_ko"),
-        F.when(parsed.isNull(), failed).otherwise(F.coalesce(parsed["sentiment"], F.lit(""))).alias("sentiment"),
-        F.coalesce(parsed["score"], F.lit(0.0)).alias("score"),
-        F.array_join(F.coalesce(parsed["keywords"], F.array().cast("array<string>")), ", ").alias("keywords"),
-        F.coalesce(parsed["impact"], F.lit("")).alias("impact"),
-    )
+    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{item}>")
 
 
-def translation_reply(reply: Column) -> Column:
-    """Translated items as ``array<struct<id, title, content>>``."""
-    return F.transform(
-        strict_array(inside_fence(reply), TRANSLATION_REPLY),
-        lambda r: F.struct(
-            r["id"].alias("id"),
-            first_filled([r["title"], r["제목"]], "").alias("title"),
-            first_filled([r["content"], r["내용"]], "").alias("content"),
-        ),
-    )
+def only_item(items: Column) -> Column:
+    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
 
 
 def heading_pattern(name: str) -> str:
-    return rf"\*{{0,2}}\[{SPACE}*{re.escape(name)}{SPACE}*\]\*{{0,2}}"
-
-
-def split_sections(text: Column, sections: Sequence[str] = SECTIONS) -> Column:
-    """Array of ``(section, body)`` for the headings that are present.
-
-    A body runs to the first later heading of the list that occurs; if that
-    one stands earlier in the text, the body is empty.
-    """
-    cuts = [F.split(text, heading_pattern(name), 2) for name in sections]
-    present = [F.size(cut) == 2 for cut in cuts]
-    starts = [F.length(cut[0]) for cut in cuts]
-    found = []
-    for i, name in enumerate(sections):
-        begin = F.length(text) - F.length(F.try_element_at(cuts[i], F.lit(2)))
-        until = F.coalesce(
-            *[F.when(present[j], starts[j]) for j in range(i + 1, len(sections))], F.length(text)
-        )
-        body = strip(F.substring(text, begin + 1, F.greatest(until - begin, F.lit(0))))
-        found.append(F.when(present[i], F.struct(F.lit(name).alias("section"), body.alias("body"))))
-    return F.array_compact(F.array(*found))
-
-
-def section_map(text: Column, sections: Sequence[str] = SECTIONS) -> Column:
-    return F.map_from_entries(split_sections(text, sections))
+    return rf"(?U)\*{{0,2}}\[{SPACE}*{re.escape(name)}{SPACE}*\]\*{{0,2}}"
 
 
 def verdict_text(text: Column) -> Column:
     """What follows the verdict heading up to the next bracket."""
-    return F.regexp_extract(text, rf"\[{SPACE}*{VERDICT_SECTION}{SPACE}*\]([^\[]*)", 1)
+    return F.regexp_extract(text, rf"(?U)\[{SPACE}*{VERDICT_SECTION}{SPACE}*\]([^\[]*)", 1)
 
 
 def has_verdict(text: Column) -> Column:
-    return F.coalesce(F.rlike(text, F.lit(rf"\[{SPACE}*{VERDICT_SECTION}{SPACE}*\]")), F.lit(False))
+    return F.coalesce(F.rlike(text, F.lit(rf"(?U)\[{SPACE}*{VERDICT_SECTION}{SPACE}*\]")), F.lit(False))
 
 
 def verdict(text: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -41,18 +44,45 @@ def is_junk_title(title: Column) -> Column:
     return strip(F.coalesce(title, F.lit(""))).isin(*JUNK_TITLES)
 
 
+# Runs of blanks other than one plain space, which is already what it becomes.
+# The look-ahead passes over printable ASCII without testing the class.
+BLANK_RUN = rf"(?U)(?! (?!{SPACE}))(?=[^!-~]){SPACE}+"
+WIDE_BLANK_RUN = rf"(?U)(?=[^!-~]){SPACE}{{3,}}"
+
+
 def collapse_spaces(text: Column) -> Column:
     """Every run of blanks becomes one space; null becomes empty."""
-    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", " "))
+    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), BLANK_RUN, " "))
+
+
+def literal_head(pattern: str) -> str:
+    """The fixed text every match of ``pattern`` begins with, lower-cased."""
+    plain = re.match(r"(?:[^\\.^$*+?{}\[\]|()]|\\[^A-Za-z0-9])*", pattern).group()
+    if "|" in pattern:
+        return ""
+    if pattern[len(plain):len(plain) + 1] in ("*", "?", "{"):
+        plain = plain[:-1]
+    return re.sub(r"\\(.)", r"\1", plain).lower()
 
 
 def strip_boilerplate(text: Column, patterns: Sequence[str] = BOILERPLATE_PATTERNS) -> Column:
     """Drop site boilerplate. The patterns run in order over the whole text,
-    and an open ``.*`` takes everything up to its end."""
-    cleaned = F.coalesce(text, F.lit(""))
+    and an open ``.*`` takes everything up to its end.
+
+    Texts that hold no pattern's fixed beginning skip the regular
+    expressions; no pattern could change them.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    cleaned = whole
     for pattern in patterns:
         cleaned = F.regexp_replace(cleaned, "(?isu)" + pattern.replace(r"\d", r"\p{Nd}"), "")
-    return strip(F.regexp_replace(cleaned, SPACE + "{3,}", "\n\n"))
+    heads = [literal_head(p) for p in patterns]
+    if patterns and all(heads):
+        # letters that match s, i or k without regard to case, yet lower-case to something else
+        odd = ["\u017f", "\u0130", "\u0131"]
+        possible = reduce(or_, [F.contains(F.lower(whole), F.lit(t)) for t in [*heads, *odd]])
+        cleaned = F.when(possible, cleaned).otherwise(whole)
+    return strip(F.regexp_replace(cleaned, WIDE_BLANK_RUN, "\n\n"))
 
 
 def article_head(cleaned: Column, chars: int = ARTICLE_CHARS) -> Column:
@@ -88,15 +118,14 @@ def escape_html(text: Column) -> Column:
 # fixed values: rewrites of model markdown, in the order they apply. (?d) keeps
 # "\n" the only line end, as in the SQL twin's engine.
 MARKDOWN_REWRITES = [
-    (rf"(?dm)^{SPACE}*-{{2,}}{SPACE}*$", ""),
-    (rf"#{{1,6}}{SPACE}*", ""),
-    (rf"(?dm)^{SPACE}*\[.+?\]{SPACE}*$", ""),
+    (rf"(?Udm)^{SPACE}*-{{2,}}{SPACE}*$", ""),
+    (rf"(?U)#{{1,6}}{SPACE}*", ""),
+    (rf"(?Udm)^{SPACE}*\[.+?\]{SPACE}*$", ""),
     (r"(?d)\*\*\*(.+?)\*\*\*", "<strong><em>$1</em></strong>"),
     (r"(?d)\*\*(.+?)\*\*", "<strong>$1</strong>"),
-    (rf"(?dm)^\*{{1,2}}{SPACE}+", "• "),
+    (rf"(?Udm)^\*{{1,2}}{SPACE}+", "• "),
     (r"(?d)\*(.+?)\*", "<em>$1</em>"),
     (r"\n{3,}", "\n\n"),
-    (r"\n", "<br>"),
 ]
 
 
@@ -104,7 +133,7 @@ def markdown_to_html(text: Column) -> Column:
     html = escape_html(text)
     for pattern, replacement in MARKDOWN_REWRITES:
         html = F.regexp_replace(html, pattern, replacement)
-    return html
+    return F.replace(html, F.lit("\n"), F.lit("<br>"))
 
 
 # fixed values: named references found in article markup; & comes last
@@ -122,10 +151,17 @@ CLOSES_PARAGRAPH = (
 )
 NOT_SHOWN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 PARAGRAPH_START = r"(?i)<p(?:\s[^>]*)?>"
-PARAGRAPH_END = rf"(?i)</?(?:{CLOSES_PARAGRAPH})(?:[\s/][^>]*)?>"
+PARAGRAPH_REST = rf"(?is)</?(?:{CLOSES_PARAGRAPH})(?:[\s/][^>]*)?>.*\z"
 ANY_TAG = r"<[^>]*>"
 
 
+def unescape_html(text: Column) -> Column:
+    plain = text
+    for reference, char in NAMED_REFERENCES:
+        plain = F.replace(plain, F.lit(reference), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+
+
 def paragraphs(html: Column, min_chars: int = MIN_PARAGRAPH_CHARS) -> Column:
     """Array of the page's paragraph texts longer than ``min_chars``.
 
@@ -133,14 +169,10 @@ def paragraphs(html: Column, min_chars: int = MIN_PARAGRAPH_CHARS) -> Column:
     browser would close the paragraph, and tags inside it are dropped.
     """
     pieces = F.split(F.regexp_replace(html, NOT_SHOWN, ""), PARAGRAPH_START)
-
-    def plain(piece: Column) -> Column:
-        text = F.regexp_replace(F.element_at(F.split(piece, PARAGRAPH_END, 2), 1), ANY_TAG, "")
-        for reference, char in NAMED_REFERENCES:
-            text = F.replace(text, F.lit(reference), F.lit(char))
-        return text
-
-    bodies = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), plain)
+    bodies = F.transform(
+        F.slice(pieces, F.lit(2), F.size(pieces)),
+        lambda p: unescape_html(F.regexp_replace(F.regexp_replace(p, PARAGRAPH_REST, ""), ANY_TAG, "")),
+    )
     return F.transform(F.filter(bodies, lambda t: F.length(t) > min_chars), strip)
 
 

@@ -13,11 +13,8 @@ SPACE_CHARS = (
     + "".join(chr(c) for c in range(0x2000, 0x200B))
     + "\u2028\u2029\u202f\u205f\u3000"
 )
-# The same set as a character class that Java and RE2 both read.
-SPACE = (
-    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
+# The same set as a character class; patterns that use it start with (?U).
+SPACE = r"[\s\x1c-\x1f]"
 
 
 def strip(text: Column) -> Column:
@@ -68,25 +65,9 @@ def billions(value: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """A double written plainly: whole numbers without a decimal point, and
-    no exponent between 1e-4 and 1e16."""
-    java = value.cast("double").cast("string")
-    sign = F.when(F.startswith(java, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    whole = F.regexp_extract(java, r"(\d)\.(\d+)E", 1)
-    part = F.regexp_replace(F.regexp_extract(java, r"(\d)\.(\d+)E", 2), "^0$", "")
-    power = F.regexp_extract(java, r"E(-?\d+)$", 1).try_cast("int")
-    digits = F.concat(whole, part)
-    large = F.concat_ws(
-        ".",
-        F.concat(sign, F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, "0")),
-        F.nullif(F.substring(digits, power + 2, F.length(digits)), F.lit("")),
-    )
-    small = F.concat(sign, F.lit("0.000"), digits)
-    return (
-        F.when((power >= 7) & (power < 16), large)
-        .when(power == -4, small)
-        .otherwise(F.regexp_replace(java, r"\.0$", ""))
-    )
+    """A double as plain digits: whole numbers without a decimal point, no
+    exponent, no separators."""
+    return F.call_function("format_number", value.cast("double"), F.lit("0.####################"))
 
 
 def first_nonblank(columns: Sequence[Column], default: str | None = None) -> Column:

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickerloom.constants import CHUNK_ROWS
-from tickerloom.functions.replies import translation_reply
 from tickerloom.functions.text import collapse_spaces
 from tickerloom.operators.ordering import number_rows
+from tickerloom.operators.replies import unnest, with_translations
 
 
 def row_ids(news: DataFrame, ticker: str, order: Sequence[Column], total: str | None = None) -> DataFrame:
@@ -61,27 +61,26 @@ def zip_replies(replied: DataFrame) -> DataFrame:
     A reply that leaves out an item shifts every later row; ``match_replies``
     does not.
     """
-    items = translation_reply(F.col("reply"))
     pairs = F.slice(F.arrays_zip(F.col("rows"), F.col("items")), 1, F.least(F.size("rows"), F.size("items")))
-    return _translated(replied.withColumn("items", items).select("ticker", "chunk", F.inline(pairs)))
+    read = with_translations(replied, F.col("reply"))
+    return _translated(unnest(read, ["ticker", "chunk"], pairs, "rows"))
 
 
 def match_replies(replied: DataFrame) -> DataFrame:
     """Reply items put to the row whose id they carry; others are dropped."""
-    exploded = replied.withColumn("items", translation_reply(F.col("reply"))).select(
-        "ticker", "chunk", "rows", F.explode("items").alias("items")
-    )
-    own = F.filter("rows", lambda r: r["row_id"] - 1 == F.col("items.id"))
-    return _translated(exploded.select("ticker", "chunk", "items", F.explode(own).alias("rows")))
+    read = with_translations(replied, F.col("reply"))
+    pairs = F.transform("rows", lambda r: F.struct(
+        r.alias("rows"),
+        F.try_element_at(F.filter("items", lambda i: i["id"] == r["row_id"] - 1), F.lit(1)).alias("items"),
+    ))
+    return _translated(unnest(read, ["ticker", "chunk"], pairs, "items"))
 
 
 def unanswered(replied: DataFrame) -> DataFrame:
     """Rows of a chunk that no reply item answers."""
-    ids = F.transform(translation_reply(F.col("reply")), lambda r: r["id"] + 1)
-    open_rows = F.filter("rows", lambda r: ~F.coalesce(F.array_contains(F.col("ids"), r["row_id"]), F.lit(False)))
-    return replied.withColumn("ids", ids).select("ticker", "chunk", F.explode(open_rows).alias("row")).select(
-        "ticker", "chunk", "row.row_id"
-    )
+    read = with_translations(replied, F.col("reply"))
+    open_rows = F.filter("rows", lambda r: ~F.exists("items", lambda i: i["id"].eqNullSafe(r["row_id"] - 1)))
+    return unnest(read, ["ticker", "chunk"], open_rows, "row_id").select("ticker", "chunk", "row_id")
 
 
 def _translated(pairs: DataFrame) -> DataFrame:

@@ -67,12 +67,16 @@ def availability(symbols: DataFrame, results: DataFrame, key: str, model: str, f
 
 
 def to_do(symbols: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Symbols with no output yet."""
-    return symbols.join(done.select(key), key, "left_anti")
+    """Symbols with no output yet.
+
+    Finished keys are made distinct first: a symbol with very many results
+    is one row in the join.
+    """
+    return symbols.join(done.select(key).distinct(), key, "left_anti")
 
 
 def already_done(symbols: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    return symbols.join(done.select(key), key, "left_semi")
+    return symbols.join(done.select(key).distinct(), key, "left_semi")
 
 
 def missing_inputs(symbols: DataFrame, rows: DataFrame, key: str, valid: Column) -> DataFrame:

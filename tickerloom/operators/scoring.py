@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickerloom.constants import DEFAULT_LABEL, LABELS
-from tickerloom.functions.replies import article_reply, read_label
+from tickerloom.functions.replies import read_label
+from tickerloom.operators.replies import with_analysis
 
 Scorer = Callable[[list[str]], list[str]]
 ScorerFactory = Callable[[], Scorer]
@@ -51,8 +52,14 @@ def call_model(prompt: Column, make_scorer: ScorerFactory) -> Column:
     return scored.asNondeterministic()(prompt)
 
 
-def score_rows(df: DataFrame, prompt: Column, make_scorer: ScorerFactory) -> DataFrame:
-    """Add ``reply`` and ``error``."""
+def score_rows(df: DataFrame, prompt: Column, make_scorer: ScorerFactory, tasks: int | None = None) -> DataFrame:
+    """Add ``reply`` and ``error``.
+
+    Prompts are few bytes but slow to answer, so partitions sized by bytes
+    can leave the calls to a handful of tasks; ``tasks`` spreads them.
+    """
+    if tasks:
+        df = df.repartition(tasks)
     return (
         df.withColumn("_scored", call_model(prompt, make_scorer))
         .withColumn("reply", F.col("_scored.reply"))
@@ -63,21 +70,20 @@ def score_rows(df: DataFrame, prompt: Column, make_scorer: ScorerFactory) -> Dat
 
 def classify(
     news: DataFrame, prompt: Column, make_scorer: ScorerFactory,
-    labels: Sequence[str] = LABELS, default: str = DEFAULT_LABEL,
+    labels: Sequence[str] = LABELS, default: str = DEFAULT_LABEL, tasks: int | None = None,
 ) -> DataFrame:
     """Add ``sentiment``; a failed call or an unknown word gives ``default``."""
-    return score_rows(news, prompt, make_scorer).withColumn(
+    return score_rows(news, prompt, make_scorer, tasks).withColumn(
         "sentiment", read_label(F.col("reply"), labels, default)
     ).drop("reply")
 
 
-def analyse_articles(news: DataFrame, prompt: Column, make_scorer: ScorerFactory) -> DataFrame:
+def analyse_articles(
+    news: DataFrame, prompt: Column, make_scorer: ScorerFactory, tasks: int | None = None
+) -> DataFrame:
     """Add the article analysis columns; failures give the fixed record."""
-    return (
-        score_rows(news, prompt, make_scorer)
-        .withColumn("_analysis", article_reply(F.col("reply"), F.col("error")))
-        .select("*", "_analysis.*").drop("_analysis", "reply")
-    )
+    scored = score_rows(news, prompt, make_scorer, tasks)
+    return with_analysis(scored, F.col("reply"), F.col("error")).drop("reply")
 
 
 def cue_scorer(cues: Mapping[str, Sequence[str]], default: str = DEFAULT_LABEL) -> ScorerFactory:

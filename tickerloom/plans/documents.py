@@ -16,10 +16,10 @@ from tickerloom.constants import LABELS
 from tickerloom.functions.values import (
     billions, clock_text, fixed, month_text, number_text, pad_left, pad_right, percent_bar,
 )
-from tickerloom.operators.fundamentals import record_fields, records
+from tickerloom.operators.fundamentals import first_record, record_fields
 from tickerloom.operators.labels import count_pairs, day_label_map, label_map, label_shares, news_period
 from tickerloom.operators.lookups import attach
-from tickerloom.operators.ordering import number_rows
+from tickerloom.operators.ordering import ORDINAL, SEGMENT, lay_out
 from tickerloom.operators.scoring import ScorerFactory, score_rows
 
 PAGE_ROWS = 1000
@@ -52,23 +52,33 @@ def place_articles(recent: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     Expects ``symbol, id, date, title, url, sentiment``. ``digest``: days
     ascending; ``list``: newest first. Inside a day both go newest first.
     """
-    with_day = recent.withColumn("day", F.to_date("date"))
-    numbered = number_rows(with_day, ["symbol", "day"], [F.col("date").desc(), F.col("id")], "in_day")
-    days = with_day.groupBy("symbol", "day").agg(F.count("*").alias("n"))
-    by_day = Window.partitionBy("symbol").orderBy("day")
-    offsets = days.select(
-        "symbol", "day",
-        (F.sum("n").over(by_day) - F.col("n")).alias("_earlier"),
-        (F.sum("n").over(Window.partitionBy("symbol").orderBy(F.col("day").desc())) - F.col("n")).alias("_later"),
+    table = lay_out(
+        recent.withColumn("day", F.to_date("date")), ["symbol", "day"], [F.col("date").desc(), F.col("id")]
+    )
+    # one small row per symbol, day and task: what each row's place is counted from
+    parts = table.groupBy("symbol", "day", SEGMENT).agg(F.count("*").alias("_rows"), F.min(ORDINAL).alias("_first"))
+    rows = F.sum("_rows")
+    same_day = Window.partitionBy("symbol", "day").orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    by_symbol = Window.partitionBy("symbol")
+    day_no = F.unix_date("day").cast("bigint")
+    earlier = by_symbol.orderBy(day_no).rangeBetween(Window.unboundedPreceding, -1)
+    later = by_symbol.orderBy(day_no.desc()).rangeBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0)
+    starts = parts.select(
+        "symbol", "day", SEGMENT,
+        (F.coalesce(rows.over(same_day), none) - F.col("_first") + 1).alias("_shift"),
+        F.coalesce(rows.over(earlier), none).alias("_earlier"),
+        F.coalesce(rows.over(later), none).alias("_later"),
     )
     page = lambda place: F.floor((place - 1) / page_rows) + 1
     return (
-        attach(numbered, offsets, ["symbol", "day"])
+        attach(table, starts, ["symbol", "day", SEGMENT])
+        .withColumn("in_day", F.col(ORDINAL) + F.col("_shift"))
         .withColumn("digest_place", F.col("_earlier") + F.col("in_day"))
         .withColumn("list_place", F.col("_later") + F.col("in_day"))
         .withColumn("digest_page", page(F.col("digest_place")))
         .withColumn("list_page", page(F.col("list_place")))
-        .drop("_earlier", "_later")
+        .drop(ORDINAL, SEGMENT, "_shift", "_earlier", "_later")
     )
 
 
@@ -139,10 +149,12 @@ def analyst_blocks(fundamentals: DataFrame, symbol: str = "symbol") -> DataFrame
     present record shows its default.
     """
 
+    firsts: dict[str, Column] = {}
+
     def text(section: str, endpoint: str, lines) -> Column:
-        data = records(fundamentals, section, endpoint)
         present = record_fields(fundamentals, section, endpoint)
-        record = F.try_element_at(data, F.lit(1))
+        firsts[endpoint] = first_record(fundamentals, section, endpoint)
+        record = F.col(endpoint)
 
         def shown(name: str, default: str = "N/A", as_number=False) -> Column:
             if name not in present:
@@ -186,7 +198,8 @@ def analyst_blocks(fundamentals: DataFrame, symbol: str = "symbol") -> DataFrame
             F.lit("  ROE: "), s("roeTTM", as_number=True),
         ]),
     ]
-    return fundamentals.select(symbol, F.concat_ws("\n", *blocks).alias("analyst_block"))
+    heads = fundamentals.select(symbol, *[first.alias(endpoint) for endpoint, first in firsts.items()])
+    return heads.select(symbol, F.concat_ws("\n", *blocks).alias("analyst_block"))
 
 
 def symbol_contexts(placed: DataFrame, counts: DataFrame, analysts: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
@@ -215,9 +228,11 @@ def fill_template(template: str = JUDGMENT_TEMPLATE) -> Column:
     return F.concat(*parts)
 
 
-def judge(contexts: DataFrame, make_scorer: ScorerFactory, template: str = JUDGMENT_TEMPLATE) -> DataFrame:
+def judge(
+    contexts: DataFrame, make_scorer: ScorerFactory, template: str = JUDGMENT_TEMPLATE, tasks: int | None = None
+) -> DataFrame:
     """Add the model's ``judgment`` and ``judgment_error`` to each context."""
-    return score_rows(contexts, fill_template(template), make_scorer).withColumnsRenamed(
+    return score_rows(contexts, fill_template(template), make_scorer, tasks).withColumnsRenamed(
         {"reply": "judgment", "error": "judgment_error"}
     )
 
