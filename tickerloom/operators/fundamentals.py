@@ -32,11 +32,11 @@ def records(df: DataFrame, section: str, endpoint: str) -> Column:
     return F.array().cast("array<struct<symbol: string>>")
 
 
-def record_fields(df: DataFrame, section: str, endpoint: str) -> list[str]:
+def record_fields(df: DataFrame, section: str, endpoint: str) -> dict[str, T.DataType]:
     for s, e, kind in _endpoints(df):
         if (s, e) == (section, endpoint):
-            return kind.elementType.names
-    return []
+            return {f.name: f.dataType for f in kind.elementType.fields}
+    return {}
 
 
 def first_record(df: DataFrame, section: str, endpoint: str) -> Column:

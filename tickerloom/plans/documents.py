@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tickerloom.constants import LABELS
 from tickerloom.functions.values import (
@@ -156,10 +156,11 @@ def analyst_blocks(fundamentals: DataFrame, symbol: str = "symbol") -> DataFrame
         firsts[endpoint] = first_record(fundamentals, section, endpoint)
         record = F.col(endpoint)
 
-        def shown(name: str, default: str = "N/A", as_number=False) -> Column:
+        def shown(name: str, default: str = "N/A") -> Column:
             if name not in present:
                 return F.lit(default)
-            value = number_text(record[name]) if as_number else record[name].cast("string")
+            is_double = isinstance(present[name], T.DoubleType)
+            value = number_text(record[name]) if is_double else record[name].cast("string")
             return F.coalesce(value, F.lit(default))
 
         def number(name: str) -> Column:
@@ -175,27 +176,27 @@ def analyst_blocks(fundamentals: DataFrame, symbol: str = "symbol") -> DataFrame
             F.lit("  Sell: "), s("sell", "0"), F.lit("  Strong Sell: "), s("strongSell", "0"),
         ]),
         text("analyst", "price_target_consensus", lambda s, n: [
-            F.lit("▶ 목표주가 컨센서스\n  High: $"), s("targetHigh", as_number=True),
-            F.lit("  Low: $"), s("targetLow", as_number=True),
-            F.lit("  Consensus: $"), s("targetConsensus", as_number=True),
-            F.lit("  Median: $"), s("targetMedian", as_number=True),
+            F.lit("▶ 목표주가 컨센서스\n  High: $"), s("targetHigh"),
+            F.lit("  Low: $"), s("targetLow"),
+            F.lit("  Consensus: $"), s("targetConsensus"),
+            F.lit("  Median: $"), s("targetMedian"),
         ]),
         text("analyst", "analyst_estimates", lambda s, n: [
             F.lit("▶ 실적 추정치 ("), month_text(s("date", "")), F.lit(")\n  예상 매출: $"),
             billions(n("estimatedRevenueAvg")), F.lit("  예상 EPS: $"), fixed(n("estimatedEpsAvg"), 2),
         ]),
         text("valuation", "dcf_valuation", lambda s, n: [
-            F.lit("▶ DCF 내재가치\n  DCF: $"), s("dcf", as_number=True),
-            F.lit("  현재가: $"), s("stockPrice", as_number=True),
+            F.lit("▶ DCF 내재가치\n  DCF: $"), s("dcf"),
+            F.lit("  현재가: $"), s("stockPrice"),
         ]),
         text("valuation", "ratings_snapshot", lambda s, n: [
             F.lit("▶ FMP 종합 등급\n  등급: "), s("rating"), F.lit("  점수: "), s("ratingScore"),
         ]),
         text("fundamental", "key_metrics_ttm", lambda s, n: [
-            F.lit("▶ 핵심 밸류에이션 (TTM)\n  P/E: "), s("peRatioTTM", as_number=True),
-            F.lit("  P/B: "), s("pbRatioTTM", as_number=True),
-            F.lit("  EV/EBITDA: "), s("evToEbitdaTTM", as_number=True),
-            F.lit("  ROE: "), s("roeTTM", as_number=True),
+            F.lit("▶ 핵심 밸류에이션 (TTM)\n  P/E: "), s("peRatioTTM"),
+            F.lit("  P/B: "), s("pbRatioTTM"),
+            F.lit("  EV/EBITDA: "), s("evToEbitdaTTM"),
+            F.lit("  ROE: "), s("roeTTM"),
         ]),
     ]
     heads = fundamentals.select(symbol, *[first.alias(endpoint) for endpoint, first in firsts.items()])
@@ -237,20 +238,26 @@ def judge(
     )
 
 
-def analysis_documents(placed: DataFrame, counts: DataFrame, contexts: DataFrame, model: str) -> DataFrame:
+def analysis_documents(
+    placed: DataFrame, counts: DataFrame, contexts: DataFrame, model: str, analysis_date: str | None = None,
+) -> DataFrame:
     """One nested document per symbol and page.
 
     Page 1 of a symbol of ordinary size is its whole document. Statistics
     repeat on each page; articles and digest continue. ``contexts`` may carry
-    a ``judgment``.
+    a ``judgment``. ``analysis_date`` defaults to the time of the run.
     """
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+    written = F.lit(analysis_date) if analysis_date else now
     stats = news_period(counts).join(label_map(counts), "symbol", "left").join(day_label_map(counts), "symbol", "left")
     pages = contexts.join(article_lists(placed), ["symbol", "page"]).join(stats, "symbol")
     judgment = F.coalesce("judgment", F.lit("")) if "judgment" in contexts.columns else F.lit("")
     return pages.select(
         "symbol",
         "page",
-        F.struct("symbol", "news_period", "news_count", F.lit(model).alias("model")).alias("meta"),
+        F.struct(
+            "symbol", written.alias("analysis_date"), "news_period", "news_count", F.lit(model).alias("model")
+        ).alias("meta"),
         "sentiment_summary",
         "sentiment_by_date",
         "news_with_sentiment",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tickerloom import schemas
 from tickerloom.functions.values import feed_timestamp
@@ -38,8 +38,9 @@ def read_fundamentals(spark: SparkSession, path: str | Sequence[str]) -> DataFra
 
 
 def read_analyses(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    docs = spark.read.schema(schemas.ANALYSIS).option("multiLine", True).json(path)
-    return docs.select(F.col("meta.symbol").alias("symbol"), *docs.columns, F.col("_metadata.file_path").alias("file"))
+    schema = T.StructType.fromDDL(schemas.ANALYSIS)
+    docs = spark.read.schema(schema).option("multiLine", True).json(path)
+    return docs.select(F.col("meta.symbol").alias("symbol"), *schema.names, F.col("_metadata.file_path").alias("file"))
 
 
 def read_feed(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
