@@ -10,6 +10,7 @@ from tickerloom.constants import CHUNK_ROWS
 from tickerloom.functions.text import collapse_spaces
 from tickerloom.operators.ordering import number_rows
 from tickerloom.operators.replies import unnest, with_translations
+from tickerloom.session import durable_table
 
 
 def row_ids(news: DataFrame, ticker: str, order: Sequence[Column], total: str | None = None) -> DataFrame:
@@ -34,9 +35,12 @@ def chunk_prompts(news: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
 
     Expects ``id`` (unique and in order), ``ticker, date, title, content,
     url``. Only ids and tickers are numbered; the text is joined on ``id``
-    afterwards, so a large ticker's text spreads over all tasks.
+    afterwards, so a large ticker's text spreads over all tasks. The ids are
+    written first: sorting reads its input twice, and ``news`` may filter on
+    the text.
     """
-    places = with_chunks(row_ids(news.select("ticker", "id"), "ticker", [F.col("id")]), size)
+    ids = durable_table(news.select("ticker", "id"))
+    places = with_chunks(row_ids(ids, "ticker", [F.col("id")]), size)
     row = F.struct(
         "row_id",
         prompt_line(F.col("row_id"), F.coalesce(F.col("date").cast("string"), F.lit("")), F.col("title"), F.col("content")).alias("line"),

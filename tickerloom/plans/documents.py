@@ -205,12 +205,10 @@ def analyst_blocks(fundamentals: DataFrame, symbol: str = "symbol") -> DataFrame
 
 def symbol_contexts(placed: DataFrame, counts: DataFrame, analysts: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """The three text blocks side by side, one row per symbol and page."""
-    return (
-        news_blocks(placed)
-        .join(sentiment_blocks(counts, labels), "symbol")
-        .join(analysts, "symbol", "left")
-        .withColumn("analyst_block", F.coalesce("analyst_block", F.lit("")))
+    per_symbol = sentiment_blocks(counts, labels).join(analysts, "symbol", "left").withColumn(
+        "analyst_block", F.coalesce("analyst_block", F.lit(""))
     )
+    return news_blocks(placed).join(per_symbol, "symbol")
 
 
 def fill_template(template: str = JUDGMENT_TEMPLATE) -> Column:

@@ -9,8 +9,9 @@ BOM = "\ufeff"
 
 def write_news(news: DataFrame, path: str, mode: str = "append") -> None:
     """Parquet by ticker and crawl date. A symbol without rows writes no
-    folder. A large ticker is written by as many tasks as hold its rows."""
-    news.write.mode(mode).partitionBy("ticker", "crawl_date").parquet(path)
+    folder. Rebalancing gathers small tickers into few files and splits a
+    large one over several tasks."""
+    news.hint("rebalance", "ticker", "crawl_date").write.mode(mode).partitionBy("ticker", "crawl_date").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, by: str | None = None, mode: str = "errorifexists") -> None:
@@ -25,4 +26,4 @@ def write_csv(df: DataFrame, path: str, by: str | None = None, mode: str = "erro
 
 def write_documents(docs: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON document per line, in a folder per symbol."""
-    docs.withColumn("_symbol", F.col("symbol")).write.mode(mode).partitionBy("_symbol").json(path)
+    docs.withColumn("_symbol", F.col("symbol")).hint("rebalance", "_symbol").write.mode(mode).partitionBy("_symbol").json(path)
