@@ -17,12 +17,17 @@ from tickerloom.functions.values import SPACE, strip
 
 
 def contains_any(text: Column, keywords: Sequence[str]) -> Column:
-    """Case-insensitive test for any keyword; null text gives null."""
-    lowered = F.lower(text)
-    found = F.lit(False)
-    for word in keywords:
-        found = found | F.contains(lowered, F.lit(word.lower()))
-    return F.when(text.isNotNull(), found)
+    """Case-insensitive test for any keyword; null text gives null.
+
+    The text is lower-cased once, as the only item of an array, and not once
+    per keyword.
+    """
+    if not keywords:
+        return F.when(text.isNotNull(), F.lit(False))
+    return F.exists(
+        F.array(F.lower(text)),
+        lambda t: reduce(or_, [F.contains(t, F.lit(word.lower())) for word in keywords]),
+    )
 
 
 def has_noise(content: Column, keywords: Sequence[str] = NOISE_KEYWORDS) -> Column:
@@ -79,9 +84,8 @@ def strip_boilerplate(text: Column, patterns: Sequence[str] = BOILERPLATE_PATTER
     heads = [literal_head(p) for p in patterns]
     if patterns and all(heads):
         # letters that match s, i or k without regard to case, yet lower-case to something else
-        odd = ["\u017f", "\u0130", "\u0131"]
-        possible = reduce(or_, [F.contains(F.lower(whole), F.lit(t)) for t in [*heads, *odd]])
-        cleaned = F.when(possible, cleaned).otherwise(whole)
+        odd = ["\u017f", "\u0131", "i\u0307"]
+        cleaned = F.when(contains_any(whole, [*heads, *odd]), cleaned).otherwise(whole)
     return strip(F.regexp_replace(cleaned, WIDE_BLANK_RUN, "\n\n"))
 
 

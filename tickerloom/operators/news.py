@@ -28,8 +28,13 @@ def drop_noise(news: DataFrame, keywords: Sequence[str] = NOISE_KEYWORDS) -> Dat
 
 
 def keep_articles(pages: DataFrame, min_chars: int = MIN_ARTICLE_CHARS) -> DataFrame:
-    """Pages whose paragraph text is long enough to be an article."""
-    return pages.withColumn("content", tx.page_text(F.col("html"))).where(F.length("content") > min_chars)
+    """Pages whose paragraph text is long enough to be an article.
+
+    The length test sits inside the generator: as a plain filter it would be
+    pushed below the extraction and run it twice.
+    """
+    text = F.filter(F.array(tx.page_text(F.col("html"))), lambda t: F.length(t) > min_chars)
+    return pages.select("*", F.explode_outer(text).alias("content")).where(F.col("content").isNotNull())
 
 
 def recent_window(news: DataFrame, symbol: str = "symbol", ts: str = "date", days: int = WINDOW_DAYS) -> DataFrame:
