@@ -2,7 +2,6 @@
 
 import random
 import sys
-from collections import Counter
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -40,12 +39,11 @@ def recent_of(news):
 
 
 def digest_of(members):
-    lines = []
-    for day in sorted({r[2].date() for r in members}):
-        lines.append(f"\n── {day} ──")
-        for r in sorted((r for r in members if r[2].date() == day), key=lambda r: (-r[2].timestamp(), r[1])):
-            lines.append(f"  [{r[5]}] {r[3]}")
-    return "\n".join(lines)
+    """Expected digest: a piece of text per day, put together in day order."""
+    by_day = {}
+    for r in sorted(members, key=lambda r: (-r[2].timestamp(), r[1])):
+        by_day.setdefault(str(r[2].date()), []).append("\n  [%s] %s" % (r[5], r[3]))
+    return "\n".join("\n── " + day + " ──" + "".join(by_day[day]) for day in sorted(by_day))
 
 
 @pytest.fixture(params=[7, 1000])
@@ -77,25 +75,29 @@ def test_pages_join_to_the_whole_block(many_tasks, page_rows):
         assert all(len(page) <= page_rows for _, page in lists[symbol])
 
 
-def test_sentiment_block(many_tasks):
-    news = make_news()
-    df = many_tasks.createDataFrame(news, NEWS)
+def test_sentiment_block(spark):
+    day = lambda d: datetime(2026, 4, d, 8)
+    labels = [(1, "Growth"), (1, "Growth"), (2, "Risk"), (2, "Growth"), (2, "Mixed")] + [(3, "Neutral")] * 11
+    news = [("A", i, day(d), "t", "u", label) for i, (d, label) in enumerate(labels)]
+    news += [("B", 99, day(3), "t", "u", "Negative"), ("B", 98, datetime(2026, 3, 1), "t", "u", "Mixed")]
+    df = spark.createDataFrame(news, NEWS)
     found = dict(rows(dc.sentiment_blocks(nw.daily_counts(nw.recent_window(df)))))
-    same = dict(rows(dc.sentiment_blocks(nw.recent_days(nw.daily_counts(df)))))
-    assert found == same
-    for symbol in {r[0] for r in news}:
-        members = [r for r in recent_of(news) if r[0] == symbol]
-        tally = Counter(r[5] for r in members)
-        lines = [f"총 뉴스 {len(members)}건 분석 결과:"]
-        for label in LABELS:
-            share = round(tally[label] / len(members) * 100, 1)
-            lines.append(f"  {label:<10} {tally[label]:>3}건 ({share:>5.1f}%) " + "█" * int(share / 5))
-        lines.append("\n날짜별 감정 흐름:")
-        for day in sorted({r[2].date() for r in members}):
-            per_day = Counter(r[5] for r in members if r[2].date() == day)
-            ordered = sorted(per_day.items(), key=lambda p: (-p[1], p[0]))
-            lines.append(f"  {day}: " + ", ".join(f"{k}:{n}" for k, n in ordered))
-        assert found[symbol] == "\n".join(lines)
+    assert found["A"].split("\n") == [
+        "총 뉴스 16건 분석 결과:",
+        "  Positive     0건 (  0.0%) ",
+        "  Growth       3건 ( 18.8%) ███",
+        "  Neutral     11건 ( 68.8%) █████████████",
+        "  Mixed        1건 (  6.2%) █",
+        "  Risk         1건 (  6.2%) █",
+        "  Negative     0건 (  0.0%) ",
+        "",
+        "날짜별 감정 흐름:",
+        "  2026-04-01: Growth:2",
+        "  2026-04-02: Growth:1, Mixed:1, Risk:1",
+        "  2026-04-03: Neutral:11",
+    ]
+    assert found["B"].startswith("총 뉴스 1건") and found["B"].endswith("  2026-04-03: Negative:1")
+    assert found == dict(rows(dc.sentiment_blocks(nw.recent_days(nw.daily_counts(df)))))
 
 
 def test_recent_window_edges(spark):

@@ -54,12 +54,28 @@ def test_lenient_timestamp(spark):
 
 
 def test_feed_timestamp_drops_the_zone(spark):
-    df = spark.createDataFrame([("Tue, 31 Mar 2026 07:05:09 GMT",), ("Wed, 1 Apr 2026 23:59:59 +0900",), ("x",)], "t string")
+    texts = ["Tue, 31 Mar 2026 07:05:09 GMT", "Wed, 1 Apr 2026 23:59:59 +0900", "x", "Sun, 30 Feb 2026 07:00:00 GMT", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [t for (t,) in rows(df, v.feed_timestamp(F.col("t")))] == [
-        datetime(2026, 3, 31, 7, 5, 9), datetime(2026, 4, 1, 23, 59, 59), None,
+        datetime(2026, 3, 31, 7, 5, 9), datetime(2026, 4, 1, 23, 59, 59), None, None, None,
     ]
 
 
+def test_dates_do_not_depend_on_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    moment = datetime(2024, 3, 10, 2, 30, 5, 120000)  # skipped by New York's clocks
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.createDataFrame([(moment, "Sun, 10 Mar 2024 02:30:05 GMT")], "t timestamp_ntz, f string")
+        t = F.col("t")
+        assert rows(df, v.clock_text(t), v.day_text(t), v.dotted_text(t), v.stamp_text(t), v.month_text(v.day_text(t))) == [
+            ("2024-03-10 02:30:05", "2024-03-10", "2024.03.10  02:30", "240310", "2024-03")
+        ]
+        assert rows(df, v.feed_timestamp(F.col("f"))) == [(datetime(2024, 3, 10, 2, 30, 5),)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_publish_window_includes_both_bounds(spark):
     as_of = datetime(2026, 4, 2, 9, 30, 15)
     first, last = v.publish_bounds(as_of)

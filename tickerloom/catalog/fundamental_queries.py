@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tickerloom.catalog.tables import GRADES, table
 from tickerloom.constants import ENDPOINT_LIMITS
-from tickerloom.functions.values import exact_mean, exact_sum, rounded
+from tickerloom.functions.values import day_text, exact_mean, exact_sum, rounded
 from tickerloom.operators import fundamentals as fd, ordering as od
 
 LONGEST = ENDPOINT_LIMITS["stock_grades_historical"]
@@ -32,7 +32,7 @@ def fundamentals(spark, sf) -> DataFrame:
     )
     newest = od.latest_rows(orders, ["symbol"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], LONGEST)
     order = F.struct(
-        "rec_no", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_totalprice").alias("price"),
+        "rec_no", day_text(F.col("o_orderdate")).alias("date"), F.col("o_totalprice").alias("price"),
         F.col("o_orderpriority").alias("grade"), F.col("o_orderstatus").alias("status"),
     )
     listed = newest.groupBy("symbol").agg(F.array_sort(F.collect_list(order)).alias("latest"))
@@ -230,7 +230,7 @@ def sector_snapshot(spark, sf):
     return (
         daily.join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        .groupBy(F.col("n_name").alias("sector"), F.date_format("day", "yyyy-MM-dd").alias("day"))
+        .groupBy(F.col("n_name").alias("sector"), day_text(F.col("day")).alias("day"))
         .agg(F.sum("n").alias("n"), rounded(exact_sum(F.col("s")) / F.sum("n"), 2).alias("mean_price"))
     )
 

@@ -61,11 +61,11 @@ def label_map(spark, sf):
 
 
 def day_label_counts(spark, sf):
-    return _counts(spark, sf).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return _counts(spark, sf).withColumn("day", v.day_text(F.col("day")))
 
 
 def day_label_pivot(spark, sf):
-    return lb.day_pivot(_counts(spark, sf), FEED_LABELS).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return lb.day_pivot(_counts(spark, sf), FEED_LABELS).withColumn("day", v.day_text(F.col("day")))
 
 
 def day_label_map(spark, sf):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import datetime, timedelta
+from datetime import datetime, time, timedelta
 
 from pyspark.sql import Column, functions as F
 
@@ -98,33 +98,43 @@ def lenient_timestamp(text: Column) -> Column:
     return text.try_cast("timestamp_ntz")
 
 
+# fixed values: month names of feed dates
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+FEED_DATE = r"(\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{2}:\d{2}:\d{2})"
+
+
 def feed_timestamp(text: Column) -> Column:
     """``Tue, 31 Mar 2026 07:00:00 GMT`` -> wall clock, zone dropped.
 
-    The weekday is cut off first: Spark's parser does not take it.
+    Put together as an ISO text, so that the session's zone plays no part.
     """
-    clock = F.regexp_extract(text, r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
-    return F.try_to_timestamp(clock, F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz")
+    month_numbers = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, f"{i:02d}")])
+    day, month, year, clock = (F.regexp_extract(text, FEED_DATE, i) for i in range(1, 5))
+    date = F.concat(year, F.lit("-"), F.try_element_at(month_numbers, month), F.lit("-"), F.lpad(day, 2, "0"))
+    return lenient_timestamp(F.concat(date, F.lit(" "), clock))
 
 
-def day_of(ts: Column) -> Column:
-    return F.to_date(ts)
+def wall_clock(ts: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss[.f]``, the same in every session zone."""
+    return lenient_timestamp(ts).cast("string")
 
 
 def day_text(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd")
+    return F.substring(wall_clock(ts), 1, 10)
 
 
 def clock_text(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    return F.substring(wall_clock(ts), 1, 19)
 
 
 def dotted_text(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy.MM.dd  HH:mm")
+    shown = wall_clock(ts)
+    return F.concat(F.translate(F.substring(shown, 1, 10), "-", "."), F.lit("  "), F.substring(shown, 12, 5))
 
 
 def stamp_text(ts: Column) -> Column:
-    return F.date_format(ts, "yyMMdd")
+    """``yymmdd``."""
+    return F.replace(F.substring(wall_clock(ts), 3, 8), F.lit("-"), F.lit(""))
 
 
 def month_text(day: Column) -> Column:
@@ -136,10 +146,12 @@ def publish_bounds(as_of: datetime) -> tuple[datetime, datetime]:
 
     Three days back at 00:00 to yesterday 23:59; seconds stay as they are.
     """
-    return (
-        as_of.replace(hour=0, minute=0) - timedelta(days=3),
-        as_of.replace(hour=23, minute=59) - timedelta(days=1),
-    )
+
+    def moment(days_back: int, hour: int, minute: int) -> datetime:
+        day = as_of.date() - timedelta(days=days_back)
+        return datetime.combine(day, time(hour, minute, as_of.second, as_of.microsecond))
+
+    return moment(3, 0, 0), moment(1, 23, 59)
 
 
 def in_publish_window(ts: Column, as_of: datetime) -> Column:

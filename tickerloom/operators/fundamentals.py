@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tickerloom.constants import ACTION_DISPLAY, GRADE_CHANGE_COLUMNS
-from tickerloom.functions.values import display, exact_mean, exact_sum, rounded, share_percent
+from tickerloom.functions.values import day_text, display, exact_mean, exact_sum, rounded, share_percent
 from tickerloom.operators.news import select_present
 
 SECTION_NAMES = ("analyst", "fundamental", "valuation", "market_context")
@@ -132,7 +132,7 @@ def grade_changes(grades: DataFrame) -> DataFrame:
     """Latest grade changes as shown: day text, action names, column names."""
     shown = grades
     if "date" in grades.columns:
-        shown = shown.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+        shown = shown.withColumn("date", day_text(F.col("date")))
     if "action" in grades.columns:
         shown = shown.withColumn("action", display(F.col("action"), ACTION_DISPLAY, lower=True))
     return select_present(shown, GRADE_CHANGE_COLUMNS)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickerloom.constants import DASHBOARD_LABELS, LABELS
-from tickerloom.functions.values import exact_mean, rounded, share_percent
+from tickerloom.functions.values import day_text, exact_mean, rounded, share_percent
 
 
 def label_counts(counts: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def day_label_map(counts: DataFrame) -> DataFrame:
         count_pairs(F.col("n"), F.col("label")).alias("pairs")
     )
     # maps do not sort, so the pairs become maps only after the days are in order
-    days = F.array_sort(F.collect_list(F.struct(F.date_format("day", "yyyy-MM-dd").alias("day"), "pairs")))
+    days = F.array_sort(F.collect_list(F.struct(day_text(F.col("day")).alias("day"), "pairs")))
     return per_day.groupBy("symbol").agg(
         F.map_from_entries(
             F.transform(days, lambda d: F.struct(d["day"], F.map_from_entries(d["pairs"])))
@@ -77,7 +77,7 @@ def day_label_map(counts: DataFrame) -> DataFrame:
 
 def news_period(counts: DataFrame) -> DataFrame:
     """Row count, first and last day and the period text per symbol."""
-    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    day = lambda name: day_text(F.col(name))
     return counts.groupBy("symbol").agg(
         F.sum("n").alias("news_count"),
         F.min("day").alias("_first"),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tickerloom.constants import LABELS
 from tickerloom.functions.values import (
-    billions, clock_text, fixed, month_text, number_text, pad_left, pad_right, percent_bar,
+    billions, clock_text, day_text, fixed, month_text, number_text, pad_left, pad_right, percent_bar,
 )
 from tickerloom.operators.fundamentals import first_record, record_fields
 from tickerloom.operators.labels import count_pairs, day_label_map, label_map, label_shares, news_period
@@ -85,7 +85,7 @@ def place_articles(recent: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
 def news_blocks(placed: DataFrame) -> DataFrame:
     """Per symbol and page: a header per day, then one line per article."""
     line = F.concat(F.lit("  ["), F.col("sentiment"), F.lit("] "), F.col("title"))
-    header = F.concat(F.lit(DAY_HEADER[0]), F.date_format("day", "yyyy-MM-dd"), F.lit(DAY_HEADER[1] + "\n"))
+    header = F.concat(F.lit(DAY_HEADER[0]), day_text(F.col("day")), F.lit(DAY_HEADER[1] + "\n"))
     text = F.when(F.col("in_day") == 1, F.concat(header, line)).otherwise(line)
     return placed.groupBy("symbol", F.col("digest_page").alias("page")).agg(
         _joined(F.col("digest_place"), text).alias("news_block")
@@ -130,7 +130,7 @@ def sentiment_blocks(counts: DataFrame, labels: Sequence[str] = LABELS) -> DataF
     per_day = counts.where(F.col("label").isNotNull()).groupBy("symbol", "day").agg(
         count_pairs(F.col("n"), F.col("label")).alias("pairs")
     )
-    day = F.date_format("day", "yyyy-MM-dd")
+    day = day_text(F.col("day"))
     shown = F.array_join(F.transform("pairs", lambda p: F.concat(p["label"], F.lit(":"), p["n"].cast("string"))), ", ")
     flow = per_day.groupBy("symbol").agg(
         _joined(F.col("day"), F.concat(F.lit("  "), day, F.lit(": "), shown)).alias("flow")
