@@ -7,7 +7,7 @@ from tickerloom.catalog import all_queries
 from tickerloom.operators import lookups as lk
 
 SF_DIR = "/root/testdata/sf0.001"
-CALLS_A_MODEL = {"cue_label", "positional_zip", "reply_id_join", "reply_unanswered", "symbol_judgment"}
+CALLS_A_MODEL = {"article_analysis", "cue_label", "positional_zip", "reply_id_join", "reply_unanswered", "symbol_judgment"}
 
 
 def plan(df):

@@ -7,12 +7,12 @@ import re
 
 from pyspark.sql import functions as F
 
-from tickerloom.catalog.tables import ARTICLES_SQL, articles, collapsed_sql, table
+from tickerloom.catalog.tables import ARTICLES_SQL, SPACE_SQL, articles, collapsed_sql, stripped_sql, table
 from tickerloom.constants import SECTIONS
 from tickerloom.functions import replies as rp, text as tx
 from tickerloom.operators import chunks as ch
 from tickerloom.operators.replies import section_rows, with_analysis
-from tickerloom.operators.scoring import score_rows
+from tickerloom.operators.scoring import analyse_articles, score_rows
 
 
 def _ids(spark, sf):
@@ -111,6 +111,35 @@ def reply_parse(spark, sf):
     return with_analysis(_article_replies(spark, sf), F.col("reply")).drop("reply")
 
 
+def _stand_in_analyst():
+    """Stand-in article model: reads mood and score off the text's length and
+    letters, fails on some texts, answers others without JSON."""
+
+    def make():
+        def score(prompts):
+            if any("licens" in p for p in prompts):
+                raise ValueError("refused")
+            return [
+                "no JSON here" if len(p) % 7 == 0 else "```json\n" + json.dumps({
+                    "summary_ko": p[:10], "sentiment": "긍정" if "tion" in p else "부정", "score": len(p) % 9 / 4 - 1,
+                    "keywords": [str(len(p)), "n"],
+                }, ensure_ascii=False) + "\n```"
+                for p in prompts
+            ]
+
+        return score
+
+    return make
+
+
+def article_analysis(spark, sf):
+    cleaned = table(spark, sf, "documents").select(
+        "doc_id", tx.article_head(tx.strip_boilerplate(F.col("text"), [r"All rights reserved.*"])).alias("content_cleaned")
+    )
+    analysed = analyse_articles(cleaned, F.col("content_cleaned"), _stand_in_analyst())
+    return analysed.drop("content_cleaned")
+
+
 def fence_strip(spark, sf):
     return _article_replies(spark, sf).select(
         "doc_id", rp.drop_fences(F.col("reply")).alias("no_fences"), rp.inside_fence(F.col("reply")).alias("inside")
@@ -150,7 +179,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         row_ids, chunk5, chunk_prompt, positional_zip, reply_id_join, reply_unanswered, reply_parse,
-        fence_strip, section_split, verdict,
+        article_analysis, fence_strip, section_split, verdict,
     ]
 }
 
@@ -173,6 +202,9 @@ parts AS (
          CASE WHEN quality = 1 THEN '긍정' ELSE '중립' END AS mood
   FROM documents LEFT JOIN labels USING (doc_id))"""
 
+_CLEANED = stripped_sql(
+    f"regexp_replace(regexp_replace(text, '(?is)All rights reserved.*', '', 'g'), '{SPACE_SQL}{{3,}}', chr(10) || chr(10), 'g')"
+)
 _P = r"\*{0,2}\[\s*%s\s*\]\*{0,2}"
 
 
@@ -232,6 +264,16 @@ SELECT doc_id, CASE WHEN kind IN (0, 1) THEN source ELSE '' END AS summary_ko,
        CASE WHEN kind IN (0, 1) THEN lang || ', ' || source ELSE '' END AS keywords,
        CASE WHEN kind IN (0, 1) THEN lang ELSE '' END AS impact
 FROM parts""",
+    "article_analysis": f"""
+WITH cleaned AS (
+  SELECT doc_id, substring({_CLEANED}, 1, 3000) AS c FROM documents),
+kinds AS (SELECT *, CASE WHEN contains(c, 'licens') THEN '오류' WHEN length(c) % 7 = 0 THEN '분석실패' END AS failed FROM cleaned)
+SELECT doc_id, CASE WHEN failed = '오류' THEN 'ValueError: refused' END AS error,
+       CASE WHEN failed IS NULL THEN substring(c, 1, 10) ELSE '' END AS summary_ko,
+       coalesce(failed, CASE WHEN contains(c, 'tion') THEN '긍정' ELSE '부정' END) AS sentiment,
+       CASE WHEN failed IS NULL THEN length(c) % 9 / 4 - 1 ELSE 0 END::DOUBLE AS score,
+       CASE WHEN failed IS NULL THEN length(c) || ', n' ELSE '' END AS keywords, '' AS impact
+FROM kinds""",
     "fence_strip": f"""WITH {_ARTICLE_REPLIES},
 whole AS (
   SELECT *, '{{"summary_ko": "' || source || '", "sentiment": "' || mood || '", "score": '

@@ -26,16 +26,18 @@ def label_prompt(blocked: Sequence[str] = BLOCKED_KEYWORDS) -> Column:
 
 def label_news(
     news: DataFrame, make_scorer: ScorerFactory, days: int = WINDOW_DAYS,
-    noise: Sequence[str] = NOISE_KEYWORDS, labels: Sequence[str] = LABELS, tasks: int | None = None,
+    noise: Sequence[str] = NOISE_KEYWORDS, labels: Sequence[str] = LABELS,
+    prompt: Column | None = None, tasks: int | None = None,
 ) -> DataFrame:
     """Valid, recent news of every symbol with its label.
 
+    Pass an empty ``noise`` for news that was filtered before translation.
     All filters stand before the model: Spark does not move a filter below
     a Python call.
     """
     kept = nw.drop_noise(nw.valid_news(news), noise)
     recent = nw.recent_window(kept, "symbol", "date", days)
-    return durable_table(classify(recent, label_prompt(), make_scorer, labels, tasks=tasks))
+    return durable_table(classify(recent, label_prompt() if prompt is None else prompt, make_scorer, labels, tasks=tasks))
 
 
 def translate_news(

@@ -127,7 +127,7 @@ def sentiment_blocks(counts: DataFrame, labels: Sequence[str] = LABELS) -> DataF
     rank = F.array_position(F.lit(list(labels)), F.col("label"))
     bars = shares.groupBy("symbol", "total").agg(_joined(rank, line).alias("bars"))
 
-    per_day = counts.where(F.col("label").isNotNull()).groupBy("symbol", "day").agg(
+    per_day = counts.groupBy("symbol", "day").agg(
         count_pairs(F.col("n"), F.col("label")).alias("pairs")
     )
     day = day_text(F.col("day"))
@@ -136,7 +136,9 @@ def sentiment_blocks(counts: DataFrame, labels: Sequence[str] = LABELS) -> DataF
         _joined(F.col("day"), F.concat(F.lit("  "), day, F.lit(": "), shown)).alias("flow")
     )
     total = F.concat(F.lit(SENTIMENT_TOTAL[0]), F.col("total").cast("string"), F.lit(SENTIMENT_TOTAL[1]))
-    return bars.join(flow, "symbol", "left").select(
+    # both sides hold every symbol, so both joins of this kind are inner: an outer
+    # one would filter one side's scan and keep the two from sharing a shuffle
+    return bars.join(flow, "symbol").select(
         "symbol",
         F.concat_ws("\n", total, F.col("bars"), F.lit(SENTIMENT_DAYS), F.col("flow")).alias("sentiment_block"),
     )
@@ -247,7 +249,7 @@ def analysis_documents(
     """
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
     written = F.lit(analysis_date) if analysis_date else now
-    stats = news_period(counts).join(label_map(counts), "symbol", "left").join(day_label_map(counts), "symbol", "left")
+    stats = news_period(counts).join(label_map(counts), "symbol").join(day_label_map(counts), "symbol")
     pages = contexts.join(article_lists(placed), ["symbol", "page"]).join(stats, "symbol")
     judgment = F.coalesce("judgment", F.lit("")) if "judgment" in contexts.columns else F.lit("")
     return pages.select(
