@@ -8,6 +8,7 @@ from tickerloom.catalog.tables import GRADES, table
 from tickerloom.constants import ENDPOINT_LIMITS
 from tickerloom.functions.values import day_text, exact_mean, exact_sum, rounded
 from tickerloom.operators import fundamentals as fd, ordering as od
+from tickerloom.plans import collection as cl
 
 LONGEST = ENDPOINT_LIMITS["stock_grades_historical"]
 
@@ -133,6 +134,41 @@ def run_summary(spark, sf):
     return fd.run_summary(fd.ok_counts(fundamentals(spark, sf)), sectors, sizes, done, "symbol")
 
 
+# a small set of endpoints, in the shape of the full declaration
+COLLECTED = {
+    "analyst": {"grades_consensus": {"symbol": "string", "buy": "bigint", "hold": "bigint"}},
+    "valuation": {"dcf_valuation": {"symbol": "string", "dcf": "double"}, "ratings_snapshot": {"rating": "string"}},
+    "market_context": {"treasury_rates": {"year10": "double"}},
+}
+
+
+def assembled_fundamentals(spark, sf):
+    kind = F.col("event_type")
+    k = F.get_json_object("props", "$.k")
+    responses = table(spark, sf, "events").select(
+        F.when(kind != "error", F.col("user_id")).alias("symbol"),
+        F.when(kind == "view", F.lit("grades_consensus")).when(kind == "click", F.lit("dcf_valuation"))
+        .when(kind == "purchase", F.lit("ratings_snapshot")).when(kind == "error", F.lit("treasury_rates"))
+        .otherwise(F.lit("undeclared")).alias("endpoint"),
+        F.when(kind == "view", F.concat(F.lit('[{"symbol": "s", "buy": '), k, F.lit(', "other": 1}]')))
+        .when(kind == "click", F.concat(F.lit('[{"dcf": '), k, F.lit(".5}, {}]")))
+        .when(kind == "purchase", F.lit("[]"))
+        .otherwise(F.concat(F.lit('[{"year10": '), k, F.lit("}]"))).alias("body"),
+        F.struct("ts", "event_id").alias("at"),
+    )
+    sectors = table(spark, sf, "customer").select(F.col("c_custkey").alias("symbol"), F.col("c_mktsegment").alias("sector"))
+    docs = cl.assemble(
+        responses, sectors.where(F.col("sector") != "HOUSEHOLD"), F.lit("2024-02-01"),
+        sections=COLLECTED, shared=("treasury_rates",),
+    )
+    return docs.join(fd.ok_counts(docs), "symbol").select(
+        "symbol", "meta.sector", "ok", "total",
+        fd.first_record(docs, "analyst", "grades_consensus")["buy"].alias("buy"),
+        fd.first_record(docs, "valuation", "dcf_valuation")["dcf"].alias("dcf"),
+        fd.first_record(docs, "market_context", "treasury_rates")["year10"].alias("year10"),
+    )
+
+
 def _grade_tally(spark, sf):
     return fd.grade_tally(table(spark, sf, "orders"), "o_custkey", "o_orderpriority", GRADES)
 
@@ -239,7 +275,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         slim_projection, field_coverage, endpoint_flatten, nested_first_record, endpoint_ok_counts,
-        run_summary, grade_consensus, grade_share, grade_change_view, grade_history, target_consensus,
+        run_summary, assembled_fundamentals, grade_consensus, grade_share, grade_change_view, grade_history, target_consensus,
         target_upside, target_summary, earnings_surprise, yoy_growth, ttm_revenue, sector_snapshot,
     ]
 }
@@ -334,6 +370,15 @@ sizes AS (
 SELECT o.symbol, coalesce(n.n_name, '') AS sector, o.ok, o.total, CAST(floor(z.b / 1024) AS BIGINT) AS size_kb,
        CASE WHEN z.done THEN 'SKIP' ELSE 'NEW' END AS status
 FROM oks o JOIN sizes z USING (symbol) LEFT JOIN customer c ON c.c_custkey = o.symbol LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey""",
+    "assembled_fundamentals": """
+WITH k AS (SELECT user_id AS symbol, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, (ts, event_id) AS moment FROM events),
+own AS (
+  SELECT symbol, arg_max(k, moment) FILTER (event_type = 'view') AS buy, arg_max(k, moment) FILTER (event_type = 'click') AS dcf
+  FROM k WHERE event_type <> 'error' GROUP BY symbol)
+SELECT symbol, coalesce(c_mktsegment, '') AS sector,
+       (buy IS NOT NULL)::BIGINT + (dcf IS NOT NULL)::BIGINT + 1 AS ok, 4::BIGINT AS total, buy, dcf + 0.5::DOUBLE AS dcf,
+       (SELECT arg_max(k, moment) FROM k WHERE event_type = 'error')::DOUBLE AS year10
+FROM own LEFT JOIN customer ON c_custkey = symbol AND c_mktsegment <> 'HOUSEHOLD'""",
     "grade_consensus": "SELECT o_custkey, " + ", ".join(
         f"count(*) FILTER (o_orderpriority = '{g}') AS {n}" for g, n in zip(GRADES, _GRADE_COLUMNS)
     ) + " FROM orders GROUP BY o_custkey",

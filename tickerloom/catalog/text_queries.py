@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from tickerloom.catalog.tables import (
@@ -12,9 +14,11 @@ from tickerloom.functions import text as tx, values as v
 from tickerloom.functions.replies import read_label
 from tickerloom.operators import news as nw
 from tickerloom.operators.scoring import classify, cue_scorer
+from tickerloom.plans import crawl
 
 # The site patterns, and two for the license lines the documents carry.
 PATTERNS = [*BOILERPLATE_PATTERNS, r"This work is licensed under.*", r"All rights reserved.*"]
+CRAWLED = datetime(2024, 1, 16, 12, 0)
 CUES = {"Growth": ["erbleand"], "Risk": ["licens", "stion"], "Positive": ["eaux"], "Mixed": ["keit"]}
 
 
@@ -101,6 +105,16 @@ def page_paragraphs(spark, sf):
     return kept.select("page_id", F.length("content").cast("bigint").alias("chars"), "content")
 
 
+def crawled_news(spark, sf):
+    """Feed items are events; forty in a row lead to the same page."""
+    items = table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("ticker"), F.col("event_type").alias("title"),
+        F.floor(F.col("event_id") / 40).alias("link"), F.col("ts").alias("date"),
+    )
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("link"), "url", "html")
+    return crawl.crawled_news(items, pages, CRAWLED).withColumn("date", v.clock_text(F.col("date")))
+
+
 def html_escape(spark, sf):
     said = F.concat(F.lit("<"), "role", F.lit(" id=\"c&"), F.col("conv_id").cast("string"), F.lit("\"> it's "), "text")
     return table(spark, sf, "conversations").select("conv_id", "turn", tx.escape_html(said).alias("html"))
@@ -119,7 +133,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         valid_news, noise_filter, blocked_flag, first_nonblank, union_sources, collapse_ws,
-        boilerplate_strip, prompt_input, label_normalise, cue_label, page_paragraphs, html_escape,
+        boilerplate_strip, prompt_input, label_normalise, cue_label, page_paragraphs, crawled_news, html_escape,
         markdown_to_html,
     ]
 }
@@ -172,6 +186,15 @@ def _unescaped(expr: str) -> str:
     return expr
 
 
+_PAGE_TEXT = rf"""cut AS (
+  SELECT page_id, string_split_regex(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g'),
+         '(?i)<p(?:\s[^>]*)?>')[2:] AS pieces FROM pages),
+plain AS (
+  SELECT page_id, list_transform(pieces, lambda t: {_unescaped(f"regexp_replace(string_split_regex(t, '(?i)</?(?:{_ENDS})(?:[{chr(92)}s/][^>]*)?>')[1], '<[^>]*>', '', 'g')")}) AS texts FROM cut),
+joined AS (
+  SELECT page_id, coalesce(array_to_string(list_transform(list_filter(texts, lambda t: length(t) > 50),
+         lambda t: {stripped_sql('t')}), ' '), '') AS content FROM plain)"""
+
 SQL = {
     "valid_news": f"""WITH {ARTICLES_SQL}
 SELECT id, ticker, title, strftime(TRY_CAST(date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS date,
@@ -211,16 +234,12 @@ FROM words""".replace("\\\\", "\\"),
     "cue_label": f"WITH {ARTICLES_SQL}, prompts AS (SELECT id, lower({_PROMPT}) AS p FROM articles) SELECT id, CASE "
     + " ".join(f"WHEN {' OR '.join(f'''contains(p, '{w}')''' for w in words)} THEN '{label}'" for label, words in CUES.items())
     + " ELSE 'Neutral' END AS sentiment, NULL::VARCHAR AS error FROM prompts",
-    "page_paragraphs": rf"""
-WITH cut AS (
-  SELECT page_id, string_split_regex(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g'),
-         '(?i)<p(?:\s[^>]*)?>')[2:] AS pieces FROM pages),
-plain AS (
-  SELECT page_id, list_transform(pieces, lambda t: {_unescaped(f"regexp_replace(string_split_regex(t, '(?i)</?(?:{_ENDS})(?:[{chr(92)}s/][^>]*)?>')[1], '<[^>]*>', '', 'g')")}) AS texts FROM cut),
-joined AS (
-  SELECT page_id, coalesce(array_to_string(list_transform(list_filter(texts, lambda t: length(t) > 50),
-         lambda t: {stripped_sql('t')}), ' '), '') AS content FROM plain)
+    "page_paragraphs": f"""WITH {_PAGE_TEXT}
 SELECT page_id, CAST(length(content) AS BIGINT) AS chars, content FROM joined WHERE length(content) > 200""",
+    "crawled_news": f"""WITH {_PAGE_TEXT}
+SELECT CAST(user_id AS VARCHAR) AS ticker, event_type AS title, strftime(ts, '%Y-%m-%d %H:%M:%S') AS date, content, url
+FROM joined JOIN events ON event_id // 40 = page_id JOIN pages USING (page_id)
+WHERE length(content) > 200 AND ts BETWEEN TIMESTAMP '2024-01-13' AND TIMESTAMP '2024-01-15 23:59:00'""",
     "html_escape": "SELECT conv_id, turn, " + _escaped(
         "('<' || role || ' id=\"c&' || conv_id || '\"> it''s ' || text)") + " AS html FROM conversations",
     "markdown_to_html": f"""

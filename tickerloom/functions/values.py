@@ -31,14 +31,19 @@ def rounded(value: Column, digits: int) -> Column:
     return fixed(value, digits).cast("double")
 
 
+def exact(value: Column) -> Column:
+    """Six decimals, exactly added; not-a-number counts as missing."""
+    return F.when(~F.isnan(value), value).cast("decimal(28,6)")
+
+
 def exact_sum(value: Column) -> Column:
-    """Sum to six decimals, the same whatever order the rows arrive in."""
-    return F.sum(value.cast("decimal(28,6)")).cast("double")
+    """A sum that is the same whatever order the rows arrive in."""
+    return F.sum(exact(value)).cast("double")
 
 
 def exact_mean(value: Column) -> Column:
     """Mean over ``exact_sum``; null without values."""
-    return F.try_divide(exact_sum(value), F.count(value))
+    return F.try_divide(exact_sum(value), F.count(exact(value)))
 
 
 def share_percent(part: Column, total: Column) -> Column:

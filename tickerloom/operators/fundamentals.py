@@ -128,14 +128,15 @@ def grade_shares(tally: DataFrame, symbol: str, names: Sequence[str]) -> DataFra
     )
 
 
-def grade_changes(grades: DataFrame) -> DataFrame:
-    """Latest grade changes as shown: day text, action names, column names."""
+def grade_changes(grades: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Latest grade changes as shown: day text, action names, column names.
+    ``keep`` names columns that stay in front as they are."""
     shown = grades
     if "date" in grades.columns:
         shown = shown.withColumn("date", day_text(F.col("date")))
     if "action" in grades.columns:
         shown = shown.withColumn("action", display(F.col("action"), ACTION_DISPLAY, lower=True))
-    return select_present(shown, GRADE_CHANGE_COLUMNS)
+    return select_present(shown, {**{c: c for c in keep}, **GRADE_CHANGE_COLUMNS})
 
 
 def grade_action(previous: Column, new: Column, ranked: Sequence[str]) -> Column:
