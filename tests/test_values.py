@@ -96,3 +96,14 @@ def test_exact_sum_ignores_order(spark):
     backward = spark.createDataFrame([(x,) for x in reversed(values)], "x double").repartition(5)
     sums = {rows(df.agg(v.exact_sum(F.col("x")), v.exact_mean(F.col("x"))))[0] for df in (forward, backward)}
     assert len(sums) == 1 and math.isclose(sums.pop()[0], 120.0, abs_tol=1e-9)
+
+
+def test_rounded_keeps_what_is_not_finite(spark):
+    df = spark.createDataFrame([(math.inf,), (-math.inf,), (math.nan,), (None,), (1e20,)], "x double")
+    found = [r for (r,) in rows(df, v.rounded(F.col("x"), 1))]
+    assert found[:2] == [math.inf, -math.inf] and math.isnan(found[2]) and found[3:] == [None, 1e20]
+
+
+def test_exact_mean_skips_what_is_not_a_number(spark):
+    df = spark.createDataFrame([(1.0,), (math.nan,), (None,), (2.0,)], "x double")
+    assert rows(df.agg(v.exact_mean(F.col("x")), v.exact_sum(F.col("x")))) == [(1.5, 3.0)]

@@ -28,7 +28,8 @@ def fixed(value: Column, digits: int) -> Column:
 
 
 def rounded(value: Column, digits: int) -> Column:
-    return fixed(value, digits).cast("double")
+    """``fixed`` as a number; an infinite value stays as it is."""
+    return F.coalesce(fixed(value, digits).try_cast("double"), value.cast("double"))
 
 
 def exact(value: Column) -> Column:
