@@ -17,6 +17,7 @@ def plan(df):
 @pytest.mark.parametrize("key", sorted(all_queries()))
 def test_python_only_where_a_model_is_called(spark, key):
     text = plan(all_queries()[key](spark, SF_DIR))
+    assert text.count("ArrowEvalPython") == (1 if key in CALLS_A_MODEL else 0)
     assert ("Python" in text) == (key in CALLS_A_MODEL)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 

@@ -20,11 +20,15 @@ Scorer = Callable[[list[str]], list[str]]
 ScorerFactory = Callable[[], Scorer]
 
 
-def call_model(prompt: Column, make_scorer: ScorerFactory) -> Column:
+CALL_ROWS = 32
+
+
+def call_model(prompt: Column, make_scorer: ScorerFactory, call_rows: int = CALL_ROWS) -> Column:
     """``struct<reply, error>`` per row. Only the prompt goes to Python.
 
-    If a batch fails, its rows are tried one by one, so one bad row does not
-    cost the others their reply. Marked nondeterministic so that the plan
+    The scorer is given up to ``call_rows`` texts at a time. If such a call
+    fails, its texts are tried one by one: a bad row costs no other row its
+    reply, and few are asked again. Marked nondeterministic so that the plan
     never calls the model twice for one row.
     """
 
@@ -38,15 +42,22 @@ def call_model(prompt: Column, make_scorer: ScorerFactory) -> Column:
             except Exception as failure:
                 return None, f"{type(failure).__name__}: {failure}"
 
-        for texts in batches:
-            asked = texts.tolist()
+        def several(texts):
             try:
-                replies = score(asked)
-                if len(replies) != len(asked):
-                    raise ValueError("reply count differs from prompt count")
-                pairs = [(reply, None) for reply in replies]
+                replies = score(texts)
+                if len(replies) == len(texts):
+                    return [(reply, None) for reply in replies]
             except Exception:
-                pairs = [one(text) for text in asked]
+                pass
+            return [one(text) for text in texts]
+
+        for batch in batches:
+            texts = batch.tolist()
+            pairs = [
+                pair
+                for start in range(0, len(texts), call_rows)
+                for pair in several(texts[start:start + call_rows])
+            ]
             yield pd.DataFrame(pairs, columns=["reply", "error"])
 
     return scored.asNondeterministic()(prompt)
