@@ -78,7 +78,8 @@ def test_pages_join_to_the_whole_block(many_tasks, page_rows):
 def test_sentiment_block(spark):
     day = lambda d: datetime(2026, 4, d, 8)
     labels = [(1, "Growth"), (1, "Growth"), (2, "Risk"), (2, "Growth"), (2, "Mixed")] + [(3, "Neutral")] * 11
-    news = [("A", i, day(d), "t", "u", label) for i, (d, label) in enumerate(labels)]
+    # within a day the later entries are the newer articles
+    news = [("A", i, day(d) + timedelta(minutes=i), "t", "u", label) for i, (d, label) in enumerate(labels)]
     news += [("B", 99, day(3), "t", "u", "Negative"), ("B", 98, datetime(2026, 3, 1), "t", "u", "Mixed")]
     df = spark.createDataFrame(news, NEWS)
     found = dict(rows(dc.sentiment_blocks(nw.daily_counts(nw.recent_window(df)))))
@@ -93,7 +94,7 @@ def test_sentiment_block(spark):
         "",
         "날짜별 감정 흐름:",
         "  2026-04-01: Growth:2",
-        "  2026-04-02: Growth:1, Mixed:1, Risk:1",
+        "  2026-04-02: Mixed:1, Growth:1, Risk:1",
         "  2026-04-03: Neutral:11",
     ]
     assert found["B"].startswith("총 뉴스 1건") and found["B"].endswith("  2026-04-03: Negative:1")
@@ -116,7 +117,9 @@ def test_recent_window_edges(spark):
 
 def test_shares(spark):
     days = [("A", date(2026, 3, 31), "Growth", 1), ("A", date(2026, 4, 1), "Risk", 15), ("A", date(2026, 4, 1), None, 0)]
-    counts = spark.createDataFrame(days, "symbol string, day date, label string, n bigint")
+    counts = spark.createDataFrame(days, "symbol string, day date, label string, n bigint").withColumn(
+        "newest", F.col("day").cast("timestamp_ntz")
+    )
     shares = {label: pct for _, label, _, _, pct in rows(lb.label_shares(counts))}
     assert shares == {"Growth": 6.2, "Risk": 93.8, "Positive": 0, "Neutral": 0, "Mixed": 0, "Negative": 0}
     assert abs(sum(shares.values()) - 100) <= 0.3

@@ -1,5 +1,4 @@
 import html
-import re
 
 from pyspark.sql import functions as F
 

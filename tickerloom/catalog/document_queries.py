@@ -95,7 +95,7 @@ digest AS (
   FROM ranked GROUP BY symbol)"""
 _LABEL_ROWS = " UNION ALL ".join(f"SELECT '{x}' AS label, {i} AS place" for i, x in enumerate(FEED_LABELS))
 _SENTIMENT = f"""totals AS (SELECT symbol, count(*) AS total FROM recent GROUP BY symbol),
-tally AS (SELECT symbol, sentiment AS label, count(*) AS n FROM recent GROUP BY ALL),
+tally AS (SELECT symbol, sentiment AS label, count(*) AS n, max(date) AS newest FROM recent GROUP BY ALL),
 bars AS (
   SELECT t.symbol, t.total, string_agg(
            '  ' || l.label || repeat(' ', greatest(10 - length(l.label), 0)) || ' ' || printf('%3d', coalesce(c.n, 0))
@@ -104,10 +104,10 @@ bars AS (
            {_NL} ORDER BY l.place) AS bars
   FROM totals t CROSS JOIN ({_LABEL_ROWS}) l LEFT JOIN tally c ON c.symbol = t.symbol AND c.label = l.label
   GROUP BY t.symbol, t.total),
-day_tally AS (SELECT symbol, strftime(date, '%Y-%m-%d') AS day, sentiment, count(*) AS n FROM recent GROUP BY ALL),
+day_tally AS (SELECT symbol, strftime(date, '%Y-%m-%d') AS day, sentiment, count(*) AS n, max(date) AS newest FROM recent GROUP BY ALL),
 day_lines AS (
-  SELECT symbol, day, string_agg(sentiment || ':' || n, ', ' ORDER BY n DESC, sentiment) AS shown,
-         '{{' || string_agg('"' || sentiment || '":' || n, ',' ORDER BY n DESC, sentiment) || '}}' AS m
+  SELECT symbol, day, string_agg(sentiment || ':' || n, ', ' ORDER BY n DESC, newest DESC, sentiment) AS shown,
+         '{{' || string_agg('"' || sentiment || '":' || n, ',' ORDER BY n DESC, newest DESC, sentiment) || '}}' AS m
   FROM day_tally GROUP BY symbol, day),
 flow AS (
   SELECT symbol, string_agg('  ' || day || ': ' || shown, {_NL} ORDER BY day) AS flow,
@@ -140,7 +140,7 @@ articles_json AS (
          strftime(min(date), '%Y-%m-%d') || ' ~ ' || strftime(max(date), '%Y-%m-%d') AS news_period, count(*) AS news_count
   FROM recent GROUP BY symbol),
 summary AS (
-  SELECT symbol, '{{' || string_agg('"' || label || '":' || n, ',' ORDER BY n DESC, label) || '}}' AS sentiment_summary
+  SELECT symbol, '{{' || string_agg('"' || label || '":' || n, ',' ORDER BY n DESC, newest DESC, label) || '}}' AS sentiment_summary
   FROM tally GROUP BY symbol)
 SELECT symbol, 1::BIGINT AS page, news_period, news_count, 'counts-v1' AS model, sentiment_summary, sentiment_by_date,
        news_with_sentiment, news_block, sentiment_block, analyst_block

@@ -61,7 +61,7 @@ def label_map(spark, sf):
 
 
 def day_label_counts(spark, sf):
-    return _counts(spark, sf).withColumn("day", v.day_text(F.col("day")))
+    return _counts(spark, sf).withColumn("day", v.day_text(F.col("day"))).drop("newest")
 
 
 def day_label_pivot(spark, sf):
@@ -146,8 +146,8 @@ SELECT symbol, sentiment AS label, count(*) AS n FROM recent GROUP BY ALL""",
     "label_share_int": f"WITH {FEED_SQL}" + _SHARES.format(
         rows="feed", spine=_SPINE, pct=f"CAST(printf('%.0f', {_PCT}) AS BIGINT)"),
     "label_map": f"""WITH {RECENT_SQL}
-SELECT symbol, '{{' || string_agg('"' || sentiment || '":' || n, ',' ORDER BY n DESC, sentiment) || '}}' AS sentiment_summary
-FROM (SELECT symbol, sentiment, count(*) AS n FROM recent GROUP BY ALL) GROUP BY symbol""",
+SELECT symbol, '{{' || string_agg('"' || sentiment || '":' || n, ',' ORDER BY n DESC, newest DESC, sentiment) || '}}' AS sentiment_summary
+FROM (SELECT symbol, sentiment, count(*) AS n, max(date) AS newest FROM recent GROUP BY ALL) GROUP BY symbol""",
     "day_label_counts": f"""WITH {FEED_SQL}
 SELECT symbol, strftime(date, '%Y-%m-%d') AS day, sentiment AS label, count(*) AS n FROM feed GROUP BY ALL""",
     "day_label_pivot": f"""WITH {FEED_SQL}
@@ -155,8 +155,8 @@ SELECT symbol, strftime(date, '%Y-%m-%d') AS day, """ + ", ".join(
         f"nullif(count(*) FILTER (sentiment = '{x}'), 0) AS {x}" for x in FEED_LABELS) + " FROM feed GROUP BY ALL",
     "day_label_map": f"""WITH {RECENT_SQL},
 per_day AS (
-  SELECT symbol, day, '{{' || string_agg('"' || sentiment || '":' || n, ',' ORDER BY n DESC, sentiment) || '}}' AS m
-  FROM (SELECT symbol, strftime(date, '%Y-%m-%d') AS day, sentiment, count(*) AS n FROM recent GROUP BY ALL)
+  SELECT symbol, day, '{{' || string_agg('"' || sentiment || '":' || n, ',' ORDER BY n DESC, newest DESC, sentiment) || '}}' AS m
+  FROM (SELECT symbol, strftime(date, '%Y-%m-%d') AS day, sentiment, count(*) AS n, max(date) AS newest FROM recent GROUP BY ALL)
   GROUP BY symbol, day)
 SELECT symbol, '{{' || string_agg('"' || day || '":' || m, ',' ORDER BY day) || '}}' AS sentiment_by_date
 FROM per_day GROUP BY symbol""",

@@ -45,30 +45,32 @@ def day_pivot(counts: DataFrame, labels: Sequence[str] = DASHBOARD_LABELS) -> Da
     )
 
 
-def count_pairs(n: Column, label: Column) -> Column:
-    """Collected ``(label, n)`` of a group, largest first, ties by label.
+def count_pairs(n: Column, newest: Column, label: Column) -> Column:
+    """Collected ``(label, n)`` of a group, largest first.
 
-    Only ever used where a group holds one row per label. Rows without a
+    Equal counts go by the label's newest article: in a list that runs from
+    new to old, the label met first. Only ever used where a group holds one row per label. Rows without a
     label are left out here and not by a filter, which would be pushed to the
     scan and keep these groups from sharing a shuffle with the totals.
     """
-    pair = F.when(label.isNotNull(), F.struct((-n).alias("minus"), label.alias("label")))
+    age = F.lit("1970-01-01").cast("timestamp_ntz") - newest
+    pair = F.when(label.isNotNull(), F.struct((-n).alias("minus"), age.alias("age"), label.alias("label")))
     pairs = F.array_sort(F.collect_list(pair))
     return F.transform(pairs, lambda p: F.struct(p["label"].alias("label"), (-p["minus"]).alias("n")))
 
 
 def label_map(counts: DataFrame) -> DataFrame:
     """Per symbol a ``label -> count`` map, largest first."""
-    per_label = counts.groupBy("symbol", "label").agg(F.sum("n").alias("n"))
+    per_label = counts.groupBy("symbol", "label").agg(F.sum("n").alias("n"), F.max("newest").alias("newest"))
     return per_label.groupBy("symbol").agg(
-        F.map_from_entries(count_pairs(F.col("n"), F.col("label"))).alias("sentiment_summary")
+        F.map_from_entries(count_pairs(F.col("n"), F.col("newest"), F.col("label"))).alias("sentiment_summary")
     )
 
 
 def day_label_map(counts: DataFrame) -> DataFrame:
     """Per symbol a ``day -> (label -> count)`` map, days ascending."""
     per_day = counts.groupBy("symbol", "day").agg(
-        count_pairs(F.col("n"), F.col("label")).alias("pairs")
+        count_pairs(F.col("n"), F.col("newest"), F.col("label")).alias("pairs")
     )
     # maps do not sort, so the pairs become maps only after the days are in order
     days = F.array_sort(F.collect_list(F.struct(day_text(F.col("day")).alias("day"), "pairs")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tickerloom.constants import MIN_ARTICLE_CHARS, NOISE_KEYWORDS, WINDOW_DAYS
 from tickerloom.functions import text as tx
@@ -50,14 +50,14 @@ def recent_window(news: DataFrame, symbol: str = "symbol", ts: str = "date", day
 
 
 def daily_counts(news: DataFrame, symbol: str = "symbol", ts: str = "date", label: str = "sentiment") -> DataFrame:
-    """Rows per symbol, calendar day and label.
+    """Rows per symbol, calendar day and label, and the time of the newest.
 
     At most days x labels rows per symbol whatever the news volume: the base
     of every label statistic.
     """
     return news.where(F.col(ts).isNotNull()).groupBy(
         F.col(symbol).alias("symbol"), F.to_date(ts).alias("day"), F.col(label).alias("label")
-    ).agg(F.count("*").alias("n"))
+    ).agg(F.count("*").alias("n"), F.max(F.col(ts).cast("timestamp_ntz")).alias("newest"))
 
 
 def recent_days(counts: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:

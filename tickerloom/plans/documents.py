@@ -128,7 +128,7 @@ def sentiment_blocks(counts: DataFrame, labels: Sequence[str] = LABELS) -> DataF
     bars = shares.groupBy("symbol", "total").agg(_joined(rank, line).alias("bars"))
 
     per_day = counts.groupBy("symbol", "day").agg(
-        count_pairs(F.col("n"), F.col("label")).alias("pairs")
+        count_pairs(F.col("n"), F.col("newest"), F.col("label")).alias("pairs")
     )
     day = day_text(F.col("day"))
     shown = F.array_join(F.transform("pairs", lambda p: F.concat(p["label"], F.lit(":"), p["n"].cast("string"))), ", ")
