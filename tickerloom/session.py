@@ -40,8 +40,9 @@ def durable_table(df: DataFrame) -> DataFrame:
 
     Needed where a value depends on how rows were spread over tasks: a lost
     executor then re-reads the same numbers instead of working out new ones.
+    The tables of an application lie in one folder, to be cleared after it.
     """
     spark = df.sparkSession
-    path = f"{durable_folder(spark)}/tickerloom-{uuid.uuid4().hex}"
+    path = f"{durable_folder(spark)}/tickerloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
