@@ -104,6 +104,15 @@ def test_markdown_to_html(spark):
 LONG = "w" * 51
 
 
+def test_unescape_html(spark):
+    cases = [
+        "it&#39;s &#x27;x&#X27; &#8217; &#128200;&#x1F4C8;", "&amp;lt; &lt;b&gt; &nbsp;|&copy;", "plain & bare &# &#; &#x;",
+        "&#39;", "&#39;&#39;", "", "tail &#65;", "&hellip;&mdash;", "&#1234567890123456789012;|&#55296;|&#0;",
+    ]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string").orderBy("i")
+    assert [t for (t,) in rows(df, tx.unescape_html(F.col("t")))] == [html.unescape(c) for c in cases]
+
+
 def test_paragraphs(spark):
     cases = {
         f"<p>{LONG}</p><p>{'s' * 50}</p>": [LONG],

@@ -142,8 +142,7 @@ def markdown_to_html(text: Column) -> Column:
 
 # fixed values: named references found in article markup; & comes last
 NAMED_REFERENCES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-    ("&apos;", "'"), ("&nbsp;", "\xa0"), ("&copy;", "©"), ("&middot;", "·"),
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\xa0"), ("&copy;", "©"), ("&middot;", "·"),
     ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
     ("&ldquo;", "“"), ("&rdquo;", "”"), ("&hellip;", "…"), ("&euro;", "€"),
     ("&amp;", "&"),
@@ -159,8 +158,23 @@ PARAGRAPH_REST = rf"(?is)</?(?:{CLOSES_PARAGRAPH})(?:[\s/][^>]*)?>.*\z"
 ANY_TAG = r"<[^>]*>"
 
 
+NUMBERED_REFERENCE = r"&#([xX]?)([0-9A-Fa-f]+);"
+
+
+def _numbered_char(mark: Column, digits: Column) -> Column:
+    code = F.when(mark == "", digits).otherwise(F.conv(digits, 16, 10)).try_cast("bigint")
+    known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(known, char).otherwise(F.lit("\ufffd"))
+
+
 def unescape_html(text: Column) -> Column:
-    plain = text
+    """Decode numbered references and the named ones listed above."""
+    between = F.split(text, NUMBERED_REFERENCE)
+    found = [F.regexp_extract_all(text, F.lit(NUMBERED_REFERENCE), F.lit(group)) for group in (1, 2)]
+    chars = F.concat(F.zip_with(*found, _numbered_char), F.array(F.lit("")))
+    numbered = F.array_join(F.zip_with(between, chars, lambda part, char: F.concat(part, char)), "")
+    plain = F.when(F.contains(text, F.lit("&#")), numbered).otherwise(text)
     for reference, char in NAMED_REFERENCES:
         plain = F.replace(plain, F.lit(reference), F.lit(char))
     return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
