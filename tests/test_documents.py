@@ -178,6 +178,24 @@ def test_day_run(spark):
     assert docs["BB"].investment_judgment.endswith("투자")
 
 
+def test_documents_of_a_hot_symbol_come_in_pages(many_tasks):
+    news = make_news()
+    labelled = nw.recent_window(many_tasks.createDataFrame(news, NEWS).repartition(5))
+    nothing = many_tasks.createDataFrame([], "symbol string")
+    found = {}
+    for doc in daily.build_documents(labelled, nothing, None, "m", page_rows=11).orderBy("symbol", "page").collect():
+        found.setdefault(doc.symbol, []).append(doc)
+    for symbol, members in ((s, [r for r in recent_of(news) if r[0] == s]) for s in ("HOT", "ONE")):
+        docs = found[symbol]
+        assert [d.page for d in docs] == list(range(1, -(-len(members) // 11) + 1))
+        assert {d.meta.news_count for d in docs} == {len(members)}
+        newest = sorted(members, key=lambda r: (-r[2].timestamp(), r[1]))
+        assert [a.url for d in docs for a in d.news_with_sentiment] == [r[4] for r in newest]
+        assert "\n".join(d.analyst_context.news_block for d in docs) == digest_of(members)
+        assert len({d.analyst_context.sentiment_block for d in docs}) == 1
+    assert len(found["HOT"]) > 5
+
+
 def _translator():
     import json
     import re

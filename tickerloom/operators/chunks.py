@@ -30,17 +30,19 @@ def prompt_line(row_id: Column, date: Column, title: Column, content: Column) ->
     )
 
 
-def chunk_prompts(news: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
+def chunk_prompts(
+    news: DataFrame, size: int = CHUNK_ROWS, order: Sequence[Column] | None = None
+) -> DataFrame:
     """One row per (ticker, chunk): the prompt lines and the rows behind them.
 
-    Expects ``id`` (unique and in order), ``ticker, date, title, content,
-    url``. Only ids and tickers are numbered; the text is joined on ``id``
+    Expects ``id`` (unique), ``ticker, date, title, content, url``; ``order``
+    is of ids and dates, by default of ids. Only these are numbered; the text is joined on ``id``
     afterwards, so a large ticker's text spreads over all tasks. The ids are
     written first: sorting reads its input twice, and ``news`` may filter on
     the text.
     """
-    ids = durable_table(news.select("ticker", "id"))
-    places = with_chunks(row_ids(ids, "ticker", [F.col("id")]), size)
+    ids = durable_table(news.select("ticker", "id", "date"))
+    places = with_chunks(row_ids(ids, "ticker", order or [F.col("id")]), size)
     row = F.struct(
         "row_id",
         prompt_line(F.col("row_id"), F.coalesce(F.col("date").cast("string"), F.lit("")), F.col("title"), F.col("content")).alias("line"),
@@ -48,7 +50,7 @@ def chunk_prompts(news: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     )
     # at most ``size`` rows meet in one group
     return (
-        news.join(places.drop("ticker"), "id")
+        news.join(places.drop("ticker", "date"), "id")
         .groupBy("ticker", "chunk")
         .agg(F.array_sort(F.collect_list(row)).alias("rows"))
         .select(

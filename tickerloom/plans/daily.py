@@ -44,8 +44,12 @@ def translate_news(
     news: DataFrame, make_scorer: ScorerFactory, noise: Sequence[str] = NOISE_KEYWORDS,
     size: int = CHUNK_ROWS, tasks: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Translated rows, matched by id, and the rows no reply answered."""
-    prompts = ch.chunk_prompts(nw.drop_noise(news, noise), size)
+    """Translated rows, matched by id, and the rows no reply answered.
+
+    Rows are numbered newest first, the order in which news is landed.
+    """
+    newest_first = [F.col("date").desc(), F.col("id")]
+    prompts = ch.chunk_prompts(nw.drop_noise(news, noise), size, newest_first)
     replied = durable_table(score_rows(prompts, F.col("prompt"), make_scorer, tasks))
     return ch.match_replies(replied), ch.unanswered(replied)
 
