@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tickerloom import schemas
+from tickerloom.constants import SHORT_ANALYST_ENDPOINTS
 from tickerloom.operators import fundamentals as fd, lookups as lk, news as nw
 from tickerloom.plans import documents as dc
 from tickerloom.sources import landing, sinks
@@ -137,6 +138,9 @@ def test_analyst_block(spark, fundamentals_folder):
         "▶ DCF 내재가치", "  DCF: $163.59675411271115  현재가: $N/A",
     ]
     assert blocks["BB"] == ""
+    short = dict(rows(dc.analyst_blocks(docs, endpoints=SHORT_ANALYST_ENDPOINTS)))
+    assert [line[0] for line in short["AA"].split("\n")] == ["▶", " "] * 3
+    assert "예상" not in short["AA"]
 
 
 def test_ok_counts_and_flatten(spark, fundamentals_folder):

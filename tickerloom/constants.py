@@ -116,3 +116,26 @@ ENDPOINT_LIMITS = {
     "owner_earnings": 1,
     "earnings_report": 8,
 }
+
+# --- fixed values: lines shown per endpoint, {field:style|default} --------------------------
+ANALYST_LINES = {
+    ("analyst", "grades_consensus"):
+        "▶ 애널리스트 등급 합산\n"
+        "  Strong Buy: {strongBuy|0}  Buy: {buy|0}  Hold: {hold|0}  Sell: {sell|0}  Strong Sell: {strongSell|0}",
+    ("analyst", "price_target_consensus"):
+        "▶ 목표주가 컨센서스\n"
+        "  High: ${targetHigh}  Low: ${targetLow}  Consensus: ${targetConsensus}  Median: ${targetMedian}",
+    ("analyst", "analyst_estimates"):
+        "▶ 실적 추정치 ({date:month|})\n"
+        "  예상 매출: ${estimatedRevenueAvg:billions|0.0B}  예상 EPS: ${estimatedEpsAvg:cents|0.00}",
+    ("valuation", "dcf_valuation"):
+        "▶ DCF 내재가치\n  DCF: ${dcf}  현재가: ${stockPrice}",
+    ("valuation", "ratings_snapshot"):
+        "▶ FMP 종합 등급\n  등급: {rating}  점수: {ratingScore}",
+    ("fundamental", "key_metrics_ttm"):
+        "▶ 핵심 밸류에이션 (TTM)\n"
+        "  P/E: {peRatioTTM}  P/B: {pbRatioTTM}  EV/EBITDA: {evToEbitdaTTM}  ROE: {roeTTM}",
+}
+MISSING_FIELD = "N/A"
+# the endpoints of the shorter variant
+SHORT_ANALYST_ENDPOINTS = ["grades_consensus", "price_target_consensus", "dcf_valuation", "key_metrics_ttm"]

@@ -19,9 +19,10 @@ from tickerloom.plans import documents as dc
 from tickerloom.session import durable_table
 
 
-def label_prompt(blocked: Sequence[str] = BLOCKED_KEYWORDS) -> Column:
+def label_prompt(blocked: Sequence[str] = BLOCKED_KEYWORDS, **prefixes: str) -> Column:
+    """Prompt of the label model; ``prefixes`` are those of ``classifier_input``."""
     body = F.coalesce("content", F.lit(""))
-    return tx.classifier_input(F.col("title"), body, (body == "") | tx.is_blocked(body, blocked))
+    return tx.classifier_input(F.col("title"), body, (body == "") | tx.is_blocked(body, blocked), **prefixes)
 
 
 def label_news(

@@ -8,11 +8,12 @@ in page order gives the whole block. No task ever holds more than one page.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tickerloom.constants import LABELS
+from tickerloom.constants import ANALYST_LINES, LABELS, MISSING_FIELD
 from tickerloom.functions.values import (
     billions, clock_text, day_text, fixed, month_text, number_text, pad_left, pad_right, percent_bar,
 )
@@ -144,65 +145,54 @@ def sentiment_blocks(counts: DataFrame, labels: Sequence[str] = LABELS) -> DataF
     )
 
 
-def analyst_blocks(fundamentals: DataFrame, symbol: str = "symbol") -> DataFrame:
-    """Per symbol: figures of the first record of six endpoints.
+PLACEHOLDER = re.compile(r"\{(\w+)(?::(\w+))?(?:\|([^}]*))?\}")
+
+
+def render(template: str, value: Callable[[re.Match], Column]) -> Column:
+    """The template as one Column, each placeholder replaced by ``value``."""
+    parts, end = [], 0
+    for found in PLACEHOLDER.finditer(template):
+        parts += [F.lit(template[end:found.start()]), value(found)]
+        end = found.end()
+    return F.concat(*parts, F.lit(template[end:]))
+
+
+def _plain(kind: T.DataType) -> Callable[[Column], Column]:
+    return number_text if isinstance(kind, T.DoubleType) else lambda c: c.cast("string")
+
+
+STYLES = {"month": month_text, "billions": billions, "cents": lambda c: fixed(c, 2)}
+
+
+def analyst_blocks(
+    fundamentals: DataFrame, symbol: str = "symbol", endpoints: Sequence[str] | None = None
+) -> DataFrame:
+    """Per symbol: figures of the first record of each listed endpoint.
 
     An endpoint without records leaves its lines out; a missing field of a
-    present record shows its default.
+    present record shows its default. All six endpoints unless named.
     """
+    lines = {key: text for key, text in ANALYST_LINES.items() if endpoints is None or key[1] in endpoints}
+    # the first records are columns of their own, read once however often shown
+    firsts = fundamentals.select(symbol, *[
+        first_record(fundamentals, section, endpoint).alias(endpoint) for section, endpoint in lines
+    ])
 
-    firsts: dict[str, Column] = {}
-
-    def text(section: str, endpoint: str, lines) -> Column:
+    def block(section: str, endpoint: str, template: str) -> Column:
         present = record_fields(fundamentals, section, endpoint)
-        firsts[endpoint] = first_record(fundamentals, section, endpoint)
-        record = F.col(endpoint)
 
-        def shown(name: str, default: str = "N/A") -> Column:
+        def shown(found: re.Match) -> Column:
+            name, style, default = found.groups()
+            default = F.lit(MISSING_FIELD if default is None else default)
             if name not in present:
-                return F.lit(default)
-            is_double = isinstance(present[name], T.DoubleType)
-            value = number_text(record[name]) if is_double else record[name].cast("string")
-            return F.coalesce(value, F.lit(default))
-
-        def number(name: str) -> Column:
-            return F.coalesce(record[name].cast("double"), F.lit(0.0)) if name in present else F.lit(0.0)
-
-        return F.when(record.isNotNull(), F.concat(*lines(shown, number)))
-
-    # fixed values: titles and line formats of the analyst block
-    blocks = [
-        text("analyst", "grades_consensus", lambda s, n: [
-            F.lit("▶ 애널리스트 등급 합산\n  Strong Buy: "), s("strongBuy", "0"),
-            F.lit("  Buy: "), s("buy", "0"), F.lit("  Hold: "), s("hold", "0"),
-            F.lit("  Sell: "), s("sell", "0"), F.lit("  Strong Sell: "), s("strongSell", "0"),
-        ]),
-        text("analyst", "price_target_consensus", lambda s, n: [
-            F.lit("▶ 목표주가 컨센서스\n  High: $"), s("targetHigh"),
-            F.lit("  Low: $"), s("targetLow"),
-            F.lit("  Consensus: $"), s("targetConsensus"),
-            F.lit("  Median: $"), s("targetMedian"),
-        ]),
-        text("analyst", "analyst_estimates", lambda s, n: [
-            F.lit("▶ 실적 추정치 ("), month_text(s("date", "")), F.lit(")\n  예상 매출: $"),
-            billions(n("estimatedRevenueAvg")), F.lit("  예상 EPS: $"), fixed(n("estimatedEpsAvg"), 2),
-        ]),
-        text("valuation", "dcf_valuation", lambda s, n: [
-            F.lit("▶ DCF 내재가치\n  DCF: $"), s("dcf"),
-            F.lit("  현재가: $"), s("stockPrice"),
-        ]),
-        text("valuation", "ratings_snapshot", lambda s, n: [
-            F.lit("▶ FMP 종합 등급\n  등급: "), s("rating"), F.lit("  점수: "), s("ratingScore"),
-        ]),
-        text("fundamental", "key_metrics_ttm", lambda s, n: [
-            F.lit("▶ 핵심 밸류에이션 (TTM)\n  P/E: "), s("peRatioTTM"),
-            F.lit("  P/B: "), s("pbRatioTTM"),
-            F.lit("  EV/EBITDA: "), s("evToEbitdaTTM"),
-            F.lit("  ROE: "), s("roeTTM"),
-        ]),
-    ]
-    heads = fundamentals.select(symbol, *[first.alias(endpoint) for endpoint, first in firsts.items()])
-    return heads.select(symbol, F.concat_ws("\n", *blocks).alias("analyst_block"))
+                return default
+            as_text = STYLES[style] if style else _plain(present[name])
+            return F.coalesce(as_text(F.col(endpoint)[name]), default)
+
+        return F.when(F.col(endpoint).isNotNull(), render(template, shown))
+
+    blocks = [block(section, endpoint, template) for (section, endpoint), template in lines.items()]
+    return firsts.select(symbol, F.concat_ws("\n", *blocks).alias("analyst_block"))
 
 
 def symbol_contexts(placed: DataFrame, counts: DataFrame, analysts: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
@@ -215,18 +205,12 @@ def symbol_contexts(placed: DataFrame, counts: DataFrame, analysts: DataFrame, l
 
 def fill_template(template: str = JUDGMENT_TEMPLATE) -> Column:
     """The judgment prompt from ``news_block``, ``sentiment_block`` and
-    ``analyst_block``. Text inside the blocks is never read as a placeholder."""
-    blocks = {"news": "news_block", "labels": "sentiment_block", "analysts": "analyst_block"}
-    parts, rest = [], template
-    while rest:
-        found = [(rest.index("{%s}" % name), name) for name in blocks if "{%s}" % name in rest]
-        if not found:
-            parts.append(F.lit(rest))
-            break
-        at, name = min(found)
-        parts += [F.lit(rest[:at]), F.col(blocks[name])]
-        rest = rest[at + len(name) + 2:]
-    return F.concat(*parts)
+    ``analyst_block``. Other braces stay as they are, and text inside the
+    blocks is never read as a placeholder."""
+    blocks = {"{news}": "news_block", "{labels}": "sentiment_block", "{analysts}": "analyst_block"}
+    return render(
+        template, lambda found: F.col(blocks[found.group()]) if found.group() in blocks else F.lit(found.group())
+    )
 
 
 def judge(
