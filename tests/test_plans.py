@@ -56,3 +56,26 @@ def test_attach_matches_null_keys(spark):
     sizes = rows.groupBy("k").agg(F.count("*").alias("n"))
     for limit in (0, 10):
         assert lk.attach(rows, sizes, ["k"], max_rows=limit).count() == 2
+
+
+def test_a_hot_key_is_split_beyond_the_broadcast(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        hot = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 997)
+        rows = spark.range(300_000, numPartitions=16).select(hot.alias("k"), F.hash("id").alias("h"), F.xxhash64("id").alias("x"))
+        joined = lk.attach(rows, rows.groupBy("k").agg(F.max("h").alias("m")), ["k"], max_rows=1)
+        assert len(joined.collect()) == 300_000
+        assert "SortMergeJoin(skew=true)" in plan(joined)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
