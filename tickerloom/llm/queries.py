@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import mixing
+from tickerloom.llm import impact, mixing, pii, tree
 
 QUERIES = {
+    "op1_topk": impact.op1_topk,
     "op2_mix": mixing.op2_mix,
+    "op3_pii": pii.op3_pii,
+    "op10_ann": tree.op10_ann,
 }
 
 SQL = {
+    "op1_topk": impact.SQL,
     "op2_mix": mixing.SQL,
 }
