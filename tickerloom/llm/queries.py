@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import impact, language, mixing, pii, tree
+from tickerloom.llm import impact, language, mixing, pii, tree, unigram
 
 QUERIES = {
     "op1_topk": impact.op1_topk,
     "op2_mix": mixing.op2_mix,
     "op3_pii": pii.op3_pii,
     "op4_langid": language.op4_langid,
+    "op9_pieces": unigram.op9_pieces,
     "op10_ann": tree.op10_ann,
 }
 
