@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import impact, jaccard, language, mixing, pii, substring, tree, unigram
+from tickerloom.llm import impact, jaccard, language, mixing, ngrams, pii, substring, tree, unigram
 
 QUERIES = {
     "op1_topk": impact.op1_topk,
     "op2_mix": mixing.op2_mix,
     "op3_pii": pii.op3_pii,
     "op4_langid": language.op4_langid,
+    "op5_lm": ngrams.op5_lm,
     "op7_jaccard": jaccard.op7_jaccard,
     "op8_substring": substring.op8_substring,
     "op9_pieces": unigram.op9_pieces,
