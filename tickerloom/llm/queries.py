@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import impact, jaccard, language, mixing, ngrams, pii, substring, tree, unigram
+from tickerloom.llm import impact, jaccard, language, mixing, ngrams, pages, pii, substring, tree, unigram
 
 QUERIES = {
     "op1_topk": impact.op1_topk,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_langid": language.op4_langid,
     "op5_lm": ngrams.op5_lm,
+    "op6_extract": pages.op6_extract,
     "op7_jaccard": jaccard.op7_jaccard,
     "op8_substring": substring.op8_substring,
     "op9_pieces": unigram.op9_pieces,
