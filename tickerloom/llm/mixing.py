@@ -88,7 +88,7 @@ def mix_sources(
     )
 
     def finish(copy: Column) -> Column:
-        return (copy * F.col("source_size") + F.col("upto")) / F.col("target")
+        return F.try_divide(copy * F.col("source_size") + F.col("upto"), F.col("target"))
 
     copies = (
         placed.where("size > 0 AND target > 0")
