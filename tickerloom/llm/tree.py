@@ -111,8 +111,8 @@ def _assigner(tree: KMeansTree, width: int):
     return assign
 
 
-def _visitor(tree: KMeansTree, width: int, visits: int, edge: np.ndarray, queries: int):
-    """Sends each query to the tiles that hold a leaf it visits. ``edge``: first row number of each leaf, and the end."""
+def _visitor(tree: KMeansTree, width: int, visits: int, edge: np.ndarray, size: int):
+    """Sends each query to the tiles that hold a leaf it visits. ``edge``: first row number of each leaf, and the end; ``size``: rows of a tile."""
 
     def visit(batches):
         for batch in batches:
@@ -121,7 +121,7 @@ def _visitor(tree: KMeansTree, width: int, visits: int, edge: np.ndarray, querie
             for i, query in enumerate(asked):
                 leaves = np.array(tree.visits(query, visits), np.int64)
                 leaves = np.sort(leaves[edge[leaves + 1] > edge[leaves]])
-                of = [np.arange(edge[x] // vec.BLOCK_ROWS, (edge[x + 1] - 1) // vec.BLOCK_ROWS + 1) for x in leaves]
+                of = [np.arange(edge[x] // size, (edge[x + 1] - 1) // size + 1) for x in leaves]
                 tile = np.unique(np.concatenate(of)) if of else np.zeros(0, np.int64)
                 rows += [i] * len(tile)
                 tiles.append(tile)
@@ -208,7 +208,7 @@ def nearest(table: DataFrame, *, every: int = EVERY, k: int = TOP, recall: float
     query_blocks = asked.agg(vec.blocks(F.count("*"), vec.BLOCK_QUERIES)).scalar()
     left = indexed.withColumn("tile", tile).withColumn("q", F.explode(F.sequence(F.lit(0), query_blocks - 1)))
     right = asked.withColumn("q", vec.slot(query_blocks)).mapInArrow(
-        _visitor(tree, width, visits, edge, vec.BLOCK_QUERIES), "vec_id long, v array<float>, q int, tile long, leaves binary"
+        _visitor(tree, width, visits, edge, vec.BLOCK_ROWS), "vec_id long, v array<float>, q int, tile long, leaves binary"
     )
     found = left.groupBy("tile", "q").cogroup(right.groupBy("tile", "q")).applyInArrow(_search(k, tree.leaves), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
