@@ -131,21 +131,23 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, chars: int = FIT_
     return KernelClassifier(ngram_codes(sample["text"].combine_chunks()) if sample.num_rows else [], sample["lang"].to_pylist())
 
 
-def with_language(docs: DataFrame, model: KernelClassifier) -> DataFrame:
-    """``docs`` with lang_pred and score, worked out from the text alone; see :func:`identify`."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("t"))
-    row_type = texts.schema["row"].dataType.simpleString()
+def with_language(docs: DataFrame, model: KernelClassifier, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (default: all), with lang_pred and score, worked out from the text alone; see :func:`identify`."""
+    arrays.bounded_batches(docs.sparkSession)
+    names = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
+    text = F.col("text").cast("string")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text.alias("t"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("known"))
+    row_type = packed.schema["row"].dataType.simpleString()
 
     def classify(batches):
         for batch in arrays.pieces(batches, "t"):
-            known = np.asarray(batch["t"].is_valid()) & bool(model.languages)
+            known = batch["known"].to_numpy(zero_copy_only=False) & bool(model.languages)
             found, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
             if known.any():
                 found[known], score[known] = model.predict(ngram_codes(batch["t"].filter(pa.array(known))))
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(found, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
 
-    return texts.mapInArrow(classify, f"row {row_type}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+    return packed.mapInArrow(classify, f"row {row_type}, lang_pred string, score double").select("row.*", "lang_pred", "score")
 
 
 def identify(docs: DataFrame, *, folds: int = 4, held_out: int = 2) -> DataFrame:
@@ -161,7 +163,7 @@ def identify(docs: DataFrame, *, folds: int = 4, held_out: int = 2) -> DataFrame
     """
     rows = docs.select("doc_id", "text", "lang").withColumn("held_out", _in_fold(F.col("doc_id"), folds) == held_out)
     model = fit(rows.where(~F.col("held_out")).select("text", "lang"))
-    return with_language(rows.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return with_language(rows, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:
