@@ -117,11 +117,20 @@ def _in_fold(column: Column, of: int) -> Column:
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, chars: int = FIT_CHARS) -> KernelClassifier:
-    """Fit on at most ``per_language`` rows of (text, lang) per language, the first by a hash of the text, none longer than ``chars``."""
+    """Fit on at most ``per_language`` rows per language, none longer than ``chars`` characters.
+
+    Rows with text and lang are taken in the order of a hash of all their columns.
+    Each language's rows are first thinned by that hash to a few times the number
+    wanted, so that the ranking sees as many rows whatever the table's size.
+    """
+    known = labelled.where(F.col("lang").isNotNull())
+    sizes = known.groupBy("lang").count().agg(F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("m"))
+    place = F.xxhash64(*[F.col(f"`{c}`") for c in labelled.columns])
     order = Window.partitionBy("lang").orderBy("h", "text")
     sample = (
-        labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= chars))
-        .select("text", "lang", F.xxhash64("text").alias("h"))
+        known.select("text", "lang", place.alias("h"))
+        .where((F.col("h") / 2.0**64 + 0.5) * F.element_at(sizes.scalar(), F.col("lang")) <= 4 * per_language)
+        .where(F.col("text").rlike(r"\p{L}") & (F.length("text") <= chars))
         .withColumn("n", F.row_number().over(order))
         .where(F.col("n") <= per_language)
         .orderBy("h", "lang")
@@ -162,7 +171,7 @@ def identify(docs: DataFrame, *, folds: int = 4, held_out: int = 2) -> DataFrame
     those named like the results, play no part.
     """
     rows = docs.select("doc_id", "text", "lang").withColumn("held_out", _in_fold(F.col("doc_id"), folds) == held_out)
-    model = fit(rows.where(~F.col("held_out")).select("text", "lang"))
+    model = fit(rows.where(~F.col("held_out")).select("doc_id", "text", "lang"))
     return with_language(rows, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
