@@ -20,95 +20,240 @@ ANALYSIS = (
 )
 
 
-def _typed(names: str, kind: str) -> dict[str, str]:
-    return dict.fromkeys(names.split(), kind)
-
-
-def _horizons(pattern: str, names: str, kind: str) -> dict[str, str]:
-    return {pattern.format(n): kind for n in names.split()}
-
-
-_SYMBOL = {"symbol": "string"}
-_DATED = _SYMBOL | {"date": "string"}
-_PERIOD = _DATED | {"period": "string"}
-_GRADE = _DATED | _typed("gradingCompany previousGrade newGrade action", "string")
-
 # fixed values: fields kept of each endpoint's records, by section
 ENDPOINT_FIELDS: dict[str, dict[str, dict[str, str]]] = {
     "analyst": {
-        "grades_consensus": _SYMBOL | _typed("strongBuy buy hold sell strongSell", "bigint"),
-        "price_target_consensus": _SYMBOL | _horizons("target{}", "High Low Consensus Median", "double"),
-        "analyst_estimates": _DATED
-        | _horizons("estimatedRevenue{}", "Low High Avg", "double")
-        | _horizons("estimatedEps{}", "Low High Avg", "double")
-        | {"estimatedEbitdaAvg": "double"}
-        | _typed("numberAnalystEstimatedRevenue numberAnalystsEstimatedEps", "bigint"),
-        "stock_grades": _GRADE,
-        "stock_grades_historical": _GRADE,
-        "price_target_summary": _SYMBOL
-        | _horizons("{}", "lastMonth lastQuarter lastYear allTime", "bigint")
-        | _horizons("{}AvgPriceTarget", "lastMonth lastQuarter lastYear allTime", "double"),
+        "grades_consensus": {
+            "symbol": "string",
+            "strongBuy": "bigint",
+            "buy": "bigint",
+            "hold": "bigint",
+            "sell": "bigint",
+            "strongSell": "bigint",
+        },
+        "price_target_consensus": {
+            "symbol": "string",
+            "targetHigh": "double",
+            "targetLow": "double",
+            "targetConsensus": "double",
+            "targetMedian": "double",
+        },
+        "analyst_estimates": {
+            "symbol": "string",
+            "date": "string",
+            "estimatedRevenueLow": "double",
+            "estimatedRevenueHigh": "double",
+            "estimatedRevenueAvg": "double",
+            "estimatedEpsLow": "double",
+            "estimatedEpsHigh": "double",
+            "estimatedEpsAvg": "double",
+            "estimatedEbitdaAvg": "double",
+            "numberAnalystEstimatedRevenue": "bigint",
+            "numberAnalystsEstimatedEps": "bigint",
+        },
+        "stock_grades": {
+            "symbol": "string",
+            "date": "string",
+            "gradingCompany": "string",
+            "previousGrade": "string",
+            "newGrade": "string",
+            "action": "string",
+        },
+        "stock_grades_historical": {
+            "symbol": "string",
+            "date": "string",
+            "gradingCompany": "string",
+            "previousGrade": "string",
+            "newGrade": "string",
+            "action": "string",
+        },
+        "price_target_summary": {
+            "symbol": "string",
+            "lastMonth": "bigint",
+            "lastMonthAvgPriceTarget": "double",
+            "lastQuarter": "bigint",
+            "lastQuarterAvgPriceTarget": "double",
+            "lastYear": "bigint",
+            "lastYearAvgPriceTarget": "double",
+            "allTime": "bigint",
+            "allTimeAvgPriceTarget": "double",
+        },
     },
     "fundamental": {
-        "key_metrics_ttm": _SYMBOL | _horizons(
-            "{}TTM",
-            "peRatio pbRatio evToEbitda evToSales priceToSalesRatio priceToFreeCashFlowsRatio roe roic "
-            "returnOnTangibleAssets debtToEquity netDebtToEBITDA freeCashFlowPerShare dividendYield "
-            "earningsYield freeCashFlowYield revenuePerShare netIncomePerShare marketCap enterpriseValue",
-            "double",
-        ),
-        "financial_ratios_ttm": _SYMBOL | _horizons(
-            "{}TTM",
-            "grossProfitMargin operatingProfitMargin netProfitMargin returnOnAssets returnOnEquity "
-            "currentRatio quickRatio debtRatio debtEquityRatio interestCoverage assetTurnover "
-            "dividendYield payoutRatio priceEarningsRatio priceToBookRatio priceToSalesRatio "
-            "freeCashFlowPerShare",
-            "double",
-        ),
-        "financial_statement_growth": _PERIOD | _typed(
-            "revenueGrowth grossProfitGrowth operatingIncomeGrowth netIncomeGrowth epsgrowth "
-            "freeCashFlowGrowth operatingCashFlowGrowth dividendsperShareGrowth "
-            "revenueGrowth3Y netIncomeGrowth3Y epsgrowth3Y",
-            "double",
-        ),
-        "income_statement_annual": _PERIOD | _typed(
-            "revenue grossProfit operatingIncome netIncome eps epsDiluted ebitda grossProfitRatio "
-            "operatingIncomeRatio netIncomeRatio researchAndDevelopmentExpenses weightedAverageShsOut",
-            "double",
-        ),
-        "cash_flow_statement_annual": _PERIOD | _typed(
-            "operatingCashFlow capitalExpenditure freeCashFlow netCashProvidedByOperatingActivities "
-            "netCashUsedForInvestingActivites netCashUsedProvidedByFinancingActivities "
-            "cashAtEndOfPeriod dividendsPaid commonStockRepurchased",
-            "double",
-        ),
+        "key_metrics_ttm": {
+            "symbol": "string",
+            "peRatioTTM": "double",
+            "pbRatioTTM": "double",
+            "evToEbitdaTTM": "double",
+            "evToSalesTTM": "double",
+            "priceToSalesRatioTTM": "double",
+            "priceToFreeCashFlowsRatioTTM": "double",
+            "roeTTM": "double",
+            "roicTTM": "double",
+            "returnOnTangibleAssetsTTM": "double",
+            "debtToEquityTTM": "double",
+            "netDebtToEBITDATTM": "double",
+            "freeCashFlowPerShareTTM": "double",
+            "dividendYieldTTM": "double",
+            "earningsYieldTTM": "double",
+            "freeCashFlowYieldTTM": "double",
+            "revenuePerShareTTM": "double",
+            "netIncomePerShareTTM": "double",
+            "marketCapTTM": "double",
+            "enterpriseValueTTM": "double",
+        },
+        "financial_ratios_ttm": {
+            "symbol": "string",
+            "grossProfitMarginTTM": "double",
+            "operatingProfitMarginTTM": "double",
+            "netProfitMarginTTM": "double",
+            "returnOnAssetsTTM": "double",
+            "returnOnEquityTTM": "double",
+            "currentRatioTTM": "double",
+            "quickRatioTTM": "double",
+            "debtRatioTTM": "double",
+            "debtEquityRatioTTM": "double",
+            "interestCoverageTTM": "double",
+            "assetTurnoverTTM": "double",
+            "dividendYieldTTM": "double",
+            "payoutRatioTTM": "double",
+            "priceEarningsRatioTTM": "double",
+            "priceToBookRatioTTM": "double",
+            "priceToSalesRatioTTM": "double",
+            "freeCashFlowPerShareTTM": "double",
+        },
+        "financial_statement_growth": {
+            "symbol": "string",
+            "date": "string",
+            "period": "string",
+            "revenueGrowth": "double",
+            "grossProfitGrowth": "double",
+            "operatingIncomeGrowth": "double",
+            "netIncomeGrowth": "double",
+            "epsgrowth": "double",
+            "freeCashFlowGrowth": "double",
+            "operatingCashFlowGrowth": "double",
+            "dividendsperShareGrowth": "double",
+            "revenueGrowth3Y": "double",
+            "netIncomeGrowth3Y": "double",
+            "epsgrowth3Y": "double",
+        },
+        "income_statement_annual": {
+            "symbol": "string",
+            "date": "string",
+            "period": "string",
+            "revenue": "double",
+            "grossProfit": "double",
+            "operatingIncome": "double",
+            "netIncome": "double",
+            "eps": "double",
+            "epsDiluted": "double",
+            "ebitda": "double",
+            "grossProfitRatio": "double",
+            "operatingIncomeRatio": "double",
+            "netIncomeRatio": "double",
+            "researchAndDevelopmentExpenses": "double",
+            "weightedAverageShsOut": "double",
+        },
+        "cash_flow_statement_annual": {
+            "symbol": "string",
+            "date": "string",
+            "period": "string",
+            "operatingCashFlow": "double",
+            "capitalExpenditure": "double",
+            "freeCashFlow": "double",
+            "netCashProvidedByOperatingActivities": "double",
+            "netCashUsedForInvestingActivites": "double",
+            "netCashUsedProvidedByFinancingActivities": "double",
+            "cashAtEndOfPeriod": "double",
+            "dividendsPaid": "double",
+            "commonStockRepurchased": "double",
+        },
     },
     "valuation": {
-        "ratings_snapshot": _DATED | {"rating": "string", "ratingScore": "bigint"}
-        | _horizons("ratingDetails{}Score", "DCF ROE ROA DE PE PB", "bigint")
-        | _horizons("ratingDetails{}Recommendation", "DCF ROE ROA DE PE PB", "string"),
-        "financial_scores": _SYMBOL | _typed(
-            "altmanZScore piotroskiScore workingCapital totalAssets retainedEarnings ebit marketCap "
-            "totalLiabilities revenue",
-            "double",
-        ),
-        "dcf_valuation": _DATED | _typed("dcf stockPrice", "double"),
-        "enterprise_values": _DATED | _typed(
-            "stockPrice numberOfShares marketCapitalization minusCashAndCashEquivalents addTotalDebt "
-            "enterpriseValue",
-            "double",
-        ),
-        "owner_earnings": _DATED | _typed(
-            "averagePPE maintenanceCapex ownersEarnings growthCapex ownersEarningsPerShare", "double"
-        ),
+        "ratings_snapshot": {
+            "symbol": "string",
+            "date": "string",
+            "rating": "string",
+            "ratingScore": "bigint",
+            "ratingDetailsDCFScore": "bigint",
+            "ratingDetailsDCFRecommendation": "string",
+            "ratingDetailsROEScore": "bigint",
+            "ratingDetailsROERecommendation": "string",
+            "ratingDetailsROAScore": "bigint",
+            "ratingDetailsROARecommendation": "string",
+            "ratingDetailsDEScore": "bigint",
+            "ratingDetailsDERecommendation": "string",
+            "ratingDetailsPEScore": "bigint",
+            "ratingDetailsPERecommendation": "string",
+            "ratingDetailsPBScore": "bigint",
+            "ratingDetailsPBRecommendation": "string",
+        },
+        "financial_scores": {
+            "symbol": "string",
+            "altmanZScore": "double",
+            "piotroskiScore": "double",
+            "workingCapital": "double",
+            "totalAssets": "double",
+            "retainedEarnings": "double",
+            "ebit": "double",
+            "marketCap": "double",
+            "totalLiabilities": "double",
+            "revenue": "double",
+        },
+        "dcf_valuation": {
+            "symbol": "string",
+            "date": "string",
+            "dcf": "double",
+            "stockPrice": "double",
+        },
+        "enterprise_values": {
+            "symbol": "string",
+            "date": "string",
+            "stockPrice": "double",
+            "numberOfShares": "double",
+            "marketCapitalization": "double",
+            "minusCashAndCashEquivalents": "double",
+            "addTotalDebt": "double",
+            "enterpriseValue": "double",
+        },
+        "owner_earnings": {
+            "symbol": "string",
+            "date": "string",
+            "averagePPE": "double",
+            "maintenanceCapex": "double",
+            "ownersEarnings": "double",
+            "growthCapex": "double",
+            "ownersEarningsPerShare": "double",
+        },
     },
     "market_context": {
-        "sector_pe_snapshot": _typed("date sector exchange", "string") | {"pe": "double"},
-        "treasury_rates": {"date": "string"}
-        | _horizons("month{}", "1 3 6", "double")
-        | _horizons("year{}", "1 2 5 10 30", "double"),
-        "earnings_report": _DATED | _typed("eps epsEstimated revenue revenueEstimated", "double")
-        | {"period": "string"},
+        "sector_pe_snapshot": {
+            "date": "string",
+            "sector": "string",
+            "exchange": "string",
+            "pe": "double",
+        },
+        "treasury_rates": {
+            "date": "string",
+            "month1": "double",
+            "month3": "double",
+            "month6": "double",
+            "year1": "double",
+            "year2": "double",
+            "year5": "double",
+            "year10": "double",
+            "year30": "double",
+        },
+        "earnings_report": {
+            "symbol": "string",
+            "date": "string",
+            "eps": "double",
+            "epsEstimated": "double",
+            "revenue": "double",
+            "revenueEstimated": "double",
+            "period": "string",
+        },
     },
 }
 SHARED_ENDPOINTS = ("sector_pe_snapshot", "treasury_rates")
