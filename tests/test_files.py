@@ -101,10 +101,32 @@ def test_document_sink_round_trip(spark, tmp_path):
     read = landing.read_analyses(spark, str(tmp_path / "AA.json")).drop("file")
     assert read.first().symbol == "AA" and read.first().sentiment_by_date == {"2026-04-01": {"Growth": 1}}
     target = str(tmp_path / "docs")
-    sinks.write_documents(read, target)
-    assert (tmp_path / "docs" / "_symbol=AA").exists()
-    back = landing.read_analyses(spark, target).drop("file")
-    assert [r.asDict(True) for r in back.collect()] == [r.asDict(True) for r in read.collect()]
+    dated = read.withColumn("meta", F.col("meta").withField("analysis_date", F.lit("2026-04-02T01:00:00")))
+    sinks.write_documents(dated, target)
+    assert (tmp_path / "docs" / "symbol=AA" / "model=m" / "run_date=2026-04-02").exists()
+    back = landing.read_documents(spark, target).drop("model", "run_date")
+    assert [r.asDict(True) for r in back.collect()] == [r.asDict(True) for r in dated.select(back.columns).collect()]
+
+
+def test_digits_of_a_ticker_stay_text(spark, tmp_path):
+    news = spark.createDataFrame([("005930", "t", "260402"), ("0700", "t", "260402")], "ticker string, title string, crawl_date string")
+    target = str(tmp_path / "out")
+    sinks.write_news(news, target)
+    assert sorted(rows(landing.read_partitioned(spark, target), "ticker", "crawl_date")) == [("005930", "260402"), ("0700", "260402")]
+    assert landing.read_partitioned(spark, target, "005930").count() == 1
+
+
+def test_rows_of_the_newest_file(spark):
+    news = spark.createDataFrame(
+        [("A", "260401", "f1", 1), ("A", "260402", "f2", 2), ("A", "260402", "f2", 3), ("B", "260401", "f3", 4)],
+        "file_symbol string, file_stamp string, file string, n int",
+    )
+    assert sorted(n for (n,) in rows(landing.newest_files(news), "n")) == [2, 3, 4]
+
+
+def test_model_name_is_no_pattern(spark):
+    df = spark.createDataFrame([("/d/A_analysis_m.1_0401.json",), ("/d/A_analysis_mx1_0401.json",)], "p string")
+    assert [x for (x,) in rows(df, landing.is_dated_analysis(F.col("p"), "m.1"))] == [True, False]
 
 
 FUNDAMENTALS = {
@@ -177,11 +199,13 @@ def test_feed(spark, tmp_path):
     (tmp_path / "feed.xml").write_text(
         "<rss><channel><title>c</title>"
         "<item><title>A &amp; B</title><link>http://x/1</link><pubDate>Tue, 31 Mar 2026 07:00:00 GMT</pubDate></item>"
-        "<item><title>C</title><link>http://x/2</link><pubDate>Wed, 01 Apr 2026 07:00:00 GMT</pubDate></item>"
+        "<item><title>C</title><link>http://x/2</link><pubDate>Wed, 01 Apr 2026 07:00 GMT</pubDate></item>"
+        "<item><title>E</title><link>http://x/3</link><pubDate>soon</pubDate></item>"
         "</channel></rss>"
     )
     assert sorted(rows(landing.read_feed(spark, str(tmp_path)))) == [
-        ("A & B", "http://x/1", datetime(2026, 3, 31, 7)), ("C", "http://x/2", datetime(2026, 4, 1, 7)),
+        ("A & B", "http://x/1", datetime(2026, 3, 31, 7), False), ("C", "http://x/2", datetime(2026, 4, 1, 7), False),
+        ("E", "http://x/3", None, True),
     ]
 
 

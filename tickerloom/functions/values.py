@@ -33,8 +33,8 @@ def rounded(value: Column, digits: int) -> Column:
 
 
 def exact(value: Column) -> Column:
-    """Six decimals, exactly added; not-a-number counts as missing."""
-    return F.when(~F.isnan(value), value).cast("decimal(28,6)")
+    """Six decimals, exactly added; not-a-number and infinity count as missing."""
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value).cast("decimal(28,6)")
 
 
 def exact_sum(value: Column) -> Column:
@@ -106,18 +106,19 @@ def lenient_timestamp(text: Column) -> Column:
 
 # fixed values: month names of feed dates
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
-FEED_DATE = r"(\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{2}:\d{2}:\d{2})"
+FEED_DATE = r"(\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{2}:\d{2})(:\d{2})?"
 
 
 def feed_timestamp(text: Column) -> Column:
     """``Tue, 31 Mar 2026 07:00:00 GMT`` -> wall clock, zone dropped.
 
-    Put together as an ISO text, so that the session's zone plays no part.
+    Weekday and seconds may be left out, as the format allows. Put together as an ISO text, so that the session's zone plays no part.
     """
     month_numbers = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, f"{i:02d}")])
-    day, month, year, clock = (F.regexp_extract(text, FEED_DATE, i) for i in range(1, 5))
+    day, month, year, clock, seconds = (F.regexp_extract(text, FEED_DATE, i) for i in range(1, 6))
+    seconds = F.when(seconds == "", F.lit(":00")).otherwise(seconds)
     date = F.concat(year, F.lit("-"), F.try_element_at(month_numbers, month), F.lit("-"), F.lpad(day, 2, "0"))
-    return lenient_timestamp(F.concat(date, F.lit(" "), clock))
+    return lenient_timestamp(F.concat(date, F.lit(" "), clock, seconds))
 
 
 def wall_clock(ts: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -43,10 +44,35 @@ def read_analyses(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return docs.select(F.col("meta.symbol").alias("symbol"), *schema.names, F.col("_metadata.file_path").alias("file"))
 
 
+def read_documents(spark: SparkSession, path: str, symbol: str | None = None, model: str | None = None, run_date: str | None = None) -> DataFrame:
+    """Documents written by ``sinks.write_documents``, every one of them; the filters prune folders."""
+    keys = {"symbol": symbol, "model": model, "run_date": run_date}
+    schema = T.StructType.fromDDL(schemas.ANALYSIS + ", symbol string, model string, run_date string")
+    rows = spark.read.schema(schema).parquet(path)
+    for name, value in keys.items():
+        if value is not None:
+            rows = rows.where(F.col(name) == value)
+    return rows.select("symbol", "model", "run_date", *T.StructType.fromDDL(schemas.ANALYSIS).names)
+
+
+def newest_files(rows: DataFrame, symbol: str = "file_symbol", stamp: str = "file_stamp") -> DataFrame:
+    """The rows of ``read_news`` from each symbol's latest file.
+
+    One small row per symbol and file goes into the aggregate and comes back by
+    a join; paths are never collected.
+    """
+    files = rows.groupBy(symbol, "file").agg(F.max(stamp).alias("_stamp"))
+    newest = files.groupBy(symbol).agg(F.max(F.struct("_stamp", "file")).alias("_newest")).select(
+        F.col(symbol).alias("_symbol"), F.col("_newest.file").alias("_file")
+    )
+    return rows.join(newest, (F.col(symbol) == F.col("_symbol")) & (F.col("file") == F.col("_file")), "left_semi")
+
+
 def read_feed(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Feed items of landed XML files."""
+    """Feed items of landed XML files. ``unread_date`` marks items whose date can't be read."""
     items = spark.read.format("xml").option("rowTag", "item").schema(schemas.FEED_ITEM).load(path)
-    return items.select("title", "link", feed_timestamp(F.col("pubDate")).alias("date"))
+    date = feed_timestamp(F.col("pubDate"))
+    return items.select("title", "link", date.alias("date"), (F.col("pubDate").isNotNull() & date.isNull()).alias("unread_date"))
 
 
 def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -64,12 +90,17 @@ def is_raw_file(path: Column) -> Column:
 def is_dated_analysis(path: Column, model: str) -> Column:
     """``{symbol}_analysis_{model}_{anything}.json``; a name without the
     second underscore does not count."""
-    return F.rlike(path, F.lit(rf"/[^/]+_analysis_{model}_[^/]*\.json$"))
+    return F.rlike(path, F.lit(rf"/[^/]+_analysis_{re.escape(model)}_[^/]*\.json$"))
 
 
 def read_partitioned(spark: SparkSession, path: str, ticker: str | None = None, stamp: str | None = None) -> DataFrame:
-    """News written by ``sinks.write_news``; the filters prune folders."""
-    rows = spark.read.parquet(path)
+    """News written by ``sinks.write_news``; the filters prune folders.
+
+    Folder names are read as text: a ticker may be all digits, with zeros in front.
+    """
+    stored = spark.read.parquet(path).schema
+    typed = T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("ticker", "crawl_date") else f for f in stored])
+    rows = spark.read.schema(typed).parquet(path)
     if ticker is not None:
         rows = rows.where(F.col("ticker") == ticker)
     if stamp is not None:

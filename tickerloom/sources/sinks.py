@@ -24,6 +24,11 @@ def write_csv(df: DataFrame, path: str, by: str | None = None, mode: str = "erro
     writer.csv(path)
 
 
-def write_documents(docs: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One JSON document per line, in a folder per symbol."""
-    docs.withColumn("_symbol", F.col("symbol")).hint("rebalance", "_symbol").write.mode(mode).partitionBy("_symbol").json(path)
+def write_documents(docs: DataFrame, path: str, mode: str = "append") -> None:
+    """Nested parquet by symbol, model and day of the run; ``landing.read_documents`` reads it.
+
+    Further models and days go beside what is there with ``append``.
+    """
+    keyed = docs.withColumns({"model": F.col("meta.model"), "run_date": F.substring("meta.analysis_date", 1, 10)})
+    keys = ["symbol", "model", "run_date"]
+    keyed.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).parquet(path)
