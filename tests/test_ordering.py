@@ -39,13 +39,15 @@ def test_number_rows_spans_tasks(skewed):
     assert {(k, i): (n, t) for k, i, n, t in rows(numbered, "k", "id", "n", "total")} == expected
 
 
-def test_number_rows_without_broadcast(skewed, monkeypatch):
+def test_number_rows_without_broadcast(skewed, many_tasks):
     data, df = skewed
-    monkeypatch.setattr(od, "attach", lambda a, b, keys: __import__("tickerloom.operators.lookups", fromlist=["x"]).attach(a, b, keys, max_rows=1))
+    key = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    many_tasks.conf.set(key, "-1")
     numbered = od.number_rows(df, ["k"], [F.col("id")], "n")
     counted = {}
     for k, n in rows(numbered, "k", "n"):
         counted.setdefault(k, []).append(n)
+    many_tasks.conf.unset(key)
     assert all(sorted(ns) == list(range(1, len(ns) + 1)) for ns in counted.values())
     assert sum(map(len, counted.values())) == len(data)
 

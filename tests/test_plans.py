@@ -7,7 +7,7 @@ from tickerloom.catalog import all_queries
 from tickerloom.operators import lookups as lk
 
 SF_DIR = "/root/testdata/sf0.001"
-CALLS_A_MODEL = {"article_analysis", "cue_label", "positional_zip", "reply_id_join", "reply_unanswered", "symbol_judgment"}
+CALLS_A_MODEL = {"article_analysis", "cue_label", "positional_zip", "reply_id_join", "reply_unanswered", "symbol_judgment", "analysis_document"}
 
 
 def plan(df):
@@ -39,23 +39,21 @@ def test_small_dimensions_are_broadcast_by_size(spark):
     assert "BroadcastHashJoin" in plan(all_queries()["sector_lookup"](spark, SF_DIR))
 
 
-def test_attach_broadcasts_only_what_it_counted(spark):
-    key = "spark.sql.autoBroadcastJoinThreshold"
-    spark.conf.set(key, "-1")
-    try:
-        big = spark.range(1000).select((F.col("id") % 10).alias("k"), "id")
-        small = big.groupBy("k").agg(F.max("id").alias("m"))
-        assert "BroadcastHashJoin" in plan(lk.attach(big, small, ["k"], max_rows=10))
-        assert "SortMergeJoin" in plan(lk.attach(big, small, ["k"], max_rows=9))
-    finally:
-        spark.conf.unset(key)
+def test_attach_runs_no_job_and_broadcasts_by_size(spark):
+    big = spark.range(1000).select((F.col("id") % 10).alias("k"), "id")
+    small = big.groupBy("k").agg(F.max("id").alias("m"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("attach", "attach")
+    joined = lk.attach(big, small, ["k"])
+    assert not tracker.getJobIdsForGroup("attach")
+    joined.collect()
+    assert "BroadcastHashJoin" in plan(joined)
 
 
 def test_attach_matches_null_keys(spark):
     rows = spark.createDataFrame([(None, 1), ("a", 2)], "k string, v int")
     sizes = rows.groupBy("k").agg(F.count("*").alias("n"))
-    for limit in (0, 10):
-        assert lk.attach(rows, sizes, ["k"], max_rows=limit).count() == 2
+    assert lk.attach(rows, sizes, ["k"]).count() == 2
 
 
 def test_a_hot_key_is_split_beyond_the_broadcast(spark):
@@ -73,7 +71,7 @@ def test_a_hot_key_is_split_beyond_the_broadcast(spark):
             spark.conf.set(key, value)
         hot = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 997)
         rows = spark.range(300_000, numPartitions=16).select(hot.alias("k"), F.hash("id").alias("h"), F.xxhash64("id").alias("x"))
-        joined = lk.attach(rows, rows.groupBy("k").agg(F.max("h").alias("m")), ["k"], max_rows=1)
+        joined = lk.attach(rows, rows.groupBy("k").agg(F.max("h").alias("m")), ["k"])
         assert len(joined.collect()) == 300_000
         assert "SortMergeJoin(skew=true)" in plan(joined)
     finally:

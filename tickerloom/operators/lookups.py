@@ -7,26 +7,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickerloom.session import durable_table
-
-# A per-key table up to this many rows is sent to every executor.
-BROADCAST_ROWS = 200_000
-
-
-def attach(
-    rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Add the columns of a table that holds one row per key.
 
-    The table is written and counted first, so what it is made of is read
-    once. Up to ``max_rows`` it is broadcast and the large side does not move;
-    beyond that the join shuffles both sides and the adaptive skew join
-    splits a hot key. Null keys match each other.
+    A plain join: adaptive execution sends a small table to all executors by
+    its bytes, and splits a hot key where both sides shuffle. No job runs here.
+    Null keys match each other.
     """
-    per_key = durable_table(per_key)
-    if per_key.count() <= max_rows:
-        per_key = F.broadcast(per_key)
     renamed = per_key.withColumnsRenamed({k: f"__{k}" for k in keys})
     same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(renamed[f"__{k}"]) for k in keys])
     return rows.join(renamed, same, how).drop(*[f"__{k}" for k in keys])
