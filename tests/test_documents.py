@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tickerloom.constants import LABELS
-from tickerloom.operators import labels as lb, news as nw
+from tickerloom.operators import chunks as ch, labels as lb, news as nw
 from tickerloom.plans import daily, documents as dc
+from tickerloom.sources import landing, sinks
 
 # tasks cannot import a test module: send its functions along
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -46,33 +47,21 @@ def digest_of(members):
     return "\n".join("\n── " + day + " ──" + "".join(by_day[day]) for day in sorted(by_day))
 
 
-@pytest.fixture(params=[7, 1000])
-def page_rows(request):
-    return request.param
-
-
-def test_pages_join_to_the_whole_block(many_tasks, page_rows):
+@pytest.mark.parametrize("piece_rows", [7, 1000])
+def test_pieces_join_to_the_whole_block(many_tasks, piece_rows):
     news = make_news()
     df = many_tasks.createDataFrame(news, NEWS).repartition(5)
-    placed = dc.place_articles(nw.recent_window(df), page_rows)
-    blocks = {}
-    for symbol, page, text in sorted(rows(dc.news_blocks(placed))):
-        blocks.setdefault(symbol, []).append((page, text))
-    lists = {}
-    for symbol, page, articles in sorted(rows(dc.article_lists(placed))):
-        lists.setdefault(symbol, []).append((page, articles))
+    placed = dc.place_articles(nw.recent_window(df), piece_rows)
+    blocks = dict(rows(dc.news_blocks(placed)))
+    lists = dict(rows(dc.article_lists(placed)))
     recent = recent_of(news)
     for symbol in {r[0] for r in news}:
         members = [r for r in recent if r[0] == symbol]
-        pages = -(-len(members) // page_rows)
-        assert [p for p, _ in blocks[symbol]] == [p for p, _ in lists[symbol]] == list(range(1, pages + 1))
-        assert "\n".join(text for _, text in blocks[symbol]) == digest_of(members)
-        listed = [a for _, page in lists[symbol] for a in page]
+        assert blocks[symbol] == digest_of(members)
         newest = sorted(members, key=lambda r: (-r[2].timestamp(), r[1]))
-        assert [(a.date, a.title, a.url, a.sentiment) for a in listed] == [
+        assert [(a.date, a.title, a.url, a.sentiment) for a in lists[symbol]] == [
             (f"{r[2]:%Y-%m-%d %H:%M:%S}", r[3], r[4], r[5]) for r in newest
         ]
-        assert all(len(page) <= page_rows for _, page in lists[symbol])
 
 
 def test_sentiment_block(spark):
@@ -178,22 +167,53 @@ def test_day_run(spark):
     assert docs["BB"].investment_judgment.endswith("투자")
 
 
-def test_documents_of_a_hot_symbol_come_in_pages(many_tasks):
-    news = make_news()
+def test_one_document_and_judgment_at_any_size(many_tasks, tmp_path):
+    """2,500 recent articles of one symbol: one document, written and read back whole."""
+    start = datetime(2026, 4, 1, 8)
+    news = [("HOT", i, start + timedelta(minutes=i), f"t{i}", f"u{i}", "Growth") for i in range(2500)]
+    news += [("ONE", 9000, start, "t", "u", "Risk")]
     labelled = nw.recent_window(many_tasks.createDataFrame(news, NEWS).repartition(5))
     nothing = many_tasks.createDataFrame([], "symbol string")
-    found = {}
-    for doc in daily.build_documents(labelled, nothing, None, "m", page_rows=11).orderBy("symbol", "page").collect():
-        found.setdefault(doc.symbol, []).append(doc)
-    for symbol, members in ((s, [r for r in recent_of(news) if r[0] == s]) for s in ("HOT", "ONE")):
-        docs = found[symbol]
-        assert [d.page for d in docs] == list(range(1, -(-len(members) // 11) + 1))
-        assert {d.meta.news_count for d in docs} == {len(members)}
-        newest = sorted(members, key=lambda r: (-r[2].timestamp(), r[1]))
-        assert [a.url for d in docs for a in d.news_with_sentiment] == [r[4] for r in newest]
-        assert "\n".join(d.analyst_context.news_block for d in docs) == digest_of(members)
-        assert len({d.analyst_context.sentiment_block for d in docs}) == 1
-    assert len(found["HOT"]) > 5
+    target = str(tmp_path / "docs")
+    for model in ("m.1", "m2"):
+        sinks.write_documents(daily.build_documents(labelled, nothing, _judge, model), target)
+    back = landing.read_documents(many_tasks, target)
+    assert sorted(rows(back, "symbol", "model")) == [("HOT", "m.1"), ("HOT", "m2"), ("ONE", "m.1"), ("ONE", "m2")]
+    hot = landing.read_documents(many_tasks, target, "HOT", "m2").first()
+    assert hot.meta.news_count == 2500
+    assert [a.url for a in hot.news_with_sentiment] == [f"u{i}" for i in reversed(range(2500))]
+    assert hot.analyst_context.news_block == digest_of([r for r in news if r[0] == "HOT"])
+    assert hot.investment_judgment
+    done = back.where("model = 'm2'").select("symbol")
+    assert daily.build_documents(labelled, nothing, None, "m2", done=done).count() == 0
+
+
+def test_skipped_symbols_have_a_reason(spark):
+    symbols = spark.createDataFrame([("A",), ("B",), ("C",), ("D",)], "symbol string")
+    news = spark.createDataFrame([("A", "t", "2026-04-01"), ("B", "t", "never"), ("D", "t", "2026-04-01")], "symbol string, title string, date string")
+    done = spark.createDataFrame([("A",), ("A",)], "symbol string")
+    assert sorted(rows(daily.skipped(symbols, news, done))) == [("A", "done"), ("B", "no valid rows"), ("C", "no input")]
+
+
+def test_dropped_rows_are_counted(spark):
+    news = spark.createDataFrame(
+        [("A", " url ", "2026-04-01"), ("A", "t", "never"), ("A", "t", "2026-04-01"), ("A", None, None)], "symbol string, title string, date string"
+    )
+    assert rows(nw.dropped_rows(news)) == [("A", 4, 2, 1)]
+
+
+def test_prompts_of_repeated_and_missing_ids(spark):
+    """One story under two tickers, a null id and a null title: every row is in one prompt, once."""
+    news = spark.createDataFrame(
+        [("NVDA", "u1", "d", "T", "c", "u1"), ("MSFT", "u1", "d", "T", "c", "u1"), ("NVDA", None, None, "N", None, "u2"), ("NVDA", "u3", "d", None, "x", "u3"), ("NVDA", "u3", "d", "again", "x", "u3")],
+        "ticker string, id string, date string, title string, content string, url string",
+    )
+    found = {r.ticker: r for r in ch.chunk_prompts(news).collect()}
+    assert [x.url for x in found["MSFT"].rows] == ["u1"]
+    assert sorted(x.url for x in found["NVDA"].rows) == ["u1", "u2", "u3", "u3"]
+    lines = found["NVDA"].prompt.split("\n")
+    assert len(lines) == 4 and [x.split("]")[0] for x in lines] == [f"[ID:{i}" for i in range(4)]
+    assert any("제목:  | 본문: x" in x for x in lines)
 
 
 def _translator():

@@ -57,19 +57,20 @@ def analyst_block(spark, sf):
 
 def symbol_context(spark, sf):
     contexts = _contexts(spark, sf, _placed(spark, sf))
-    return contexts.select("symbol", "page", dc.fill_template(TEMPLATE).alias("prompt"))
+    return contexts.select("symbol", dc.fill_template(TEMPLATE).alias("prompt"))
 
 
 def symbol_judgment(spark, sf):
     judged = dc.judge(_contexts(spark, sf, _placed(spark, sf)), _verdict_by_count(), TEMPLATE)
-    return judged.select("symbol", "page", rp.verdict(F.col("judgment")).alias("verdict"), "judgment_error")
+    return judged.select("symbol", rp.verdict(F.col("judgment")).alias("verdict"), "judgment_error")
 
 
 def analysis_document(spark, sf):
     placed = _placed(spark, sf)
-    docs = dc.analysis_documents(placed, _counts(spark, sf), _contexts(spark, sf, placed), "counts-v1")
+    judged = dc.judge(_contexts(spark, sf, placed), _verdict_by_count(), TEMPLATE)
+    docs = dc.analysis_documents(placed, _counts(spark, sf), judged, "counts-v1", "2024-02-01")
     return docs.select(
-        "symbol", "page", "meta.news_period", "meta.news_count", "meta.model",
+        "symbol", "meta.analysis_date", "investment_judgment", "meta.news_period", "meta.news_count", "meta.model",
         F.to_json("sentiment_summary").alias("sentiment_summary"),
         F.to_json("sentiment_by_date").alias("sentiment_by_date"),
         F.to_json("news_with_sentiment").alias("news_with_sentiment"),
@@ -123,14 +124,14 @@ context AS (
   FROM digest d JOIN sblock s USING (symbol) LEFT JOIN ablock a USING (symbol))"""
 
 SQL = {
-    "news_digest": f"WITH {_DIGEST} SELECT symbol, 1::BIGINT AS page, news_block FROM digest",
+    "news_digest": f"WITH {_DIGEST} SELECT symbol, news_block FROM digest",
     "sentiment_block": f"WITH {RECENT_SQL}, {_SENTIMENT} SELECT symbol, sentiment_block FROM sblock",
     "analyst_block": f"WITH {ANALYST_BLOCK_SQL} SELECT symbol, analyst_block FROM ablock",
     "symbol_context": f"""WITH {_CONTEXT}
-SELECT symbol, 1::BIGINT AS page, 'News:' || news_block || {_NL} || {_NL} || 'Labels:' || {_NL} || sentiment_block
+SELECT symbol, 'News:' || news_block || {_NL} || {_NL} || 'Labels:' || {_NL} || sentiment_block
        || {_NL} || {_NL} || 'Analysts:' || {_NL} || analyst_block || {_NL} AS prompt FROM context""",
     "symbol_judgment": f"""WITH {_DIGEST}
-SELECT symbol, 1::BIGINT AS page, CASE WHEN lead > 0 THEN 'yes' WHEN lead < 0 THEN 'no' ELSE 'hold' END AS verdict,
+SELECT symbol, CASE WHEN lead > 0 THEN 'yes' WHEN lead < 0 THEN 'no' ELSE 'hold' END AS verdict,
        NULL::VARCHAR AS judgment_error FROM digest""",
     "analysis_document": f"""WITH {_CONTEXT},
 articles_json AS (
@@ -142,7 +143,9 @@ articles_json AS (
 summary AS (
   SELECT symbol, '{{' || string_agg('"' || label || '":' || n, ',' ORDER BY n DESC, newest DESC, label) || '}}' AS sentiment_summary
   FROM tally GROUP BY symbol)
-SELECT symbol, 1::BIGINT AS page, news_period, news_count, 'counts-v1' AS model, sentiment_summary, sentiment_by_date,
+SELECT symbol, '2024-02-01' AS analysis_date, '[투자 판단]' || {_NL}
+       || CASE WHEN lead > 0 THEN '투자' WHEN lead < 0 THEN '비투자' ELSE '보류' END || {_NL} || '[판단 근거]' || {_NL} || lead AS investment_judgment,
+       news_period, news_count, 'counts-v1' AS model, sentiment_summary, sentiment_by_date,
        news_with_sentiment, news_block, sentiment_block, analyst_block
 FROM context JOIN articles_json USING (symbol) JOIN summary USING (symbol)""",
 }

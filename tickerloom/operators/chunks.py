@@ -35,22 +35,32 @@ def chunk_prompts(
 ) -> DataFrame:
     """One row per (ticker, chunk): the prompt lines and the rows behind them.
 
-    Expects ``id`` (unique), ``ticker, date, title, content, url``; ``order``
-    is of ids and dates, by default of ids. Only these are numbered; the text is joined on ``id``
-    afterwards, so a large ticker's text spreads over all tasks. The ids are
-    written first: sorting reads its input twice, and ``news`` may filter on
-    the text.
+    Expects ``ticker, id, date, title, content, url``. ``id`` only orders the
+    rows, so one story may stand under several tickers, and ids may repeat or be
+    null; a missing title, date or body is empty in its line. ``order`` is of ids
+    and dates, by default of ids.
+
+    The news is written once with a number of its own; ids and dates alone are
+    sorted, and the text is joined on that number, so a large ticker's text
+    spreads over all tasks and what ``news`` filters on is read once.
     """
-    ids = durable_table(news.select("ticker", "id", "date"))
-    places = with_chunks(row_ids(ids, "ticker", order or [F.col("id")]), size)
+    written = durable_table(
+        news.select("ticker", "id", "date", "title", "content", "url", F.monotonically_increasing_id().alias("_row"))
+    )
+    places = with_chunks(
+        row_ids(written.select("ticker", "id", "date", "_row"), "ticker", [*(order or [F.col("id")]), F.col("_row")]), size
+    )
+    empty = F.lit("")
     row = F.struct(
         "row_id",
-        prompt_line(F.col("row_id"), F.coalesce(F.col("date").cast("string"), F.lit("")), F.col("title"), F.col("content")).alias("line"),
+        prompt_line(
+            F.col("row_id"), F.coalesce(F.col("date").cast("string"), empty), F.coalesce("title", empty), F.coalesce("content", empty)
+        ).alias("line"),
         "date", "url",
     )
     # at most ``size`` rows meet in one group
     return (
-        news.join(places.drop("ticker", "date"), "id")
+        written.join(places.select("_row", "row_id", "chunk"), "_row")
         .groupBy("ticker", "chunk")
         .agg(F.array_sort(F.collect_list(row)).alias("rows"))
         .select(

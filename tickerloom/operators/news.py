@@ -23,6 +23,15 @@ def valid_news(news: DataFrame) -> DataFrame:
     )
 
 
+def dropped_rows(news: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """Per symbol the rows ``valid_news`` drops, by reason; a row with both counts as junk title."""
+    junk = tx.is_junk_title(F.coalesce("title", F.lit("")))
+    unread = lenient_timestamp(F.col("date")).isNull()
+    return news.groupBy(F.col(symbol).alias("symbol")).agg(
+        F.count("*").alias("rows"), F.count_if(junk).alias("junk_titles"), F.count_if(~junk & unread).alias("unread_dates")
+    )
+
+
 def drop_noise(news: DataFrame, keywords: Sequence[str] = NOISE_KEYWORDS) -> DataFrame:
     return news.where(~tx.has_noise(F.col("content"), keywords))
 

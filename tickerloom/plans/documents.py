@@ -1,9 +1,9 @@
 """Text blocks, prompts and the nested analysis document of each symbol.
 
-Text and article lists are built in pages of at most ``page_rows`` articles.
-A symbol with fewer recent articles has exactly one page, which is the whole
-block; a symbol with millions has many, and joining their text with newlines
-in page order gives the whole block. No task ever holds more than one page.
+One document, one prompt and one judgment per symbol, whatever its size. Text
+and article lists are put together in two steps: pieces of at most
+``PIECE_ROWS`` articles, over all tasks, then the pieces of a symbol in order.
+The second step moves one row per piece.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from tickerloom.operators.lookups import attach
 from tickerloom.operators.ordering import ORDINAL, SEGMENT, lay_out
 from tickerloom.operators.scoring import ScorerFactory, score_rows
 
-PAGE_ROWS = 1000
+# Articles put together in one group; the result does not depend on it.
+PIECE_ROWS = 1000
 
 # fixed values: line formats of the text blocks
 DAY_HEADER = ("\n── ", " ──")
@@ -47,8 +48,8 @@ Answer under these headings: [핵심 요약] [전체 흐름 분석] [긍정 요
 [투자 인사이트] [투자 판단] [판단 근거]. Under [투자 판단] write 투자, 보류 or 비투자."""
 
 
-def place_articles(recent: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
-    """Pages of each recent article in the two orders the document uses.
+def place_articles(recent: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Place and piece of each recent article in the two orders the document uses.
 
     Expects ``symbol, id, date, title, url, sentiment``. ``digest``: days
     ascending; ``list``: newest first. Inside a day both go newest first.
@@ -71,26 +72,25 @@ def place_articles(recent: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
         F.coalesce(rows.over(earlier), none).alias("_earlier"),
         F.coalesce(rows.over(later), none).alias("_later"),
     )
-    page = lambda place: F.floor((place - 1) / page_rows) + 1
+    piece = lambda place: F.floor((place - 1) / piece_rows) + 1
     return (
         attach(table, starts, ["symbol", "day", SEGMENT])
         .withColumn("in_day", F.col(ORDINAL) + F.col("_shift"))
         .withColumn("digest_place", F.col("_earlier") + F.col("in_day"))
         .withColumn("list_place", F.col("_later") + F.col("in_day"))
-        .withColumn("digest_page", page(F.col("digest_place")))
-        .withColumn("list_page", page(F.col("list_place")))
+        .withColumn("digest_piece", piece(F.col("digest_place")))
+        .withColumn("list_piece", piece(F.col("list_place")))
         .drop(ORDINAL, SEGMENT, "_shift", "_earlier", "_later")
     )
 
 
 def news_blocks(placed: DataFrame) -> DataFrame:
-    """Per symbol and page: a header per day, then one line per article."""
+    """Per symbol: a header per day, then one line per article."""
     line = F.concat(F.lit("  ["), F.col("sentiment"), F.lit("] "), F.col("title"))
     header = F.concat(F.lit(DAY_HEADER[0]), day_text(F.col("day")), F.lit(DAY_HEADER[1] + "\n"))
     text = F.when(F.col("in_day") == 1, F.concat(header, line)).otherwise(line)
-    return placed.groupBy("symbol", F.col("digest_page").alias("page")).agg(
-        _joined(F.col("digest_place"), text).alias("news_block")
-    )
+    pieces = placed.groupBy("symbol", "digest_piece").agg(_joined(F.col("digest_place"), text).alias("text"))
+    return pieces.groupBy("symbol").agg(_joined(F.col("digest_piece"), F.col("text")).alias("news_block"))
 
 
 def _joined(place: Column, text: Column) -> Column:
@@ -99,19 +99,20 @@ def _joined(place: Column, text: Column) -> Column:
 
 
 def article_lists(placed: DataFrame) -> DataFrame:
-    """Per symbol and page: the articles as an array, newest first."""
+    """Per symbol: the articles as an array, newest first."""
     article = F.struct(
         F.col("list_place"), clock_text(F.col("date")).alias("date"), "title", "url", "sentiment"
     )
-    return placed.groupBy("symbol", F.col("list_page").alias("page")).agg(
-        F.transform(
-            F.array_sort(F.collect_list(article)),
-            lambda a: F.struct(
-                a["date"].alias("date"), a["title"].alias("title"), a["url"].alias("url"),
-                a["sentiment"].alias("sentiment"),
-            ),
-        ).alias("news_with_sentiment")
+    shown = F.transform(
+        F.array_sort(F.collect_list(article)),
+        lambda a: F.struct(
+            a["date"].alias("date"), a["title"].alias("title"), a["url"].alias("url"),
+            a["sentiment"].alias("sentiment"),
+        ),
     )
+    pieces = placed.groupBy("symbol", "list_piece").agg(shown.alias("articles"))
+    in_order = F.array_sort(F.collect_list(F.struct("list_piece", "articles")))
+    return pieces.groupBy("symbol").agg(F.flatten(F.transform(in_order, lambda p: p["articles"])).alias("news_with_sentiment"))
 
 
 def sentiment_blocks(counts: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
@@ -196,7 +197,7 @@ def analyst_blocks(
 
 
 def symbol_contexts(placed: DataFrame, counts: DataFrame, analysts: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
-    """The three text blocks side by side, one row per symbol and page."""
+    """The three text blocks side by side, one row per symbol."""
     per_symbol = sentiment_blocks(counts, labels).join(analysts, "symbol", "left").withColumn(
         "analyst_block", F.coalesce("analyst_block", F.lit(""))
     )
@@ -225,20 +226,15 @@ def judge(
 def analysis_documents(
     placed: DataFrame, counts: DataFrame, contexts: DataFrame, model: str, analysis_date: str | None = None,
 ) -> DataFrame:
-    """One nested document per symbol and page.
-
-    Page 1 of a symbol of ordinary size is its whole document. Statistics
-    repeat on each page; articles and digest continue. ``contexts`` may carry
-    a ``judgment``. ``analysis_date`` defaults to the time of the run.
+    """One nested document per symbol. ``contexts`` may carry a ``judgment``. ``analysis_date`` defaults to the time of the run.
     """
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
     written = F.lit(analysis_date) if analysis_date else now
     stats = news_period(counts).join(label_map(counts), "symbol").join(day_label_map(counts), "symbol")
-    pages = contexts.join(article_lists(placed), ["symbol", "page"]).join(stats, "symbol")
+    whole = contexts.join(article_lists(placed), "symbol").join(stats, "symbol")
     judgment = F.coalesce("judgment", F.lit("")) if "judgment" in contexts.columns else F.lit("")
-    return pages.select(
+    return whole.select(
         "symbol",
-        "page",
         F.struct(
             "symbol", written.alias("analysis_date"), "news_period", "news_count", F.lit(model).alias("model")
         ).alias("meta"),
