@@ -78,5 +78,9 @@ def test_slim_passes_undeclared_text(spark):
 def test_trailing_total_needs_all_periods(spark):
     df = spark.createDataFrame([("A", q, float(q)) for q in range(1, 6)] + [("B", 1, 1.0)], "s string, q int, v double")
     assert sorted(rows(fd.trailing_total(df, "s", "q", "v"), "s", "q", "ttm")) == [("A", 4, 10.0), ("A", 5, 14.0)]
+    # a missing period is a gap: no total over it, no growth across it
+    gap = spark.createDataFrame([("A", q, float(q)) for q in (1, 2, 4, 5, 6, 7)], "s string, q int, v double")
+    assert rows(fd.trailing_total(gap, "s", "q", "v"), "s", "q", "ttm") == [("A", 7, 22.0)]
+    assert dict(rows(fd.growth(gap, "s", "q", "v"), "q", "previous"))[4] is None
     growth = sorted(rows(fd.growth(df, "s", "q", "v"), "s", "q", "growth_pct"))
     assert growth[:2] == [("A", 1, None), ("A", 2, 100.0)]

@@ -10,8 +10,6 @@ from tickerloom.functions.values import day_text, exact_mean, exact_sum, rounded
 from tickerloom.operators import fundamentals as fd, ordering as od
 from tickerloom.plans import collection as cl
 
-LONGEST = ENDPOINT_LIMITS["stock_grades_historical"]
-
 
 def _endpoint(data) -> F.Column:
     return F.struct(F.lit("").alias("description"), data.alias("data"))
@@ -20,8 +18,9 @@ def _endpoint(data) -> F.Column:
 def fundamentals(spark, sf) -> DataFrame:
     """One nested document per customer with orders.
 
-    Record lists come from the customer's 20 latest orders, the longest list
-    the provider is asked for, so no list grows with the table.
+    Each endpoint lists the customer's latest orders under its own rule, as
+    many as the provider is asked for, so no list grows with the table. An order
+    is tagged with the endpoints it may be in and ranked once per endpoint.
     """
     orders = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("symbol"), "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
@@ -31,19 +30,34 @@ def fundamentals(spark, sf) -> DataFrame:
         F.max("o_totalprice").alias("hi"), F.min("o_totalprice").alias("lo"),
         rounded(exact_mean(F.col("o_totalprice")), 2).alias("mean"),
     )
-    newest = od.latest_rows(orders, ["symbol"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], LONGEST)
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    rules = {
+        "analyst_estimates": (status == "F", ENDPOINT_LIMITS["analyst_estimates"]),
+        "stock_grades": (F.lit(True), ENDPOINT_LIMITS["stock_grades"]),
+        "stock_grades_historical": (F.lit(True), ENDPOINT_LIMITS["stock_grades_historical"]),
+        "key_metrics_ttm": (status == "P", 1),
+        "ratings_snapshot": (priority == GRADES[0], 1),
+        "dcf_valuation": (priority == GRADES[1], 1),
+        "earnings_report": (status == "O", ENDPOINT_LIMITS["earnings_report"]),
+    }
+    tags = [F.when(keep, F.struct(F.lit(e).alias("endpoint"), F.lit(n).alias("most"))) for e, (keep, n) in rules.items()]
+    tagged = orders.select("*", F.inline(F.filter(F.array(*tags), lambda t: t.isNotNull())))
+    newest = od.latest_rows(
+        tagged, ["symbol", "endpoint"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], max(n for _, n in rules.values())
+    ).where("rec_no <= most")
     order = F.struct(
         "rec_no", day_text(F.col("o_orderdate")).alias("date"), F.col("o_totalprice").alias("price"),
         F.col("o_orderpriority").alias("grade"), F.col("o_orderstatus").alias("status"),
     )
-    listed = newest.groupBy("symbol").agg(F.array_sort(F.collect_list(order)).alias("latest"))
+    listed = newest.groupBy("symbol").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("endpoint") == e, order))).alias(f"latest_{e}") for e in rules
+    ])
     rows = tally.join(listed, "symbol")
 
     name = F.col("symbol").cast("string").alias("symbol")
-    latest = F.col("latest")
 
-    def some(keep, n, record):
-        return F.transform(F.slice(F.filter(latest, keep) if keep else latest, 1, n), record)
+    def some(endpoint, record):
+        return F.transform(F.col(f"latest_{endpoint}"), record)
 
     # the symbol is not repeated inside the records of the lists
     dated = lambda r, **more: F.struct(r["date"].alias("date"), *[c.alias(k) for k, c in more.items()])
@@ -58,25 +72,25 @@ def fundamentals(spark, sf) -> DataFrame:
                 name, F.col("hi").alias("targetHigh"), F.col("lo").alias("targetLow"), F.col("mean").alias("targetConsensus")
             ))).alias("price_target_consensus"),
             _endpoint(some(
-                lambda r: r["status"] == "F", ENDPOINT_LIMITS["analyst_estimates"],
+                "analyst_estimates",
                 lambda r: dated(r, estimatedRevenueAvg=r["price"] * 10000, estimatedEpsAvg=r["price"] / 1000),
             )).alias("analyst_estimates"),
-            _endpoint(some(None, ENDPOINT_LIMITS["stock_grades"], grade)).alias("stock_grades"),
-            _endpoint(some(None, LONGEST, grade)).alias("stock_grades_historical"),
+            _endpoint(some("stock_grades", grade)).alias("stock_grades"),
+            _endpoint(some("stock_grades_historical", grade)).alias("stock_grades_historical"),
         ).alias("analyst"),
         F.struct(
-            _endpoint(some(lambda r: r["status"] == "P", 1, lambda r: F.struct(r["price"].alias("peRatioTTM")))).alias("key_metrics_ttm"),
+            _endpoint(some("key_metrics_ttm", lambda r: F.struct(r["price"].alias("peRatioTTM")))).alias("key_metrics_ttm"),
         ).alias("fundamental"),
         F.struct(
             _endpoint(some(
-                lambda r: r["grade"] == GRADES[0], 1,
+                "ratings_snapshot",
                 lambda r: dated(r, rating=r["grade"], ratingScore=F.lit(None).cast("bigint")),
             )).alias("ratings_snapshot"),
-            _endpoint(some(lambda r: r["grade"] == GRADES[1], 1, lambda r: dated(r, dcf=r["price"]))).alias("dcf_valuation"),
+            _endpoint(some("dcf_valuation", lambda r: dated(r, dcf=r["price"]))).alias("dcf_valuation"),
         ).alias("valuation"),
         F.struct(
             _endpoint(some(
-                lambda r: r["status"] == "O", ENDPOINT_LIMITS["earnings_report"], lambda r: dated(r, revenue=r["price"])
+                "earnings_report", lambda r: dated(r, revenue=r["price"])
             )).alias("earnings_report"),
         ).alias("market_context"),
     )
@@ -161,7 +175,7 @@ def assembled_fundamentals(spark, sf):
         responses, sectors.where(F.col("sector") != "HOUSEHOLD"), F.lit("2024-02-01"),
         sections=COLLECTED, shared=("treasury_rates",),
     )
-    return docs.join(fd.ok_counts(docs), "symbol").select(
+    return fd.with_ok_counts(docs).select(
         "symbol", "meta.sector", "ok", "total",
         fd.first_record(docs, "analyst", "grades_consensus")["buy"].alias("buy"),
         fd.first_record(docs, "valuation", "dcf_valuation")["dcf"].alias("dcf"),
@@ -227,10 +241,12 @@ def earnings_surprise(spark, sf):
     latest = od.latest_rows(
         orders, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey")], ENDPOINT_LIMITS["earnings_report"]
     )
-    billed = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+    # only lines of the kept orders are summed; a report without any has no actual
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_extendedprice")
+    billed = lines.join(latest.select("o_orderkey"), "o_orderkey", "left_semi").groupBy("o_orderkey").agg(
         rounded(exact_sum(F.col("l_extendedprice")), 2).alias("actual")
     )
-    return latest.join(billed, "o_orderkey").select(
+    return latest.join(billed, "o_orderkey", "left").select(
         "o_custkey", "rec_no", "o_orderkey", F.col("o_totalprice").alias("estimate"), "actual",
         fd.surprise(F.col("actual"), F.col("o_totalprice")).alias("surprise_pct"),
     )
@@ -248,7 +264,7 @@ def yoy_growth(spark, sf):
 
 
 def ttm_revenue(spark, sf):
-    quarter = (F.year("l_shipdate") * 10 + F.quarter("l_shipdate")).cast("bigint")
+    quarter = (F.year("l_shipdate") * 4 + F.quarter("l_shipdate")).cast("bigint")
     quarterly = table(spark, sf, "lineitem").groupBy("l_suppkey", quarter.alias("quarter")).agg(
         rounded(exact_sum(_revenue()), 2).alias("revenue")
     )
@@ -298,26 +314,26 @@ def _plain(expr: str) -> str:
     return f"regexp_replace(CAST({expr} AS VARCHAR), '\\.0$', '')"
 
 
-_TOP20 = """top20 AS (
+_PLACED = """placed AS (
   SELECT o_custkey AS symbol, o_totalprice AS price, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderpriority AS grade,
          o_orderstatus AS status, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
-  FROM orders QUALIFY rn <= 20),
+  FROM orders),
 tally AS (
   SELECT o_custkey AS symbol, """ + ", ".join(
     f"count(*) FILTER (o_orderpriority = '{g}') AS g{i}" for i, g in enumerate(GRADES)
 ) + f""", max(o_totalprice) AS hi, min(o_totalprice) AS lo, {_round(_mean('o_totalprice'), 2)} AS mean FROM orders GROUP BY ALL)"""
-_TOP20_DOC = _TOP20.replace("tally AS", "grade_tally AS")
+_PLACED_DOC = _PLACED.replace("tally AS", "grade_tally AS")
 
 
 def _listed(where: str, n: int) -> str:
     return (
-        f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY rn) AS rec_no FROM top20 WHERE {where}) q "
+        f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY rn) AS rec_no FROM placed WHERE {where}) q "
         f"WHERE q.rec_no <= {n})"
     )
 
 
-_SYMBOLS = "(SELECT DISTINCT symbol FROM top20)"
-_RECORDS = f"""{_TOP20},
+_SYMBOLS = "(SELECT DISTINCT symbol FROM placed)"
+_RECORDS = f"""{_PLACED},
 recs AS (
   SELECT symbol, 'analyst' AS section, 'grades_consensus' AS endpoint, 1 AS rec_no, NULL AS date, g0::DOUBLE AS value FROM tally
   UNION ALL SELECT symbol, 'analyst', 'price_target_consensus', 1, NULL, hi FROM tally
@@ -332,7 +348,7 @@ ends AS (SELECT DISTINCT section, endpoint FROM recs),
 oks AS (
   SELECT symbol, count(DISTINCT endpoint) AS ok, 9::BIGINT AS total FROM recs GROUP BY symbol)"""
 
-ANALYST_BLOCK_SQL = f"""{_TOP20_DOC},
+ANALYST_BLOCK_SQL = f"""{_PLACED_DOC},
 ablock AS (
   SELECT t.symbol, concat_ws(chr(10),
     '▶ 애널리스트 등급 합산' || chr(10) || '  Strong Buy: ' || g0 || '  Buy: ' || g1 || '  Hold: ' || g2 || '  Sell: ' || g3 || '  Strong Sell: ' || g4,
@@ -359,7 +375,7 @@ UNION ALL SELECT 'period', count(json_extract(props, '$.period')), count(*) FROM
 SELECT s.symbol, e.section, e.endpoint, CAST(r.rec_no AS BIGINT) AS rec_no, r.date, r.value
 FROM {_SYMBOLS} s CROSS JOIN ends e
 LEFT JOIN recs r ON r.symbol = s.symbol AND r.endpoint = e.endpoint""",
-    "nested_first_record": f"""WITH {_TOP20}
+    "nested_first_record": f"""WITH {_PLACED}
 SELECT s.symbol, n.date, n.grade, coalesce(d.price, 0) AS dcf, 0::BIGINT AS owner_records
 FROM {_SYMBOLS} s JOIN {_listed("true", 1)} n USING (symbol) LEFT JOIN {_listed("grade = '2-HIGH'", 1)} d ON d.symbol = s.symbol""",
     "endpoint_ok_counts": f"WITH {_RECORDS} SELECT symbol, ok, total FROM oks",
@@ -421,18 +437,17 @@ WITH latest AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS rec_no FROM orders QUALIFY rec_no <= 8),
 billed AS (SELECT l_orderkey, {_round(_sum('l_extendedprice'), 2)} AS actual FROM lineitem GROUP BY l_orderkey)
 SELECT o_custkey, rec_no, o_orderkey, o_totalprice AS estimate, actual,
-       {_round('(actual - o_totalprice) / o_totalprice * 100', 2)} AS surprise_pct
-FROM latest JOIN billed ON l_orderkey = o_orderkey""",
+       CASE WHEN actual IS NOT NULL THEN {_round('(actual - o_totalprice) / o_totalprice * 100', 2)} END AS surprise_pct
+FROM latest LEFT JOIN billed ON l_orderkey = o_orderkey""",
     "yoy_growth": f"""
 WITH y AS (SELECT l_suppkey, year(l_shipdate) AS year, {_YEARLY} AS revenue FROM lineitem GROUP BY ALL),
-p AS (SELECT *, lag(revenue) OVER (PARTITION BY l_suppkey ORDER BY year) AS previous FROM y)
+p AS (SELECT y.*, b.revenue AS previous FROM y LEFT JOIN y b ON b.l_suppkey = y.l_suppkey AND b.year = y.year - 1)
 SELECT *, CASE WHEN previous <> 0 THEN {_round('(revenue - previous) / previous * 100', 2)} END AS growth_pct FROM p""",
     "ttm_revenue": f"""
-WITH q AS (SELECT l_suppkey, year(l_shipdate) * 10 + quarter(l_shipdate) AS quarter, {_YEARLY} AS revenue FROM lineitem GROUP BY ALL),
-t AS (
-  SELECT *, {_round('CAST(sum(CAST(revenue AS DECIMAL(28,6))) OVER w AS DOUBLE)', 2)} AS ttm, count(*) OVER w AS n FROM q
-  WINDOW w AS (PARTITION BY l_suppkey ORDER BY quarter ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
-SELECT l_suppkey, quarter, revenue, ttm FROM t WHERE n = 4""",
+WITH q AS (SELECT l_suppkey, year(l_shipdate) * 4 + quarter(l_shipdate) AS quarter, {_YEARLY} AS revenue FROM lineitem GROUP BY ALL)
+SELECT q.l_suppkey, q.quarter, q.revenue, {_round('CAST(sum(CAST(b.revenue AS DECIMAL(28,6))) AS DOUBLE)', 2)} AS ttm
+FROM q JOIN q b ON b.l_suppkey = q.l_suppkey AND b.quarter BETWEEN q.quarter - 3 AND q.quarter
+GROUP BY ALL HAVING count(*) = 4""",
     "sector_snapshot": f"""
 SELECT n_name AS sector, strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n, {_round(_mean('o_totalprice'), 2)} AS mean_price
 FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL""",

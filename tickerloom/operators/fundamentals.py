@@ -65,11 +65,16 @@ def flatten(df: DataFrame, symbol: str = "symbol") -> DataFrame:
     ).withColumn("rec_no", F.col("pos") + 1).drop("pos")
 
 
-def ok_counts(df: DataFrame, symbol: str = "symbol") -> DataFrame:
-    """Endpoints with data per symbol, and how many there are in all."""
+def with_ok_counts(df: DataFrame) -> DataFrame:
+    """The documents with ``ok``, their endpoints with data, and ``total``, how many there are."""
     endpoints = _endpoints(df)
     ok = sum((is_ok(records(df, s, e)).cast("bigint") for s, e, _ in endpoints), F.lit(0).cast("bigint"))
-    return df.select(symbol, ok.alias("ok"), F.lit(len(endpoints)).cast("bigint").alias("total"))
+    return df.withColumns({"ok": ok, "total": F.lit(len(endpoints)).cast("bigint")})
+
+
+def ok_counts(df: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """Endpoints with data per symbol, and how many there are in all."""
+    return with_ok_counts(df).select(symbol, "ok", "total")
 
 
 def run_summary(ok: DataFrame, sectors: DataFrame, sizes: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -191,9 +196,13 @@ def target_summary(targets: DataFrame, symbol: str, price: str, ts: str) -> Data
 # --- growth and totals over reporting periods -----------------------------------
 
 def growth(periods: DataFrame, symbol: str, period: str, value: str) -> DataFrame:
-    """Change against the period before. ``periods`` has one row per symbol
-    and reporting period, so each window is as short as the calendar."""
-    before = F.lag(value).over(Window.partitionBy(symbol).orderBy(period))
+    """Change against the period before, null where that period is missing.
+
+    ``period`` is a running number of periods, one row each and symbol, so each
+    window is as short as the calendar.
+    """
+    number = F.col(period).cast("bigint")
+    before = F.sum(value).over(Window.partitionBy(symbol).orderBy(number).rangeBetween(-1, -1))
     return periods.withColumn("previous", before).withColumn(
         "growth_pct",
         F.when(F.col("previous") != 0, rounded((F.col(value) - F.col("previous")) / F.col("previous") * 100, 2)),
@@ -201,8 +210,12 @@ def growth(periods: DataFrame, symbol: str, period: str, value: str) -> DataFram
 
 
 def trailing_total(periods: DataFrame, symbol: str, period: str, value: str, n: int = 4) -> DataFrame:
-    """Sum of the last ``n`` periods, only where all ``n`` are there."""
-    frame = Window.partitionBy(symbol).orderBy(period).rowsBetween(1 - n, 0)
+    """Sum of the last ``n`` periods, only where all ``n`` are there.
+
+    ``period`` is a running number of periods (of quarters: 4 * year + quarter),
+    so a missing one leaves a gap and not a longer span.
+    """
+    frame = Window.partitionBy(symbol).orderBy(F.col(period).cast("bigint")).rangeBetween(1 - n, 0)
     return (
         periods.withColumn("ttm", rounded(F.sum(F.col(value).cast("decimal(28,6)")).over(frame), 2))
         .withColumn("_periods", F.count("*").over(frame))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickerloom.constants import DASHBOARD_LABELS, LABELS
-from tickerloom.functions.values import day_text, exact_mean, rounded, share_percent
+from tickerloom.functions.values import day_text, exact, exact_mean, rounded, share_percent
 
 
 def label_counts(counts: DataFrame) -> DataFrame:
@@ -97,6 +97,7 @@ def news_period(counts: DataFrame) -> DataFrame:
 
 
 def mean_score(rows: DataFrame, symbol: str, score: str, digits: int = 3) -> DataFrame:
+    """Number and mean of the finite scores; others are left out of both."""
     return rows.groupBy(F.col(symbol).alias("symbol")).agg(
-        F.count(score).alias("n"), rounded(exact_mean(F.col(score)), digits).alias("mean_score")
+        F.count(exact(F.col(score))).alias("n"), rounded(exact_mean(F.col(score)), digits).alias("mean_score")
     )

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickerloom.operators.lookups import look_up, to_do
+from tickerloom.operators.ordering import latest_rows
 from tickerloom.schemas import ENDPOINT_FIELDS, SHARED_ENDPOINTS, record_type
 
 Sections = Mapping[str, Mapping[str, Mapping[str, str]]]
@@ -26,16 +27,20 @@ def assemble(
     """Documents from ``responses``: symbol, endpoint, body, at.
 
     The latest body per symbol and endpoint counts. Shared endpoints have a
-    null symbol; each is read once and put beside every symbol.
+    null symbol; all are read at once and put beside every symbol.
     """
     described = descriptions or {}
     own = [e for members in sections.values() for e in members if e not in shared]
-    newest = responses.groupBy("symbol", "endpoint").agg(F.max_by("body", "at").alias("body"))
+    # each task keeps one body per symbol and endpoint before the shuffle
+    newest = latest_rows(responses, ["symbol", "endpoint"], [F.col("at").desc()], 1, "_place")
     # at most one row per endpoint and symbol is left to turn
     wide = newest.where(F.col("symbol").isNotNull()).groupBy("symbol").pivot("endpoint", own).agg(F.first("body"))
+    common = latest_rows(
+        responses.where(F.col("symbol").isNull() & F.col("endpoint").isin(*shared)), ["endpoint"], [F.col("at").desc()], 1, "_place"
+    ).agg(F.map_from_entries(F.collect_list(F.struct("endpoint", "body"))))
+    wide = wide.withColumn("_shared", common.scalar())
     for endpoint in shared:
-        body = responses.where(F.col("symbol").isNull() & (F.col("endpoint") == endpoint)).agg(F.max_by("body", "at"))
-        wide = wide.withColumn(endpoint, body.scalar())
+        wide = wide.withColumn(endpoint, F.try_element_at("_shared", F.lit(endpoint)))
     placed = look_up(wide, sectors, "symbol", "sector", F.lit(""))
     return placed.select(
         "symbol",
