@@ -37,7 +37,8 @@ def test_strip_boilerplate_keeps_order_and_cuts_to_the_end(spark):
         "Cookie settings stay because the closing word is missing",
         "start", "x", "", "a\n\nb\n\nc", "keep", "Sign up for ſree", "", "", "", "plain é text", "y" * 3001,
     ]
-    assert len(one(spark, "y" * 3001, lambda c: tx.article_head(tx.strip_boilerplate(c)))) == 3000
+    assert len(one(spark, "y" * 3001, lambda c: tx.article_head(tx.strip_boilerplate(c), 3000))) == 3000
+    assert len(one(spark, "y" * 3001, tx.article_head)) == 3001
 
 
 def test_boilerplate_guard_changes_nothing(spark):
@@ -75,9 +76,11 @@ def test_junk_title(spark):
 
 def test_classifier_input(spark):
     df = spark.createDataFrame([("T", "é" * 801, False), ("T", "body", True)], "t string, c string, only boolean")
-    assert [p for (p,) in rows(df, tx.classifier_input(F.col("t"), F.col("c"), F.col("only")))] == [
+    assert [p for (p,) in rows(df, tx.classifier_input(F.col("t"), F.col("c"), F.col("only"), 800))] == [
         "제목: T\n\n본문:\n" + "é" * 800, "제목: T",
     ]
+    whole = rows(df, tx.classifier_input(F.col("t"), F.col("c"), F.col("only")))
+    assert whole[0][0].endswith("é" * 801)
 
 
 def test_escape_html(spark):

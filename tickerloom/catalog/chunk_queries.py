@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from tickerloom.catalog.tables import ARTICLES_SQL, SPACE_SQL, articles, collapsed_sql, stripped_sql, table
-from tickerloom.constants import SECTIONS
+from tickerloom.constants import ARTICLE_CHARS, SECTIONS
 from tickerloom.functions import replies as rp, text as tx
 from tickerloom.operators import chunks as ch
 from tickerloom.operators.replies import section_rows, with_analysis
@@ -134,7 +134,7 @@ def _stand_in_analyst():
 
 def article_analysis(spark, sf):
     cleaned = table(spark, sf, "documents").select(
-        "doc_id", tx.article_head(tx.strip_boilerplate(F.col("text"), [r"All rights reserved.*"])).alias("content_cleaned")
+        "doc_id", tx.article_head(tx.strip_boilerplate(F.col("text"), [r"All rights reserved.*"]), ARTICLE_CHARS).alias("content_cleaned")
     )
     analysed = analyse_articles(cleaned, F.col("content_cleaned"), _stand_in_analyst())
     return analysed.drop("content_cleaned")

@@ -57,8 +57,7 @@ def done_semi(spark, sf):
 
 def missing_inputs(spark, sf):
     events = table(spark, sf, "events").select(F.col("user_id").alias("symbol"), "event_type", "ts")
-    recent = events.where(F.col("ts") >= F.lit("2024-01-27").cast("timestamp_ntz"))
-    return lk.missing_inputs(_symbols(spark, sf), recent, "symbol", F.col("event_type") == "purchase")
+    return lk.missing_inputs(_symbols(spark, sf), events, "symbol", F.col("event_type") == "purchase")
 
 
 def dated_partition_scan(spark, sf):
@@ -119,7 +118,7 @@ SELECT c_custkey AS symbol FROM customer
 WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 480000)""",
     "missing_inputs": """
 WITH seen AS (
-  SELECT user_id, bool_or(event_type = 'purchase') AS ok FROM events WHERE ts >= TIMESTAMP '2024-01-27' GROUP BY user_id)
+  SELECT user_id, bool_or(event_type = 'purchase') AS ok FROM events GROUP BY user_id)
 SELECT c_custkey AS symbol, CASE WHEN ok IS NULL THEN 'no input' ELSE 'no valid rows' END AS reason
 FROM customer LEFT JOIN seen ON user_id = c_custkey WHERE NOT coalesce(ok, false)""",
     "dated_partition_scan": """

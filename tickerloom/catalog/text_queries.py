@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tickerloom.catalog.tables import (
     ARTICLES_SQL, NOISE, SPACE_SQL, any_word_sql, articles, collapsed_sql, stripped_sql, table,
 )
-from tickerloom.constants import BODY_COLUMNS, BOILERPLATE_PATTERNS
+from tickerloom.constants import ARTICLE_CHARS, BODY_COLUMNS, BOILERPLATE_PATTERNS, SNIPPET_CHARS
 from tickerloom.functions import text as tx, values as v
 from tickerloom.functions.replies import read_label
 from tickerloom.operators import news as nw
@@ -68,7 +68,7 @@ def collapse_ws(spark, sf):
 def boilerplate_strip(spark, sf):
     cleaned = table(spark, sf, "documents").select("doc_id", tx.strip_boilerplate(F.col("text"), PATTERNS).alias("whole"))
     return cleaned.select(
-        "doc_id", tx.article_head(F.col("whole")).alias("content_cleaned"),
+        "doc_id", tx.article_head(F.col("whole"), ARTICLE_CHARS).alias("content_cleaned"),
         F.length("whole").cast("bigint").alias("whole_chars"), F.md5("whole").alias("whole_md5"),
     )
 
@@ -77,7 +77,7 @@ def prompt_input(spark, sf):
     rows = articles(spark, sf)
     body = F.coalesce("content", F.lit(""))
     title_only = (body == "") | tx.is_blocked(body, NOISE)
-    return rows.select("id", tx.classifier_input(F.col("title"), body, title_only).alias("prompt"))
+    return rows.select("id", tx.classifier_input(F.col("title"), body, title_only, SNIPPET_CHARS).alias("prompt"))
 
 
 def label_normalise(spark, sf):
@@ -96,7 +96,7 @@ def cue_label(spark, sf):
     rows = articles(spark, sf)
     body = F.coalesce("content", F.lit(""))
     title_only = (body == "") | tx.is_blocked(body, NOISE)
-    prompted = rows.select("id", tx.classifier_input(F.col("title"), body, title_only).alias("prompt"))
+    prompted = rows.select("id", tx.classifier_input(F.col("title"), body, title_only, SNIPPET_CHARS).alias("prompt"))
     return classify(prompted, F.col("prompt"), cue_scorer(CUES)).select("id", "sentiment", "error")
 
 

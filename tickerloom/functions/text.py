@@ -10,8 +10,8 @@ from operator import or_
 from pyspark.sql import Column, functions as F
 
 from tickerloom.constants import (
-    ARTICLE_CHARS, BLOCKED_KEYWORDS, BOILERPLATE_PATTERNS, JUNK_TITLES,
-    MIN_PARAGRAPH_CHARS, NOISE_KEYWORDS, SNIPPET_CHARS,
+    BLOCKED_KEYWORDS, BOILERPLATE_PATTERNS, JUNK_TITLES,
+    MIN_PARAGRAPH_CHARS, NOISE_KEYWORDS,
 )
 from tickerloom.functions.values import SPACE, strip
 
@@ -89,9 +89,9 @@ def strip_boilerplate(text: Column, patterns: Sequence[str] = BOILERPLATE_PATTER
     return strip(F.regexp_replace(cleaned, WIDE_BLANK_RUN, "\n\n"))
 
 
-def article_head(cleaned: Column, chars: int = ARTICLE_CHARS) -> Column:
-    """The part of a cleaned article the article prompt carries."""
-    return F.substring(cleaned, 1, chars)
+def article_head(cleaned: Column, chars: int | None = None) -> Column:
+    """The part of a cleaned article the article prompt carries: the whole, or its first ``chars`` characters."""
+    return cleaned if chars is None else F.substring(cleaned, 1, chars)
 
 
 def title_of(text: Column) -> Column:
@@ -99,15 +99,14 @@ def title_of(text: Column) -> Column:
 
 
 def classifier_input(
-    title: Column, content: Column, title_only: Column, chars: int = SNIPPET_CHARS,
+    title: Column, content: Column, title_only: Column, chars: int | None = None,
     title_prefix: str = "제목: ", body_prefix: str = "\n\n본문:\n",
 ) -> Column:
     """Prompt text of the label model: the title alone when ``title_only``,
-    otherwise the title and the opening of the body."""
+    otherwise the title and the body, or its first ``chars`` characters."""
     head = F.concat(F.lit(title_prefix), title)
-    return F.when(title_only, head).otherwise(
-        F.concat(head, F.lit(body_prefix), F.substring(content, 1, chars))
-    )
+    body = content if chars is None else F.substring(content, 1, chars)
+    return F.when(title_only, head).otherwise(F.concat(head, F.lit(body_prefix), body))
 
 
 def escape_html(text: Column) -> Column:
