@@ -1,3 +1,4 @@
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -33,3 +34,11 @@ def test_durable_table_keeps_rows_and_types(spark):
     kept = session.durable_table(df)
     assert kept.dtypes == df.dtypes and rows(kept) == rows(df)
     assert "FileScan parquet" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_durable_tables_can_be_dropped(spark):
+    kept = session.durable_table(spark.range(3))
+    path = kept.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    session.drop_durable_tables(spark)
+    assert not os.path.exists(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,18 +33,31 @@ def durable_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tickerloom-"))
+    own = tempfile.mkdtemp(prefix="tickerloom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{durable_folder(spark)}/tickerloom-{spark.sparkContext.applicationId}"
+
+
+def drop_durable_tables(spark: SparkSession) -> None:
+    """Remove what this application wrote; DataFrames built on it can't be read afterwards."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def durable_table(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back, so later stages see fixed rows.
 
     Needed where a value depends on how rows were spread over tasks: a lost
     executor then re-reads the same numbers instead of working out new ones.
-    The tables of an application lie in one folder, to be cleared after it.
+    The tables of an application lie in one folder; ``drop_durable_tables`` removes it.
     """
     spark = df.sparkSession
-    path = f"{durable_folder(spark)}/tickerloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_application_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
