@@ -86,7 +86,7 @@ def reply_unanswered(spark, sf):
 def _article_replies(spark, sf):
     """Article replies in the ways they arrive: fenced, bare, cut off, with
     text behind, or lacking fields."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", tx.title_of(F.col("text")).alias("title"))
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
     rows = docs.join(table(spark, sf, "labels"), "doc_id", "left")
     score = F.when(F.col("toxic") == 1, F.lit("-0.75")).when(F.col("quality") == 1, F.lit("0.5")).otherwise(F.lit("0"))
     whole = F.concat(
@@ -103,7 +103,7 @@ def _article_replies(spark, sf):
         .when(kind == 2, F.concat(whole, F.lit(" Hope this helps.")))
         .when(kind == 3, F.regexp_replace(whole, r'"\],.*$', ""))
         .when(kind == 4, F.concat(F.lit('{"sentiment": "'), F.col("lang"), F.lit('"}')))
-        .otherwise(F.col("title")).alias("reply"),
+        .otherwise(F.col("text")).alias("reply"),
     )
 
 
@@ -148,7 +148,7 @@ def fence_strip(spark, sf):
 
 def _judgments(spark, sf):
     """Judgment texts with bold, spaced, missing and misplaced headings."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", tx.title_of(F.col("text")).alias("title"))
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
     rows = docs.join(table(spark, sf, "labels"), "doc_id", "left")
     verdict = (
         F.when(F.col("toxic") == 1, F.lit("**비투자** 권고"))
@@ -157,10 +157,10 @@ def _judgments(spark, sf):
     )
     late = F.when(F.col("doc_id") % 7 == 0, F.lit("**[긍정 요인]**\n* early\n")).otherwise(F.lit(""))
     return rows.select("doc_id", F.concat(
-        late, F.lit("**[ 핵심 요약 ]**\n* "), "title", F.lit("\n\n"),
+        late, F.lit("**[ 핵심 요약 ]**\n* "), "text", F.lit("\n\n"),
         F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("[전체 흐름 분석]\n"), "source", F.lit(" 📈\n\n"))),
         F.lit("## [긍정 요인]\n* a\n\n[부정 요인]\n\n"),
-        F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("[투자 판단]\n"), verdict, F.lit("\n\n[판단 근거]\n"), "title")),
+        F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("[투자 판단]\n"), verdict, F.lit("\n\n[판단 근거]\n"), "text")),
     ).alias("judgment"))
 
 
@@ -197,7 +197,7 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY ticker, chunk ORDER BY row_
 
 _ARTICLE_REPLIES = r"""
 parts AS (
-  SELECT doc_id, lang, source, split_part(text, chr(10), 1) AS title, doc_id % 6 AS kind, quality, toxic,
+  SELECT doc_id, lang, source, text AS title, doc_id % 6 AS kind, quality, toxic,
          CASE WHEN toxic = 1 THEN -0.75 WHEN quality = 1 THEN 0.5 ELSE 0 END::DOUBLE AS score,
          CASE WHEN quality = 1 THEN '긍정' ELSE '중립' END AS mood
   FROM documents LEFT JOIN labels USING (doc_id))"""
@@ -234,12 +234,12 @@ starts AS (SELECT *, {starts} FROM found)
 _JUDGMENTS = """judgments AS (
   SELECT doc_id,
     CASE WHEN doc_id % 7 = 0 THEN '**[긍정 요인]**' || chr(10) || '* early' || chr(10) ELSE '' END
-    || '**[ 핵심 요약 ]**' || chr(10) || '* ' || split_part(text, chr(10), 1) || chr(10) || chr(10)
+    || '**[ 핵심 요약 ]**' || chr(10) || '* ' || text || chr(10) || chr(10)
     || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '[전체 흐름 분석]' || chr(10) || source || ' 📈' || chr(10) || chr(10) END
     || '## [긍정 요인]' || chr(10) || '* a' || chr(10) || chr(10) || '[부정 요인]' || chr(10) || chr(10)
     || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '[투자 판단]' || chr(10)
          || CASE WHEN toxic = 1 THEN '**비투자** 권고' WHEN quality = 1 THEN ' 투자' ELSE '보류 [참고] 투자 아님' END
-         || chr(10) || chr(10) || '[판단 근거]' || chr(10) || split_part(text, chr(10), 1) END AS judgment
+         || chr(10) || chr(10) || '[판단 근거]' || chr(10) || text END AS judgment
   FROM documents LEFT JOIN labels USING (doc_id))"""
 
 SQL = {

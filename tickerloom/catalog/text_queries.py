@@ -81,13 +81,13 @@ def prompt_input(spark, sf):
 
 
 def label_normalise(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", tx.title_of(F.col("text")).alias("title"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     known = table(spark, sf, "labels")
     reply = (
         F.when(F.col("toxic") == 1, F.lit("NEUTRAL, no: risk"))
         .when(F.col("quality") == 1, F.lit("**Growth**."))
-        .when(F.col("quality") == 0, F.concat(F.lit("it is mi.xed "), "title"))
-        .otherwise(F.col("title"))
+        .when(F.col("quality") == 0, F.concat(F.lit("it is mi.xed "), "text"))
+        .otherwise(F.col("text"))
     )
     return docs.join(known, "doc_id", "left").select("doc_id", read_label(reply).alias("label"))
 
@@ -223,8 +223,8 @@ FROM (SELECT doc_id, {_BOILERPLATE} AS whole FROM documents)""",
     "label_normalise": """
 WITH replies AS (
   SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'NEUTRAL, no: risk' WHEN l.quality = 1 THEN '**Growth**.'
-         WHEN l.quality = 0 THEN 'it is mi.xed ' || split_part(d.text, chr(10), 1)
-         ELSE split_part(d.text, chr(10), 1) END AS reply
+         WHEN l.quality = 0 THEN 'it is mi.xed ' || d.text
+         ELSE d.text END AS reply
   FROM documents d LEFT JOIN labels l USING (doc_id)),
 words AS (
   SELECT doc_id, list_transform(string_split_regex(regexp_replace(reply, '[^a-zA-Z\\s]', '', 'g'), '\\s+'),
