@@ -148,12 +148,12 @@ class CountTree:
     def search(self, size: int, point: np.ndarray) -> np.ndarray:
         """Living places whose bound lets them link with the given set."""
         at = None
-        for level in reversed(self.levels):
-            at = np.arange(len(level[0])) if at is None else at
-            at = self._pass(size, point, at, *level)
+        below = [len(self.points), *(len(level[0]) for level in self.levels)]
+        for depth in range(len(self.levels) - 1, -1, -1):
+            at = np.arange(below[depth + 1]) if at is None else at
+            at = self._pass(size, point, at, *self.levels[depth])
             at = (at[:, None] * PAGE + np.arange(PAGE)).ravel()
-            below = len(self.points) if level is self.levels[0] else len(self.levels[self.levels.index(level) - 1][0])
-            at = at[at < below]
+            at = at[at < below[depth]]
         at = np.flatnonzero(self.alive) if at is None else at[self.alive[at]]
         return self._pass(size, point, at, self.points, self.sizes, self.sizes)
 
@@ -349,6 +349,7 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     hashes.
     """
     spark = docs.sparkSession
+    arrays.bounded_batches(spark)
     buckets = exchange.bucket_count(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = durable_table(texts.mapInArrow(_describe(like, buckets), _PACKED).groupBy("bucket").applyInArrow(_unpack, _ROWS))
