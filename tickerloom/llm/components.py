@@ -11,33 +11,46 @@ from tickerloom.session import durable_table
 def connected(edges: DataFrame) -> DataFrame:
     """(a, b) pairs -> (node, root): the smallest node of each node's component; nodes without an edge are not returned.
 
-    Alternates two steps on the edges, each one shuffle. Large star: a node links
-    its larger neighbours to its smallest one. Small star: it links its smaller
-    neighbours, and itself, to the smallest. Both only re-hang edges, so their
-    number doesn't grow, and components shrink to stars in a number of rounds
-    that follows the logarithm of their size. Each round is written to the shared
-    folder; the loop ends when a round changes nothing. Of one node's neighbours
-    only the smallest is worked out, by partial aggregation, and joined back, so
-    a node with very many neighbours is never gathered in one place.
+    Alternates two steps on the edges. Large star: a node links its larger
+    neighbours to its smallest one. Small star: it links its smaller neighbours,
+    and itself, to the smallest. Both only re-hang edges, so their number doesn't
+    grow, and components shrink to stars in a number of rounds that follows the
+    logarithm of their size. Each round is written to the shared folder; edges
+    that are stars already need none. Of one node's neighbours only the smallest
+    is worked out, by partial aggregation, and joined back, so a node with very
+    many neighbours is never gathered in one place.
     """
     now = durable_table(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    seen = _mark(now)
-    while True:
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    while not _stars(now):
+        both = now.union(now.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         # each edge hangs b below a < b
+        large = both.join(low, "u").where("v > u AND v > m").select(F.col("m").alias("a"), F.col("v").alias("b"))
         lowest = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(lowest, "b").select(F.col("m").alias("p"), "a", "b")
-        hung = small.select(F.col("p").alias("a"), F.col("b").alias("b")).union(small.where("a <> p").select(F.col("p").alias("a"), F.col("a").alias("b")))
-        now = durable_table(hung.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        mark = _mark(now)
-        if mark == seen:
-            # all components are stars around their smallest node
-            return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        seen = mark
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """Number and sum of hashes: equal for equal sets of edges."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        small = large.join(lowest, "b").select("m", F.explode(F.array("a", "b")).alias("v"))
+        now = durable_table(small.where("v > m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct())
+    return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs below one other, which hangs below none."""
+    roles = edges.select(F.col("b").alias("n"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("a", F.lit(0), F.lit(1)))
+    wrong = roles.groupBy("n").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 OR below = 1 AND above = 1")
+    return wrong.isEmpty()
+
+
+def hang(pairs: list[tuple]) -> list[tuple]:
+    """Pairs of one task -> the same components as stars: (smallest, other)."""
+    above: dict = {}
+
+    def find(x):
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = above[up]
+            x = up
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+    return [(root, x) for x in list(above) if (root := find(x)) != x]

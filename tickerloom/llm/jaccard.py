@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm import arrays, exchange
-from tickerloom.llm.components import connected
+from tickerloom.llm.components import connected, hang
 from tickerloom.session import durable_table
 
 #: Groups of the count vectors, and points of an R-tree page.
@@ -189,6 +189,21 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
+#: Inside a bucket a signature goes by 40 bits; two that are alike in them only make a candidate more.
+_BITS, _SHORT = np.uint64(40), np.uint64(2**40 - 1)
+
+
+def _five(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _from_five(blobs: list) -> np.ndarray:
+    short = exchange.joined(blobs, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(short), 8), np.uint8)
+    out[:, :5] = short
+    return out.view(np.uint64).ravel()
+
+
 def _describe(like: Likeness, buckets: int):
     """Documents -> packed rows: their sizes, names and points; their signatures by bucket."""
 
@@ -209,13 +224,17 @@ def _describe(like: Likeness, buckets: int):
             held = np.diff(np.append(edge, len(sig)))
             hot = np.repeat(held > FEW, held)
             rows = [(int(keys[0] % buckets), 0, batch["doc_id"].cast(pa.int64()).to_pylist(), keys.tobytes(), sizes.tobytes(), points.tobytes())]
-            for bucket, (s, k) in exchange.cut(exchange.bucket_of(sig[~hot], buckets), sig[~hot], key[~hot]):
-                rows.append((bucket, 1, None, s.tobytes(), k.tobytes(), None))
-            spread = exchange.bucket_of(arrays.mix(sig[hot] + key[hot].view(np.uint64)), buckets)
-            for bucket, (s, k) in exchange.cut(spread, sig[hot], key[hot]):
+            bucket_of, sig = exchange.bucket_of(sig, buckets), sig & _SHORT
+            for bucket, (s, k) in exchange.cut(bucket_of[~hot], sig[~hot], key[~hot]):
+                own = np.argsort(k, kind="stable")
+                names_of, times = np.unique(k, return_counts=True)
+                rows.append((bucket, 1, None, _five(s[own]), names_of.tobytes(), times.astype(np.uint32).tobytes()))
+            block = bucket_of[hot].astype(np.uint64) << _BITS | sig[hot]
+            spread = exchange.bucket_of(arrays.mix(block + key[hot].view(np.uint64)), buckets)
+            for bucket, (s, k) in exchange.cut(spread, block, key[hot]):
                 rows.append((bucket, 2, None, s.tobytes(), k.tobytes(), None))
-            marks = sig[edge[held > FEW]]
-            for bucket, (s,) in exchange.cut(exchange.bucket_of(marks, buckets), marks):
+            marks = edge[held > FEW]
+            for bucket, (s,) in exchange.cut(bucket_of[marks], sig[marks]):
                 rows.append((bucket, 3, None, s.tobytes(), None, None))
             columns = list(zip(*rows, strict=True))
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
@@ -235,7 +254,8 @@ def _unpack(table: pa.Table) -> pa.Table:
     n = exchange.joined(by[0]["y"].to_pylist(), np.int32)
     point = exchange.joined(by[0]["z"].to_pylist(), np.uint32).reshape(-1, GROUPS)
     ids = pa.compute.list_flatten(by[0]["doc_id"]).combine_chunks()
-    sig, held = exchange.joined(by[1]["x"].to_pylist(), np.uint64), exchange.joined(by[1]["y"].to_pylist(), np.int64)
+    sig = _from_five(by[1]["x"].to_pylist())
+    held = np.repeat(exchange.joined(by[1]["y"].to_pylist(), np.int64), exchange.joined(by[1]["z"].to_pylist(), np.uint32))
     order = np.lexsort((held, sig))
     sig, held = sig[order], held[order]
     new = np.ones(len(sig), bool)
@@ -246,10 +266,10 @@ def _unpack(table: pa.Table) -> pa.Table:
     many = np.repeat((size > FEW) | np.isin(sig[edge], exchange.joined(by[3]["x"].to_pylist(), np.uint64)), size)
     few = ~many & np.repeat(size > 1, size)
     lowest = np.repeat(held[edge], size)
-    pair = np.unique(np.stack([lowest[few], held[few]], axis=1), axis=0)
-    pair = pair[pair[:, 0] != pair[:, 1]]
+    pair = np.array(hang(list(zip(lowest[few].tolist(), held[few].tolist(), strict=True))), np.int64).reshape(-1, 2)
     through = exchange.joined(by[2]["x"].to_pylist(), np.uint64), exchange.joined(by[2]["y"].to_pylist(), np.int64)
-    a = np.concatenate([sig[many].view(np.int64), through[0].view(np.int64)])
+    # a block's name holds its bucket again
+    a = np.concatenate([(np.uint64(table["bucket"][0].as_py()) << _BITS | sig[many]).view(np.int64), through[0].view(np.int64)])
     b = np.concatenate([held[many], through[1]])
     total = [len(key), len(a), len(pair)]
     lead = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(sum(total) - len(x), t)])
@@ -270,8 +290,9 @@ def _blocks(values: np.ndarray):
     return zip(np.concatenate([[0], edges]), np.append(edges, len(values)), strict=True)
 
 
-def _pairs(a: list, b: list) -> pa.Table:
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _pairs(found: list[tuple]) -> pa.Table:
+    stars = hang(found)
+    return pa.table({"a": pa.array([a for a, _ in stars], pa.int64()), "b": pa.array([b for _, b in stars], pa.int64())})
 
 
 def _bounded(like: Likeness):
@@ -281,14 +302,12 @@ def _bounded(like: Likeness):
         table = table.sort_by([("block", "ascending"), ("key", "ascending")])
         block, key, n = (table[c].to_numpy() for c in ("block", "key", "n"))
         point = exchange.joined(table["point"].to_pylist(), np.uint32).reshape(-1, GROUPS).astype(np.int64)
-        a, b = [], []
+        found: list[tuple] = []
         for begin, end in _blocks(block) if len(block) else ():
             _, one = np.unique(key[begin:end], return_index=True)
             one += begin
-            for i, j in forest(n[one].astype(np.int64), point[one], like):
-                a.append(key[one[i]])
-                b.append(key[one[j]])
-        return _pairs(a, b)
+            found += [(int(key[one[i]]), int(key[one[j]])) for i, j in forest(n[one].astype(np.int64), point[one], like)]
+        return _pairs(found)
 
     return search
 
@@ -299,17 +318,15 @@ def _verified(like: Likeness):
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by([("block", "ascending"), ("key", "ascending")]).combine_chunks()
         block, key = table["block"].to_numpy(), table["key"].to_numpy()
-        a, b = [], []
+        found: list[tuple] = []
         for begin, end in _blocks(block) if len(block) else ():
             sets = shingle_sets(arrays.Words(table["text"].slice(begin, end - begin).combine_chunks(), lower=True), like.words)
             own = {int(key[begin + i]): s for i, s in enumerate(sets) if set_key(s) == key[begin + i]}
             names, sets = list(own), list(own.values())
             if len(names) > 1:
                 sizes = np.array([len(s) for s in sets], np.int64)
-                for i, j in forest(sizes, np.array([counts(s) for s in sets]), like, sets):
-                    a.append(names[i])
-                    b.append(names[j])
-        return _pairs(a, b)
+                found += [(names[i], names[j]) for i, j in forest(sizes, np.array([counts(s) for s in sets]), like, sets)]
+        return _pairs(found)
 
     return search
 
@@ -384,10 +401,13 @@ def deduplicated(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     Rows without words stay. Rows without an id stay unless they repeat a text of a row with one.
     """
     names = docs.columns
-    verdict = near_duplicates(docs, like).select(F.col("doc_id").alias("v_id"), "component_id", "n_shingles").distinct()
-    keeps = verdict.where(F.col("v_id").eqNullSafe(F.col("component_id")))
+    verdict = near_duplicates(docs, like).groupBy(F.col("doc_id").alias("v_id")).agg(
+        F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")
+    )
+    # written, so that Spark knows its size: a short list is sent to all tasks, a long one is joined by a shuffle
+    gone = durable_table(verdict.where("NOT stays").select("v_id"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"))
-    return packed.join(keeps.select("v_id").distinct().hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("v_id")), "left_semi").select("row.*")
+    return packed.join(gone, F.col("id").eqNullSafe(F.col("v_id")), "left_anti").select("row.*")
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
