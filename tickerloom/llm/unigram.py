@@ -249,6 +249,7 @@ def encode(docs: DataFrame, *, text: str = "text", path: str = MODEL, keep: list
     so repeated rows are coded alike and an empty table gives an empty result.
     Columns of ``docs`` named like the results are replaced.
     """
+    arrays.bounded_batches(docs.sparkSession)
     names = [c for c in (keep or docs.columns) if c not in ("ids", "n_pieces", "round_trip")]
     packed = _pack(docs, text, names)
     row_type = packed.schema["row"].dataType.simpleString()
@@ -271,6 +272,7 @@ def encode(docs: DataFrame, *, text: str = "text", path: str = MODEL, keep: list
 
 def decode(coded: DataFrame, *, ids: str = "ids", path: str = MODEL) -> DataFrame:
     """``coded`` with ``decoded``, the text of ``ids``. Null ids: null. Ids outside the vocabulary count as the unknown piece, which is empty. Bytes that are no UTF-8 become U+FFFD."""
+    arrays.bounded_batches(coded.sparkSession)
     names = [c for c in coded.columns if c != "decoded"]
     packed = _pack(coded, ids, names)
     row_type = packed.schema["row"].dataType.simpleString()
