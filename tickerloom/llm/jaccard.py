@@ -84,6 +84,19 @@ def counts(own: np.ndarray) -> np.ndarray:
     return np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=GROUPS)
 
 
+def packed_point(point: np.ndarray) -> bytes:
+    """A point in one byte a group, or four where a count needs them."""
+    return point.astype(np.uint8 if point.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def unpacked_points(cells: list[bytes]) -> np.ndarray:
+    wide = np.array([len(c) != GROUPS for c in cells], bool)
+    out = np.zeros((len(cells), GROUPS), np.int64)
+    out[~wide] = np.frombuffer(b"".join(c for c in cells if len(c) == GROUPS), np.uint8).reshape(-1, GROUPS)
+    out[wide] = np.frombuffer(b"".join(c for c in cells if len(c) != GROUPS), np.uint32).reshape(-1, GROUPS)
+    return out
+
+
 def signatures(own: np.ndarray, like: Likeness) -> np.ndarray:
     """Names of parts of a set such that two linked sets share one.
 
@@ -278,7 +291,7 @@ def _unpack(table: pa.Table) -> pa.Table:
         "doc_id": pa.concat_arrays([ids, pa.nulls(sum(total[1:]), pa.int64())]),
         "n": lead(n, pa.int32()),
         "key": lead(key, pa.int64()),
-        "point": lead([p.tobytes() for p in point], pa.binary()),
+        "point": lead([packed_point(p) for p in point], pa.binary()),
         "a": pa.concat_arrays([pa.nulls(total[0], pa.int64()), pa.array(np.concatenate([a, pair[:, 0]]))]),
         "b": pa.concat_arrays([pa.nulls(total[0], pa.int64()), pa.array(np.concatenate([b, pair[:, 1]]))]),
     })
@@ -301,7 +314,7 @@ def _bounded(like: Likeness):
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by([("block", "ascending"), ("key", "ascending")])
         block, key, n = (table[c].to_numpy() for c in ("block", "key", "n"))
-        point = exchange.joined(table["point"].to_pylist(), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+        point = unpacked_points(table["point"].to_pylist())
         found: list[tuple] = []
         for begin, end in _blocks(block) if len(block) else ():
             _, one = np.unique(key[begin:end], return_index=True)
@@ -332,11 +345,18 @@ def _verified(like: Likeness):
 
 
 def _tiled(members: DataFrame, tiles: DataFrame, buckets: int) -> DataFrame:
-    """Members of blocks, dealt to groups (g, t, u): small blocks share groups; a block of several tiles has one for each two tiles."""
+    """Members of blocks, dealt to groups (g, t1, t2): small blocks share groups; a block of several tiles has one for each two tiles.
+
+    ``tiles`` lists the blocks of more than one tile. It is written, so that Spark
+    knows its size; by its definition it is thousands of times shorter than
+    ``members``, which then need no shuffle for it.
+    """
+    large = durable_table(tiles.where("tiles > 1"))
     t = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     return (
-        members.join(tiles, "block")
+        members.join(large, "block", "left")
+        .withColumn("tiles", F.coalesce("tiles", F.lit(1)))
         .withColumn("t", t)
         .withColumn("u", other)
         .withColumn("g", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("block"), F.lit(buckets))).otherwise(F.col("block")))
@@ -371,10 +391,10 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = durable_table(texts.mapInArrow(_describe(like, buckets), _PACKED).groupBy("bucket").applyInArrow(_unpack, _ROWS))
     own = rows.where("kind = 0").select("doc_id", "n", "key", "point")
-    classes = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max(F.col("point")).alias("point"))
+    classes = own.where("n > 0").groupBy("key", "n", "point").agg(F.min("doc_id").alias("rep"))
 
     # sets that share a common signature
-    held = rows.where("kind = 1").select(F.col("a").alias("block"), F.col("b").alias("key")).distinct()
+    held = rows.where("kind = 1").select(F.col("a").alias("block"), F.col("b").alias("key"))
     tiles = held.groupBy("block").agg(F.ceil(F.count("*") / TILE_SETS).cast("int").alias("tiles"))
     members = _tiled(held.join(classes.select("key", "n", "point"), "key"), tiles, buckets)
     bounded = members.groupBy("g", "t1", "t2").applyInArrow(_bounded(like), "a long, b long")
@@ -405,7 +425,7 @@ def deduplicated(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
         F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")
     )
     # written, so that Spark knows its size: a short list is sent to all tasks, a long one is joined by a shuffle
-    gone = durable_table(verdict.where("NOT stays").select("v_id"))
+    gone = durable_table(verdict.where("NOT stays").select("v_id").sortWithinPartitions("v_id"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"))
     return packed.join(gone, F.col("id").eqNullSafe(F.col("v_id")), "left_anti").select("row.*")
 
