@@ -153,3 +153,17 @@ def test_connected_components(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert found == {x: find(x) for x in linked}
     assert connected(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_split_by_size_keeps_linked_sets_together(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE_SETS", 3)
+    like = Likeness(5, 80, 100)
+    sizes = list(range(1, 400))
+    found = jaccard._by_size(spark.createDataFrame([(n, n, 7) for n in sizes], "key long, n int, block long"), like).collect()
+    blocks = {}
+    for r in found:
+        blocks.setdefault(r.key, set()).add(r.block)
+    for a in sizes:
+        for b in range(a, 400):
+            if like.den * a >= like.num * b:  # at best, the smaller set lies in the larger
+                assert blocks[a] & blocks[b]

@@ -15,8 +15,8 @@ from tickerloom.llm import arrays, exchange
 from tickerloom.llm.components import connected, hang
 from tickerloom.session import durable_table
 
-#: Groups of the count vectors, and points of an R-tree page.
-GROUPS, PAGE = 32, 32
+#: Groups of the count vectors that travel, those worked out from the sets themselves, and points of an R-tree page.
+GROUPS, FINE_GROUPS, PAGE = 32, 256, 32
 #: Sizes within this factor of each other share a number of parts.
 BAND = 1.5
 #: A signature held by more sets than this goes to the tree; fewer are taken as candidates at once.
@@ -79,9 +79,9 @@ def set_key(own: np.ndarray) -> int:
     return int(arrays.mix(own.sum(keepdims=True) + np.uint64(len(own)))[0] >> np.uint64(1)) or 1
 
 
-def counts(own: np.ndarray) -> np.ndarray:
-    """The point of a set: how many of its shingles fall into each group."""
-    return np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=GROUPS)
+def counts(own: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """The point of a set: how many of its shingles fall into each group (a power of two)."""
+    return np.bincount((own >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
 
 
 def packed_point(point: np.ndarray) -> bytes:
@@ -338,7 +338,7 @@ def _verified(like: Likeness):
             names, sets = list(own), list(own.values())
             if len(names) > 1:
                 sizes = np.array([len(s) for s in sets], np.int64)
-                found += [(names[i], names[j]) for i, j in forest(sizes, np.array([counts(s) for s in sets]), like, sets)]
+                found += [(names[i], names[j]) for i, j in forest(sizes, np.array([counts(s, FINE_GROUPS) for s in sets], np.int32), like, sets)]
         return _pairs(found)
 
     return search
@@ -364,6 +364,23 @@ def _tiled(members: DataFrame, tiles: DataFrame, buckets: int) -> DataFrame:
     )
 
 
+def _tiles_of(sets: DataFrame) -> DataFrame:
+    return sets.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
+
+
+def _by_size(sets: DataFrame, like: Likeness) -> DataFrame:
+    """Splits blocks of more than one tile by size: sets that link lie in the same step of size or in neighbouring ones, so each goes to two."""
+    large = durable_table(_tiles_of(sets).where("tiles > 1").select("block", F.lit(True).alias("split")))
+    step = F.floor(F.log("n") / math.log(like.den / like.num) + 1e-9)
+    steps = F.when(F.col("split"), F.array(step, step + 1)).otherwise(F.array(F.lit(0).cast("long")))
+    return (
+        sets.join(large, "block", "left")
+        .withColumn("step", F.explode(steps))
+        .withColumn("block", F.when(F.col("split"), F.xxhash64("block", "step")).otherwise(F.col("block")))
+        .drop("split", "step")
+    )
+
+
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text).
 
@@ -402,7 +419,8 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
 
     # their texts, in blocks of sets that may be joined
     chosen = candidates.select(F.col("node").alias("key"), F.col("root").alias("block")).join(classes.select("key", "rep", "n"), "key")
-    sizes = chosen.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    chosen = _by_size(chosen, like)
+    sizes = _tiles_of(chosen)
     found = texts.join(chosen.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(chosen["rep"])).select("block", "key", "text")
     links = _tiled(found, sizes, buckets).select("g", "t1", "t2", "block", "key", "text").groupBy("g", "t1", "t2").applyInArrow(_verified(like), "a long, b long")
     joined = connected(links)
