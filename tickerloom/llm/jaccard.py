@@ -19,10 +19,10 @@ from tickerloom.session import durable_table
 GROUPS, FINE_GROUPS, PAGE = 32, 256, 32
 #: Sizes within this factor of each other share a number of parts.
 BAND = 1.5
-#: A signature held by more sets than this goes to the tree; fewer are taken as candidates at once.
+#: A signature that more sets of a piece hold than this goes on as plain rows, so that no bucket fills with it.
 FEW = 8
 #: Sets, and shingles, of a tile: a larger block is compared tile by tile.
-TILE_SETS, TILE_SHINGLES = 2000, 2_000_000
+TILE_SETS, TILE_SHINGLES = 6000, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -261,7 +261,7 @@ _ROWS = "kind int, doc_id long, n int, key long, point binary, a long, b long"
 
 
 def _unpack(table: pa.Table) -> pa.Table:
-    """A bucket -> rows of kind 0 (a document), 1 (a set that holds a common signature), 2 (two sets that share a rare one)."""
+    """A bucket -> rows of kind 0 (a document) and 1 (a set that holds a signature which others hold too)."""
     by = {k: table.filter(pa.compute.equal(table["kind"], k)) for k in range(4)}
     key = exchange.joined(by[0]["x"].to_pylist(), np.int64)
     n = exchange.joined(by[0]["y"].to_pylist(), np.int32)
@@ -276,24 +276,21 @@ def _unpack(table: pa.Table) -> pa.Table:
     sig, held = sig[new], held[new]
     edge = np.flatnonzero(np.diff(sig, prepend=sig[:1] + np.uint64(1)))
     size = np.diff(np.append(edge, len(sig)))
-    many = np.repeat((size > FEW) | np.isin(sig[edge], exchange.joined(by[3]["x"].to_pylist(), np.uint64)), size)
-    few = ~many & np.repeat(size > 1, size)
-    lowest = np.repeat(held[edge], size)
-    pair = np.array(hang(list(zip(lowest[few].tolist(), held[few].tolist(), strict=True))), np.int64).reshape(-1, 2)
+    many = np.repeat((size > 1) | np.isin(sig[edge], exchange.joined(by[3]["x"].to_pylist(), np.uint64)), size)
     through = exchange.joined(by[2]["x"].to_pylist(), np.uint64), exchange.joined(by[2]["y"].to_pylist(), np.int64)
     # a block's name holds its bucket again
     a = np.concatenate([(np.uint64(table["bucket"][0].as_py()) << _BITS | sig[many]).view(np.int64), through[0].view(np.int64)])
     b = np.concatenate([held[many], through[1]])
-    total = [len(key), len(a), len(pair)]
+    total = [len(key), len(a)]
     lead = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(sum(total) - len(x), t)])
     return pa.table({
-        "kind": pa.array(np.repeat([0, 1, 2], total).astype(np.int32)),
-        "doc_id": pa.concat_arrays([ids, pa.nulls(sum(total[1:]), pa.int64())]),
+        "kind": pa.array(np.repeat([0, 1], total).astype(np.int32)),
+        "doc_id": pa.concat_arrays([ids, pa.nulls(total[1], pa.int64())]),
         "n": lead(n, pa.int32()),
         "key": lead(key, pa.int64()),
         "point": lead([packed_point(p) for p in point], pa.binary()),
-        "a": pa.concat_arrays([pa.nulls(total[0], pa.int64()), pa.array(np.concatenate([a, pair[:, 0]]))]),
-        "b": pa.concat_arrays([pa.nulls(total[0], pa.int64()), pa.array(np.concatenate([b, pair[:, 1]]))]),
+        "a": pa.concat_arrays([pa.nulls(total[0], pa.int64()), pa.array(a)]),
+        "b": pa.concat_arrays([pa.nulls(total[0], pa.int64()), pa.array(b)]),
     })
 
 
@@ -315,11 +312,19 @@ def _bounded(like: Likeness):
         table = table.sort_by([("block", "ascending"), ("key", "ascending")])
         block, key, n = (table[c].to_numpy() for c in ("block", "key", "n"))
         point = unpacked_points(table["point"].to_pylist())
-        found: list[tuple] = []
-        for begin, end in _blocks(block) if len(block) else ():
-            _, one = np.unique(key[begin:end], return_index=True)
-            one += begin
-            found += [(int(key[one[i]]), int(key[one[j]])) for i, j in forest(n[one].astype(np.int64), point[one], like)]
+        new = np.ones(len(block), bool)
+        new[1:] = (block[1:] != block[:-1]) | (key[1:] != key[:-1])
+        block, key, n, point = block[new], key[new], n[new].astype(np.int64), point[new]
+        if not len(block):
+            return _pairs([])
+        begin = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+        size = np.diff(np.append(begin, len(block)))
+        # most blocks hold two sets: all of these at once
+        i = begin[size == 2]
+        two = like.linked(np.minimum(point[i], point[i + 1]).sum(axis=1), n[i] + n[i + 1])
+        found = list(zip(key[i[two]].tolist(), key[i[two] + 1].tolist(), strict=True))
+        for a, k in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            found += [(int(key[a + i]), int(key[a + j])) for i, j in forest(n[a : a + k], point[a : a + k], like)]
         return _pairs(found)
 
     return search
@@ -333,7 +338,9 @@ def _verified(like: Likeness):
         block, key = table["block"].to_numpy(), table["key"].to_numpy()
         found: list[tuple] = []
         for begin, end in _blocks(block) if len(block) else ():
-            sets = shingle_sets(arrays.Words(table["text"].slice(begin, end - begin).combine_chunks(), lower=True), like.words)
+            sets: list[np.ndarray] = []
+            for piece in arrays.pieces(table.slice(begin, end - begin).to_batches(), "text"):
+                sets += shingle_sets(arrays.Words(piece["text"], lower=True), like.words)
             own = {int(key[begin + i]): s for i, s in enumerate(sets) if set_key(s) == key[begin + i]}
             names, sets = list(own), list(own.values())
             if len(names) > 1:
@@ -388,9 +395,9 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     text is one shingle. component_id is the smallest doc_id reachable by links.
 
     Equal sets are one node. Sets meet only where they share the name of a part
-    (see :func:`signatures`), which loses no link. Sets that share a common name
-    are searched in an R-tree of count vectors, so that a passage in very many
-    documents makes no candidates by itself; what its bound lets through is
+    (see :func:`signatures`), which loses no link. Sets that share a name are
+    searched in an R-tree of count vectors, so that a passage in very many
+    documents makes few candidates by itself; what its bound lets through is
     joined into blocks, and within a block the pairs that survive the bound are
     verified on the sets themselves, from the texts. Blocks beyond a tile are
     compared tile by tile, so no task holds more than two tiles.
@@ -415,7 +422,7 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     tiles = held.groupBy("block").agg(F.ceil(F.count("*") / TILE_SETS).cast("int").alias("tiles"))
     members = _tiled(held.join(classes.select("key", "n", "point"), "key"), tiles, buckets)
     bounded = members.groupBy("g", "t1", "t2").applyInArrow(_bounded(like), "a long, b long")
-    candidates = connected(bounded.union(rows.where("kind = 2").select("a", "b")))
+    candidates = connected(bounded)
 
     # their texts, in blocks of sets that may be joined
     chosen = candidates.select(F.col("node").alias("key"), F.col("root").alias("block")).join(classes.select("key", "rep", "n"), "key")
