@@ -167,3 +167,25 @@ def test_split_by_size_keeps_linked_sets_together(spark, monkeypatch):
         for b in range(a, 400):
             if like.den * a >= like.num * b:  # at best, the smaller set lies in the larger
                 assert blocks[a] & blocks[b]
+
+
+def kept(spark, rows):
+    return sorted((tuple(r)[:2] for r in deduplicated(table(spark, rows)).collect()), key=str)
+
+
+def test_one_row_of_each_group_stays_where_ids_repeat_or_are_null(spark):
+    text = lambda i, end="": " ".join(f"t{i}x{k}" for k in range(30)) + end
+    assert kept(spark, [(1, text(1))] * 5 + [(2, text(1, " z"))]) == [(1, text(1))]
+    # an id with two texts: one of its own, one a copy of a smaller id's
+    assert kept(spark, [(3, text(3)), (5, text(3, " z")), (5, text(5))]) == [(3, text(3)), (5, text(5))]
+    # null ids: a copy of a row with an id, copies of each other, and one alone
+    rows = [(7, text(7)), (None, text(7, " z")), (None, text(8, " z")), (None, text(8)), (None, text(8)), (None, text(9))]
+    assert kept(spark, rows) == sorted([(7, text(7)), (None, text(8)), (None, text(9))], key=str)
+    # one id, near copies: the first by text
+    assert kept(spark, [(4, text(4, f" {c}")) for c in "dbca"]) == [(4, text(4, " a"))]
+    # rows without words stay, also if they repeat
+    bare = [(6, None), (6, None), (None, ""), (None, ""), (6, " \t")]
+    assert kept(spark, bare) == sorted(bare, key=str)
+    # alike in id and text, not in other columns
+    other = table(spark, [(1, text(1))]).union(spark.createDataFrame([(1, text(1), "w", 2, None)], SCHEMA))
+    assert len(deduplicated(other).collect()) == 1

@@ -236,28 +236,28 @@ def _describe(like: Likeness, buckets: int):
             edge = np.flatnonzero(np.diff(sig, prepend=sig[:1] + np.uint64(1)))
             held = np.diff(np.append(edge, len(sig)))
             hot = np.repeat(held > FEW, held)
-            rows = [(int(keys[0] % buckets), 0, batch["doc_id"].cast(pa.int64()).to_pylist(), keys.tobytes(), sizes.tobytes(), points.tobytes())]
+            rows = [(int(keys[0] % buckets), 0, batch["doc_id"].cast(pa.int64()).to_pylist(), keys.tobytes(), sizes.tobytes(), points.tobytes(), batch["mark"].to_numpy(zero_copy_only=False).tobytes())]
             bucket_of, sig = exchange.bucket_of(sig, buckets), sig & _SHORT
             for bucket, (s, k) in exchange.cut(bucket_of[~hot], sig[~hot], key[~hot]):
                 own = np.argsort(k, kind="stable")
                 names_of, times = np.unique(k, return_counts=True)
-                rows.append((bucket, 1, None, _five(s[own]), names_of.tobytes(), times.astype(np.uint32).tobytes()))
+                rows.append((bucket, 1, None, _five(s[own]), names_of.tobytes(), times.astype(np.uint32).tobytes(), None))
             block = bucket_of[hot].astype(np.uint64) << _BITS | sig[hot]
             spread = exchange.bucket_of(arrays.mix(block + key[hot].view(np.uint64)), buckets)
             for bucket, (s, k) in exchange.cut(spread, block, key[hot]):
-                rows.append((bucket, 2, None, s.tobytes(), k.tobytes(), None))
+                rows.append((bucket, 2, None, s.tobytes(), k.tobytes(), None, None))
             marks = edge[held > FEW]
             for bucket, (s,) in exchange.cut(bucket_of[marks], sig[marks]):
-                rows.append((bucket, 3, None, s.tobytes(), None, None))
+                rows.append((bucket, 3, None, s.tobytes(), None, None, None))
             columns = list(zip(*rows, strict=True))
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "kind", "doc_id", "x", "y", "z"])
+            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "kind", "doc_id", "x", "y", "z", "mark"])
 
     return describe
 
 
-_PACKED = "bucket int, kind int, doc_id array<long>, x binary, y binary, z binary"
-_ROWS = "kind int, doc_id long, n int, key long, point binary, a long, b long"
+_PACKED = "bucket int, kind int, doc_id array<long>, x binary, y binary, z binary, mark binary"
+_ROWS = "kind int, doc_id long, mark long, n int, key long, point binary, a long, b long"
 
 
 def _unpack(table: pa.Table) -> pa.Table:
@@ -267,6 +267,7 @@ def _unpack(table: pa.Table) -> pa.Table:
     n = exchange.joined(by[0]["y"].to_pylist(), np.int32)
     point = exchange.joined(by[0]["z"].to_pylist(), np.uint32).reshape(-1, GROUPS)
     ids = pa.compute.list_flatten(by[0]["doc_id"]).combine_chunks()
+    mark = exchange.joined(by[0]["mark"].to_pylist(), np.int64)
     sig = _from_five(by[1]["x"].to_pylist())
     held = np.repeat(exchange.joined(by[1]["y"].to_pylist(), np.int64), exchange.joined(by[1]["z"].to_pylist(), np.uint32))
     order = np.lexsort((held, sig))
@@ -286,6 +287,7 @@ def _unpack(table: pa.Table) -> pa.Table:
     return pa.table({
         "kind": pa.array(np.repeat([0, 1], total).astype(np.int32)),
         "doc_id": pa.concat_arrays([ids, pa.nulls(total[1], pa.int64())]),
+        "mark": lead(mark, pa.int64()),
         "n": lead(n, pa.int32()),
         "key": lead(key, pa.int64()),
         "point": lead([packed_point(p) for p in point], pa.binary()),
@@ -409,12 +411,21 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     columns play no part. Sets are told apart by 63-bit hashes of 64-bit shingle
     hashes.
     """
-    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = _labelled(texts.withColumn("mark", F.xxhash64("doc_id", "text")), like)
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def _labelled(texts: DataFrame, like: Likeness) -> DataFrame:
+    """doc_id, mark, n, label and component_id of each row of ``texts`` (doc_id, text, mark): rows of one component, and no others, have one label; it is null without words.
+
+    ``mark`` is a hash of the row that tells its text, too.
+    """
+    spark = texts.sparkSession
     arrays.bounded_batches(spark)
     buckets = exchange.bucket_count(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = durable_table(texts.mapInArrow(_describe(like, buckets), _PACKED).groupBy("bucket").applyInArrow(_unpack, _ROWS))
-    own = rows.where("kind = 0").select("doc_id", "n", "key", "point")
+    own = rows.where("kind = 0").select("doc_id", "mark", "n", "key", "point")
     classes = own.where("n > 0").groupBy("key", "n", "point").agg(F.min("doc_id").alias("rep"))
 
     # sets that share a common signature
@@ -434,25 +445,49 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
 
     label = classes.join(joined, classes["key"] == joined["node"], "left").select("key", "rep", F.coalesce("root", "key").alias("label"))
     smallest = label.groupBy("label").agg(F.min("rep").alias("component_id"))
-    component = label.join(smallest, "label").select("key", "component_id")
-    full = own.where("n > 0").join(component, "key").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    bare = own.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    component = label.join(smallest, "label").select("key", "label", "component_id")
+    full = own.where("n > 0").join(component, "key").select("doc_id", "mark", "n", "label", "component_id")
+    bare = own.where("n = 0").select("doc_id", "mark", "n", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
     return full.union(bare)
 
 
+def _row_mark(docs: DataFrame):
+    """A hash of all columns of a row; a map, which has no hash, goes by its JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema])
+
+
 def deduplicated(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """The rows of ``docs``, one per component of near duplicates: the one with the smallest doc_id, of rows alike in id the first by text.
 
-    Rows without words stay. Rows without an id stay unless they repeat a text of a row with one.
+    Judged row by row: an id may repeat with other texts, or be null (after all
+    ids). Of rows alike in id and text, too, one stays, also of rows that repeat.
+    Rows without words stay. Rows are told apart by id and a 64-bit hash of all
+    columns.
     """
-    names = docs.columns
-    verdict = near_duplicates(docs, like).groupBy(F.col("doc_id").alias("v_id")).agg(
-        F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")
-    )
+    ident, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    texts = docs.select(ident.alias("doc_id"), text.alias("text"), _row_mark(docs).alias("mark"))
+    found = _labelled(texts, like).where("n > 0").groupBy("label", "component_id", "doc_id", "mark").agg(F.count("*").alias("times"))
+    found = durable_table(found)
+    least = found.where("doc_id <=> component_id")
+    heads = least.groupBy("label").agg(F.min("mark").alias("head"), F.count("*").alias("rows"))
+    # several rows of a component have its id: the first by text
+    alike = durable_table(least.join(heads.where("rows > 1").select("label"), "label").select("label", F.col("doc_id").alias("l_id"), F.col("mark").alias("l_mark")))
+    if not alike.isEmpty():
+        same = (F.col("mark") == F.col("l_mark")) & F.col("doc_id").eqNullSafe(F.col("l_id"))
+        first = texts.join(alike, same).groupBy("label").agg(F.min(F.struct("text", "mark")).alias("first"))
+        heads = heads.where("rows = 1").select("label", "head").union(first.select("label", "first.mark"))
+    judged = found.join(heads.select("label", "head"), "label")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("head"))
     # written, so that Spark knows its size: a short list is sent to all tasks, a long one is joined by a shuffle
-    gone = durable_table(verdict.where("NOT stays").select("v_id").sortWithinPartitions("v_id"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"))
-    return packed.join(gone, F.col("id").eqNullSafe(F.col("v_id")), "left_anti").select("row.*")
+    listed = judged.select(F.col("doc_id").alias("v_id"), "mark", stays.alias("stays"), "times").where("NOT stays OR times > 1")
+    listed = durable_table(listed.select("v_id", F.col("mark").alias("v_mark"), "stays").sortWithinPartitions("v_id"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ident.alias("id"), _row_mark(docs).alias("mark"))
+    there = (F.col("mark") == F.col("v_mark")) & F.col("id").eqNullSafe(F.col("v_id"))
+    out = packed.join(listed, there, "left_anti").select("row.*")
+    again = durable_table(listed.where("stays"))
+    if not again.isEmpty():
+        out = out.union(packed.join(again, there).groupBy("id", "mark").agg(F.first("row").alias("row")).select("row.*"))
+    return out
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
