@@ -189,3 +189,20 @@ def test_one_row_of_each_group_stays_where_ids_repeat_or_are_null(spark):
     # alike in id and text, not in other columns
     other = table(spark, [(1, text(1))]).union(spark.createDataFrame([(1, text(1), "w", 2, None)], SCHEMA))
     assert len(deduplicated(other).collect()) == 1
+
+
+def test_each_candidate_class_meets_one_text(spark, monkeypatch):
+    tiled, met = jaccard._tiled, []
+    monkeypatch.setattr(jaccard, "_tiled", lambda members, *a: (met.append(members), tiled(members, *a))[1])
+    text = lambda i, end: " ".join(f"t{i}x{k}" for k in range(60)) + end
+    rows = [(None if i % 2 else 7, text(i, end)) for i in range(20) for end in ("", " z", " z")]
+    like = Likeness(3, 90, 100)
+    found = sorted((tuple(r) for r in near_duplicates(table(spark, rows), like).collect()), key=str)
+    assert found == brute(rows, like)
+    assert met[1].columns == ["block", "key", "text"] and met[1].count() == 40
+
+
+def test_pieces_that_begin_alike_spread_over_buckets():
+    batch = jaccard.pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["same words here", "other words here"], "mark": [5, 6]})
+    out = list(jaccard._describe(Likeness(), 64)(iter([batch] * 50)))
+    assert len({r["bucket"] for b in out for r in b.to_pylist() if r["kind"] == 0}) > 20

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,7 +222,9 @@ def _describe(like: Likeness, buckets: int):
     """Documents -> packed rows: their sizes, names and points; their signatures by bucket."""
 
     def describe(batches):
-        for batch in arrays.pieces(batches, "text"):
+        task = TaskContext.get()
+        turn = np.uint64(task.partitionId() if task else 0) << np.uint64(32)
+        for piece, batch in enumerate(arrays.pieces(batches, "text")):
             sets = shingle_sets(arrays.Words(batch["text"], lower=True), like.words)
             keys = np.array([set_key(s) for s in sets], np.int64)
             sizes = np.array([len(s) for s in sets], np.int32)
@@ -236,7 +239,9 @@ def _describe(like: Likeness, buckets: int):
             edge = np.flatnonzero(np.diff(sig, prepend=sig[:1] + np.uint64(1)))
             held = np.diff(np.append(edge, len(sig)))
             hot = np.repeat(held > FEW, held)
-            rows = [(int(keys[0] % buckets), 0, batch["doc_id"].cast(pa.int64()).to_pylist(), keys.tobytes(), sizes.tobytes(), points.tobytes(), batch["mark"].to_numpy(zero_copy_only=False).tobytes())]
+            # documents go by the place of their piece, so that no text, however common, fills a bucket
+            home = int(exchange.bucket_of(arrays.mix(np.array([turn + np.uint64(piece)])), buckets)[0])
+            rows = [(home, 0, batch["doc_id"].cast(pa.int64()).to_pylist(), keys.tobytes(), sizes.tobytes(), points.tobytes(), batch["mark"].to_numpy(zero_copy_only=False).tobytes())]
             bucket_of, sig = exchange.bucket_of(sig, buckets), sig & _SHORT
             for bucket, (s, k) in exchange.cut(bucket_of[~hot], sig[~hot], key[~hot]):
                 own = np.argsort(k, kind="stable")
@@ -426,7 +431,7 @@ def _labelled(texts: DataFrame, like: Likeness) -> DataFrame:
     buckets = exchange.bucket_count(spark)
     rows = durable_table(texts.mapInArrow(_describe(like, buckets), _PACKED).groupBy("bucket").applyInArrow(_unpack, _ROWS))
     own = rows.where("kind = 0").select("doc_id", "mark", "n", "key", "point")
-    classes = own.where("n > 0").groupBy("key", "n", "point").agg(F.min("doc_id").alias("rep"))
+    classes = own.where("n > 0").groupBy("key", "n", "point").agg(F.min("doc_id").alias("rep"), F.min("mark").alias("mark"))
 
     # sets that share a common signature
     held = rows.where("kind = 1").select(F.col("a").alias("block"), F.col("b").alias("key"))
@@ -436,10 +441,12 @@ def _labelled(texts: DataFrame, like: Likeness) -> DataFrame:
     candidates = connected(bounded)
 
     # their texts, in blocks of sets that may be joined
-    chosen = candidates.select(F.col("node").alias("key"), F.col("root").alias("block")).join(classes.select("key", "rep", "n"), "key")
+    chosen = candidates.select(F.col("node").alias("key"), F.col("root").alias("block")).join(classes.select("key", "mark", "n"), "key")
     chosen = _by_size(chosen, like)
     sizes = _tiles_of(chosen)
-    found = texts.join(chosen.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(chosen["rep"])).select("block", "key", "text")
+    # one row per class, told by its mark: ids may repeat or be null. Rows that repeat become one before the shuffle
+    once = texts.groupBy("mark").agg(F.first("text").alias("text"))
+    found = once.join(chosen.hint("shuffle_hash"), "mark").select("block", "key", "text")
     links = _tiled(found, sizes, buckets).select("g", "t1", "t2", "block", "key", "text").groupBy("g", "t1", "t2").applyInArrow(_verified(like), "a long, b long")
     joined = connected(links)
 
