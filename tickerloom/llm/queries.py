@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import impact, jaccard, language, mixing, ngrams, pages, pii, substring, tree, unigram
+from tickerloom.llm import impact, jaccard, language, mixing, ngrams, pages, periodic, pii, substring, tree, unigram
 
 QUERIES = {
     "op1_topk": impact.op1_topk,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring": substring.op8_substring,
     "op9_pieces": unigram.op9_pieces,
     "op10_ann": tree.op10_ann,
+    "op12_periodic": periodic.op12_periodic,
 }
 
 SQL = {
