@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import impact, jaccard, language, mixing, ngrams, pages, periodic, pii, substring, tree, unigram
+from tickerloom.llm import codes, impact, jaccard, language, mixing, ngrams, pages, periodic, pii, substring, tree, unigram
 
 QUERIES = {
     "op1_topk": impact.op1_topk,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_pieces": unigram.op9_pieces,
     "op10_ann": tree.op10_ann,
     "op12_periodic": periodic.op12_periodic,
+    "op13_codes": codes.op13_codes,
 }
 
 SQL = {
     "op1_topk": impact.SQL,
     "op2_mix": mixing.SQL,
+    "op13_codes": codes.SQL,
 }
