@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import codes, impact, jaccard, language, mixing, ngrams, pages, periodic, pii, substring, tree, unigram
+from tickerloom.llm import codes, graph, impact, jaccard, language, mixing, ngrams, pages, periodic, pii, substring, tree, unigram
 
 QUERIES = {
     "op1_topk": impact.op1_topk,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring": substring.op8_substring,
     "op9_pieces": unigram.op9_pieces,
     "op10_ann": tree.op10_ann,
+    "op11_links": graph.op11_links,
     "op12_periodic": periodic.op12_periodic,
     "op13_codes": codes.op13_codes,
 }
@@ -22,5 +23,6 @@ QUERIES = {
 SQL = {
     "op1_topk": impact.SQL,
     "op2_mix": mixing.SQL,
+    "op11_links": graph.SQL,
     "op13_codes": codes.SQL,
 }
