@@ -5,9 +5,9 @@ import pytest
 from tickerloom.llm.pii import pseudonymise
 
 
-def run(spark, texts, **options):
+def run(spark, texts, key="test"):
     df = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "doc_id long, text string, new string")
-    return [tuple(r) for r in pseudonymise(df, **options).orderBy("doc_id").select("text", "pii_found", "new").collect()]
+    return [tuple(r) for r in pseudonymise(df, key=key).orderBy("doc_id").select("text", "pii_found", "new").collect()]
 
 
 def luhn(digits):
@@ -19,7 +19,7 @@ def luhn(digits):
 
 
 def test_plan_is_native(spark):
-    plan = pseudonymise(spark.createDataFrame([(1, "a@b.co")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    plan = pseudonymise(spark.createDataFrame([(1, "a@b.co")], "doc_id long, text string"), key="k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
@@ -50,7 +50,7 @@ def test_formats_of_one_number_are_linked(spark):
     assert [c for c in a if c.isdigit()] == [c for c in b if c.isdigit()]
 
 
-@pytest.mark.parametrize("text", ["4.0.", "1234567890123456", "999.1.1.1", "02/30/2001", "000-12-3456", "Version 2.0", "GB00WEST12345698765432", "2024-13-01", "1850-01-01", "password=e3b3ed3cc8548923d6"])
+@pytest.mark.parametrize("text", ["4.0.", "1234567890123456", "999.1.1.1", "02/30/2001", "31/02/2001", "31/13/2001", "000-12-3456", "Version 2.0", "GB00WEST12345698765432", "2024-13-01", "1850-01-01", "password=e3b3ed3cc8548923d6"])
 def test_invalid_values_stay(spark, text):
     assert run(spark, [text]) == [(text, 0, "kept")]
 
@@ -79,6 +79,71 @@ def test_null_empty_long_repeated(spark):
 
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a@b.co", 5, "t")], "doc_id long, text string, pii_found int, t string")
-    row = pseudonymise(df).first()
+    row = pseudonymise(df, key="k").first()
     assert (row.pii_found, row.t) == (1, "t")
-    assert pseudonymise(df.limit(0)).collect() == []
+    assert pseudonymise(df.limit(0), key="k").collect() == []
+
+
+def valid_ssn(s):
+    return s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"
+
+
+def test_pseudonyms_are_valid_and_distinct(spark):
+    ssns = [f"{a:03}-{b:02}-{c:04}" for a, b, c in [(1 + i * 7 % 665, 1 + i % 99, 1 + i * 31 % 9999) for i in range(3000)]]
+    (text, n, _), = run(spark, [" ".join(ssns)])
+    found = text.split()
+    assert all(map(valid_ssn, found)) and len(set(found)) == len(set(ssns)) and n > 2990
+    first = datetime.date(1984, 1, 1)
+    days = [first + datetime.timedelta(days=i) for i in range(700)]
+    late = [d.strftime("%d/%m/%Y") for d in days if d.day > 12]
+    (text, _, _), = run(spark, [" ".join(late)])
+    assert len(set(text.split())) == len(late)
+    assert all(int(x[:2]) > 12 and datetime.datetime.strptime(x, "%d/%m/%Y") for x in text.split())
+
+
+def feistel(text, tag, key):
+    """The same network, character by character."""
+    import hashlib
+
+    half = len(text) // 2
+    parts = [text[:half], text[half:]]
+    for r in range(1, 9):
+        a, b = ((0, 1) if r % 2 else (1, 0))
+        if parts[a]:
+            bits = hashlib.sha256(f"{key}|{tag}|{r}|{parts[b]}".encode()).hexdigest()
+            out = ""
+            for i, c in enumerate(parts[a]):
+                x = int(bits[i % 16 * 4 : i % 16 * 4 + 4], 16)
+                for low, size in (("0", 10), ("a", 26), ("A", 26)):
+                    if 0 <= ord(c) - ord(low) < size and c.isalnum() and c.isascii():
+                        c = chr(ord(low) + (ord(c) - ord(low) + x) % size)
+                        break
+                out += c
+            parts[a] = out
+    return "".join(parts)
+
+
+def test_networks_equal_brute_force(spark):
+    mails = ["jane.doe42@mail.example.com", "x@y.org", "A+b%c@sub-host.net"]
+    ssns = ["078-05-1120", "123-45-6789", "219-09-9999"]
+    found = [t for t, _, _ in run(spark, mails + ssns, key="k")]
+    for old, now in zip(mails, found, strict=False):
+        name, last = old.rsplit(".", 1)
+        assert now == feistel(name, "email", "k") + "." + last
+    for old, now in zip(ssns, found[3:], strict=True):
+        want = feistel(old, "ssn", "k")
+        while not valid_ssn(want):
+            want = feistel(want, "ssn", "k")
+        assert now == want
+
+
+def test_unbroken_runs_and_label_chains_end_soon(spark):
+    chain, run_, dots = "x@a" + ".a1" * 100_000, "a" * 1_000_000, "a." * 300_000 + "@"
+    found = run(spark, [chain, run_, dots, chain + ".com and j.d@a.b.org", "1" * 500_000, "x@" * 200_000])
+    assert [t for t, _, _ in found[:3]] == [chain, run_, dots]
+    assert "j.d@a.b.org" not in found[3][0] and found[3][0].endswith(".org")
+
+
+def test_a_key_is_needed(spark):
+    with pytest.raises(TypeError):
+        pseudonymise(spark.createDataFrame([(1, "a@b.co")], "doc_id long, text string"))
