@@ -83,3 +83,40 @@ def test_fit_takes_a_bounded_sample(spark, rows, monkeypatch):
     monkeypatch.setattr(language, "KernelClassifier", lambda codes, labels: taken.extend(labels))
     language.fit(table(spark, rows).select("text", "lang"), per_language=10)
     assert sorted(taken) == ["de"] * 10 + ["en"] * 10 + ["fr"] * 10
+
+
+def test_languages_of_long_texts_are_learnt(spark):
+    chance = np.random.default_rng(1)
+    say = lambda words, n: " ".join(chance.choice(words.split(), n))
+    rows = [(i, "1 " * 50 + say(WORDS["de"], 2600), "de") for i in range(60)] + [(100 + i, say(WORDS["en"], 12), "en") for i in range(60)]
+    found = {r.doc_id: r.lang_pred for r in identify(table(spark, rows)).collect()}
+    assert all(found[i] == g for i, _, g in rows)
+
+
+def test_few_usable_rows_of_a_large_language_are_all_learnt(spark, monkeypatch):
+    rows = [(i, None if i % 50 else f"the house {i}", "en") for i in range(2000)]
+    taken = []
+    monkeypatch.setattr(language, "KernelClassifier", lambda codes, labels: taken.extend(labels))
+    language.fit(table(spark, rows).select("doc_id", "text", "lang"), per_language=30)
+    assert len(taken) == 30
+
+
+def test_every_language_has_landmarks():
+    assert language.in_turn(["a", "a", "a", "b", "a", "c"]).tolist() == [0, 3, 5, 1, 2, 4]
+
+
+def test_classifier_equals_plain_regression(rows):
+    """Kernel, root and regression worked out again, text by text."""
+    labels = [g for *_, g in rows[:60]]
+    texts = [t for _, t, _ in rows[:60]]
+    codes = [set(c.tolist()) for c in ngram_codes(pa.array(texts))]
+    model = KernelClassifier(ngram_codes(pa.array(texts)), labels)
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in codes] for a in codes])
+    values, vectors = np.linalg.eigh(kernel)
+    features = kernel @ vectors / np.sqrt(values)
+    target = np.array([[1.0 if g == x else -1.0 for x in sorted(set(labels))] for g in labels])
+    weights = np.linalg.solve(features.T @ features + language.RIDGE * len(texts) * np.eye(len(texts)), features.T @ target)
+    found, score = model.predict(ngram_codes(pa.array(texts)))
+    output = np.clip((features @ weights + 1) / 2, 1e-6, 1)
+    assert found == [sorted(set(labels))[i] for i in output.argmax(axis=1)]
+    assert score == pytest.approx(output.max(axis=1) / output.sum(axis=1), abs=1e-3)

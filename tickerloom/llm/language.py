@@ -11,9 +11,11 @@ from pyspark.sql.window import Window
 from tickerloom.llm import arrays
 
 UNKNOWN = "und"
-#: Bounds of the sample that the classifier is fitted on: rows of a language, characters of a row. Longer rows are scored, not fitted on.
-PER_LANGUAGE, FIT_CHARS = 300, 8000
-LANDMARKS, RIDGE, NGRAMS = 160, 1e-3, 3
+#: Bounds of the sample that the classifier is fitted on: rows of a language, rows in all, and characters of a row, from its first letter on.
+PER_LANGUAGE, FIT_ROWS, FIT_CHARS = 300, 20_000, 8000
+#: Landmarks: so many in all, so many a language at least.
+LANDMARKS, OWN_LANDMARKS = 160, 4
+RIDGE, NGRAMS = 1e-3, 3
 #: Characters fall into so many classes (a power of two): ASCII letters and marks each have their own, others share by code point.
 CLASSES = 128
 _BITS = CLASSES.bit_length() - 1
@@ -62,6 +64,15 @@ def _distinct(gram: np.ndarray, n: int) -> np.ndarray:
     return gram | size
 
 
+def in_turn(labels: list[str]) -> np.ndarray:
+    """Places of the labels, the first of each label, then the second of each, and so on."""
+    turn: dict[str, int] = {}
+    rank = np.zeros(len(labels), np.int64)
+    for i, label in enumerate(labels):
+        rank[i] = turn[label] = turn.get(label, -1) + 1
+    return np.argsort(rank, kind="stable")
+
+
 class KernelClassifier:
     """One-versus-rest kernel ridge regression on Nyström features of the normalised presence kernel.
 
@@ -74,14 +85,14 @@ class KernelClassifier:
 
     def __init__(self, codes: list[np.ndarray], labels: list[str]):
         self.languages = sorted(set(labels))
-        order = np.linspace(0, len(codes) - 1, min(LANDMARKS, len(codes))).astype(int) if codes else []
+        order = in_turn(labels)[: max(LANDMARKS, OWN_LANDMARKS * len(self.languages))]
         self.place = np.full(2 << (_BITS * NGRAMS), -1, np.int32)
         known = np.unique(np.concatenate([codes[i] for i in order])) if len(order) else np.zeros(0, np.int32)
         self.place[known] = np.arange(len(known))
         self.landmarks = np.zeros((len(known), len(order)), np.float32)
         for column, i in enumerate(order):
             self.landmarks[self.place[codes[i]], column] = 1 / np.sqrt(max(len(codes[i]), 1))
-        if not len(order):
+        if not len(codes):
             self.weights = np.zeros((0, 0))
             return
         kernel = self.kernel(codes).astype(np.float64)
@@ -116,24 +127,27 @@ def _in_fold(column: Column, of: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % of
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, chars: int = FIT_CHARS) -> KernelClassifier:
-    """Fit on at most ``per_language`` rows per language, none longer than ``chars`` characters.
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, chars: int = FIT_CHARS, most: int = FIT_ROWS) -> KernelClassifier:
+    """Fit on at most ``per_language`` rows of each language and ``most`` in all, of each ``chars`` characters from its first letter on.
 
-    Rows with text and lang are taken in the order of a hash of all their columns.
-    Each language's rows are first thinned by that hash to a few times the number
-    wanted, so that the ranking sees as many rows whatever the table's size.
+    Rows with a letter in their text and a lang count, whatever their length, and
+    are taken in the order of a hash of all their columns; if there are too many
+    languages, each gets fewer rows. Each language's rows are first thinned by that
+    hash to a few times the number wanted, so that the ranking sees as many rows
+    whatever the table's size.
     """
-    known = labelled.where(F.col("lang").isNotNull())
-    sizes = known.groupBy("lang").count().agg(F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("m"))
     place = F.xxhash64(*[F.col(f"`{c}`") for c in labelled.columns])
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang", place.alias("h"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("rows")).withColumnRenamed("lang", "of")
     order = Window.partitionBy("lang").orderBy("h", "text")
     sample = (
-        known.select("text", "lang", place.alias("h"))
-        .where((F.col("h") / 2.0**64 + 0.5) * F.element_at(sizes.scalar(), F.col("lang")) <= 4 * per_language)
-        .where(F.col("text").rlike(r"\p{L}") & (F.length("text") <= chars))
+        known.join(sizes, F.col("lang") == F.col("of"))
+        .where((F.col("h") / 2.0**64 + 0.5) * F.col("rows") <= 4 * per_language)
+        .select("lang", "h", F.expr(f"substring(text, regexp_instr(text, '\\\\p{{L}}'), {int(chars)})").alias("text"))
         .withColumn("n", F.row_number().over(order))
         .where(F.col("n") <= per_language)
-        .orderBy("h", "lang")
+        .orderBy("n", "h", "lang")
+        .limit(most)
         .select("text", "lang")
         .toArrow()
     )
