@@ -108,3 +108,54 @@ def test_packed_numbers_come_back():
     values = np.array([0, 1, 255, 256, 2**55, 3], np.uint64)
     assert unpacked(packed(values)).tolist() == values.tolist()
     assert unpacked(packed(values[:0])).tolist() == []
+
+
+def test_scores_do_not_follow_the_partitions(spark, corpus):
+    key = "spark.sql.shuffle.partitions"
+    was, found = spark.conf.get(key), []
+    for n in (2, 8, 32):
+        spark.conf.set(key, n)
+        found.append(sorted((str(r.doc_id), r.n_tokens, r.base_score, r.score) for r in score_texts(table(spark, corpus)).collect()))
+    spark.conf.set(key, was)
+    for other in found[1:]:
+        for a, b in zip(found[0], other, strict=True):
+            assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-9)
+
+
+def test_weights_equal_brute_force(spark, corpus, monkeypatch):
+    """Held-out events counted one by one, then expectation maximisation over the events themselves."""
+    from pyspark.sql import functions as F
+
+    weights = []
+    original = ngrams.mixture_weights
+    monkeypatch.setattr(ngrams, "mixture_weights", lambda *a: weights.append(original(*a)) or weights[-1])
+    monkeypatch.setattr(ngrams, "FINE", 64)
+    score_texts(table(spark, corpus)).collect()
+    rows = table(spark, corpus).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("aside", F.pmod(F.xxhash64("doc_id", "text", F.lit("held")), F.lit(ngrams.HELD)) == 0).collect()
+    one, two, all_, rest = Counter(), Counter(), Counter(), 0
+    for r in rows:
+        if not held(r.doc_id):
+            all_.update(tokens(r.text))
+            if not r.aside:
+                rest += 1
+                one.update(tokens(r.text))
+                two.update(zip(["^", *tokens(r.text)], tokens(r.text)))
+    one["^"] = rest
+    n, v = sum(all_.values()), len(all_)
+    events = {}
+    for r in rows:
+        if r.aside and not held(r.doc_id):
+            before = "^"
+            for t in tokens(r.text):
+                c = one[before]
+                events.setdefault(int(context_bucket(np.array([c]))[0]), []).append((1 / (v + 1), one[t] / n, two[before, t] / c if c else 0.0))
+                before = t
+    assert len(events) >= 4
+    for b, given in events.items():
+        given = np.array(given).T
+        own = np.full(3, 1 / 3) if b else np.array([0.5, 0.5, 0.0])
+        for _ in range(ngrams.ROUNDS):
+            part = own[:, None] * given
+            own = (part / part.sum(axis=0)).mean(axis=1)
+        assert weights[0][b] == pytest.approx(own, abs=0.02)

@@ -20,6 +20,8 @@ KEEP = np.uint64(8)
 ROUNDS, FINE = 60, 4
 #: Context buckets: contexts never seen, then one per power of two.
 BUCKETS = 48
+#: One text to learn from in so many, by a hash of the text and its id, is held out while the weights are learnt.
+HELD = 4
 
 
 class Batch:
@@ -101,21 +103,28 @@ def _ask(buckets: int):
     return ask
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """A bucket -> for each batch the totals of what it asked for; for batch -1 the number of distinct words learnt."""
-    number = table["batch"].to_pylist()
-    names = [np.cumsum(unpacked(x), dtype=np.uint64) for x in table["names"].to_pylist()]
-    own = np.concatenate([unpacked(x) for x in table["own"].to_pylist()]).astype(np.int64)
-    sizes = [len(x) for x in names]
-    distinct, of = np.unique(np.concatenate(names), return_inverse=True)
-    total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, of, own)
-    rows, at = [], 0
-    for n, size in zip(number, sizes, strict=True):
-        rows.append((n, table["bucket"][0].as_py(), packed(total[of[at : at + size]]), 0))
-        at += size
-    rows.append((-1, table["bucket"][0].as_py(), None, int(((distinct & np.uint64(1) == 0) & (total > 0)).sum())))
-    return _rows(rows, ["batch", "bucket", "totals", "learnt"], [pa.int32(), pa.int32(), pa.binary(), pa.int64()])
+def _count(buckets: int):
+    """A bucket -> for each batch the totals of what it asked for, for held-out ones (from ``buckets`` on) also what all of these have; for batch -1 the number of distinct words learnt."""
+
+    def count(table: pa.Table) -> pa.Table:
+        number = table["batch"].to_pylist()
+        names = [np.cumsum(unpacked(x), dtype=np.uint64) for x in table["names"].to_pylist()]
+        own = [unpacked(x).astype(np.int64) for x in table["own"].to_pylist()]
+        distinct, of = np.unique(np.concatenate(names), return_inverse=True)
+        total, held = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        edges = np.cumsum([0, *map(len, names)])
+        for n, x, begin, end in zip(number, own, edges, edges[1:], strict=False):
+            total[of[begin:end]] += x  # the names of a batch are distinct
+            if n >= buckets:
+                held[of[begin:end]] += x
+        rows = [
+            (n, table["bucket"][0].as_py(), packed(total[of[begin:end]]), packed(held[of[begin:end]]) if n >= buckets else None, 0)
+            for n, begin, end in zip(number, edges, edges[1:], strict=False)
+        ]
+        rows.append((-1, table["bucket"][0].as_py(), None, None, int(((distinct & np.uint64(1) == 0) & (total > 0)).sum())))
+        return _rows(rows, ["batch", "bucket", "totals", "held", "learnt"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()])
+
+    return count
 
 
 def context_bucket(count: np.ndarray) -> np.ndarray:
@@ -130,16 +139,20 @@ _FACTS = (
 
 
 def _attach(buckets: int):
-    """A batch and its totals -> 0: documents with the counts of their tokens; 1: the batch's held-out histogram; 2: words learnt."""
+    """A batch and its totals -> 0: documents with the counts of their tokens; 1: a held-out batch's histogram; 2: words learnt."""
 
     def attach(table: pa.Table, answers: pa.Table) -> pa.Table:
         empty = {n: pa.nulls(0, t) for n, t in _FIELDS}
         if not table.num_rows:
             return _facts(empty, 2, {"n": [float(sum(answers["learnt"].to_pylist()))]})
         batch = Batch(table)
-        told = {b: unpacked(t) for b, t in zip(answers["bucket"].to_pylist(), answers["totals"].to_pylist(), strict=True)}
-        asked = [(name, told[bucket]) for bucket, name, _ in batch.by_bucket(buckets)]
-        word, pair = batch.place(np.concatenate([a for a, _ in asked]), np.concatenate([t for _, t in asked]).astype(np.int64))
+        names = {bucket: name for bucket, name, _ in batch.by_bucket(buckets)}
+
+        def told(column: str) -> tuple[np.ndarray, np.ndarray]:
+            found = {b: unpacked(t) for b, t in zip(answers["bucket"].to_pylist(), answers[column].to_pylist(), strict=True)}
+            return batch.place(np.concatenate([*names.values()]), np.concatenate([found[b] for b in names]).astype(np.int64))
+
+        word, pair = told("totals")
         words, pairs = word[batch.word_of], pair[batch.pair_of]
         offsets = np.append(batch.first, len(words)).astype(np.int32)
         sums = lambda x: np.add.reduceat(x, batch.first)
@@ -152,9 +165,12 @@ def _attach(buckets: int):
             "words": pa.ListArray.from_arrays(pa.array(offsets), pa.array(words)),
             "pairs": pa.ListArray.from_arrays(pa.array(offsets), pa.array(pairs)),
         })
-        # held out: what the other batches know of this one's tokens. The context of a first word is told by the ends.
+        if table["batch"][0].as_py() < buckets:
+            return docs
+        # held out: what the texts that aren't know of this batch's tokens. The context of a first word is told by the ends.
         learns = batch.learns
-        left_word, left_pair = (word - batch.word_own)[batch.word_of], (pair - batch.pair_own)[batch.pair_of]
+        held_word, held_pair = told("held")
+        left_word, left_pair = (word - held_word)[batch.word_of], (pair - held_pair)[batch.pair_of]
         ends = left_word[batch.first + batch.counts - 1]
         context = np.empty_like(left_word)
         context[1:] = left_word[:-1]
@@ -246,9 +262,11 @@ def score_texts(docs: DataFrame, *, folds: int = 7, held_out: int = 2) -> DataFr
     Learns from rows whose crc32(doc_id) modulo ``folds`` is not ``held_out``.
     P(w | h) = l3 c(h, w) / c(h) + l2 c(w) / N + l1 / (V + 1), where the weights l
     go by the bucket of c(h) and h is the token before w, or the beginning. The
-    weights are learnt by expectation maximisation on held-out counts: for each
-    batch of texts, the counts of all others. Every text to learn from is held
-    out once, in the histogram that the iterations run on.
+    weights are learnt by expectation maximisation on held-out counts: one text to
+    learn from in ``HELD``, by hash, is held out, and its tokens meet the counts of
+    the others in the histogram that the iterations run on. With these weights all
+    texts to learn from are counted. So scores follow from the rows alone, however
+    they are dealt; only the order of sums can change a last digit.
 
     Texts lie in batches by hash. A batch sends its distinct n-grams, with its own
     counts, to their buckets and gets the totals back; so an n-gram, however
@@ -263,9 +281,12 @@ def score_texts(docs: DataFrame, *, folds: int = 7, held_out: int = 2) -> DataFr
     arrays.bounded_batches(spark)
     buckets = exchange.bucket_count(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = rows.select("doc_id", "text", (_in_fold(F.col("doc_id"), folds) == held_out).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("batch"))
+    texts = rows.select("doc_id", "text", (_in_fold(F.col("doc_id"), folds) == held_out).alias("held_out"))
+    h = F.xxhash64("doc_id", "text")
+    aside = ~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", "text", F.lit("held")), F.lit(HELD)) == 0)
+    texts = texts.withColumn("batch", F.when(aside, buckets + F.pmod(h, F.lit(max(1, buckets // HELD)))).otherwise(F.pmod(h, F.lit(buckets))).cast("int"))
     asked = texts.groupBy("batch").applyInArrow(_ask(buckets), "bucket int, batch int, names binary, own binary")
-    answers = asked.groupBy("bucket").applyInArrow(_count, "batch int, bucket int, totals binary, learnt long")
+    answers = asked.groupBy("bucket").applyInArrow(_count(buckets), "batch int, bucket int, totals binary, held binary, learnt long")
     facts = durable_table(texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_attach(buckets), _FACTS))
 
     known = facts.where("kind = 0")
