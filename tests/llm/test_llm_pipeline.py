@@ -57,3 +57,10 @@ def test_run_over_supplied_documents(spark):
     found = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert found.columns == ["doc_id", "ids", "n_pieces", "round_trip"]
     assert found.where("not round_trip").count() == 0 and found.count() > 200
+
+
+def test_unlabelled_corpus_stays_and_unlabelled_documents_are_told(spark, rows):
+    bare = table(spark, [(i, f"the house number {i} stands with roof and door", None, "s") for i in range(10)])
+    assert corpus_pipeline.identify_language(spark, bare, "").count() == 10
+    some = corpus_pipeline.identify_language(spark, table(spark, rows), "")
+    assert {(r.doc_id, r.lang) for r in some.where("doc_id = 203").collect()} == {(203, "en")}

@@ -3,6 +3,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 
+from tickerloom.llm import unigram
 from tickerloom.llm.unigram import GAP, MARK, MODEL, DoubleArrayTrie, Pieces, decode, encode
 
 SCHEMA = "doc_id long, text string, ids string, x int, row string"
@@ -44,7 +45,8 @@ def test_segmentations_score_best(pieces, scores):
     chance = np.random.default_rng(1)
     letters = list("abcdeé  \n▁日tionthe")
     docs += ["".join(chance.choice(letters, int(chance.integers(1, 40)))) for _ in range(150)]
-    ids, counts = pieces.encode(pa.array(docs))
+    ids, counts, same = pieces.encode(pa.array(docs))
+    assert same.all()
     known = {i: s for i, s in enumerate(pieces.score)}
     at = 0
     for text, n in zip(docs, counts, strict=True):
@@ -56,7 +58,8 @@ def test_segmentations_score_best(pieces, scores):
 
 def test_round_trip_and_library_decoding(pieces):
     texts = pa.array(TEXTS)
-    ids, counts = pieces.encode(texts)
+    ids, counts, same = pieces.encode(texts)
+    assert same.all()
     data, lengths = pieces.decode(ids, counts)
     raw, ends = data.tobytes(), np.cumsum(lengths)
     assert [raw[e - n : e].decode() for e, n in zip(ends, lengths, strict=True)] == [t or "" for t in TEXTS]
@@ -105,3 +108,41 @@ def test_tables(spark):
 def test_decoding_foreign_ids(spark):
     df = spark.createDataFrame([([99_999, -1],), ([258, 258],), (None,), ([],)], "ids array<int>")
     assert [r.decoded for r in decode(df).collect()] == ["", "��", None, ""]
+
+
+def test_parts_and_windows_change_nothing(pieces, monkeypatch):
+    chance = np.random.default_rng(2)
+    letters = list("abcdeé  日tionthexyz")
+    texts = ["".join(chance.choice(letters, int(n))) for n in chance.integers(0, 400, 60)] + [None, "", "x" * 700, " " * 300, "thetion" * 90 + " end"]
+    whole = pieces.encode(pa.array(texts))
+    monkeypatch.setattr(unigram, "PART_BYTES", 50)
+    parts = pieces.encode(pa.array(texts))
+    monkeypatch.setattr(unigram, "LONG", 24)
+    windows = pieces.encode(pa.array(texts))
+    for other in (parts, windows):
+        assert [x.tolist() for x in other] == [x.tolist() for x in whole]
+
+
+def test_damage_is_told(pieces):
+    marked = np.frombuffer(b"\xffab\xffab", np.uint8)
+    ids, counts, _ = pieces.encode(pa.array(["ab", "ab"]))
+    edges = np.array([0, 3, 6])
+    assert pieces._same(ids, counts, marked, edges).all()
+    other = ids.copy()
+    other[-1] = pieces.byte_ids[ord("z")]
+    assert pieces._same(other, counts, marked, edges).tolist() == [True, False]
+
+
+@pytest.mark.parametrize("kind", ["unspaced", "spaced"])
+def test_memory_is_bounded(pieces, kind):
+    import tracemalloc
+
+    chance = np.random.default_rng(3)
+    text = bytes(chance.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789" + (b" " * 7 if kind == "spaced" else b""), np.uint8), 300_000 if kind == "unspaced" else 8_000_000)).decode()
+    texts = pa.array([text])
+    tracemalloc.start()
+    ids, counts, same = pieces.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert same.all() and counts.tolist() == [len(ids)]
+    assert peak < 100e6 + 12 * len(text)

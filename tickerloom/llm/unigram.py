@@ -7,7 +7,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +19,8 @@ MARK = "▁"
 GAP = 0xFF
 #: An unknown character costs so much more than the worst piece.
 UNKNOWN_COST = 10.0
+#: Bytes of text worked on at once, cut between words; a word beyond ``LONG`` bytes is worked through in windows of that size.
+PART_BYTES, LONG = 256 << 10, 16 << 10
 
 
 class DoubleArrayTrie:
@@ -98,31 +99,14 @@ class Pieces:
         self.raw_lengths = np.array([len(x) for x in raw], np.int64)
         self.raw_starts = np.cumsum(self.raw_lengths) - self.raw_lengths
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.longest = max(map(len, text.values()), default=4) + 4
 
-    def segment(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of the words data[start:end], one after the other, and their number per word.
-
-        All words advance together: first every place of every word walks down the
-        trie until it dies, then the best scores are worked out place by place.
-        Of equal scores the longest last piece wins.
-        """
-        n = len(data)
-        limit = np.zeros(n, np.int64)  # end of the word a place lies in
-        order = np.zeros(n, np.int64)  # its place in the word
-        if not n:
-            return np.zeros(0, np.int32), np.zeros(len(starts), np.int64)
-        lengths = ends - starts
-        where = arrays.spans(starts, lengths)
-        limit[where] = np.repeat(ends, lengths)
-        order[where] = where - np.repeat(starts, lengths)
-        head = (data & 0xC0) != 0x80  # first byte of a character
-        place = where[head[where]]
-        follow = np.where(data >= 0xF0, 4, np.where(data >= 0xE0, 3, np.where(data >= 0xC0, 2, 1)))
-        follow = np.where(data == GAP, 1, follow)
+    def _edges(self, data: np.ndarray, place: np.ndarray, limit: np.ndarray, follow: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, piece) of every piece that starts at one of the places; -1 for a character that is none."""
         trie = self.trie
         at, state, depth = place, np.zeros(len(place), np.int64), 0
         tail, head_of, piece = [], [], []
-        alone = np.zeros(n, bool)  # places whose first character is a piece
+        alone = np.zeros(len(data), bool)  # places whose first character is a piece
         while len(at):
             byte = data[at + depth].astype(np.int64)
             following = trie.base[state].astype(np.int64) + byte
@@ -144,7 +128,78 @@ class Pieces:
         tail.append(lost)
         head_of.append(np.minimum(lost + follow[lost], limit[lost]))
         piece.append(np.full(len(lost), -1, np.int32))
-        tail, head_of, piece = np.concatenate(tail), np.concatenate(head_of), np.concatenate(piece)
+        return np.concatenate(tail), np.concatenate(head_of), np.concatenate(piece)
+
+    def segment_long(self, data: np.ndarray) -> np.ndarray:
+        """Piece ids of one word of any length, window by window.
+
+        Past a window, the best paths to all places that are still open are
+        followed back to the place where they meet; what lies before it is done and
+        let go. Of equal scores the longest last piece wins, as in ``segment``.
+        """
+        n, best, back, done = len(data), {0: 0.0}, {}, 0
+        out: list[np.ndarray] = []
+        for begin in range(0, n, LONG):
+            own = data[begin : begin + LONG + self.longest]
+            size = min(LONG, n - begin)
+            head = (own & 0xC0) != 0x80
+            follow = np.where(own >= 0xF0, 4, np.where(own >= 0xE0, 3, np.where(own >= 0xC0, 2, 1)))
+            follow = np.where(own == GAP, 1, follow)
+            tail, to, piece = self._edges(own, np.flatnonzero(head[:size]), np.full(len(own), len(own)), follow)
+            gain = np.where(piece >= 0, self.score[piece], self.unknown)
+            order = np.argsort(tail, kind="stable")
+            for source, target, score, name in zip((tail[order] + begin).tolist(), (to[order] + begin).tolist(), gain[order].tolist(), piece[order].tolist(), strict=True):
+                if source in best and best.get(target, -np.inf) < (total := best[source] + score):
+                    best[target], back[target] = total, (source, name)
+            end = begin + size
+            best = {k: v for k, v in best.items() if k >= end}
+            ahead = sorted(best)
+            while len(ahead) > 1:
+                last = ahead.pop()
+                if last <= done or last not in back:
+                    break
+                source = back[last][0]
+                if source not in ahead:
+                    ahead = sorted([*ahead, source])
+            if len(ahead) == 1:
+                met, path = ahead[0], []
+                while met > done:
+                    path.append((back[met][0], back[met][1], met))
+                    met = back[met][0]
+                if path:
+                    out.append(self._named(data, path[::-1]))
+                    done = path[0][2]
+                    back = {k: v for k, v in back.items() if k > done}
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
+
+    def _named(self, data: np.ndarray, path: list[tuple[int, int, int]]) -> np.ndarray:
+        """Ids of a path of (begin, piece, end): unknown characters become their bytes."""
+        ids: list[int] = []
+        for begin, piece, end in path:
+            ids += [piece] if piece >= 0 else self.byte_ids[data[begin:end]].tolist()
+        return np.array(ids, np.int32)
+
+    def segment(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of the words data[start:end], one after the other, and their number per word.
+
+        All words advance together: first every place of every word walks down the
+        trie until it dies, then the best scores are worked out place by place.
+        Of equal scores the longest last piece wins.
+        """
+        n = len(data)
+        limit = np.zeros(n, np.int64)  # end of the word a place lies in
+        order = np.zeros(n, np.int64)  # its place in the word
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(len(starts), np.int64)
+        lengths = ends - starts
+        where = arrays.spans(starts, lengths)
+        limit[where] = np.repeat(ends, lengths)
+        order[where] = where - np.repeat(starts, lengths)
+        head = (data & 0xC0) != 0x80  # first byte of a character
+        place = where[head[where]]
+        follow = np.where(data >= 0xF0, 4, np.where(data >= 0xE0, 3, np.where(data >= 0xC0, 2, 1)))
+        follow = np.where(data == GAP, 1, follow)
+        tail, head_of, piece = self._edges(data, place, limit, follow)
         gain = np.where(piece >= 0, self.score[piece], self.unknown)
         # place in the word right after the edge, so that a word's end has a slot of its own
         word = np.repeat(np.arange(len(starts)), lengths)
@@ -188,16 +243,40 @@ class Pieces:
         ids = np.where(np.repeat(out_piece, size) >= 0, np.repeat(out_piece, size), self.byte_ids[data[flat]]).astype(np.int32)
         return ids, np.bincount(out_word, size, len(starts)).astype(np.int64)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and their number per text. A text starts with a marker; an empty one has no ids.
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, their number per text, and whether they spell the text. A text starts with a marker; an empty one has no ids.
 
-        Words, each with the markers before it, are segmented once per call, however often they occur.
+        Texts are worked through in parts of about ``PART_BYTES``, so what is held
+        besides the texts and their ids doesn't grow with them.
         """
         data, offsets = arrays.buffers(texts)
+        counts, same, ids = np.zeros(len(texts), np.int64), np.ones(len(texts), bool), []
+        begin, text = 0, 0
+        while begin < len(data):
+            end = _cut(data, offsets, begin + PART_BYTES)
+            while offsets[text + 1] <= begin:
+                text += 1
+            last = int(np.searchsorted(offsets, end, "left"))  # texts text .. last - 1 have bytes here
+            edges = np.clip(offsets[text : last + 1], begin, end)
+            found, number, spelt = self._encode_part(data[begin:end], edges - begin, offsets[text] < begin)
+            ids.append(found)
+            counts[text:last] += number
+            same[text:last] &= spelt
+            begin = end
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), counts, same
+
+    def _encode_part(self, data: np.ndarray, offsets: np.ndarray, goes_on: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words, each with the markers before it, are segmented once per part, however often they occur. ``goes_on``: the first text began before."""
         size = np.diff(offsets)
-        begin = offsets[:-1] + np.cumsum(size > 0) - (size > 0)  # of each text once every one has its marker
-        marked = np.full(len(data) + int((size > 0).sum()), GAP, np.uint8)
-        marked[arrays.spans(begin + (size > 0), size)] = np.where(data == 0x20, GAP, data)
+        led = size > 0
+        led[0] &= not goes_on
+        begin = offsets[:-1] + np.cumsum(led) - led  # of each text once every one that starts here has its marker
+        marked = np.full(len(data) + int(led.sum()), GAP, np.uint8)
+        spaced = np.where(data == 0x20, np.uint8(GAP), data)
+        if len(size) == 1:  # the part may be one long word
+            marked[len(marked) - len(data) :] = spaced
+        else:
+            marked[arrays.spans(begin + led, size)] = spaced
         first = marked == GAP
         first[1:] &= marked[:-1] != GAP
         first[begin[size > 0]] = True
@@ -205,17 +284,43 @@ class Pieces:
         chunk = np.append(starts, len(marked))
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(chunk), pa.py_buffer(marked)]).dictionary_encode()
         words, edge = arrays.buffers(coded.dictionary)
-        ids, per_word = self.segment(words, edge[:-1], edge[1:])
+        wide = np.diff(edge)
+        short = wide <= LONG
+        per_word = np.zeros(len(wide), np.int64)
+        ends = np.cumsum(wide[short])
+        ids, per_word[short] = self.segment(words[arrays.spans(edge[:-1][short], wide[short])], ends - wide[short], ends)
+        first_id = np.cumsum(per_word) - per_word
+        for w in np.flatnonzero(~short):
+            more = self.segment_long(words[edge[w] : edge[w + 1]])
+            first_id[w], per_word[w] = len(ids), len(more)
+            ids = np.concatenate([ids, more])
         word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         through = np.concatenate([[0], np.cumsum(per_word[word])])
+        out = ids if len(word) == 1 else ids[arrays.spans(first_id[word], per_word[word])]
         per_text = np.diff(through[np.searchsorted(starts, np.append(begin, len(marked)))])
-        return ids[arrays.spans((np.cumsum(per_word) - per_word)[word], per_word[word])], per_text
+        return out, per_text, self._same(out, per_text, marked, np.append(begin, len(marked)))
+
+    def _same(self, ids: np.ndarray, per_text: np.ndarray, marked: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Whether the ids of each text decode to its bytes, marked[edges[i]:edges[i + 1]]."""
+        reach = np.concatenate([[0], np.cumsum(self.raw_lengths[ids])])
+        same = np.diff(reach[np.concatenate([[0], np.cumsum(per_text)])]) == np.diff(edges)
+        if same.all():
+            for begin in range(0, len(ids), LONG):
+                spelt = self._spelt(ids[begin : begin + LONG])[0]
+                own = marked[reach[begin] : reach[begin] + len(spelt)]
+                wrong = np.flatnonzero(spelt != np.where(own == GAP, np.uint8(0x20), own))
+                same[np.searchsorted(edges, wrong + reach[begin], "right") - 1] = False
+        return same
+
+    def _spelt(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids stand for, markers as spaces, and how many each has."""
+        ids = np.where((ids >= 0) & (ids < len(self.raw_lengths)), ids, 0)
+        lengths = self.raw_lengths[ids]
+        return self.raw[arrays.spans(self.raw_starts[ids], lengths)], lengths
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of the texts and their lengths: markers become spaces, the first space of a text goes."""
-        ids = np.where((ids >= 0) & (ids < len(self.raw_lengths)), ids, 0)
-        lengths = self.raw_lengths[ids]
-        data = self.raw[arrays.spans(self.raw_starts[ids], lengths)]
+        data, lengths = self._spelt(ids)
         size = np.zeros(len(counts) + 1, np.int64)
         size[1:] = np.cumsum(lengths)[np.cumsum(counts) - 1] * (np.cumsum(counts) > 0) if len(ids) else 0
         total = np.diff(size)
@@ -227,6 +332,20 @@ class Pieces:
         return data[keep], total
 
 
+def _cut(data: np.ndarray, offsets: np.ndarray, least: int) -> int:
+    """The first place from ``least`` on where a text ends or a run of spaces begins."""
+    if least >= len(data):
+        return len(data)
+    end = int(offsets[np.searchsorted(offsets, least)])
+    while least < end:
+        own = data[least - 1 : min(least + LONG, end)]
+        found = np.flatnonzero((own[1:] == 0x20) & (own[:-1] != 0x20))
+        if len(found):
+            return least + int(found[0])
+        least += LONG
+    return end
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Pieces:
     return Pieces(path)
@@ -258,13 +377,10 @@ def encode(docs: DataFrame, *, text: str = "text", path: str = MODEL, keep: list
         pieces = load(path)
         for batch in arrays.pieces(batches, "x"):
             texts = batch["x"]
-            ids, counts = pieces.encode(texts)
-            data, lengths = pieces.decode(ids, counts)
-            back = arrays.string_array(data, lengths)
-            same = pc.fill_null(pc.equal(back, texts.cast(pa.string())), True)
+            ids, counts, same = pieces.encode(texts)
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.append(~np.asarray(texts.is_valid()), False))
             yield pa.RecordBatch.from_arrays(
-                [batch["row"], pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(counts), same], ["row", "ids", "n_pieces", "round_trip"]
+                [batch["row"], pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(counts), pa.array(same)], ["row", "ids", "n_pieces", "round_trip"]
             )
 
     return packed.mapInArrow(code, f"row {row_type}, ids array<int>, n_pieces long, round_trip boolean").select("row.*", "ids", "n_pieces", "round_trip")
