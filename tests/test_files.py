@@ -11,7 +11,7 @@ from tickerloom import schemas
 from tickerloom.constants import SHORT_ANALYST_ENDPOINTS
 from tickerloom.operators import fundamentals as fd, lookups as lk, news as nw
 from tickerloom.plans import documents as dc
-from tickerloom.sources import landing, sinks
+from tickerloom.sources import landing, sinks, store
 from tickerloom.streaming.landing import clean_landed
 
 HEADER = "ticker,title,date,content,url\n"
@@ -100,12 +100,89 @@ def test_document_sink_round_trip(spark, tmp_path):
     (tmp_path / "AA.json").write_text(json.dumps(doc, ensure_ascii=False, indent=2), encoding="utf-8")
     read = landing.read_analyses(spark, str(tmp_path / "AA.json")).drop("file")
     assert read.first().symbol == "AA" and read.first().sentiment_by_date == {"2026-04-01": {"Growth": 1}}
-    target = str(tmp_path / "docs")
     dated = read.withColumn("meta", F.col("meta").withField("analysis_date", F.lit("2026-04-02T01:00:00")))
-    sinks.write_documents(dated, target)
-    assert (tmp_path / "docs" / "symbol=AA" / "model=m" / "run_date=2026-04-02").exists()
-    back = landing.read_documents(spark, target).drop("model", "run_date")
-    assert [r.asDict(True) for r in back.collect()] == [r.asDict(True) for r in dated.select(back.columns).collect()]
+    for fmt in ("parquet", "json"):
+        target = str(tmp_path / fmt)
+        sinks.write_documents(dated, target, fmt)
+        assert (tmp_path / fmt / "model=m" / "run_date=2026-04-02").exists()
+        back = landing.read_documents(spark, target, fmt=fmt).drop("model", "run_date")
+        assert [r.asDict(True) for r in back.collect()] == [r.asDict(True) for r in dated.select(back.columns).collect()]
+
+
+def _documents(spark, symbols, model="m", at="2026-04-02T01:00:00", text="t"):
+    rows = spark.createDataFrame([(s,) for s in symbols], "symbol string")
+    null = {n: F.lit(None).cast(t) for n, t in [("sentiment_summary", "map<string, bigint>"), ("sentiment_by_date", "map<string, map<string, bigint>>")]}
+    return rows.select(
+        "symbol",
+        F.struct("symbol", F.lit(at).alias("analysis_date"), F.lit("p").alias("news_period"), F.lit(1).cast("long").alias("news_count"), F.lit(model).alias("model")).alias("meta"),
+        *[c.alias(n) for n, c in null.items()],
+        F.array(F.struct(*[F.lit("x\ny" + c).alias(c) for c in ("date", "title", "url", "sentiment")])).alias("news_with_sentiment"),
+        F.struct(*[F.lit("b").alias(c) for c in ("news_block", "sentiment_block", "analyst_block")]).alias("analyst_context"),
+        F.lit(text).alias("investment_judgment"),
+    )
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json"])
+def test_a_rerun_leaves_one_document_per_key(spark, tmp_path, fmt, monkeypatch):
+    monkeypatch.setattr(sinks, "DOCUMENT_BUCKETS", 3)
+    target = str(tmp_path / "docs")
+    read = lambda **by: sorted(rows(landing.read_documents(spark, target, fmt=fmt, **by), "symbol", "model", "run_date", "investment_judgment"))
+    assert read() == []
+    symbols = [f"S{i:02}" for i in range(40)]
+    sinks.write_documents(_documents(spark, symbols), target, fmt)
+    sinks.write_documents(_documents(spark, symbols, model="other"), target, fmt)
+    first = read()
+    sinks.write_documents(_documents(spark, symbols), target, fmt)
+    assert read() == first and len(first) == 80
+    # some symbols anew, one of them twice in the run, and one more day
+    twice = _documents(spark, ["S01"], text="old").union(_documents(spark, ["S01", "S39", "T"], at="2026-04-02T05:00:00", text="new"))
+    sinks.write_documents(twice, target, fmt)
+    sinks.write_documents(_documents(spark, ["S01"], at="2026-04-03T05:00:00", text="next"), target, fmt)
+    new = {(s, "m", "2026-04-02", "new") for s in ("S01", "S39", "T")} | {("S01", "m", "2026-04-03", "next")}
+    assert set(read()) == {r for r in first if r[:2] not in (("S01", "m"), ("S39", "m"))} | new
+    assert len(read()) == 82
+    assert read(symbol="S01", model="m", run_date="2026-04-02") == [("S01", "m", "2026-04-02", "new")]
+    files = list((tmp_path / "docs" / "model=m" / "run_date=2026-04-02").rglob("part-*"))
+    assert len(files) <= 3 * 2  # many documents a file
+    sinks.write_documents(_documents(spark, []), target, fmt)
+    assert len(read()) == 82
+
+
+def test_rows_of_a_key_that_move_and_vanish(spark, tmp_path):
+    """The table as a store by day of rows that files bring; a file landed again may have other days, or none."""
+    path = str(tmp_path / "store")
+    table = lambda *r: spark.createDataFrame(list(r), "file string, n int, day string")
+    put = lambda files, *r: store.replace(table(*r), path, ["day"], ["file"], replaced=spark.createDataFrame([(f,) for f in files], "file string"))
+    found = lambda: sorted(rows(store.read(spark, path, table().schema)))
+    put("ab", ("a", 1, "d1"), ("a", 2, "d2"), ("b", 3, "d2"))
+    untouched = next((tmp_path / "store" / "day=d2").glob("part-*")).name
+    put("c", ("c", 4, "d3"))
+    assert found() == [("a", 1, "d1"), ("a", 2, "d2"), ("b", 3, "d2"), ("c", 4, "d3")]
+    assert next((tmp_path / "store" / "day=d2").glob("part-*")).name == untouched
+    for _ in range(2):
+        put("a", ("a", 5, "d3"))
+        assert found() == [("a", 5, "d3"), ("b", 3, "d2"), ("c", 4, "d3")]
+    assert not (tmp_path / "store" / "day=d1").exists()
+    put("c")
+    assert found() == [("a", 5, "d3"), ("b", 3, "d2")]
+
+
+def test_only_the_days_asked_for_are_read(spark, tmp_path):
+    rows_ = spark.range(600).select(F.col("id"), (F.col("id") % 30).cast("string").alias("d"), F.lit("f").alias("file"))
+    path = str(tmp_path / "days")
+    sinks.write_days(rows_, path, F.concat(F.lit("2401"), F.lpad("d", 2, "0")))
+    one = landing.read_days(spark, path, stamp="240107")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(crawl_date" in plan.replace("\n", " ") and "240107" in plan
+    assert {f.rsplit("/", 2)[1] for f in one.inputFiles()} and one.count() == 20
+    days = spark.createDataFrame([(f"2401{i:02}", i) for i in range(30)], "crawl_date string, n int").where("n > 26")
+    several = landing.read_days(spark, path, days=days)
+    assert several.count() == 60
+    several.collect()
+    plan = several._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    files = several.select(F.col("_metadata.file_path").alias("f")).distinct().count() if "_metadata" in several.columns else None
+    assert files in (None, 3)
 
 
 def test_digits_of_a_ticker_stay_text(spark, tmp_path):

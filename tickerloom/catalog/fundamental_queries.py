@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from tickerloom.catalog.tables import GRADES, table
 from tickerloom.constants import ENDPOINT_LIMITS
 from tickerloom.functions.values import day_text, exact_mean, exact_sum, rounded
-from tickerloom.operators import fundamentals as fd, ordering as od
+from tickerloom.operators import drift as dr, fundamentals as fd, ordering as od
 from tickerloom.plans import collection as cl
+from tickerloom.schemas import ENDPOINT_FIELDS
 
 
 def _endpoint(data) -> F.Column:
@@ -183,6 +184,21 @@ def assembled_fundamentals(spark, sf):
     )
 
 
+def endpoint_drift(spark, sf):
+    """Responses of all endpoints in turn, in the forms in which providers change them."""
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k")
+    names = F.array(*[F.lit(e) for members in ENDPOINT_FIELDS.values() for e in members])
+    responses = table(spark, sf, "events").select(
+        F.element_at(names, (F.col("event_id") % F.size(names) + 1).cast("int")).alias("endpoint"),
+        F.when(kind == "view", F.concat(F.lit('[{"symbol": "s", "date": "2024-01-01", "extra": '), k, F.lit("}, 7]")))
+        .when(kind == "click", F.concat(F.lit('{"symbol": '), k, F.lit(', "period": null, "revenue": '), k, F.lit(', "eps": '), k, F.lit(".25}")))
+        .when(kind == "purchase", F.lit('[{"date": null, "nested": {"a": [1]}, "dcf": "1.5", "list": []}, {}]'))
+        .when(kind == "signup", F.lit("[]"))
+        .otherwise(F.lit("Error Message: limit reached")).alias("body"),
+    )
+    return dr.field_drift(responses)
+
+
 def _grade_tally(spark, sf):
     return fd.grade_tally(table(spark, sf, "orders"), "o_custkey", "o_orderpriority", GRADES)
 
@@ -291,7 +307,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         slim_projection, field_coverage, endpoint_flatten, nested_first_record, endpoint_ok_counts,
-        run_summary, assembled_fundamentals, grade_consensus, grade_share, grade_change_view, grade_history, target_consensus,
+        run_summary, assembled_fundamentals, endpoint_drift, grade_consensus, grade_share, grade_change_view, grade_history, target_consensus,
         target_upside, target_summary, earnings_surprise, yoy_growth, ttm_revenue, sector_snapshot,
     ]
 }
@@ -386,6 +402,32 @@ sizes AS (
 SELECT o.symbol, coalesce(n.n_name, '') AS sector, o.ok, o.total, CAST(floor(z.b / 1024) AS BIGINT) AS size_kb,
        CASE WHEN z.done THEN 'SKIP' ELSE 'NEW' END AS status
 FROM oks o JOIN sizes z USING (symbol) LEFT JOIN customer c ON c.c_custkey = o.symbol LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey""",
+    "endpoint_drift": """
+WITH declared(place, section, endpoint, field, declared) AS (VALUES """ + ", ".join(
+        f"({place}, '{section}', '{endpoint}', '{field}', '{kind}')"
+        for place, (section, endpoint, fields) in enumerate((s, e, f) for s, members in ENDPOINT_FIELDS.items() for e, f in members.items())
+        for field, kind in fields.items()
+    ) + """),
+b AS (SELECT DISTINCT place, endpoint FROM declared),
+r AS (
+  SELECT endpoint, event_type, json_extract(props, '$.k')::VARCHAR AS k FROM events JOIN b ON place = event_id % (SELECT count(*) FROM b)),
+m AS (
+  SELECT endpoint, unnest(CASE event_type
+    WHEN 'view' THEN ['{"symbol": "s", "date": "2024-01-01", "extra": ' || k || '}', '7']
+    WHEN 'click' THEN ['{"symbol": ' || k || ', "period": null, "revenue": ' || k || ', "eps": ' || k || '.25}']
+    WHEN 'purchase' THEN ['{"date": null, "nested": {"a": [1]}, "dcf": "1.5", "list": []}', '{}']
+    WHEN 'signup' THEN [] ELSE [NULL] END) AS m FROM r),
+f AS (
+  SELECT endpoint, field, lower(json_type(m, '$.' || field)) AS t FROM (SELECT endpoint, m, unnest(json_keys(m)) AS field FROM m WHERE json_type(m) = 'OBJECT')
+  UNION ALL SELECT endpoint, NULL, coalesce(lower(json_type(m)), 'unreadable') FROM m WHERE m IS NULL OR json_type(m) <> 'OBJECT'),
+a AS (
+  SELECT endpoint, field, string_agg(DISTINCT kind, ',' ORDER BY kind) FILTER (kind <> 'null') AS seen, count(*) FILTER (kind <> 'null') AS filled
+  FROM (SELECT endpoint, field, CASE t WHEN 'ubigint' THEN 'bigint' WHEN 'varchar' THEN 'string' ELSE t END AS kind FROM f) GROUP BY ALL)
+SELECT section, coalesce(a.endpoint, d.endpoint) AS endpoint, coalesce(a.field, d.field) AS field, declared, coalesce(seen, '') AS seen, coalesce(filled, 0) AS filled,
+       CASE WHEN declared IS NULL THEN CASE WHEN a.field IS NULL THEN 'unreadable' ELSE 'undeclared' END
+            WHEN coalesce(filled, 0) = 0 THEN 'absent'
+            WHEN seen = declared OR declared = 'double' AND seen IN ('bigint', 'bigint,double') THEN 'ok' ELSE 'retyped' END AS status
+FROM a FULL JOIN declared d ON a.endpoint = d.endpoint AND a.field = d.field""",
     "assembled_fundamentals": """
 WITH k AS (SELECT user_id AS symbol, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, (ts, event_id) AS moment FROM events),
 own AS (

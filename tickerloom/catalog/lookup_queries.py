@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tickerloom.catalog.tables import table
 from tickerloom.functions.values import clock_text, stamp_text
 from tickerloom.operators import lookups as lk
-from tickerloom.sources.landing import is_dated_analysis, is_raw_file
+from tickerloom.session import durable_path
+from tickerloom.sources.landing import is_dated_analysis, is_raw_file, read_days
+from tickerloom.sources.sinks import write_days
 
 
 def _symbols(spark, sf):
@@ -37,14 +39,14 @@ def shared_context(spark, sf):
 
 
 def availability_badge(spark, sf):
-    results = table(spark, sf, "orders").where(F.col("o_totalprice") > 400000).select(
+    results = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("symbol"), F.col("o_orderstatus").alias("model")
     )
     return lk.availability(_symbols(spark, sf), results, "symbol", "model", "F", "O")
 
 
 def _done(spark, sf):
-    return table(spark, sf, "orders").where(F.col("o_totalprice") > 480000).select(F.col("o_custkey").alias("symbol"))
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("symbol"))
 
 
 def todo_anti(spark, sf):
@@ -60,13 +62,29 @@ def missing_inputs(spark, sf):
     return lk.missing_inputs(_symbols(spark, sf), events, "symbol", F.col("event_type") == "purchase")
 
 
+def _landed_by_day(spark, sf):
+    """The feed as it is landed: parquet in one folder per day."""
+    path = durable_path(spark)
+    write_days(table(spark, sf, "events"), path, stamp_text(F.col("ts")))
+    return path
+
+
+def _file(rows):
+    file = F.concat(F.col("user_id").cast("string"), F.lit("_"), F.col("crawl_date"), F.lit(".csv"))
+    return rows.select("event_id", clock_text(F.col("ts")).alias("date"), file.alias("file"))
+
+
 def dated_partition_scan(spark, sf):
-    day = F.col("ts").between(
-        F.lit("2024-01-15").cast("timestamp_ntz"), F.lit("2024-01-15 23:59:59.999999").cast("timestamp_ntz")
+    return _file(read_days(spark, _landed_by_day(spark, sf), stamp="240115"))
+
+
+def dated_partition_join(spark, sf):
+    """The news of days on which errors outnumber purchases."""
+    kind = F.col("event_type")
+    per_day = table(spark, sf, "events").groupBy(stamp_text(F.col("ts")).alias("crawl_date")).agg(
+        F.count_if(kind == "error").alias("errors"), F.count_if(kind == "purchase").alias("purchases")
     )
-    rows = table(spark, sf, "events").where(day)
-    file = F.concat(F.col("user_id").cast("string"), F.lit("_"), stamp_text(F.col("ts")), F.lit(".csv"))
-    return rows.select("event_id", clock_text(F.col("ts")).alias("date"), file.alias("file"))
+    return _file(read_days(spark, _landed_by_day(spark, sf), days=per_day.where("errors > purchases")))
 
 
 def latest_file_per_symbol(spark, sf):
@@ -93,7 +111,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         sector_lookup, shared_context, availability_badge, todo_anti, done_semi, missing_inputs,
-        dated_partition_scan, latest_file_per_symbol,
+        dated_partition_scan, dated_partition_join, latest_file_per_symbol,
     ]
 }
 
@@ -107,15 +125,15 @@ WITH p AS (SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey =
 SELECT c_custkey AS symbol, (SELECT string_agg(r_name || ':' || n, ',' ORDER BY r_name || ':' || n) FROM p) AS rates,
        (SELECT count(*) FROM nation JOIN region ON n_regionkey = r_regionkey) AS sectors FROM customer""",
     "availability_badge": """
-WITH r AS (SELECT DISTINCT o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 400000),
+WITH r AS (SELECT DISTINCT o_custkey, o_orderstatus FROM orders),
 b AS (SELECT o_custkey, string_agg(o_orderstatus, ' · ' ORDER BY o_orderstatus) AS badge FROM r WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey)
 SELECT c_custkey AS symbol, coalesce(badge, '') AS badge FROM customer LEFT JOIN b ON o_custkey = c_custkey""",
     "todo_anti": """
 SELECT c_custkey AS symbol FROM customer
-WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 480000)""",
+WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""",
     "done_semi": """
 SELECT c_custkey AS symbol FROM customer
-WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 480000)""",
+WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""",
     "missing_inputs": """
 WITH seen AS (
   SELECT user_id, bool_or(event_type = 'purchase') AS ok FROM events GROUP BY user_id)
@@ -124,6 +142,11 @@ FROM customer LEFT JOIN seen ON user_id = c_custkey WHERE NOT coalesce(ok, false
     "dated_partition_scan": """
 SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS date, user_id || '_240115.csv' AS file FROM events
 WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-16'""",
+    "dated_partition_join": """
+WITH d AS (SELECT strftime(ts, '%y%m%d') AS stamp FROM events GROUP BY ALL
+           HAVING count(*) FILTER (event_type = 'error') > count(*) FILTER (event_type = 'purchase'))
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS date, user_id || '_' || stamp || '.csv' AS file
+FROM events JOIN d ON strftime(ts, '%y%m%d') = stamp""",
     "latest_file_per_symbol": """
 WITH f AS (
   SELECT user_id AS symbol, event_type, '/landed/' || user_id AS stem, strftime(ts, '%y%m%d') AS stamp FROM events)

@@ -50,6 +50,11 @@ def drop_durable_tables(spark: SparkSession) -> None:
     folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def durable_path(spark: SparkSession) -> str:
+    """A new folder beside the durable tables, for a layout of one's own."""
+    return f"{_application_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def durable_table(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back, so later stages see fixed rows.
 
@@ -58,6 +63,6 @@ def durable_table(df: DataFrame) -> DataFrame:
     The tables of an application lie in one folder; ``drop_durable_tables`` removes it.
     """
     spark = df.sparkSession
-    path = f"{_application_folder(spark)}/{uuid.uuid4().hex}"
+    path = durable_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tickerloom import schemas
 from tickerloom.functions.values import feed_timestamp
+from tickerloom.sources import store
+from tickerloom.sources.sinks import document_bucket
 
 # ``{symbol}_{yymmdd}.csv`` and ``{symbol}_{yymmdd}_translated.csv``
 FILE_SYMBOL = r"([^/]+?)_\d{6}(?:_translated)?\.csv$"
@@ -44,17 +46,37 @@ def read_analyses(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return docs.select(F.col("meta.symbol").alias("symbol"), *schema.names, F.col("_metadata.file_path").alias("file"))
 
 
-def read_documents(spark: SparkSession, path: str, symbol: str | None = None, model: str | None = None, run_date: str | None = None) -> DataFrame:
+def read_documents(
+    spark: SparkSession, path: str, symbol: str | None = None, model: str | None = None, run_date: str | None = None, fmt: str = "parquet"
+) -> DataFrame:
     """Documents written by ``sinks.write_documents``, every one of them; the filters prune folders."""
-    keys = {"symbol": symbol, "model": model, "run_date": run_date}
-    schema = T.StructType.fromDDL(schemas.ANALYSIS + ", symbol string, model string, run_date string")
-    rows = spark.read.schema(schema).parquet(path)
-    for name, value in keys.items():
-        if value is not None:
-            rows = rows.where(F.col(name) == value)
+    schema = T.StructType.fromDDL("symbol string, " + schemas.ANALYSIS + ", model string, run_date string, bucket int")
+    rows = store.read(spark, path, schema, fmt)
+    if symbol is not None:
+        rows = rows.where((F.col("symbol") == symbol) & (F.col("bucket") == document_bucket(F.lit(symbol))))
+    if model is not None:
+        rows = rows.where(F.col("model") == model)
+    if run_date is not None:
+        rows = rows.where(F.col("run_date") == run_date)
     return rows.select("symbol", "model", "run_date", *T.StructType.fromDDL(schemas.ANALYSIS).names)
 
 
+def read_days(spark: SparkSession, path: str, stamp: str | None = None, days: DataFrame | None = None) -> DataFrame:
+    """Rows written by ``sinks.write_days``: of one day, or of the days in the column ``crawl_date`` of ``days``.
+
+    Either way only those days' folders are read: ``stamp`` prunes them when the
+    query is planned, ``days`` when it runs.
+    """
+    stored = spark.read.parquet(path).schema
+    typed = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "crawl_date" else f for f in stored])
+    rows = spark.read.schema(typed).parquet(path)
+    if stamp is not None:
+        rows = rows.where(F.col("crawl_date") == stamp)
+    if days is not None:
+        rows = rows.join(days.select("crawl_date").distinct(), "crawl_date", "left_semi")
+    return rows
+
+
 def newest_files(rows: DataFrame, symbol: str = "file_symbol", stamp: str = "file_stamp") -> DataFrame:
     """The rows of ``read_news`` from each symbol's latest file.
 

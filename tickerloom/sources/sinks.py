@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tickerloom.sources import store
 
 BOM = "\ufeff"
 
@@ -24,11 +26,32 @@ def write_csv(df: DataFrame, path: str, by: str | None = None, mode: str = "erro
     writer.csv(path)
 
 
-def write_documents(docs: DataFrame, path: str, mode: str = "append") -> None:
-    """Nested parquet by symbol, model and day of the run; ``landing.read_documents`` reads it.
+#: Folders that the documents of one model and day are spread over, by symbol. Fixed once documents are written.
+DOCUMENT_BUCKETS = 64
+
+
+def document_bucket(symbol: Column) -> Column:
+    return F.pmod(F.xxhash64(symbol), F.lit(DOCUMENT_BUCKETS)).cast("int")
+
+
+def write_documents(docs: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Nested documents by model, day of the run and a bucket of symbols; ``landing.read_documents`` reads them.
 
-    Further models and days go beside what is there with ``append``.
+    ``fmt``: parquet, or json for one document a line; either way a file holds
+    many. There is one document per symbol, model and day: a re-run replaces those
+    it brings, and of several in ``docs`` the one analysed last stays. Other
+    symbols, models and days stay as they are.
     """
-    keyed = docs.withColumns({"model": F.col("meta.model"), "run_date": F.substring("meta.analysis_date", 1, 10)})
-    keys = ["symbol", "model", "run_date"]
-    keyed.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).parquet(path)
+    named = lambda c: F.coalesce(F.col(c), F.lit(""))
+    keyed = docs.withColumns({
+        "symbol": F.col("symbol").cast("string"), "model": F.when(named("meta.model") != "", F.col("meta.model")).otherwise("none"),
+        "run_date": F.when(named("meta.analysis_date") != "", F.substring("meta.analysis_date", 1, 10)).otherwise("none"),
+    }).withColumn("bucket", document_bucket(F.col("symbol")))
+    last = Window.partitionBy("model", "run_date", "symbol").orderBy(F.col("meta.analysis_date").desc_nulls_last())
+    one = keyed.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth")
+    store.replace(one, path, ["model", "run_date", "bucket"], ["model", "run_date", "symbol"], fmt)
+
+
+def write_days(rows: DataFrame, path: str, stamp: Column) -> None:
+    """Parquet by ``crawl_date``, as ``landing.read_days`` takes it. The days of ``rows`` replace those that are there."""
+    store.write(rows.withColumn("crawl_date", stamp), path, ["crawl_date"])
