@@ -132,16 +132,17 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, chars: int = FIT_
 
     Rows with a letter in their text and a lang count, whatever their length, and
     are taken in the order of a hash of all their columns; if there are too many
-    languages, each gets fewer rows. Each language's rows are first thinned by that
+    languages, each gets fewer rows, and beyond ``most`` of them the rarest none. Each language's rows are first thinned by that
     hash to a few times the number wanted, so that the ranking sees as many rows
     whatever the table's size.
     """
     place = F.xxhash64(*[F.col(f"`{c}`") for c in labelled.columns])
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang", place.alias("h"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("rows")).withColumnRenamed("lang", "of")
+    # a row of the sample is one language's, so at most ``most`` languages can have one
+    sizes = known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(most).withColumnRenamed("lang", "of")
     order = Window.partitionBy("lang").orderBy("h", "text")
     sample = (
-        known.join(sizes, F.col("lang") == F.col("of"))
+        known.join(F.broadcast(sizes), F.col("lang") == F.col("of"))
         .where((F.col("h") / 2.0**64 + 0.5) * F.col("rows") <= 4 * per_language)
         .select("lang", "h", F.expr(f"substring(text, regexp_instr(text, '\\\\p{{L}}'), {int(chars)})").alias("text"))
         .withColumn("n", F.row_number().over(order))
