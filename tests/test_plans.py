@@ -24,8 +24,10 @@ def test_python_only_where_a_model_is_called(spark, key):
 
 def test_filters_and_columns_reach_the_scan(spark):
     day = plan(all_queries()["dated_partition_scan"](spark, SF_DIR))
-    assert "GreaterThanOrEqual(ts," in day and "LessThanOrEqual(ts," in day
+    assert "PartitionFilters: [isnotnull(crawl_date" in day and "= 240115)" in day
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint>" in day
+    several = all_queries()["dated_partition_join"](spark, SF_DIR)
+    assert "dynamicpruning" in plan(several)
     counts = plan(all_queries()["label_share"](spark, SF_DIR))
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string>" in counts
 

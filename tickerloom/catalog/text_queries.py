@@ -13,8 +13,10 @@ from tickerloom.constants import ARTICLE_CHARS, BODY_COLUMNS, BOILERPLATE_PATTER
 from tickerloom.functions import text as tx, values as v
 from tickerloom.functions.replies import read_label
 from tickerloom.operators import news as nw
+from tickerloom.operators.ledger import Ledger
 from tickerloom.operators.scoring import classify, cue_scorer
 from tickerloom.plans import crawl
+from tickerloom.session import durable_path
 
 # The site patterns, and two for the license lines the documents carry.
 PATTERNS = [*BOILERPLATE_PATTERNS, r"This work is licensed under.*", r"All rights reserved.*"]
@@ -92,14 +94,28 @@ def label_normalise(spark, sf):
     return docs.join(known, "doc_id", "left").select("doc_id", read_label(reply).alias("label"))
 
 
-def cue_label(spark, sf):
+def _prompted(spark, sf):
     rows = articles(spark, sf)
     body = F.coalesce("content", F.lit(""))
     title_only = (body == "") | tx.is_blocked(body, NOISE)
-    prompted = rows.select("id", tx.classifier_input(F.col("title"), body, title_only, SNIPPET_CHARS).alias("prompt"))
+    return rows.select("id", "ticker", tx.classifier_input(F.col("title"), body, title_only, SNIPPET_CHARS).alias("prompt"))
+
+
+def cue_label(spark, sf):
+    prompted = _prompted(spark, sf).select("id", "prompt")
     return classify(prompted, F.col("prompt"), cue_scorer(CUES)).select("id", "sentiment", "error")
 
 
+def ledger_label(spark, sf):
+    """Labels through an answer ledger: a first run over one ticker's articles, then one over all, which asks only what is left."""
+    prompted, ledger = _prompted(spark, sf), Ledger(durable_path(spark), "cues")
+    first = prompted.agg(F.min("ticker")).scalar()
+    classify(prompted.where(F.col("ticker") == first), F.col("prompt"), cue_scorer(CUES), ledger=ledger)
+    labelled = classify(prompted, F.col("prompt"), cue_scorer(CUES), ledger=ledger)
+    asked = ledger.entries(spark).agg(F.count("*")).scalar()
+    return labelled.select("id", "sentiment", "error", asked.alias("asked"))
+
+
 def page_paragraphs(spark, sf):
     kept = nw.keep_articles(table(spark, sf, "pages"))
     return kept.select("page_id", F.length("content").cast("bigint").alias("chars"), "content")
@@ -133,7 +149,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         valid_news, noise_filter, blocked_flag, first_nonblank, union_sources, collapse_ws,
-        boilerplate_strip, prompt_input, label_normalise, cue_label, page_paragraphs, crawled_news, html_escape,
+        boilerplate_strip, prompt_input, label_normalise, cue_label, ledger_label, page_paragraphs, crawled_news, html_escape,
         markdown_to_html,
     ]
 }
@@ -248,3 +264,9 @@ SELECT conv_id, turn, {_MARKDOWN} AS html FROM (
          || '*** and **' || split_part(text, ' ', 1) || '** or *' || split_part(text, ' ', 1) || '*' || chr(10) || '* it''s <b>' || chr(10)
          || '** two' || repeat(chr(10), 4) || text || chr(10) || '--' || chr(10) AS said FROM conversations)""",
 }
+
+# the same labels, and how often a model was asked: once per distinct prompt
+SQL["ledger_label"] = (
+    SQL["cue_label"].replace("SELECT id, lower(", f"SELECT id, {_PROMPT} AS prompt, lower(", 1)
+    .replace("AS error FROM prompts", "AS error, (SELECT count(DISTINCT prompt) FROM prompts) AS asked FROM prompts")
+)

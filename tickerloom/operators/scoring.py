@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickerloom.constants import DEFAULT_LABEL, LABELS
 from tickerloom.functions.replies import read_label
+from tickerloom.operators.ledger import Ledger
 from tickerloom.operators.replies import with_analysis
 
 Scorer = Callable[[list[str]], list[str]]
@@ -63,12 +64,17 @@ def call_model(prompt: Column, make_scorer: ScorerFactory, call_rows: int = CALL
     return scored.asNondeterministic()(prompt)
 
 
-def score_rows(df: DataFrame, prompt: Column, make_scorer: ScorerFactory, tasks: int | None = None) -> DataFrame:
+def score_rows(
+    df: DataFrame, prompt: Column, make_scorer: ScorerFactory, tasks: int | None = None, ledger: Ledger | None = None
+) -> DataFrame:
     """Add ``reply`` and ``error``.
 
     Prompts are few bytes but slow to answer, so partitions sized by bytes
-    can leave the calls to a handful of tasks; ``tasks`` spreads them.
+    can leave the calls to a handful of tasks; ``tasks`` spreads them. With a
+    ``ledger``, equal prompts are asked once, and those it has answers to not at all.
     """
+    if ledger:
+        return ledger.answered(df, prompt, lambda rows: score_rows(rows, F.col("prompt"), make_scorer, tasks))
     if tasks:
         df = df.repartition(tasks)
     return (
@@ -81,19 +87,19 @@ def score_rows(df: DataFrame, prompt: Column, make_scorer: ScorerFactory, tasks:
 
 def classify(
     news: DataFrame, prompt: Column, make_scorer: ScorerFactory,
-    labels: Sequence[str] = LABELS, default: str = DEFAULT_LABEL, tasks: int | None = None,
+    labels: Sequence[str] = LABELS, default: str = DEFAULT_LABEL, tasks: int | None = None, ledger: Ledger | None = None,
 ) -> DataFrame:
     """Add ``sentiment``; a failed call or an unknown word gives ``default``."""
-    return score_rows(news, prompt, make_scorer, tasks).withColumn(
+    return score_rows(news, prompt, make_scorer, tasks, ledger).withColumn(
         "sentiment", read_label(F.col("reply"), labels, default)
     ).drop("reply")
 
 
 def analyse_articles(
-    news: DataFrame, prompt: Column, make_scorer: ScorerFactory, tasks: int | None = None
+    news: DataFrame, prompt: Column, make_scorer: ScorerFactory, tasks: int | None = None, ledger: Ledger | None = None
 ) -> DataFrame:
     """Add the article analysis columns; failures give the fixed record."""
-    scored = score_rows(news, prompt, make_scorer, tasks)
+    scored = score_rows(news, prompt, make_scorer, tasks, ledger)
     return with_analysis(scored, F.col("reply"), F.col("error")).drop("reply")
 
 

@@ -2,7 +2,9 @@
 
 Model calls are slow and paid for, and their answers may differ from call to
 call. Each step's answers are therefore written once before anything else
-reads them: later steps, retries and lost executors see the same ones.
+reads them: later steps, retries and lost executors see the same ones. With a
+``ledger`` they outlive the run: a run that broke off is started again and asks
+only what has no answer yet.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from tickerloom.constants import BLOCKED_KEYWORDS, CHUNK_ROWS, LABELS, NOISE_KEY
 from tickerloom.functions import text as tx
 from tickerloom.functions.values import lenient_timestamp
 from tickerloom.operators import chunks as ch, lookups as lk, news as nw
+from tickerloom.operators.ledger import Ledger
 from tickerloom.operators.scoring import ScorerFactory, analyse_articles, classify, score_rows
 from tickerloom.plans import documents as dc
 from tickerloom.session import durable_table
@@ -41,7 +44,7 @@ def label_prompt(blocked: Sequence[str] = BLOCKED_KEYWORDS, **prefixes: str) ->
 def label_news(
     news: DataFrame, make_scorer: ScorerFactory, days: int = WINDOW_DAYS,
     noise: Sequence[str] = NOISE_KEYWORDS, labels: Sequence[str] = LABELS,
-    prompt: Column | None = None, tasks: int | None = None, done: DataFrame | None = None,
+    prompt: Column | None = None, tasks: int | None = None, done: DataFrame | None = None, ledger: Ledger | None = None,
 ) -> DataFrame:
     """Valid, recent news of every symbol with its label.
 
@@ -51,7 +54,7 @@ def label_news(
     """
     kept = nw.drop_noise(nw.valid_news(_open(news, "symbol", done)), noise)
     recent = nw.recent_window(kept, "symbol", "date", days)
-    return durable_table(classify(recent, label_prompt() if prompt is None else prompt, make_scorer, labels, tasks=tasks))
+    return durable_table(classify(recent, label_prompt() if prompt is None else prompt, make_scorer, labels, tasks=tasks, ledger=ledger))
 
 
 # A plain default; the prompt is a parameter of the run.
@@ -65,7 +68,7 @@ The first id is {start}.
 def translate_news(
     news: DataFrame, make_scorer: ScorerFactory, noise: Sequence[str] = NOISE_KEYWORDS,
     size: int = CHUNK_ROWS, tasks: int | None = None, template: str = TRANSLATION_TEMPLATE,
-    done: DataFrame | None = None,
+    done: DataFrame | None = None, ledger: Ledger | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Translated rows, matched by id, and the rows no reply answered.
 
@@ -77,22 +80,23 @@ def translate_news(
     prompts = ch.chunk_prompts(nw.drop_noise(_open(news, "ticker", done), noise), size, newest_first)
     values = {"articles": F.col("prompt"), "start": (F.col("rows")[0]["row_id"] - 1).cast("string")}
     prompts = prompts.withColumn("prompt", dc.render(template, lambda found: values.get(found.group(1), F.lit(found.group()))))
-    replied = durable_table(score_rows(prompts, F.col("prompt"), make_scorer, tasks))
+    replied = durable_table(score_rows(prompts, F.col("prompt"), make_scorer, tasks, ledger))
     return ch.match_replies(replied), ch.unanswered(replied)
 
 
 def analyse_news(
-    news: DataFrame, make_scorer: ScorerFactory, prompt: Column, tasks: int | None = None, chars: int | None = None
+    news: DataFrame, make_scorer: ScorerFactory, prompt: Column, tasks: int | None = None, chars: int | None = None,
+    ledger: Ledger | None = None,
 ) -> DataFrame:
     """Cleaned articles with the model's analysis. ``prompt`` may use the
     cleaned text, or its first ``chars`` characters, as ``content_cleaned``."""
     cleaned = news.withColumn("content_cleaned", tx.article_head(tx.strip_boilerplate(F.col("content")), chars))
-    return durable_table(analyse_articles(cleaned, prompt, make_scorer, tasks))
+    return durable_table(analyse_articles(cleaned, prompt, make_scorer, tasks, ledger))
 
 
 def build_documents(
     labelled: DataFrame, fundamentals: DataFrame, make_scorer: ScorerFactory | None, model: str,
-    labels: Sequence[str] = LABELS, tasks: int | None = None, done: DataFrame | None = None,
+    labels: Sequence[str] = LABELS, tasks: int | None = None, done: DataFrame | None = None, ledger: Ledger | None = None,
 ) -> DataFrame:
     """One analysis document per symbol of labelled news. Fundamentals may be
     missing. Symbols in ``done``, such as those of ``read_documents`` for this
@@ -102,5 +106,5 @@ def build_documents(
     counts = nw.daily_counts(labelled)
     contexts = dc.symbol_contexts(placed, counts, dc.analyst_blocks(fundamentals), labels)
     if make_scorer is not None:
-        contexts = durable_table(dc.judge(contexts, make_scorer, tasks=tasks))
+        contexts = durable_table(dc.judge(contexts, make_scorer, tasks=tasks, ledger=ledger))
     return dc.analysis_documents(placed, counts, contexts, model)

@@ -19,6 +19,7 @@ from tickerloom.functions.values import (
 )
 from tickerloom.operators.fundamentals import first_record, record_fields
 from tickerloom.operators.labels import count_pairs, day_label_map, label_map, label_shares, news_period
+from tickerloom.operators.ledger import Ledger
 from tickerloom.operators.lookups import attach
 from tickerloom.operators.ordering import ORDINAL, SEGMENT, lay_out
 from tickerloom.operators.scoring import ScorerFactory, score_rows
@@ -215,10 +216,11 @@ def fill_template(template: str = JUDGMENT_TEMPLATE) -> Column:
 
 
 def judge(
-    contexts: DataFrame, make_scorer: ScorerFactory, template: str = JUDGMENT_TEMPLATE, tasks: int | None = None
+    contexts: DataFrame, make_scorer: ScorerFactory, template: str = JUDGMENT_TEMPLATE, tasks: int | None = None,
+    ledger: Ledger | None = None,
 ) -> DataFrame:
     """Add the model's ``judgment`` and ``judgment_error`` to each context."""
-    return score_rows(contexts, fill_template(template), make_scorer, tasks).withColumnsRenamed(
+    return score_rows(contexts, fill_template(template), make_scorer, tasks, ledger).withColumnsRenamed(
         {"reply": "judgment", "error": "judgment_error"}
     )
 
