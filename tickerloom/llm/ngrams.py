@@ -61,7 +61,7 @@ class Batch:
         """(bucket, names, own counts): names are sorted, words are even and pairs odd."""
         name = np.concatenate([self.word, self.pair])
         own = np.concatenate([self.word_own, self.pair_own])
-        spread = ((name >> np.uint64(1)) * np.uint64(buckets) >> np.uint64(56)).astype(np.int32)
+        spread = ((name >> np.uint64(25)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)  # the upper 32 of 57 bits
         order = np.lexsort((name, spread))
         name, own, spread = name[order], own[order], spread[order]
         edges = np.flatnonzero(np.diff(spread, prepend=-1))
@@ -91,6 +91,17 @@ def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.T
     return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, kinds, strict=True)})
 
 
+def batch_counts(buckets: int) -> tuple[int, int]:
+    """Batches of texts that count, and further ones of texts held out: about equally large, ``buckets`` in all."""
+    aside = max(1, buckets // (HELD + 1))
+    return max(1, buckets - aside), aside
+
+
+def gram_buckets(buckets: int) -> int:
+    """Buckets of n-grams: fewer than batches, as a batch sends one packed row to each."""
+    return max(256, buckets // 4)
+
+
 def _ask(buckets: int):
     """A batch -> its n-grams, by bucket, with their counts in the texts to learn from."""
 
@@ -103,8 +114,8 @@ def _ask(buckets: int):
     return ask
 
 
-def _count(buckets: int):
-    """A bucket -> for each batch the totals of what it asked for, for held-out ones (from ``buckets`` on) also what all of these have; for batch -1 the number of distinct words learnt."""
+def _count(plain: int):
+    """A bucket -> for each batch the totals of what it asked for, for held-out ones (from ``plain`` on) also what all of these have; for batch -1 the number of distinct words learnt."""
 
     def count(table: pa.Table) -> pa.Table:
         number = table["batch"].to_pylist()
@@ -115,10 +126,10 @@ def _count(buckets: int):
         edges = np.cumsum([0, *map(len, names)])
         for n, x, begin, end in zip(number, own, edges, edges[1:], strict=False):
             total[of[begin:end]] += x  # the names of a batch are distinct
-            if n >= buckets:
+            if n >= plain:
                 held[of[begin:end]] += x
         rows = [
-            (n, table["bucket"][0].as_py(), packed(total[of[begin:end]]), packed(held[of[begin:end]]) if n >= buckets else None, 0)
+            (n, table["bucket"][0].as_py(), packed(total[of[begin:end]]), packed(held[of[begin:end]]) if n >= plain else None, 0)
             for n, begin, end in zip(number, edges, edges[1:], strict=False)
         ]
         rows.append((-1, table["bucket"][0].as_py(), None, None, int(((distinct & np.uint64(1) == 0) & (total > 0)).sum())))
@@ -138,7 +149,7 @@ _FACTS = (
 )
 
 
-def _attach(buckets: int):
+def _attach(buckets: int, plain: int):
     """A batch and its totals -> 0: documents with the counts of their tokens; 1: a held-out batch's histogram; 2: words learnt."""
 
     def attach(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -165,7 +176,7 @@ def _attach(buckets: int):
             "words": pa.ListArray.from_arrays(pa.array(offsets), pa.array(words)),
             "pairs": pa.ListArray.from_arrays(pa.array(offsets), pa.array(pairs)),
         })
-        if table["batch"][0].as_py() < buckets:
+        if table["batch"][0].as_py() < plain:
             return docs
         # held out: what the texts that aren't know of this batch's tokens. The context of a first word is told by the ends.
         learns = batch.learns
@@ -279,15 +290,16 @@ def score_texts(docs: DataFrame, *, folds: int = 7, held_out: int = 2) -> DataFr
     """
     spark = docs.sparkSession
     arrays.bounded_batches(spark)
-    buckets = exchange.bucket_count(spark)
+    plain, held = batch_counts(exchange.bucket_count(spark))
+    buckets = gram_buckets(plain + held)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = rows.select("doc_id", "text", (_in_fold(F.col("doc_id"), folds) == held_out).alias("held_out"))
     h = F.xxhash64("doc_id", "text")
     aside = ~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", "text", F.lit("held")), F.lit(HELD)) == 0)
-    texts = texts.withColumn("batch", F.when(aside, buckets + F.pmod(h, F.lit(max(1, buckets // HELD)))).otherwise(F.pmod(h, F.lit(buckets))).cast("int"))
+    texts = texts.withColumn("batch", F.when(aside, plain + F.pmod(h, F.lit(held))).otherwise(F.pmod(h, F.lit(plain))).cast("int"))
     asked = texts.groupBy("batch").applyInArrow(_ask(buckets), "bucket int, batch int, names binary, own binary")
-    answers = asked.groupBy("bucket").applyInArrow(_count(buckets), "batch int, bucket int, totals binary, held binary, learnt long")
-    facts = durable_table(texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_attach(buckets), _FACTS))
+    answers = asked.groupBy("bucket").applyInArrow(_count(plain), "batch int, bucket int, totals binary, held binary, learnt long")
+    facts = durable_table(texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_attach(buckets, plain), _FACTS))
 
     known = facts.where("kind = 0")
     sums = facts.agg(
