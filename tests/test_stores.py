@@ -1,0 +1,117 @@
+"""Label counts kept in a store and counted as files arrive; broken input; the latest rows of a hot key."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import rows
+from tickerloom.operators import labels as lb, news as nw, ordering as od
+from tickerloom.plans import label_store
+from tickerloom.sources import landing
+from tickerloom.streaming import counts as ct
+
+HEADER = "ticker,title,date,content,url,sentiment\n"
+
+
+def news(spark, *found):
+    return spark.createDataFrame(list(found), "file string, symbol string, date string, sentiment string, score double").withColumn(
+        "date", F.col("date").cast("timestamp_ntz")
+    )
+
+
+def same_as_full(spark, path, full):
+    found = label_store.daily(spark, path)
+    want = nw.daily_counts(full)
+    columns = ["symbol", "day", "label", "n", "newest"]
+    assert sorted(map(str, rows(found, *columns))) == sorted(map(str, rows(want, *columns)))
+    for statistic in (lb.label_counts, lb.label_map, lb.news_period, lb.day_label_map):
+        assert sorted(map(str, statistic(found).collect())) == sorted(map(str, statistic(want).collect()))
+    assert sorted(map(str, rows(label_store.mean_scores(spark, path)))) == sorted(map(str, rows(lb.mean_score(full, "symbol", "score"))))
+
+
+def test_store_grown_file_by_file_equals_full(spark, tmp_path):
+    path = str(tmp_path / "labels")
+    a = [("a", "S", "2026-04-01 10:00:00", "up", 1.5), ("a", "S", "2026-04-02 10:00:00", "up", float("nan")), ("a", "T", "2026-04-02 09:00:00", None, None)]
+    b = [("b", "S", "2026-04-02 11:00:00", "down", 0.25), ("b", None, "2026-04-02 11:00:00", "up", 2.0), ("b", "S", None, "up", 9.0)]
+    again = [("a", "S", "2026-04-03 10:00:00", "up", 1.0), ("a", "S", "2026-04-02 10:00:00", "down", 4.0)]
+    label_store.land(news(spark, *a), path, F.col("score"))
+    same_as_full(spark, path, news(spark, *a))
+    label_store.land(news(spark, *b), path, F.col("score"))
+    kept = {f.name for f in (tmp_path / "labels" / "day=2026-04-01").glob("part-*")}
+    same_as_full(spark, path, news(spark, *a, *b))
+    label_store.land(news(spark, *b), path, F.col("score"))
+    assert {f.name for f in (tmp_path / "labels" / "day=2026-04-01").glob("part-*")} == kept  # not one of the file's days
+    same_as_full(spark, path, news(spark, *a, *b))
+    label_store.land(news(spark, *again), path, F.col("score"))  # landed again with other days
+    same_as_full(spark, path, news(spark, *again, *b))
+    label_store.land(news(spark, *b).limit(0), path, F.col("score"), files=spark.createDataFrame([("a",)], "file string"))
+    same_as_full(spark, path, news(spark, *b))
+
+
+def test_counts_of_late_and_repeated_files_equal_the_batch(spark, tmp_path):
+    folder, target, state = tmp_path / "in", str(tmp_path / "counts"), str(tmp_path / "state")
+    folder.mkdir()
+
+    def line(ticker, day, hour, label, url):
+        return f"{ticker},t,2026-04-{day:02} {hour:02}:00:00,body,{url},{label}\n"
+
+    def run():
+        query = ct.count_landed(spark, str(folder), target, state, files_per_batch=1)
+        query.awaitTermination(120)
+        assert query.exception() is None
+
+    first = line("A", 3, 9, "up", "u1") + line("A", 3, 10, "down", "u2") + line("B", 3, 9, "up", "u1")
+    (folder / "1.csv").write_text(HEADER + first)
+    run()
+    (folder / "2.csv").write_text(HEADER + first + line("A", 6, 8, "up", "u3"))  # landed again, with more
+    (folder / "3.csv").write_text(HEADER + line("A", 1, 8, "up", "u4") + line("A", 3, 11, "up", "u5") + "A,t,soon,body,u6,up\n")  # late
+    run()
+    run()
+    found = sorted((s, str(d), label, n) for s, d, label, n in rows(ct.read_counts(spark, target), "symbol", "day", "label", "n"))
+    assert found == [
+        ("A", "2026-04-01", "up", 1), ("A", "2026-04-03", "down", 1), ("A", "2026-04-03", "up", 2), ("A", "2026-04-06", "up", 1),
+        ("B", "2026-04-03", "up", 1),
+    ]
+    batch = spark.read.schema("ticker string, title string, date string, content string, url string, sentiment string").option("header", True).csv(str(folder))
+    batch = batch.select(F.col("ticker").alias("symbol"), F.expr("try_cast(date AS timestamp)").alias("date"), "url", "sentiment").distinct()
+    want = nw.daily_counts(batch)
+    assert sorted(map(str, rows(want, "symbol", "day", "label", "n", "newest"))) == sorted(map(str, rows(ct.read_counts(spark, target), "symbol", "day", "label", "n", "newest")))
+
+
+def test_broken_lines_are_counted_and_kept(spark, tmp_path):
+    head = "ticker,title,date,content,url\n"
+    (tmp_path / "AA_260401.csv").write_text(head + "AA,One,2026-04-01 10:00:00,x,u1\nAA,two fields\nAA,Three,d,c,u3,more\n")
+    (tmp_path / "BB_260401.csv").write_text(head + 'BB,"He said ""no""","2026-04-01 10:00:00","two\nlines",u2\n')
+    report = {f.rsplit("/", 1)[1]: (n, bad) for f, n, bad in rows(landing.file_report(spark, str(tmp_path)), "file", "records", "bad")}
+    assert landing.file_report(spark, str(tmp_path)).agg(F.sum("dateless")).first()[0] == 1
+    assert report == {"AA_260401.csv": (3, 2), "BB_260401.csv": (1, 0)}
+    assert sorted(t for (t,) in rows(landing.bad_lines(spark, str(tmp_path)), "text")) == ["AA,Three,d,c,u3,more", "AA,two fields"]
+
+
+def test_broken_documents_are_kept(spark, tmp_path):
+    (tmp_path / "AA.json").write_text('{"meta": {"symbol": "AA"}}')
+    (tmp_path / "BB.json").write_text('{"meta": {"symbol": "BB"')
+    found = rows(landing.unreadable_documents(spark, str(tmp_path)), "file", "text")
+    assert [(f.rsplit("/", 1)[1], t) for f, t in found] == [("BB.json", '{"meta": {"symbol": "BB"')]
+
+
+@pytest.mark.parametrize("n", [3, 1000, 1500])
+def test_latest_rows_beyond_the_window_limit(many_tasks, n):
+    table = many_tasks.range(0, 6000, numPartitions=6).select(
+        F.when(F.col("id") % 3 < 2, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("k"), "id"
+    )
+    found = od.latest_rows(table, ["k"], [F.col("id").desc()], n)
+    want = {}
+    for k, i in sorted(rows(table, "k", "id"), key=lambda r: -r[1]):
+        want.setdefault(k, []).append(i)
+    assert sorted(rows(found, "k", "rec_no", "id")) == sorted((k, place, i) for k, ids in want.items() for place, i in enumerate(ids[:n], 1))
+    assert dict(found.dtypes)["rec_no"] == "int"
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert ("WindowGroupLimit" in text) == (n <= 1000)
+
+
+def test_no_task_holds_a_hot_key(many_tasks):
+    table = many_tasks.range(0, 40_000, numPartitions=8).select(F.lit("hot").alias("k"), "id")
+    found = od.latest_rows(table, ["k"], [F.col("id").desc()], 5000)
+    assert found.count() == 5000
+    sizes = [n for (n,) in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) < 20_000

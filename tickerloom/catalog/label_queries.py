@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tickerloom.catalog.tables import FEED_LABELS, FEED_SQL, RECENT_SQL, feed, table
 from tickerloom.functions import values as v
 from tickerloom.operators import labels as lb, news as nw, ordering as od
+from tickerloom.plans import label_store
+from tickerloom.session import durable_path
 
 AS_OF = datetime(2024, 1, 16, 9, 30, 15)
 LABEL_NAMES = {"view": "조회", "click": "클릭", "purchase": "구매", "signup": "가입"}
@@ -106,12 +108,31 @@ def date_formats(spark, sf):
     )
 
 
+def _stored(spark, sf):
+    """The feed landed as one file per nine symbols: some files cut short at first, then all of them whole."""
+    path = durable_path(spark)
+    news = feed(spark, sf).withColumn("file", F.concat(F.lit("feed_"), F.floor(F.col("symbol") / 9).cast("string"), F.lit(".csv")))
+    label_store.land(news.where((F.col("symbol") % 2 == 0) & (F.col("score") < 20)), path, F.col("score"))
+    label_store.land(news, path, F.col("score"))
+    return path
+
+
+def stored_label_share(spark, sf):
+    shares = lb.label_shares(label_store.daily(spark, _stored(spark, sf)), FEED_LABELS, digits=0)
+    return shares.withColumns({"symbol": F.col("symbol").cast("bigint"), "pct": F.col("pct").cast("bigint")})
+
+
+def stored_mean_score(spark, sf):
+    return label_store.mean_scores(spark, _stored(spark, sf)).withColumn("symbol", F.col("symbol").cast("bigint"))
+
+
 QUERIES = {
     f.__name__: f
     for f in [
         recent_window, window_retention, news_period, news_projection, label_counts, label_share,
         label_share_int, label_map, day_label_counts, day_label_pivot, day_label_map, mean_score,
         label_filter_sorted, label_display_map, latest_n_per_symbol, publish_window, date_formats,
+        stored_label_share, stored_mean_score,
     ]
 }
 
@@ -179,3 +200,6 @@ WHERE ts BETWEEN TIMESTAMP '2024-01-13 00:00:15' AND TIMESTAMP '2024-01-15 23:59
 SELECT id, strftime(date, '%Y-%m-%d') AS day, strftime(date, '%Y.%m.%d  %H:%M') AS dotted,
        strftime(date, '%y%m%d') AS stamp, strftime(date, '%Y-%m') AS month FROM feed""",
 }
+
+# the store holds the whole feed once all files are landed
+SQL |= {"stored_label_share": SQL["label_share_int"], "stored_mean_score": SQL["mean_score"]}

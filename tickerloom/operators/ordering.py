@@ -81,7 +81,12 @@ def latest_rows(df: DataFrame, keys: Sequence[str], order: Order, n: int, name:
     """The first ``n`` rows per key.
 
     Spark cuts each task's input to ``n`` rows per key before the shuffle
-    (window group limit), so a hot key costs n rows per task.
+    (window group limit), so a hot key costs n rows per task. It does so up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``; beyond, the table is sorted
+    across tasks and numbered in its segments, so no task holds a whole key.
     """
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if 0 <= limit < n:
+        return number_rows(df, keys, order, name).where(F.col(name) <= n).withColumn(name, F.col(name).cast("int"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn(name, place).where(F.col(name) <= n)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tickerloom import schemas
 from tickerloom.functions.values import feed_timestamp
+from tickerloom.session import durable_table
 from tickerloom.sources import store
 from tickerloom.sources.sinks import document_bucket
 
@@ -35,6 +36,42 @@ def read_news(spark: SparkSession, path: str | Sequence[str], schema: str = sche
     )
 
 
+#: Holds the text of a record that doesn't fit the schema.
+BAD = "_bad"
+
+
+def bad_lines(spark: SparkSession, path: str | Sequence[str], schema: str = schemas.RAW_NEWS) -> DataFrame:
+    """Each CSV record with too few or too many fields: what ``read_news`` shows of it, its file and its ``text``.
+
+    Written once: the files are not read again for every look at them.
+    """
+    return durable_table(_with_bad(spark, path, schema).where(F.col(BAD).isNotNull()).withColumnRenamed(BAD, "text"))
+
+
+def file_report(spark: SparkSession, path: str | Sequence[str], schema: str = schemas.RAW_NEWS) -> DataFrame:
+    """Per landed news file its records, how many don't fit the schema, and how many have no date. Written once, like ``bad_lines``."""
+    return durable_table(_with_bad(spark, path, schema).groupBy("file").agg(
+        F.count("*").alias("records"), F.count(BAD).alias("bad"), F.count_if(F.col("date").isNull()).alias("dateless")
+    ))
+
+
+def _with_bad(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
+    # without pruning every field is parsed, so that a record is judged whole
+    rows = (
+        spark.read.schema(f"{schema}, {BAD} string").option("columnNameOfCorruptRecord", BAD).option("columnPruning", False)
+        .option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    )
+    return rows.select(F.col("_metadata.file_path").alias("file"), *rows.columns)
+
+
+def unreadable_documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """file, symbol and text of each JSON document that can't be read as one of fundamentals; what came before the fault may be known."""
+    schema = schemas.fundamentals_schema().add(BAD, "string")
+    docs = spark.read.schema(schema).option("columnNameOfCorruptRecord", BAD).option("multiLine", True).json(path)
+    broken = docs.where(F.col(BAD).isNotNull())
+    return durable_table(broken.select(F.col("_metadata.file_path").alias("file"), F.col("meta.symbol").alias("symbol"), F.col(BAD).alias("text")))
+
+
 def read_fundamentals(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     docs = spark.read.schema(schemas.fundamentals_schema()).option("multiLine", True).json(path)
     return docs.select(F.col("meta.symbol").alias("symbol"), *docs.columns, F.col("_metadata.file_size").alias("size_bytes"))

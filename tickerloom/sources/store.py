@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from tickerloom.session import durable_table
 
@@ -35,7 +36,7 @@ def replace(
     rows: DataFrame, path: str, partitions: Sequence[str], key: Sequence[str], fmt: str = "parquet",
     replaced: DataFrame | None = None,
 ) -> None:
-    """Put ``rows`` in the table at ``path`` in place of what it has under the same ``key``.
+    """Put ``rows`` in the table at ``path`` in place of what it has under the same ``key``, of which null is a value, too.
 
     Only the partitions concerned are read and written. ``replaced`` lists the
     keys to replace where these may stand in other partitions than those of
@@ -53,7 +54,10 @@ def replace(
         concerned = concerned.union(kept.join(gone, list(key), "left_semi").select(*partitions))
     concerned = concerned.distinct()
     # the small side of partition values prunes the folders that are read
-    kept = kept.join(concerned, list(partitions), "left_semi").join(gone, list(key), "left_anti").select(*rows.columns)
+    kept = kept.join(concerned, list(partitions), "left_semi")
+    there = gone.withColumnsRenamed({k: f"__{k}" for k in key})
+    same = reduce(lambda a, b: a & b, [kept[k].eqNullSafe(there[f"__{k}"]) for k in key])
+    kept = kept.join(there, same, "left_anti").select(*rows.columns)
     out = rows.unionByName(kept)
     if replaced is None:
         write(out, path, partitions, fmt)
