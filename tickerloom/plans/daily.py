@@ -19,7 +19,7 @@ from tickerloom.functions.values import lenient_timestamp
 from tickerloom.operators import chunks as ch, lookups as lk, news as nw
 from tickerloom.operators.ledger import Ledger
 from tickerloom.operators.scoring import ScorerFactory, analyse_articles, classify, score_rows
-from tickerloom.plans import documents as dc
+from tickerloom.plans import documents as dc, parts as pt
 from tickerloom.session import durable_table
 
 
@@ -108,3 +108,15 @@ def build_documents(
     if make_scorer is not None:
         contexts = durable_table(dc.judge(contexts, make_scorer, tasks=tasks, ledger=ledger))
     return dc.analysis_documents(placed, counts, contexts, model)
+
+
+def build_parts(
+    labelled: DataFrame, fundamentals: DataFrame, make_scorer: ScorerFactory, make_condenser: ScorerFactory, model: str,
+    labels: Sequence[str] = LABELS, tasks: int | None = None, ledger: Ledger | None = None, most: int = pt.BLOCK_CHARS, piece_rows: int = dc.PIECE_ROWS,
+) -> DataFrame:
+    """``build_documents`` for windows that no row can hold: documents in parts, judged on digests of at most ``most`` characters."""
+    placed = dc.place_articles(labelled, piece_rows)
+    counts = nw.daily_counts(labelled)
+    news = durable_table(pt.digest_tree(placed, make_condenser, most, tasks=tasks, ledger=ledger)).drop("lost")
+    contexts = dc.symbol_contexts(placed, counts, dc.analyst_blocks(fundamentals), labels, news)
+    return pt.document_parts(placed, counts, durable_table(dc.judge(contexts, make_scorer, tasks=tasks, ledger=ledger)), model)

@@ -85,22 +85,31 @@ def place_articles(recent: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame
     )
 
 
-def news_blocks(placed: DataFrame) -> DataFrame:
-    """Per symbol: a header per day, then one line per article."""
+def digest_pieces(placed: DataFrame) -> DataFrame:
+    """symbol, piece, text: a header per day, then one line per article, in pieces of bounded size."""
     line = F.concat(F.lit("  ["), F.col("sentiment"), F.lit("] "), F.col("title"))
     header = F.concat(F.lit(DAY_HEADER[0]), day_text(F.col("day")), F.lit(DAY_HEADER[1] + "\n"))
     text = F.when(F.col("in_day") == 1, F.concat(header, line)).otherwise(line)
-    pieces = placed.groupBy("symbol", "digest_piece").agg(_joined(F.col("digest_place"), text).alias("text"))
-    return pieces.groupBy("symbol").agg(_joined(F.col("digest_piece"), F.col("text")).alias("news_block"))
+    return placed.groupBy("symbol", F.col("digest_piece").alias("piece")).agg(joined_lines(F.col("digest_place"), text).alias("text"))
+
 
+def whole_blocks(pieces: DataFrame) -> DataFrame:
+    """The pieces of each symbol in order as its ``news_block``."""
+    return pieces.groupBy("symbol").agg(joined_lines(F.col("piece"), F.col("text")).alias("news_block"))
 
-def _joined(place: Column, text: Column) -> Column:
+
+def news_blocks(placed: DataFrame) -> DataFrame:
+    """Per symbol: a header per day, then one line per article."""
+    return whole_blocks(digest_pieces(placed))
+
+
+def joined_lines(place: Column, text: Column) -> Column:
     lines = F.array_sort(F.collect_list(F.struct(place.alias("place"), text.alias("text"))))
     return F.array_join(F.transform(lines, lambda r: r["text"]), "\n")
 
 
-def article_lists(placed: DataFrame) -> DataFrame:
-    """Per symbol: the articles as an array, newest first."""
+def article_pieces(placed: DataFrame) -> DataFrame:
+    """symbol, piece, articles: the articles newest first, in arrays of bounded size."""
     article = F.struct(
         F.col("list_place"), clock_text(F.col("date")).alias("date"), "title", "url", "sentiment"
     )
@@ -111,8 +120,17 @@ def article_lists(placed: DataFrame) -> DataFrame:
             a["sentiment"].alias("sentiment"),
         ),
     )
-    pieces = placed.groupBy("symbol", "list_piece").agg(shown.alias("articles"))
-    in_order = F.array_sort(F.collect_list(F.struct("list_piece", "articles")))
+    return placed.groupBy("symbol", F.col("list_piece").alias("piece")).agg(shown.alias("articles"))
+
+
+def article_lists(placed: DataFrame) -> DataFrame:
+    """Per symbol: the articles as an array, newest first."""
+    return whole_lists(article_pieces(placed))
+
+
+def whole_lists(pieces: DataFrame) -> DataFrame:
+    """Per symbol: the articles of its pieces as one array."""
+    in_order = F.array_sort(F.collect_list(F.struct("piece", "articles")))
     return pieces.groupBy("symbol").agg(F.flatten(F.transform(in_order, lambda p: p["articles"])).alias("news_with_sentiment"))
 
 
@@ -128,7 +146,7 @@ def sentiment_blocks(counts: DataFrame, labels: Sequence[str] = LABELS) -> DataF
         pad_left(fixed(F.col("pct"), 1), 5), F.lit("%) "), percent_bar(F.col("pct")),
     )
     rank = F.array_position(F.lit(list(labels)), F.col("label"))
-    bars = shares.groupBy("symbol", "total").agg(_joined(rank, line).alias("bars"))
+    bars = shares.groupBy("symbol", "total").agg(joined_lines(rank, line).alias("bars"))
 
     per_day = counts.groupBy("symbol", "day").agg(
         count_pairs(F.col("n"), F.col("newest"), F.col("label")).alias("pairs")
@@ -136,7 +154,7 @@ def sentiment_blocks(counts: DataFrame, labels: Sequence[str] = LABELS) -> DataF
     day = day_text(F.col("day"))
     shown = F.array_join(F.transform("pairs", lambda p: F.concat(p["label"], F.lit(":"), p["n"].cast("string"))), ", ")
     flow = per_day.groupBy("symbol").agg(
-        _joined(F.col("day"), F.concat(F.lit("  "), day, F.lit(": "), shown)).alias("flow")
+        joined_lines(F.col("day"), F.concat(F.lit("  "), day, F.lit(": "), shown)).alias("flow")
     )
     total = F.concat(F.lit(SENTIMENT_TOTAL[0]), F.col("total").cast("string"), F.lit(SENTIMENT_TOTAL[1]))
     # both sides hold every symbol, so both joins of this kind are inner: an outer
@@ -197,12 +215,14 @@ def analyst_blocks(
     return firsts.select(symbol, F.concat_ws("\n", *blocks).alias("analyst_block"))
 
 
-def symbol_contexts(placed: DataFrame, counts: DataFrame, analysts: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
-    """The three text blocks side by side, one row per symbol."""
+def symbol_contexts(
+    placed: DataFrame, counts: DataFrame, analysts: DataFrame, labels: Sequence[str] = LABELS, news: DataFrame | None = None
+) -> DataFrame:
+    """The three text blocks side by side, one row per symbol. ``news`` holds other news blocks than the whole ones."""
     per_symbol = sentiment_blocks(counts, labels).join(analysts, "symbol", "left").withColumn(
         "analyst_block", F.coalesce("analyst_block", F.lit(""))
     )
-    return news_blocks(placed).join(per_symbol, "symbol")
+    return (news_blocks(placed) if news is None else news).join(per_symbol, "symbol")
 
 
 def fill_template(template: str = JUDGMENT_TEMPLATE) -> Column:
@@ -230,10 +250,22 @@ def analysis_documents(
 ) -> DataFrame:
     """One nested document per symbol. ``contexts`` may carry a ``judgment``. ``analysis_date`` defaults to the time of the run.
     """
+    whole = document_headers(counts, contexts, model, analysis_date).join(article_lists(placed), "symbol")
+    return whole.select("symbol", *[c for c in DOCUMENT if c != "symbol"])
+
+
+# the fields of a document in their order
+DOCUMENT = [
+    "symbol", "meta", "sentiment_summary", "sentiment_by_date", "news_with_sentiment", "analyst_context", "investment_judgment",
+]
+
+
+def document_headers(counts: DataFrame, contexts: DataFrame, model: str, analysis_date: str | None = None) -> DataFrame:
+    """One document per symbol without its list of articles."""
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
     written = F.lit(analysis_date) if analysis_date else now
     stats = news_period(counts).join(label_map(counts), "symbol").join(day_label_map(counts), "symbol")
-    whole = contexts.join(article_lists(placed), "symbol").join(stats, "symbol")
+    whole = contexts.join(stats, "symbol")
     judgment = F.coalesce("judgment", F.lit("")) if "judgment" in contexts.columns else F.lit("")
     return whole.select(
         "symbol",
@@ -242,7 +274,6 @@ def analysis_documents(
         ).alias("meta"),
         "sentiment_summary",
         "sentiment_by_date",
-        "news_with_sentiment",
         F.struct("news_block", "sentiment_block", "analyst_block").alias("analyst_context"),
         judgment.alias("investment_judgment"),
     )
