@@ -19,11 +19,13 @@ TRANSLATION_REPLY = "array<struct<id: bigint, title: string, content: string, `
 
 
 def read_label(reply: Column, labels: Sequence[str] = LABELS, default: str = DEFAULT_LABEL) -> Column:
-    """First word of the reply that is a label, else ``default``."""
-    letters = F.regexp_replace(reply, rf"(?U)[^a-zA-Z{SPACE[1:-1]}]", "")
-    words = F.transform(F.split(letters, rf"(?U){SPACE}+"), F.initcap)
-    known = F.filter(words, lambda w: w.isin(*labels))
-    return F.coalesce(F.try_element_at(known, F.lit(1)), F.lit(default))
+    """First word of the reply that is a label in any case, else ``default``. What is neither letter nor space is left out first."""
+    words = [label for label in labels if label.isascii() and label.isalpha() and label == label.capitalize()]
+    if not words:
+        return F.when(reply.isNotNull() | reply.isNull(), F.lit(default))
+    letters = F.regexp_replace(reply, rf"(?U)[^a-zA-Z{SPACE[1:-1]}]+", "")
+    found = F.regexp_extract(letters, rf"(?i)(?<![a-z])(?:{'|'.join(words)})(?![a-z])", 0)
+    return F.when(found != "", F.initcap(found)).otherwise(F.lit(default))
 
 
 def drop_fences(reply: Column) -> Column:
@@ -52,8 +54,9 @@ def only_item(items: Column) -> Column:
     return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
 
 
-def heading_pattern(name: str) -> str:
-    return rf"(?U)\*{{0,2}}\[{SPACE}*{re.escape(name)}{SPACE}*\]\*{{0,2}}"
+def heading_pattern(names: Sequence[str]) -> str:
+    """Any of the headings in its brackets."""
+    return rf"(?U)\[{SPACE}*(?:{'|'.join(map(re.escape, names))}){SPACE}*\]"
 
 
 def verdict_text(text: Column) -> Column:

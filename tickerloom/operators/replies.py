@@ -62,18 +62,28 @@ def with_sections(df: DataFrame, text: str, name: str = "found", sections: Seque
     """
     whole = F.col(text)
     places = range(len(sections))
-    mark = [F.col(f"_mark{i}") for i in places]
-    start = [F.col(f"_start{i}") for i in places]
-    marked = df.select(
-        *df.columns,
-        *[F.regexp_extract(whole, rp.heading_pattern(s), 0).alias(f"_mark{i}") for i, s in enumerate(sections)],
-    )
-    started = marked.select(
-        "*", *[F.when(mark[i] != "", F.position(mark[i], whole)).alias(f"_start{i}") for i in places]
+    # one search for all headings; the first of each is found again by its text
+    marks = F.when(F.contains(whole, F.lit("[")), F.regexp_extract_all(whole, F.lit(rp.heading_pattern(sections)), F.lit(0)))
+    names = lambda section: lambda m: strip(F.substring(m, F.lit(2), F.length(m) - 2)) == section
+    marked = df.withColumn("_marks", marks).select(
+        *df.columns, *[F.get(F.filter("_marks", names(s)), F.lit(0)).alias(f"_mark{i}") for i, s in enumerate(sections)]
     )
+    mark, at = ([F.col(f"_{name}{i}") for i in places] for name in ("mark", "at"))
+    placed = marked.select("*", *[F.when(mark[i].isNotNull(), F.position(mark[i], whole)).alias(f"_at{i}") for i in places])
+
+    def stars(around: Column, near: Column) -> Column:
+        return F.when(around == "**", 2).when(near == "*", 1).otherwise(0)
+
+    started = placed.select("*", *[
+        c for i in places for c in (
+            (at[i] - stars(F.substring(whole, at[i] - 2, F.when(at[i] > 2, 2).otherwise(0)), F.substring(whole, at[i] - 1, F.when(at[i] > 1, 1).otherwise(0)))).alias(f"_start{i}"),
+            (at[i] + F.length(mark[i]) + stars(F.substring(whole, at[i] + F.length(mark[i]), F.lit(2)), F.substring(whole, at[i] + F.length(mark[i]), F.lit(1)))).alias(f"_begin{i}"),
+        )
+    ])
+    start = [F.col(f"_start{i}") for i in places]
     cut = []
     for i, section in enumerate(sections):
-        begin = start[i] + F.length(mark[i])
+        begin = F.col(f"_begin{i}")
         until = F.coalesce(*start[i + 1:], F.length(whole) + 1)
         body = strip(F.substring(whole, begin, F.greatest(until - begin, F.lit(0))))
         cut.append(F.when(start[i].isNotNull(), F.struct(F.lit(section).alias("section"), body.alias("body"))))
