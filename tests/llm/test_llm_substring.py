@@ -78,3 +78,20 @@ def test_windows_of_equal_hash_are_told_apart(monkeypatch):
     word = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])
     found = repeated_windows(word, np.arange(7), 3, np.zeros(7, bool))
     assert found.tolist() == [True, False, False, False, False, False, True]
+
+
+def test_spans_of_rows_alike_are_told_once(spark, monkeypatch):
+    """Many rows without an id and with one text: each carries the spans of one text, not those of all."""
+    from pyspark.sql import functions as F
+
+    from tickerloom.llm import substring
+
+    text = " ".join(f"w{i % 97}x{i}" for i in range(300))
+    df = spark.createDataFrame([(None, text)] * 3000, "doc_id long, text string")
+    sizes = []
+    plain = substring.covered_words
+    monkeypatch.setattr(substring, "covered_words", lambda packed, **how: sizes.append(plain(packed, **how)) or sizes[-1])
+    found = substring.without_repeats(df).groupBy("n_words", "n_removed", "kept").count().collect()
+    assert [tuple(r) for r in found] == [(300, 300, "", 3000)]
+    per_row = sizes[0].groupBy("rid").agg(F.size(F.collect_set(F.struct("a", "b"))).alias("n")).first()["n"]
+    assert per_row <= 300

@@ -228,7 +228,8 @@ def without_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
     text = F.col("text").cast("string")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text.alias("text"), F.xxhash64("doc_id", text).alias("rid"))
     row_type = packed.schema["row"].dataType.simpleString()
-    spans = covered_words(packed, window=window, gram=gram).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    # rows alike in id and text have one rid and the same spans, told once: as many as the text has super-k-mers
+    spans = covered_words(packed, window=window, gram=gram).groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     marked = packed.join(spans.hint("shuffle_hash"), "rid", "left").select("row", "text", "spans")
     return marked.mapInArrow(_remove, f"row {row_type}, n_words long, n_removed long, kept string").select("row.*", "n_words", "n_removed", "kept")
 
