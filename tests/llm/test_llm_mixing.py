@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import pytest
 
+from tickerloom.llm import mixing
 from tickerloom.llm.mixing import mix_sources, mixed_documents
 
 SCHEMA = "doc_id long, text string, source string, size string, target int, copies string"
@@ -64,6 +65,25 @@ def test_null_empty_repeated_and_tied_rows(spark):
     assert len({r.copies for r in found if r.doc_id == 4}) == 1
 
 
+@pytest.mark.parametrize("texts", [["w " * 10], [f"{i} " * 10 for i in range(9)], [f"{i} " * 10 for i in range(900)]])
+def test_rows_without_id_reach_the_target(spark, texts, monkeypatch):
+    monkeypatch.setattr(mixing, "LIST", 64)
+    rows = [(None, texts[i % len(texts)], "b") for i in range(900)] + [(i, "w " * 10, "a") for i in range(1100)]
+    docs = table(spark, rows)
+    found = mix_sources(docs).collect()
+    taken = defaultdict(int)
+    for r in found:
+        taken[r.source] += r.taken
+    want = targets({"a": 11000, "b": 9000})
+    assert len(found) == 2000
+    assert all(abs(taken[s] - want[s]) <= 20 for s in want)
+    assert {r.taken for r in found if r.source == "b"} == {0, 10}
+    kept = mixed_documents(docs)
+    assert {r.source: 10 * r["count"] for r in kept.groupBy("source").count().collect()} == taken
+    again = mix_sources(docs.repartition(5, "target", "text")).collect()
+    assert sorted(map(str, found)) == sorted(map(str, again))
+
+
 def test_sources_without_words(spark):
     found = mix_sources(table(spark, [(1, "", "a"), (2, None, None)])).collect()
     assert [(r.target, r.taken) for r in found] == [(0.0, 0), (0.0, 0)]

@@ -12,6 +12,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Slots of a source's shuffled order, and steps of virtual time per round of refinement.
 SLOT_HEX = 3
 STEPS = 4096
+#: Rows that are alike are told out in lists of at most this length.
+LIST = 65536
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+
+
+def _mark() -> Column:
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("mark")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, repeats: int) -> DataFrame:
@@ -46,32 +56,29 @@ def mix_sources(
     share: float = 1.5,
     repeats: int = 2,
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
+    """Per row of ``docs``: doc_id, source, size, source_size, target, copies, taken, mark.
 
-    A document's size is its number of words. Each source's documents are
-    shuffled by the md5 of doc_id (ties by size; equal rows are alike). Copy k
-    of a document finishes at virtual time (k * source_size + words up to and
+    A document's size is its number of words, ``mark`` the md5 of its text. Each
+    source's documents are shuffled by the md5 of doc_id, or of ``mark`` where
+    that is null; ties go by size and mark, and rows alike in all of these stand
+    one after the other, each with a place of its own. Copy k of a document
+    finishes at virtual time (k * source_size + words up to and
     with it) / target. All copies are taken in the order of virtual time, then
     source, then shuffle, while their words stay within the sum of targets.
     ``copies`` says how often the mix takes the document.
 
     Null or empty text: size 0, never taken. Null source: a source of its own,
-    ranked last. Null doc_id: sorted as an empty id. Repeated rows count as
-    often as they stand. Empty table: empty result. Other columns of ``docs``
+    ranked last. Null doc_id: shuffled by the text. Repeated rows count as
+    often as they stand, and the mix may take some of them and leave others;
+    they are one row, with their number, until they have their places. Empty
+    table: empty result. Other columns of ``docs``
     play no part, whatever their names.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.select(
-        F.col("doc_id"),
-        F.col("source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        key.alias("key"),
-        F.substring(key, 1, SLOT_HEX).alias("slot"),
-    )
-    # read again three times below, so counted once
-    rows = durable_table(rows)
+    # read again three times below, so counted once; copies that are alike in all columns travel as one row
+    rows = durable_table(docs.select("doc_id", "source", _size(), _mark()).groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("alike")))
+    rows = rows.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), "mark"))).withColumn("slot", F.substring("key", 1, SLOT_HEX))
 
-    slots = rows.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
+    slots = rows.groupBy("source", "slot").agg(F.sum(F.col("size") * F.col("alike")).alias("slot_size"))
     targets = source_targets(slots.groupBy("source").agg(F.sum("slot_size").alias("source_size")), weights, share, repeats)
     before = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -80,11 +87,14 @@ def mix_sources(
         .join(targets, F.col("s").eqNullSafe(F.col("source")))
         .select(F.col("s").alias("o_source"), F.col("slot").alias("o_slot"), "offset", "place", "source_size", "target")
     )
-    upto = Window.partitionBy("source", "slot").orderBy("key", "size")
+    upto = Window.partitionBy("source", "slot").orderBy("key", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     placed = durable_table(
-        rows.withColumn("within", F.sum("size").over(upto))
+        rows.withColumn("within", F.coalesce(F.sum(F.col("size") * F.col("alike")).over(upto), F.lit(0)))
         .join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("slot") == F.col("o_slot")))
-        .select("doc_id", "source", "size", "key", "place", "source_size", "target", (F.col("offset") + F.col("within")).alias("upto"))
+        .withColumn("list", F.explode(F.expr(f"sequence(0, (alike - 1) div {LIST})")))
+        .withColumn("no", F.explode(F.expr(f"sequence(list * {LIST} + 1, least(alike, (list + 1) * {LIST}))")))
+        .select("doc_id", "source", "size", "mark", "key", "place", "source_size", "target",
+                (F.col("offset") + F.col("within") + F.col("size") * F.col("no")).alias("upto"))
     )
 
     def finish(copy: Column) -> Column:
@@ -136,18 +146,37 @@ def mix_sources(
         return F.when((F.col("size") > 0) & (F.col("target") > 0) & inside, 1).otherwise(0)
 
     marked = placed.withColumn("b", bound_of).withColumn("copies", sum((taken(k) for k in range(1, repeats)), taken(0)))
-    return marked.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return marked.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "mark")
+
+
+def mixed_documents(docs: DataFrame, *, repeats: int = 2, **options) -> DataFrame:
+    """The rows of ``docs`` the mix takes, each as often as it is taken, with the columns of ``docs``.
+
+    Of rows alike in id, source and text of which the mix takes some only, these
+    are the first by a hash of the whole row.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    same = ("doc_id", "source", "size", "mark")
+    rows = docs.select(F.struct(*names).alias("row"), "doc_id", "source", _size(), _mark()).withColumnsRenamed({c: f"k_{c}" for c in same})
+    there = [F.col(f"k_{c}").eqNullSafe(F.col(c)) for c in same]
+    levels = [f"at{k}" for k in range(1, repeats + 1)]
+    verdict = mix_sources(docs, repeats=repeats, **options).groupBy(*same).agg(
+        F.count("*").alias("alike"), *[F.count_if(F.col("copies") >= k).alias(c) for k, c in enumerate(levels, 1)]
+    )
+    verdict = durable_table(verdict.where("at1 > 0"))
+    whole = " AND ".join(f"({c} = 0 OR {c} = alike)" for c in levels)
 
+    def told_out(joined: DataFrame, copies: Column) -> DataFrame:
+        return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select("row.*")
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` the mix takes, each as often as it is taken, with the columns of ``docs``."""
-    names = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("k_doc"), F.col("source").alias("k_source"),
-                        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("k_size"))
-    # rows alike in id, source and size share one verdict: equal places in the order, so equal copies
-    verdict = mix_sources(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
-    joined = keyed.join(verdict, F.col("k_doc").eqNullSafe(F.col("doc_id")) & F.col("k_source").eqNullSafe(F.col("source")) & (F.col("k_size") == F.col("size")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    out = told_out(rows.join(verdict.where(whole), there), sum((F.col(c) > 0).cast("int") for c in levels))
+    # the cut goes through at most one group of rows alike a source and copy
+    parted = durable_table(verdict.where(f"NOT ({whole})"))
+    if parted.isEmpty():
+        return out
+    place = F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64(F.to_json("row"))))
+    some = rows.join(parted, there).withColumn("no", place).where("no <= at1")
+    return out.union(told_out(some, sum((F.col("no") <= F.col(c)).cast("int") for c in levels)))
 
 
 def op2_mix(spark, sf_dir: str) -> DataFrame:
@@ -156,9 +185,10 @@ def op2_mix(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (
+WITH d AS MATERIALIZED (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5(coalesce(text, '')) AS mark, md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS key,
+         row_number() OVER () AS row
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
@@ -177,7 +207,7 @@ WITH d AS (
   FROM l
 ), p AS (
   SELECT d.*, t.place, t.source_size, t.target,
-         CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, size) AS BIGINT) AS upto
+         CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, size, mark, row ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), c AS (
   SELECT p.*, copy, CAST(copy * source_size + upto AS DOUBLE) / target AS time
@@ -185,14 +215,9 @@ WITH d AS (
 ), g AS (
   SELECT *, sum(size) OVER (ORDER BY time, place, key, size, copy) AS through FROM c
 ), n AS (
-  SELECT doc_id, source, size, key, count(*) AS copies FROM g
-  WHERE through <= (SELECT sum(target) FROM t) GROUP BY doc_id, source, size, key
-), m AS (
-  SELECT doc_id, source, size, key, count(*) AS alike FROM p GROUP BY doc_id, source, size, key
+  SELECT row, count(*) AS copies FROM g WHERE through <= (SELECT sum(target) FROM t) GROUP BY row
 )
 SELECT p.doc_id, p.source, CAST(p.size AS BIGINT) AS size, p.source_size, p.target,
-       CAST(p.size * coalesce(n.copies // m.alike, 0) AS BIGINT) AS taken
-FROM p
-JOIN m ON p.doc_id IS NOT DISTINCT FROM m.doc_id AND p.source IS NOT DISTINCT FROM m.source AND p.size = m.size
-LEFT JOIN n ON p.doc_id IS NOT DISTINCT FROM n.doc_id AND p.source IS NOT DISTINCT FROM n.source AND p.size = n.size
+       CAST(p.size * coalesce(n.copies, 0) AS BIGINT) AS taken
+FROM p LEFT JOIN n ON p.row = n.row
 """
