@@ -199,10 +199,22 @@ def test_each_candidate_class_meets_one_text(spark, monkeypatch):
     like = Likeness(3, 90, 100)
     found = sorted((tuple(r) for r in near_duplicates(table(spark, rows), like).collect()), key=str)
     assert found == brute(rows, like)
-    assert met[1].columns == ["block", "key", "text"] and met[1].count() == 40
+    assert met[-1].columns == ["block", "key", "text"] and met[-1].count() == 40
 
 
 def test_pieces_that_begin_alike_spread_over_buckets():
     batch = jaccard.pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["same words here", "other words here"], "mark": [5, 6]})
     out = list(jaccard._describe(Likeness(), 64)(iter([batch] * 50)))
     assert len({r["bucket"] for b in out for r in b.to_pylist() if r["kind"] == 0}) > 20
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 3000, 90_000])
+def test_finer_points_fold_to_the_coarse_and_bound_the_overlap(n):
+    chance = np.random.default_rng(n)
+    one = np.unique(chance.integers(0, 2**63, n, np.uint64) * np.uint64(2))
+    other = np.concatenate([one[n // 9 :], np.unique(chance.integers(0, 2**63, n // 9, np.uint64))])
+    points = jaccard.unpacked_points([jaccard.packed_point(jaccard.counts(s, jaccard.FINE_GROUPS)) for s in (one, other)], jaccard.FINE_GROUPS)
+    few = jaccard.coarse(points)
+    assert (few == np.array([jaccard.counts(s) for s in (one, other)])).all()
+    common = len(np.intersect1d(one, other))
+    assert common <= np.minimum(*points).sum() <= np.minimum(*few).sum()

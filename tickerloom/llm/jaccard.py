@@ -16,7 +16,7 @@ from tickerloom.llm import arrays, exchange
 from tickerloom.llm.components import connected, hang
 from tickerloom.session import durable_table
 
-#: Groups of the count vectors that travel, those worked out from the sets themselves, and points of an R-tree page.
+#: Groups of the count vectors that travel with every signature, those sent for candidates only, and points of an R-tree page.
 GROUPS, FINE_GROUPS, PAGE = 32, 256, 32
 #: Sizes within this factor of each other share a number of parts.
 BAND = 1.5
@@ -90,14 +90,19 @@ def packed_point(point: np.ndarray) -> bytes:
     return point.astype(np.uint8 if point.max(initial=0) < 256 else np.uint32).tobytes()
 
 
-def unpacked_points(cells: list[bytes]) -> np.ndarray:
-    wide = np.array([len(c) != GROUPS for c in cells], bool)
-    out = np.zeros((len(cells), GROUPS), np.int64)
-    out[~wide] = np.frombuffer(b"".join(c for c in cells if len(c) == GROUPS), np.uint8).reshape(-1, GROUPS)
-    out[wide] = np.frombuffer(b"".join(c for c in cells if len(c) != GROUPS), np.uint32).reshape(-1, GROUPS)
+def unpacked_points(cells: list[bytes], groups: int = GROUPS) -> np.ndarray:
+    wide = np.array([len(c) != groups for c in cells], bool)
+    out = np.zeros((len(cells), groups), np.int32)
+    out[~wide] = np.frombuffer(b"".join(c for c in cells if len(c) == groups), np.uint8).reshape(-1, groups)
+    out[wide] = np.frombuffer(b"".join(c for c in cells if len(c) != groups), np.uint32).reshape(-1, groups)
     return out
 
 
+def coarse(fine: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Points of fewer groups: neighbouring groups are counted together."""
+    return fine.reshape(len(fine), groups, fine.shape[1] // groups).sum(axis=2)
+
+
 def signatures(own: np.ndarray, like: Likeness) -> np.ndarray:
     """Names of parts of a set such that two linked sets share one.
 
@@ -228,7 +233,7 @@ def _describe(like: Likeness, buckets: int):
             sets = shingle_sets(arrays.Words(batch["text"], lower=True), like.words)
             keys = np.array([set_key(s) for s in sets], np.int64)
             sizes = np.array([len(s) for s in sets], np.int32)
-            points = np.array([counts(s) for s in sets], np.uint32)
+            points = [packed_point(counts(s, FINE_GROUPS)) for s in sets]
             _, first = np.unique(keys, return_index=True)
             names = [signatures(sets[i], like) for i in first]
             sig = np.concatenate(names)
@@ -241,28 +246,28 @@ def _describe(like: Likeness, buckets: int):
             hot = np.repeat(held > FEW, held)
             # documents go by the place of their piece, so that no text, however common, fills a bucket
             home = int(exchange.bucket_of(arrays.mix(np.array([turn + np.uint64(piece)])), buckets)[0])
-            rows = [(home, 0, batch["doc_id"].cast(pa.int64()).to_pylist(), keys.tobytes(), sizes.tobytes(), points.tobytes(), batch["mark"].to_numpy(zero_copy_only=False).tobytes())]
+            rows = [(home, 0, batch["doc_id"].cast(pa.int64()).to_pylist(), keys.tobytes(), sizes.tobytes(), None, batch["mark"].to_numpy(zero_copy_only=False).tobytes(), points)]
             bucket_of, sig = exchange.bucket_of(sig, buckets), sig & _SHORT
             for bucket, (s, k) in exchange.cut(bucket_of[~hot], sig[~hot], key[~hot]):
                 own = np.argsort(k, kind="stable")
                 names_of, times = np.unique(k, return_counts=True)
-                rows.append((bucket, 1, None, _five(s[own]), names_of.tobytes(), times.astype(np.uint32).tobytes(), None))
+                rows.append((bucket, 1, None, _five(s[own]), names_of.tobytes(), times.astype(np.uint32).tobytes(), None, None))
             block = bucket_of[hot].astype(np.uint64) << _BITS | sig[hot]
             spread = exchange.bucket_of(arrays.mix(block + key[hot].view(np.uint64)), buckets)
             for bucket, (s, k) in exchange.cut(spread, block, key[hot]):
-                rows.append((bucket, 2, None, s.tobytes(), k.tobytes(), None, None))
+                rows.append((bucket, 2, None, s.tobytes(), k.tobytes(), None, None, None))
             marks = edge[held > FEW]
             for bucket, (s,) in exchange.cut(bucket_of[marks], sig[marks]):
-                rows.append((bucket, 3, None, s.tobytes(), None, None, None))
+                rows.append((bucket, 3, None, s.tobytes(), None, None, None, None))
             columns = list(zip(*rows, strict=True))
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "kind", "doc_id", "x", "y", "z", "mark"])
+            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "kind", "doc_id", "x", "y", "z", "mark", "points"])
 
     return describe
 
 
-_PACKED = "bucket int, kind int, doc_id array<long>, x binary, y binary, z binary, mark binary"
-_ROWS = "kind int, doc_id long, mark long, n int, key long, point binary, a long, b long"
+_PACKED = "bucket int, kind int, doc_id array<long>, x binary, y binary, z binary, mark binary, points array<binary>"
+_ROWS = "kind int, doc_id long, mark long, n int, key long, point binary, fine binary, a long, b long"
 
 
 def _unpack(table: pa.Table) -> pa.Table:
@@ -270,7 +275,7 @@ def _unpack(table: pa.Table) -> pa.Table:
     by = {k: table.filter(pa.compute.equal(table["kind"], k)) for k in range(4)}
     key = exchange.joined(by[0]["x"].to_pylist(), np.int64)
     n = exchange.joined(by[0]["y"].to_pylist(), np.int32)
-    point = exchange.joined(by[0]["z"].to_pylist(), np.uint32).reshape(-1, GROUPS)
+    fine = pa.compute.list_flatten(by[0]["points"]).to_pylist()
     ids = pa.compute.list_flatten(by[0]["doc_id"]).combine_chunks()
     mark = exchange.joined(by[0]["mark"].to_pylist(), np.int64)
     sig = _from_five(by[1]["x"].to_pylist())
@@ -295,7 +300,8 @@ def _unpack(table: pa.Table) -> pa.Table:
         "mark": lead(mark, pa.int64()),
         "n": lead(n, pa.int32()),
         "key": lead(key, pa.int64()),
-        "point": lead([packed_point(p) for p in point], pa.binary()),
+        "point": lead([packed_point(p) for p in coarse(unpacked_points(fine, FINE_GROUPS))], pa.binary()),
+        "fine": lead(fine, pa.binary()),
         "a": pa.concat_arrays([pa.nulls(total[0], pa.int64()), pa.array(a)]),
         "b": pa.concat_arrays([pa.nulls(total[0], pa.int64()), pa.array(b)]),
     })
@@ -312,13 +318,13 @@ def _pairs(found: list[tuple]) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in stars], pa.int64()), "b": pa.array([b for _, b in stars], pa.int64())})
 
 
-def _bounded(like: Likeness):
-    """Blocks of sets that share a signature -> links that the bound allows."""
+def _bounded(like: Likeness, groups: int = GROUPS):
+    """Blocks of sets with their points -> links that the bound allows."""
 
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by([("block", "ascending"), ("key", "ascending")])
         block, key, n = (table[c].to_numpy() for c in ("block", "key", "n"))
-        point = unpacked_points(table["point"].to_pylist())
+        point = unpacked_points(table["point"].to_pylist(), groups)
         new = np.ones(len(block), bool)
         new[1:] = (block[1:] != block[:-1]) | (key[1:] != key[:-1])
         block, key, n, point = block[new], key[new], n[new].astype(np.int64), point[new]
@@ -378,13 +384,15 @@ def _tiled(members: DataFrame, tiles: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def _tiles_of(sets: DataFrame) -> DataFrame:
-    return sets.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
+def _tiles_of(sets: DataFrame, shingles: bool = True) -> DataFrame:
+    """Tiles of each block, by its number of sets and, where these are held whole, of shingles."""
+    tiles = F.ceil(F.count("*") / TILE_SETS)
+    return sets.groupBy("block").agg((F.greatest(tiles, F.ceil(F.sum("n") / TILE_SHINGLES)) if shingles else tiles).cast("int").alias("tiles"))
 
 
-def _by_size(sets: DataFrame, like: Likeness) -> DataFrame:
+def _by_size(sets: DataFrame, like: Likeness, shingles: bool = True) -> DataFrame:
     """Splits blocks of more than one tile by size: sets that link lie in the same step of size or in neighbouring ones, so each goes to two."""
-    large = durable_table(_tiles_of(sets).where("tiles > 1").select("block", F.lit(True).alias("split")))
+    large = durable_table(_tiles_of(sets, shingles).where("tiles > 1").select("block", F.lit(True).alias("split")))
     step = F.floor(F.log("n") / math.log(like.den / like.num) + 1e-9)
     steps = F.when(F.col("split"), F.array(step, step + 1)).otherwise(F.array(F.lit(0).cast("long")))
     return (
@@ -405,8 +413,9 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     (see :func:`signatures`), which loses no link. Sets that share a name are
     searched in an R-tree of count vectors, so that a passage in very many
     documents makes few candidates by itself; what its bound lets through is
-    joined into blocks, and within a block the pairs that survive the bound are
-    verified on the sets themselves, from the texts. Blocks beyond a tile are
+    joined into blocks, which vectors of more groups divide once more, and
+    within a block the pairs that survive the bound are verified on the sets
+    themselves, from the texts. Blocks beyond a tile are
     compared tile by tile, so no task holds more than two tiles.
 
     Null or empty text, or one without words: no shingles, linked with nothing,
@@ -430,15 +439,21 @@ def _labelled(texts: DataFrame, like: Likeness) -> DataFrame:
     arrays.bounded_batches(spark)
     buckets = exchange.bucket_count(spark)
     rows = durable_table(texts.mapInArrow(_describe(like, buckets), _PACKED).groupBy("bucket").applyInArrow(_unpack, _ROWS))
-    own = rows.where("kind = 0").select("doc_id", "mark", "n", "key", "point")
-    classes = own.where("n > 0").groupBy("key", "n", "point").agg(F.min("doc_id").alias("rep"), F.min("mark").alias("mark"))
+    own = rows.where("kind = 0").select("doc_id", "mark", "n", "key")
+    classes = rows.where("kind = 0 AND n > 0").groupBy("key", "n", "point").agg(F.min("doc_id").alias("rep"), F.min("mark").alias("mark"))
 
     # sets that share a common signature
     held = rows.where("kind = 1").select(F.col("a").alias("block"), F.col("b").alias("key"))
     tiles = held.groupBy("block").agg(F.ceil(F.count("*") / TILE_SETS).cast("int").alias("tiles"))
     members = _tiled(held.join(classes.select("key", "n", "point"), "key"), tiles, buckets)
     bounded = members.groupBy("g", "t1", "t2").applyInArrow(_bounded(like), "a long, b long")
-    candidates = connected(bounded)
+    loose = connected(bounded)
+
+    # many groups tell apart what few let through: a passage that long documents share joins hardly any of them
+    fine = rows.where("kind = 0 AND n > 0").select("key", "n", "fine").join(loose.select(F.col("node").alias("key"), F.col("root").alias("block")), "key")
+    fine = _by_size(fine.distinct(), like, shingles=False)
+    members = _tiled(fine.withColumnRenamed("fine", "point"), _tiles_of(fine, shingles=False), buckets)
+    candidates = connected(members.select("g", "t1", "t2", "block", "key", "n", "point").groupBy("g", "t1", "t2").applyInArrow(_bounded(like, FINE_GROUPS), "a long, b long"))
 
     # their texts, in blocks of sets that may be joined
     chosen = candidates.select(F.col("node").alias("key"), F.col("root").alias("block")).join(classes.select("key", "mark", "n"), "key")
