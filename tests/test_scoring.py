@@ -61,3 +61,29 @@ def test_classify_falls_back(spark):
 def test_cue_scorer():
     score = sc.cue_scorer({"Growth": ["Expand"], "Risk": ["risk", "fear"]})()
     assert score(["it EXPANDS at risk", "no fear", "calm"]) == ["Growth", "Risk", "Neutral"]
+
+
+def test_calls_batches_and_replies_are_bounded(spark):
+    large, workers = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    size = 1 << 18
+
+    def make():
+        import resource
+
+        peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+        before = peak()
+
+        def score(texts):
+            if len(texts) > 1 and sum(map(len, texts)) > 1 << 20:
+                large.add(1)
+            if any(t.startswith("399") for t in texts):
+                workers.add(peak() - before)
+            return [t + "!" for t in texts]
+
+        return score
+
+    df = spark.range(400).coalesce(1).select("id", F.concat("id", F.repeat(F.lit("x"), F.lit(size))).alias("p"))
+    scored = sc.score_rows(df, F.col("p"), make)
+    assert scored.where("reply = concat(p, '!') AND error IS NULL").count() == 400
+    # 400 texts are 100 MB
+    assert large.value == 0 and workers.value < 100

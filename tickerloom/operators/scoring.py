@@ -16,12 +16,15 @@ from tickerloom.constants import DEFAULT_LABEL, LABELS
 from tickerloom.functions.replies import read_label
 from tickerloom.operators.ledger import Ledger
 from tickerloom.operators.replies import with_analysis
+from tickerloom.session import bounded_batches
 
 Scorer = Callable[[list[str]], list[str]]
 ScorerFactory = Callable[[], Scorer]
 
 
 CALL_ROWS = 32
+#: Characters of the texts of a call, and of the replies that are held before they go back; a longer one goes alone.
+CALL_CHARS = 1 << 20
 
 
 def call_model(prompt: Column, make_scorer: ScorerFactory, call_rows: int = CALL_ROWS) -> Column:
@@ -29,8 +32,10 @@ def call_model(prompt: Column, make_scorer: ScorerFactory, call_rows: int = CALL
 
     The scorer is given up to ``call_rows`` texts at a time. If such a call
     fails, its texts are tried one by one: a bad row costs no other row its
-    reply, and few are asked again. Marked nondeterministic so that the plan
-    never calls the model twice for one row.
+    reply, and few are asked again. Calls are bounded by characters, too, and
+    replies go back as they come, so a worker holds one batch of prompts and
+    few replies, however many rows its task has. Marked nondeterministic so
+    that the plan never calls the model twice for one row.
     """
 
     @F.pandas_udf("reply string, error string")
@@ -52,14 +57,28 @@ def call_model(prompt: Column, make_scorer: ScorerFactory, call_rows: int = CALL
                 pass
             return [one(text) for text in texts]
 
+        def calls(texts):
+            call, size = [], 0
+            for text in texts:
+                more = len(text or "")
+                if call and (len(call) >= call_rows or size + more > CALL_CHARS):
+                    yield call
+                    call, size = [], 0
+                call.append(text)
+                size += more
+            if call:
+                yield call
+
         for batch in batches:
-            texts = batch.tolist()
-            pairs = [
-                pair
-                for start in range(0, len(texts), call_rows)
-                for pair in several(texts[start:start + call_rows])
-            ]
-            yield pd.DataFrame(pairs, columns=["reply", "error"])
+            pairs, held = [], 0
+            for texts in calls(batch):
+                pairs += several(texts)
+                held += sum(len(reply or "") for reply, _ in pairs[-len(texts):])
+                if held >= CALL_CHARS:
+                    yield pd.DataFrame(pairs, columns=["reply", "error"])
+                    pairs, held = [], 0
+            if pairs:
+                yield pd.DataFrame(pairs, columns=["reply", "error"])
 
     return scored.asNondeterministic()(prompt)
 
@@ -75,6 +94,7 @@ def score_rows(
     """
     if ledger:
         return ledger.answered(df, prompt, lambda rows: score_rows(rows, F.col("prompt"), make_scorer, tasks))
+    bounded_batches(df.sparkSession)
     if tasks:
         df = df.repartition(tasks)
     return (
