@@ -4,7 +4,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tickerloom.operators import scoring as sc
+from tickerloom.operators import chunks as ch, scoring as sc
 
 # tasks cannot import a test module: send its functions along
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -87,3 +87,24 @@ def test_calls_batches_and_replies_are_bounded(spark):
     assert scored.where("reply = concat(p, '!') AND error IS NULL").count() == 400
     # 400 texts are 100 MB
     assert large.value == 0 and workers.value < 100
+
+
+def test_translations_of_long_chunks_come_back_in_bounded_calls(spark):
+    large = spark.sparkContext.accumulator(0)
+
+    def make():
+        def score(texts):
+            if len(texts) > 1 and sum(map(len, texts)) > 1 << 20:
+                large.add(1)
+            return [f'[{{"id": {t[:3]}, "title": "t", "content": "{t}"}}]' for t in texts]
+
+        return score
+
+    chunks = spark.range(100, 140).coalesce(1).select(
+        F.lit("T").alias("ticker"), F.col("id").alias("chunk"), F.concat("id", F.repeat(F.lit("x"), F.lit(1 << 18))).alias("prompt"),
+        F.array(F.struct((F.col("id") + 1).alias("row_id"), F.lit("d").alias("date"), F.lit("u").alias("url"))).alias("rows"),
+    )
+    replied = sc.score_rows(chunks, F.col("prompt"), make)
+    zipped = rows(ch.zip_replies(replied), "id", F.length("content"))
+    assert sorted(zipped) == [(i + 1, 3 + (1 << 18)) for i in range(100, 140)]
+    assert large.value == 0
