@@ -218,3 +218,17 @@ def test_finer_points_fold_to_the_coarse_and_bound_the_overlap(n):
     assert (few == np.array([jaccard.counts(s) for s in (one, other)])).all()
     common = len(np.intersect1d(one, other))
     assert common <= np.minimum(*points).sum() <= np.minimum(*few).sum()
+
+
+def test_only_texts_of_candidates_are_shuffled(spark, monkeypatch):
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    near = words(0).rsplit(" ", 1)[0] + " other"
+    docs = spark.createDataFrame([(i, words(i)) for i in range(150)] + [(150, near), (151, words(0)), (152, None)], "doc_id long, text string")
+    met, listed = [], jaccard._listed
+    monkeypatch.setattr(jaccard, "_listed", lambda *a: (met.append(listed(*a)), met[-1])[1])
+    stays = sorted(r.doc_id for r in jaccard.deduplicated(docs).collect())
+    assert stays == [*range(150), 152]
+    assert sorted({r.doc_id for r in met[0].collect()} - {151}) == [0, 150]
+    monkeypatch.setattr(jaccard, "LISTED", 1)
+    assert sorted(r.doc_id for r in jaccard.deduplicated(docs).collect()) == stays
+    assert met[1].count() == 153

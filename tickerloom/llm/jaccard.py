@@ -24,6 +24,8 @@ BAND = 1.5
 FEW = 8
 #: Sets, and shingles, of a tile: a larger block is compared tile by tile.
 TILE_SETS, TILE_SHINGLES = 6000, 4_000_000
+#: Candidates whose marks are sent to all tasks, four bytes each.
+LISTED = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -390,6 +392,19 @@ def _tiles_of(sets: DataFrame, shingles: bool = True) -> DataFrame:
     return sets.groupBy("block").agg((F.greatest(tiles, F.ceil(F.sum("n") / TILE_SHINGLES)) if shingles else tiles).cast("int").alias("tiles"))
 
 
+def _listed(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``texts`` without most rows whose mark is not in ``chosen``, so that only candidates' texts are shuffled.
+
+    By 31 bits of the mark, which are sent to all tasks; a list too long for that
+    filters nothing. The join by mark that follows is exact in either case.
+    """
+    low = lambda name: F.pmod(F.col("mark"), F.lit(2**31)).cast("int").alias(name)
+    short = durable_table(chosen.select(low("low")).distinct())
+    if short.count() > LISTED:
+        return texts
+    return texts.withColumn("low", low("low")).join(F.broadcast(short), "low", "left_semi").drop("low")
+
+
 def _by_size(sets: DataFrame, like: Likeness, shingles: bool = True) -> DataFrame:
     """Splits blocks of more than one tile by size: sets that link lie in the same step of size or in neighbouring ones, so each goes to two."""
     large = durable_table(_tiles_of(sets, shingles).where("tiles > 1").select("block", F.lit(True).alias("split")))
@@ -460,7 +475,7 @@ def _labelled(texts: DataFrame, like: Likeness) -> DataFrame:
     chosen = _by_size(chosen, like)
     sizes = _tiles_of(chosen)
     # one row per class, told by its mark: ids may repeat or be null. Rows that repeat become one before the shuffle
-    once = texts.groupBy("mark").agg(F.first("text").alias("text"))
+    once = _listed(texts, chosen).groupBy("mark").agg(F.first("text").alias("text"))
     found = once.join(chosen.hint("shuffle_hash"), "mark").select("block", "key", "text")
     links = _tiled(found, sizes, buckets).select("g", "t1", "t2", "block", "key", "text").groupBy("g", "t1", "t2").applyInArrow(_verified(like), "a long, b long")
     joined = connected(links)
