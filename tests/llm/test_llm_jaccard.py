@@ -232,3 +232,33 @@ def test_only_texts_of_candidates_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LISTED", 1)
     assert sorted(r.doc_id for r in jaccard.deduplicated(docs).collect()) == stays
     assert met[1].count() == 153
+
+
+def test_long_sets_with_nothing_in_common_are_no_candidates():
+    chance, like = np.random.default_rng(3), Likeness(5, 80, 100)
+    sets = [np.unique(chance.integers(0, 2**63, n, np.uint64) * np.uint64(2)) for n in (15_000, 15_100, 15_900, 16_300, 16_500, 17_000, 40_000)]
+    sets += [np.concatenate([sets[0][:-900], sets[1][:900]]), np.concatenate([sets[3], sets[4][:200]])]
+    n = np.array([len(s) for s in sets])
+    groups = jaccard.fine_groups(n)
+    assert len(set(groups.tolist())) > 2
+    cells = [jaccard.packed_point(jaccard.counts(s, g)) for s, g in zip(sets, groups.tolist(), strict=True)]
+
+    def found(rows):
+        at = [i for _, i in rows]
+        table = {"block": [b for b, _ in rows], "key": at, "n": n[at].astype(np.int32), "point": [cells[i] for i in at]}
+        return sorted((r["a"], r["b"]) for r in jaccard._bounded(like, fine=True)(jaccard.pa.table(table)).to_pylist())
+
+    assert groups[3] < groups[8]
+    assert found([(7, i) for i in range(len(sets))]) == [(0, 7), (3, 8)]
+    assert found([(1, 0), (1, 1), (2, 3), (2, 8), (3, 2), (3, 4)]) == [(3, 8)]
+
+
+def test_only_rows_that_may_go_are_shuffled(spark, monkeypatch):
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    docs = spark.createDataFrame([(i, words(i % 40)) for i in range(50)], "doc_id long, text string")
+    thinned = lambda df: "LeftSemi" in df._jdf.queryExecution().optimizedPlan().toString()
+    out = jaccard.deduplicated(docs)
+    assert thinned(out) and sorted(r.doc_id for r in out.collect()) == list(range(40))
+    monkeypatch.setattr(jaccard, "LISTED", 1)
+    out = jaccard.deduplicated(docs)
+    assert not thinned(out) and sorted(r.doc_id for r in out.collect()) == list(range(40))

@@ -16,15 +16,19 @@ from tickerloom.llm import arrays, exchange
 from tickerloom.llm.components import connected, hang
 from tickerloom.session import durable_table
 
-#: Groups of the count vectors that travel with every signature, those sent for candidates only, and points of an R-tree page.
+#: Groups of the count vectors that travel with every signature, the least of those sent for candidates only, and points of an R-tree page.
 GROUPS, FINE_GROUPS, PAGE = 32, 256, 32
+#: Shingles a group of a candidate's count vector holds on average, at most: with many, all large sets look alike.
+FILL = 8
 #: Sizes within this factor of each other share a number of parts.
 BAND = 1.5
 #: A signature that more sets of a piece hold than this goes on as plain rows, so that no bucket fills with it.
 FEW = 8
 #: Sets, and shingles, of a tile: a larger block is compared tile by tile.
 TILE_SETS, TILE_SHINGLES = 6000, 4_000_000
-#: Candidates whose marks are sent to all tasks, four bytes each.
+#: Shingles of a tile whose sets go by their count vectors, which are several times shorter.
+TILE_COUNTED = 4 * TILE_SHINGLES
+#: Rows whose marks are sent to all tasks, four bytes each.
 LISTED = 4_000_000
 
 
@@ -92,11 +96,21 @@ def packed_point(point: np.ndarray) -> bytes:
     return point.astype(np.uint8 if point.max(initial=0) < 256 else np.uint32).tobytes()
 
 
-def unpacked_points(cells: list[bytes], groups: int = GROUPS) -> np.ndarray:
-    wide = np.array([len(c) != groups for c in cells], bool)
+def fine_groups(n: np.ndarray) -> np.ndarray:
+    """Groups of the finer point of sets of n shingles: a power of two, so many that none holds more than FILL on average."""
+    full = np.maximum(np.asarray(n, np.int64) // FILL, FINE_GROUPS - 1)
+    return np.int64(1) << np.frexp(full.astype(np.float64))[1].astype(np.int64)
+
+
+def unpacked_points(cells: list[bytes], groups: int = GROUPS, own: np.ndarray | None = None) -> np.ndarray:
+    """Points of ``groups`` groups from cells that have ``own`` groups each, which is as many or more."""
+    own = np.full(len(cells), groups, np.int64) if own is None else own
     out = np.zeros((len(cells), groups), np.int32)
-    out[~wide] = np.frombuffer(b"".join(c for c in cells if len(c) == groups), np.uint8).reshape(-1, groups)
-    out[wide] = np.frombuffer(b"".join(c for c in cells if len(c) != groups), np.uint32).reshape(-1, groups)
+    for g in np.unique(own).tolist():
+        for width, kind in ((g, np.uint8), (4 * g, np.uint32)):
+            at = [i for i in np.flatnonzero(own == g).tolist() if len(cells[i]) == width]
+            if at:
+                out[at] = coarse(np.frombuffer(b"".join(cells[i] for i in at), kind).reshape(-1, g), groups)
     return out
 
 
@@ -204,6 +218,19 @@ def forest(sizes: np.ndarray, points: np.ndarray, like: Likeness, sets: list[np.
     return edges
 
 
+def levels(n: np.ndarray, groups: np.ndarray, like: Likeness):
+    """(g, places) for each number of groups: the sets that have it, and those with more that may link with one of these.
+
+    So two sets that link meet at the level of the one with fewer groups.
+    """
+    if groups.min() == groups.max():
+        yield int(groups[0]), np.arange(len(n))
+        return
+    for g in np.unique(groups).tolist():
+        most = n[groups == g].max()
+        yield g, np.flatnonzero((groups == g) | ((groups > g) & (n * like.num <= most * like.den)))
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     both = np.concatenate([a, b])
     both.sort(kind="stable")
@@ -235,7 +262,7 @@ def _describe(like: Likeness, buckets: int):
             sets = shingle_sets(arrays.Words(batch["text"], lower=True), like.words)
             keys = np.array([set_key(s) for s in sets], np.int64)
             sizes = np.array([len(s) for s in sets], np.int32)
-            points = [packed_point(counts(s, FINE_GROUPS)) for s in sets]
+            points = [packed_point(counts(s, g)) for s, g in zip(sets, fine_groups(sizes).tolist(), strict=True)]
             _, first = np.unique(keys, return_index=True)
             names = [signatures(sets[i], like) for i in first]
             sig = np.concatenate(names)
@@ -302,7 +329,7 @@ def _unpack(table: pa.Table) -> pa.Table:
         "mark": lead(mark, pa.int64()),
         "n": lead(n, pa.int32()),
         "key": lead(key, pa.int64()),
-        "point": lead([packed_point(p) for p in coarse(unpacked_points(fine, FINE_GROUPS))], pa.binary()),
+        "point": lead([packed_point(p) for p in unpacked_points(fine, GROUPS, fine_groups(n))], pa.binary()),
         "fine": lead(fine, pa.binary()),
         "a": pa.concat_arrays([pa.nulls(total[0], pa.int64()), pa.array(a)]),
         "b": pa.concat_arrays([pa.nulls(total[0], pa.int64()), pa.array(b)]),
@@ -320,26 +347,33 @@ def _pairs(found: list[tuple]) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in stars], pa.int64()), "b": pa.array([b for _, b in stars], pa.int64())})
 
 
-def _bounded(like: Likeness, groups: int = GROUPS):
-    """Blocks of sets with their points -> links that the bound allows."""
+def _bounded(like: Likeness, fine: bool = False):
+    """Blocks of sets with their points, of GROUPS or finer -> links that the bound allows."""
 
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by([("block", "ascending"), ("key", "ascending")])
         block, key, n = (table[c].to_numpy() for c in ("block", "key", "n"))
-        point = unpacked_points(table["point"].to_pylist(), groups)
         new = np.ones(len(block), bool)
         new[1:] = (block[1:] != block[:-1]) | (key[1:] != key[:-1])
-        block, key, n, point = block[new], key[new], n[new].astype(np.int64), point[new]
+        block, key, n, cells = block[new], key[new], n[new].astype(np.int64), table["point"].filter(pa.array(new)).to_pylist()
+        groups = fine_groups(n) if fine else np.full(len(n), GROUPS, np.int64)
+        whole = None if fine else unpacked_points(cells)
+        points = lambda at, g: unpacked_points([cells[i] for i in at.tolist()], g, groups[at]) if fine else whole[at]
         if not len(block):
             return _pairs([])
         begin = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
         size = np.diff(np.append(begin, len(block)))
-        # most blocks hold two sets: all of these at once
-        i = begin[size == 2]
-        two = like.linked(np.minimum(point[i], point[i + 1]).sum(axis=1), n[i] + n[i + 1])
-        found = list(zip(key[i[two]].tolist(), key[i[two] + 1].tolist(), strict=True))
+        # most blocks hold two sets: many of these at once
+        two, found = begin[size == 2], []
+        less = np.minimum(groups[two], groups[two + 1])
+        for g in np.unique(less).tolist():
+            for i in np.array_split(two[less == g], -(-int((less == g).sum()) * g // 2**22)):
+                may = like.linked(np.minimum(points(i, g), points(i + 1, g)).sum(axis=1), n[i] + n[i + 1])
+                found += zip(key[i[may]].tolist(), key[i[may] + 1].tolist(), strict=True)
         for a, k in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            found += [(int(key[a + i]), int(key[a + j])) for i, j in forest(n[a : a + k], point[a : a + k], like)]
+            for g, at in levels(n[a : a + k], groups[a : a + k], like):
+                at = at + a
+                found += [(int(key[at[i]]), int(key[at[j]])) for i, j in forest(n[at], points(at, g), like)]
         return _pairs(found)
 
     return search
@@ -360,7 +394,10 @@ def _verified(like: Likeness):
             names, sets = list(own), list(own.values())
             if len(names) > 1:
                 sizes = np.array([len(s) for s in sets], np.int64)
-                found += [(names[i], names[j]) for i, j in forest(sizes, np.array([counts(s, FINE_GROUPS) for s in sets], np.int32), like, sets)]
+                for g, at in levels(sizes, fine_groups(sizes), like):
+                    some = [sets[i] for i in at]
+                    links = forest(sizes[at], np.array([counts(s, g) for s in some], np.int32), like, some)
+                    found += [(names[at[i]], names[at[j]]) for i, j in links]
         return _pairs(found)
 
     return search
@@ -386,10 +423,10 @@ def _tiled(members: DataFrame, tiles: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def _tiles_of(sets: DataFrame, shingles: bool = True) -> DataFrame:
-    """Tiles of each block, by its number of sets and, where these are held whole, of shingles."""
-    tiles = F.ceil(F.count("*") / TILE_SETS)
-    return sets.groupBy("block").agg((F.greatest(tiles, F.ceil(F.sum("n") / TILE_SHINGLES)) if shingles else tiles).cast("int").alias("tiles"))
+def _tiles_of(sets: DataFrame, shingles: int = TILE_SHINGLES) -> DataFrame:
+    """Tiles of each block, by its number of sets and of shingles."""
+    tiles = F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / shingles))
+    return sets.groupBy("block").agg(tiles.cast("int").alias("tiles"))
 
 
 def _listed(texts: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -398,14 +435,22 @@ def _listed(texts: DataFrame, chosen: DataFrame) -> DataFrame:
     By 31 bits of the mark, which are sent to all tasks; a list too long for that
     filters nothing. The join by mark that follows is exact in either case.
     """
-    low = lambda name: F.pmod(F.col("mark"), F.lit(2**31)).cast("int").alias(name)
-    short = durable_table(chosen.select(low("low")).distinct())
-    if short.count() > LISTED:
-        return texts
-    return texts.withColumn("low", low("low")).join(F.broadcast(short), "low", "left_semi").drop("low")
+    short = _short(chosen)
+    return texts if short is None else texts.join(short, _low() == F.col("low"), "left_semi")
 
 
-def _by_size(sets: DataFrame, like: Likeness, shingles: bool = True) -> DataFrame:
+def _low():
+    """31 bits of the mark."""
+    return F.pmod(F.col("mark"), F.lit(2**31)).cast("int")
+
+
+def _short(rows: DataFrame) -> DataFrame | None:
+    """``low`` of the marks of ``rows``, to be sent to all tasks; None if the list is too long for that."""
+    short = durable_table(rows.select(_low().alias("low")).distinct())
+    return F.broadcast(short) if short.count() <= LISTED else None
+
+
+def _by_size(sets: DataFrame, like: Likeness, shingles: int = TILE_SHINGLES) -> DataFrame:
     """Splits blocks of more than one tile by size: sets that link lie in the same step of size or in neighbouring ones, so each goes to two."""
     large = durable_table(_tiles_of(sets, shingles).where("tiles > 1").select("block", F.lit(True).alias("split")))
     step = F.floor(F.log("n") / math.log(like.den / like.num) + 1e-9)
@@ -464,11 +509,12 @@ def _labelled(texts: DataFrame, like: Likeness) -> DataFrame:
     bounded = members.groupBy("g", "t1", "t2").applyInArrow(_bounded(like), "a long, b long")
     loose = connected(bounded)
 
-    # many groups tell apart what few let through: a passage that long documents share joins hardly any of them
+    # many groups tell apart what few let through: a passage that long documents share joins hardly any of them.
+    # Written, as it is read three times below
     fine = rows.where("kind = 0 AND n > 0").select("key", "n", "fine").join(loose.select(F.col("node").alias("key"), F.col("root").alias("block")), "key")
-    fine = _by_size(fine.distinct(), like, shingles=False)
-    members = _tiled(fine.withColumnRenamed("fine", "point"), _tiles_of(fine, shingles=False), buckets)
-    candidates = connected(members.select("g", "t1", "t2", "block", "key", "n", "point").groupBy("g", "t1", "t2").applyInArrow(_bounded(like, FINE_GROUPS), "a long, b long"))
+    fine = _by_size(durable_table(fine.distinct()), like, TILE_COUNTED)
+    members = _tiled(fine.withColumnRenamed("fine", "point"), _tiles_of(fine, TILE_COUNTED), buckets)
+    candidates = connected(members.select("g", "t1", "t2", "block", "key", "n", "point").groupBy("g", "t1", "t2").applyInArrow(_bounded(like, fine=True), "a long, b long"))
 
     # their texts, in blocks of sets that may be joined
     chosen = candidates.select(F.col("node").alias("key"), F.col("root").alias("block")).join(classes.select("key", "mark", "n"), "key")
@@ -520,11 +566,14 @@ def deduplicated(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     listed = durable_table(listed.select("v_id", F.col("mark").alias("v_mark"), "stays").sortWithinPartitions("v_id"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ident.alias("id"), _row_mark(docs).alias("mark"))
     there = (F.col("mark") == F.col("v_mark")) & F.col("id").eqNullSafe(F.col("v_id"))
-    out = packed.join(listed, there, "left_anti").select("row.*")
+    # only rows whose mark may be listed are shuffled; the others stay where they are
+    short = _short(listed.select(F.col("v_mark").alias("mark")))
+    asked = packed if short is None else packed.join(short, _low() == F.col("low"), "left_semi")
+    out = asked.join(listed, there, "left_anti").select("row.*")
     again = durable_table(listed.where("stays"))
     if not again.isEmpty():
-        out = out.union(packed.join(again, there).groupBy("id", "mark").agg(F.first("row").alias("row")).select("row.*"))
-    return out
+        out = out.union(asked.join(again, there).groupBy("id", "mark").agg(F.first("row").alias("row")).select("row.*"))
+    return out if short is None else out.union(packed.join(short, _low() == F.col("low"), "left_anti").select("row.*"))
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
