@@ -140,3 +140,40 @@ def test_runs_judge_pages_with_text_beside_their_article(spark):
     rows += [(8, "http://a.example/8", short), (9, "http://b.example/9", short)]
     want += [" ".join(f"s{j}" for j in range(9)), " ".join(f"s{j}" for j in range(9)) + "\n" + notice]
     assert {r.page_id: r.text for r in extract_text(table(spark, rows)).collect()} == dict(enumerate(want))
+
+
+def test_every_page_goes_through_the_runs_of_its_host(spark, monkeypatch):
+    tally, seen = pages._tally, spark.sparkContext.accumulator(0)
+
+    def watched(buckets):
+        inner = tally(buckets)
+
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return lambda batches: inner(count(batches))
+
+    monkeypatch.setattr(pages, "_tally", watched)
+    rows = [(i, f"http://{'ab'[i % 2]}.example/{i}", page(f"<article><p>text of page {i}</p></article>")) for i in range(30)]
+    assert {r.page_id: r.text for r in extract_text(table(spark, rows)).collect()} == {i: f"text of page {i}" for i in range(30)}
+    assert seen.value == 30
+
+
+def test_hosts_of_a_share_and_tasks_are_counted_apart(spark, monkeypatch):
+    notice = " ".join(f"n{i}" for i in range(15))
+    body = lambda i: f"<p>{notice}</p><p>u{i} v{i}</p>"
+    # host a has the notice beside one article only: two pages in articles of their own make three; host b has two in all
+    html = [body(0), f"<article>{body(1)}</article>", f"<article>{body(2)}</article>", body(3), f"<article>{body(4)}</article>"]
+    rows = [(i, f"http://{'aaabb'[i]}.example/{i}", page(h)) for i, h in enumerate(html)]
+    whole = lambda i: f"{notice}\nu{i} v{i}"
+    want = {0: "u0 v0"} | {i: whole(i) for i in range(1, 5)}
+    for parts in (1, 5):
+        assert {r.page_id: r.text for r in extract_text(table(spark, rows).repartition(parts)).collect()} == want
+
+
+def test_packed_names_come_back():
+    for n in (0, 1, 5, 1000):
+        names = np.unique(np.random.default_rng(n).integers(0, 2**64, n, np.uint64) & pages._SHORT)
+        assert (pages._unpacked(pages._packed(names[::-1])) == names).all()
