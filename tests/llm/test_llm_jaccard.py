@@ -262,3 +262,31 @@ def test_only_rows_that_may_go_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LISTED", 1)
     out = jaccard.deduplicated(docs)
     assert not thinned(out) and sorted(r.doc_id for r in out.collect()) == list(range(40))
+
+
+def test_long_texts_that_share_a_signature_are_told_apart_by_its_points():
+    chance, like = np.random.default_rng(5), Likeness(5, 80, 100)
+    texts = [" ".join(f"w{x}" for x in chance.integers(0, 10**6, int(n))) for n in chance.integers(900, 1100, 70)]
+    texts.append(texts[3].rsplit(" ", 9)[0])
+    batch = jaccard.pa.RecordBatch.from_pydict({"doc_id": list(range(71)), "text": texts, "mark": list(range(71))})
+    rows = [r for r in jaccard._unpack(jaccard.pa.Table.from_batches(list(jaccard._describe(like, 1)(iter([batch]))))).to_pylist() if r["kind"] == 0]
+    key = {r["doc_id"]: r["key"] for r in rows}
+
+    def found(ids):
+        some = [r for r in rows if r["doc_id"] in ids]
+        table = {"block": [7] * len(some), "key": [r["key"] for r in some], "n": [r["n"] for r in some], "point": [r["point"] for r in some]}
+        table = jaccard.pa.table(table, schema=jaccard.pa.schema({"block": "int64", "key": "int64", "n": "int32", "point": "binary"}))
+        return {(r["a"], r["b"]) for r in jaccard._bounded(like)(table).to_pylist()}
+
+    both = {(min(key[3], key[70]), max(key[3], key[70]))}
+    assert found(range(71)) == found([*range(20), 70]) == found([3, 70]) == both and not found([3, 4])
+
+
+@pytest.mark.parametrize("n", [0, 1, 500, 5_000, 60_000])
+def test_tight_points_come_back(n):
+    own = np.unique(np.random.default_rng(n).integers(0, 2**63, n, np.uint64) * np.uint64(2))
+    groups = int(jaccard.mid_groups(n))
+    points = [jaccard.counts(own, groups), np.append(np.zeros(groups - 1, np.int64), len(own))]
+    cells = [jaccard.tight_point(p) for p in points]
+    assert (jaccard.untight_points(cells, np.array([len(own)] * 2), groups) == np.array(points)).all()
+    assert len(cells[0]) <= groups

@@ -16,10 +16,12 @@ from tickerloom.llm import arrays, exchange
 from tickerloom.llm.components import connected, hang
 from tickerloom.session import durable_table
 
-#: Groups of the count vectors that travel with every signature, the least of those sent for candidates only, and points of an R-tree page.
+#: The least groups of the count vectors that travel with every signature, and of those sent for candidates only, and points of an R-tree page.
 GROUPS, FINE_GROUPS, PAGE = 32, 256, 32
-#: Shingles a group of a candidate's count vector holds on average, at most: with many, all large sets look alike.
+#: Shingles a group holds on average, at most, in vectors of more groups than the least: with many, all large sets look alike.
 FILL = 8
+#: Bytes of points compared at once: what fits a core's cache, and needs no fresh pages, takes a tenth of the time.
+AT_ONCE = 1 << 17
 #: Sizes within this factor of each other share a number of parts.
 BAND = 1.5
 #: A signature that more sets of a piece hold than this goes on as plain rows, so that no bucket fills with it.
@@ -102,6 +104,38 @@ def fine_groups(n: np.ndarray) -> np.ndarray:
     return np.int64(1) << np.frexp(full.astype(np.float64))[1].astype(np.int64)
 
 
+def mid_groups(n: np.ndarray) -> np.ndarray:
+    """Groups of the point that travels with the signatures of sets of n shingles: as for the finer one, but GROUPS at least."""
+    full = np.maximum(np.asarray(n, np.int64) // FILL, GROUPS - 1)
+    return np.int64(1) << np.frexp(full.astype(np.float64))[1].astype(np.int64)
+
+
+def _least(n: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """The count a half byte begins at, for points of n shingles: about a window's half below the average."""
+    return np.maximum(n // groups - 7, 0)
+
+
+def tight_point(point: np.ndarray) -> bytes:
+    """A point in half a byte a group; counts outside its window of 16 follow as (group, count), four bytes each."""
+    groups = len(point)
+    low = int(_least(point.sum(), groups))
+    half = np.clip(point - low, 0, 15).astype(np.uint8)
+    odd = np.flatnonzero(half + low != point)
+    return (half[::2] | half[1::2] << 4).tobytes() + np.stack([odd, point[odd]], axis=1).astype(np.uint32).tobytes()
+
+
+def untight_points(cells: list[bytes], n: np.ndarray, groups: int) -> np.ndarray:
+    """The points of ``groups`` groups of sets of n shingles."""
+    size = groups // 2
+    half = np.frombuffer(b"".join([c[:size] for c in cells]), np.uint8).reshape(-1, size)
+    out = np.empty((len(cells), groups), np.int32)
+    out[:, ::2], out[:, 1::2] = half & 15, half >> 4
+    out += _least(n, groups).astype(np.int32)[:, None]
+    odd = np.frombuffer(b"".join([c[size:] for c in cells]), np.uint32).reshape(-1, 2)
+    out[np.repeat(np.arange(len(cells)), [(len(c) - size) // 8 for c in cells]), odd[:, 0]] = odd[:, 1]
+    return out
+
+
 def unpacked_points(cells: list[bytes], groups: int = GROUPS, own: np.ndarray | None = None) -> np.ndarray:
     """Points of ``groups`` groups from cells that have ``own`` groups each, which is as many or more."""
     own = np.full(len(cells), groups, np.int64) if own is None else own
@@ -151,6 +185,22 @@ def signatures(own: np.ndarray, like: Likeness) -> np.ndarray:
     return np.concatenate(out)
 
 
+def narrow(points: np.ndarray) -> np.ndarray:
+    """Points in one byte a group, if no count needs more."""
+    return points.astype(np.uint8) if points.max(initial=0) < 256 else points.astype(np.int32)
+
+
+def overlaps(points: np.ndarray, at: np.ndarray, other: np.ndarray, most: int) -> np.ndarray:
+    """Per place in ``at`` the sum of the smaller counts of its point and ``other`` (one point, or one a place), ``most`` at most."""
+    kind = np.uint16 if most < 2**16 else np.int64
+    step = max(AT_ONCE // (points.shape[1] * points.itemsize), 1)
+    out = np.empty(len(at), np.int64)
+    for a in range(0, len(at), step):
+        some = slice(a, a + step)
+        out[some] = np.minimum(points[at[some]], other if other.ndim == 1 else other[some]).sum(axis=1, dtype=kind)
+    return out
+
+
 class CountTree:
     """A bulk-loaded R-tree over count vectors: nodes keep the largest coordinates and the range of sizes below them.
 
@@ -165,7 +215,7 @@ class CountTree:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) // slab
         self.order = np.lexsort((points[:, 1], points[:, 0], rank))
-        self.sizes, self.points, self.like = sizes[self.order], points[self.order], like
+        self.sizes, self.points, self.like = sizes[self.order], narrow(points[self.order]), like
         self.levels = []
         top, low, high = self.points, self.sizes, self.sizes
         while len(top) > PAGE:
@@ -178,11 +228,12 @@ class CountTree:
         like = self.like
         near = (like.den * high[at] >= like.num * size) & (like.num * low[at] <= like.den * size)
         at = at[near]
-        return at[np.minimum(top[at], point).sum(axis=1) >= like.least_common(low[at] + size)]
+        return at[overlaps(top, at, point, size) >= like.least_common(low[at] + size)]
 
     def search(self, size: int, point: np.ndarray) -> np.ndarray:
         """Living places whose bound lets them link with the given set."""
         at = None
+        point = np.minimum(point, np.iinfo(self.points.dtype).max).astype(self.points.dtype)
         below = [len(self.points), *(len(level[0]) for level in self.levels)]
         for depth in range(len(self.levels) - 1, -1, -1):
             at = np.arange(below[depth + 1]) if at is None else at
@@ -218,6 +269,15 @@ def forest(sizes: np.ndarray, points: np.ndarray, like: Likeness, sets: list[np.
     return edges
 
 
+def page_pairs(begin: np.ndarray, size: np.ndarray):
+    """The pairs of places inside each block of at most a page, many blocks at a time."""
+    for k in np.unique(size[(size > 1) & (size <= PAGE)]).tolist():
+        i, j = np.triu_indices(k, 1)
+        first = begin[size == k]
+        for some in np.array_split(first, -(-len(first) * len(i) // 2**20)):
+            yield (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+
+
 def levels(n: np.ndarray, groups: np.ndarray, like: Likeness):
     """(g, places) for each number of groups: the sets that have it, and those with more that may link with one of these.
 
@@ -329,13 +389,25 @@ def _unpack(table: pa.Table) -> pa.Table:
         "mark": lead(mark, pa.int64()),
         "n": lead(n, pa.int32()),
         "key": lead(key, pa.int64()),
-        "point": lead([packed_point(p) for p in unpacked_points(fine, GROUPS, fine_groups(n))], pa.binary()),
+        "point": lead(_mid_points(fine, n), pa.binary()),
         "fine": lead(fine, pa.binary()),
         "a": pa.concat_arrays([pa.nulls(total[0], pa.int64()), pa.array(a)]),
         "b": pa.concat_arrays([pa.nulls(total[0], pa.int64()), pa.array(b)]),
     })
 
 
+def _mid_points(fine: list[bytes], n: np.ndarray) -> list[bytes]:
+    """The points that travel with signatures, from the finer ones."""
+    out: list[bytes] = [b""] * len(n)
+    groups, own = mid_groups(n), fine_groups(n)
+    for g in np.unique(groups).tolist():
+        at = np.flatnonzero(groups == g)
+        for some in np.array_split(at, -(-len(at) * g // 2**20)):
+            for i, point in zip(some.tolist(), unpacked_points([fine[i] for i in some.tolist()], g, own[some]), strict=True):
+                out[i] = tight_point(point)
+    return out
+
+
 def _blocks(values: np.ndarray):
     """(begin, end) of runs of equal values."""
     edges = np.flatnonzero(np.diff(values)) + 1
@@ -348,29 +420,34 @@ def _pairs(found: list[tuple]) -> pa.Table:
 
 
 def _bounded(like: Likeness, fine: bool = False):
-    """Blocks of sets with their points, of GROUPS or finer -> links that the bound allows."""
+    """Blocks of sets with their points, those of signatures or finer -> links that the bound allows."""
 
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by([("block", "ascending"), ("key", "ascending")])
         block, key, n = (table[c].to_numpy() for c in ("block", "key", "n"))
         new = np.ones(len(block), bool)
         new[1:] = (block[1:] != block[:-1]) | (key[1:] != key[:-1])
-        block, key, n, cells = block[new], key[new], n[new].astype(np.int64), table["point"].filter(pa.array(new)).to_pylist()
-        groups = fine_groups(n) if fine else np.full(len(n), GROUPS, np.int64)
-        whole = None if fine else unpacked_points(cells)
-        points = lambda at, g: unpacked_points([cells[i] for i in at.tolist()], g, groups[at]) if fine else whole[at]
+        block, key, n = block[new], key[new], n[new].astype(np.int64)
         if not len(block):
             return _pairs([])
+        cells = table["point"].filter(pa.array(new))
+        groups = fine_groups(n) if fine else mid_groups(n)
+        points = _fine_of(cells.to_pylist(), groups) if fine else _mid_of(cells, key, n, groups)
         begin = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
         size = np.diff(np.append(begin, len(block)))
-        # most blocks hold two sets: many of these at once
-        two, found = begin[size == 2], []
-        less = np.minimum(groups[two], groups[two + 1])
-        for g in np.unique(less).tolist():
-            for i in np.array_split(two[less == g], -(-int((less == g).sum()) * g // 2**22)):
-                may = like.linked(np.minimum(points(i, g), points(i + 1, g)).sum(axis=1), n[i] + n[i + 1])
-                found += zip(key[i[may]].tolist(), key[i[may] + 1].tolist(), strict=True)
-        for a, k in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        found: list[tuple] = []
+        # most blocks hold a few sets, and a tree of one page is that page: many of these at once
+        for i, j in page_pairs(begin, size):
+            near = like.den * np.minimum(n[i], n[j]) >= like.num * np.maximum(n[i], n[j])
+            i, j = i[near], j[near]
+            less = np.minimum(groups[i], groups[j])
+            for g in np.unique(less).tolist():
+                at = np.flatnonzero(less == g)
+                for some in np.array_split(at, -(-len(at) * g // AT_ONCE)):
+                    a, b = i[some], j[some]
+                    may = like.linked(np.minimum(points(a, g), points(b, g)).sum(axis=1, dtype=np.int64), n[a] + n[b])
+                    found += zip(key[a[may]].tolist(), key[b[may]].tolist(), strict=True)
+        for a, k in zip(begin[size > PAGE].tolist(), size[size > PAGE].tolist(), strict=True):
             for g, at in levels(n[a : a + k], groups[a : a + k], like):
                 at = at + a
                 found += [(int(key[at[i]]), int(key[at[j]])) for i, j in forest(n[at], points(at, g), like)]
@@ -379,6 +456,32 @@ def _bounded(like: Likeness, fine: bool = False):
     return search
 
 
+def _fine_of(cells: list[bytes], groups: np.ndarray):
+    """(places, g) -> their points of g groups, from the finer ones."""
+    return lambda at, g: unpacked_points([cells[i] for i in at.tolist()], g, groups[at])
+
+
+def _mid_of(cells: pa.ChunkedArray, key: np.ndarray, n: np.ndarray, groups: np.ndarray):
+    """(places, g) -> their points of g groups, from those that travel with signatures; each set's is unpacked once."""
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    unpacked, place = {}, np.zeros(len(first), np.int64)
+    for g in np.unique(groups[first]).tolist():
+        own = np.flatnonzero(groups[first] == g)
+        place[own] = np.arange(len(own))
+        unpacked[g] = narrow(untight_points(cells.take(pa.array(first[own])).to_pylist(), n[first[own]], g))
+
+    def points(at: np.ndarray, g: int) -> np.ndarray:
+        row, own = place[which[at]], groups[at]
+        if (own == g).all():
+            return unpacked[g][row]
+        out = np.empty((len(at), g), np.int32)
+        for level in np.unique(own).tolist():
+            out[own == level] = coarse(unpacked[level][row[own == level]], g)
+        return out
+
+    return points
+
+
 def _verified(like: Likeness):
     """Blocks of candidates with their texts -> links."""
 
